@@ -128,8 +128,7 @@ def authorship_edges(pubs: DataFrame, pub_col: str, authors_col: str) -> DataFra
             .distinct())
 
 
-def expand(seeds: DataFrame, edges: DataFrame, max_depth: int = S.DEPTH_MAX,
-           checkpoint_every: int = 1) -> DataFrame:
+def expand(seeds: DataFrame, edges: DataFrame, max_depth: int = S.DEPTH_MAX) -> DataFrame:
     """Bounded breadth-first expansion over bipartite edges.
 
     ``seeds(author)`` start at depth 1; a co-author of a depth-``d`` author is
@@ -143,18 +142,18 @@ def expand(seeds: DataFrame, edges: DataFrame, max_depth: int = S.DEPTH_MAX,
     folder each level so the lineage and the plan stay one level deep.
     """
     e = edges.select("pub", "author")
-    visited = seeds.select("author").distinct().withColumn("depth", F.lit(1))
-    visited = cut_lineage(visited)
-    frontier = visited
+    visited = cut_lineage(seeds.select("author").distinct().withColumn("depth", F.lit(1)))
+    size = visited.count()
     for d in range(1, max_depth):
-        pubs = frontier.select("author").join(e, "author").select("pub").distinct()
+        frontier = visited.where(F.col("depth") == d).select("author")
+        pubs = frontier.join(e, "author").select("pub").distinct()
         reached = pubs.join(e, "pub").select("author").distinct()
         new = reached.join(visited.select("author"), "author", "left_anti").withColumn("depth", F.lit(d + 1))
-        new = cut_lineage(new) if (d % checkpoint_every == 0) else new
-        if new.isEmpty():
-            break
         visited = cut_lineage(visited.unionByName(new))
-        frontier = new
+        grown = visited.count()
+        if grown == size:
+            break
+        size = grown
     return visited.select(F.col("author"), F.col("depth").cast("int").alias("depth"))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..operators import frontier
 from ..session import table
 from ..functions import text as X
+from ..functions import urls as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,7 +33,7 @@ def register(name: str, oracle: str | None = None):
 
 # Fixed query parameters (not tuned per run).
 AS_OF = "2024-01-20 00:00:00"
-AS_OF_YEAR = 1997
+AS_OF_YEAR = 1998
 SEED_AUTHORS = "Supplier#000000000,Supplier#000000001"
 
 
@@ -63,3 +64,171 @@ def coauthor_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                      F.col("l_suppkey").alias("author"))
     out = frontier.expand(seeds, edges, max_depth=4)
     return out.select(F.col("author").cast("bigint").alias("author_id"), "depth")
+
+
+# ------------------------------------------------------------------ F1, F2
+@register("sanitize_text", oracle="""
+WITH src AS (
+  SELECT 'part' AS src, p_partkey AS id,
+         p_name || ' (' || p_brand || ') ' || CAST(p_size AS VARCHAR) || ', ' || CAST(p_partkey AS VARCHAR) || '.' AS raw
+  FROM part
+  UNION ALL
+  SELECT 'orders', o_orderkey,
+         o_orderpriority || ' ' || o_orderstatus || '. ' || CAST(year(o_orderdate) AS VARCHAR) || ', ' || CAST(o_orderkey AS VARCHAR)
+  FROM orders
+)
+SELECT src, CAST(id AS BIGINT) AS id,
+       CASE WHEN raw IS NULL OR raw = '' THEN 'Unknown'
+            ELSE trim(regexp_replace(regexp_replace(raw, '\\(.*?\\)|[.,]', '', 'g'),
+                                     '\\b\\d{1,3}\\b|\\b\\d{5,}\\b', '', 'g')) END AS clean
+FROM src
+""")
+def q_sanitize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select(
+        F.lit("part").alias("src"), F.col("p_partkey").alias("id"),
+        F.concat("p_name", F.lit(" ("), "p_brand", F.lit(") "), F.col("p_size").cast("string"), F.lit(", "),
+                 F.col("p_partkey").cast("string"), F.lit(".")).alias("raw"))
+    orders = table(spark, sf_dir, "orders").select(
+        F.lit("orders").alias("src"), F.col("o_orderkey").alias("id"),
+        F.concat("o_orderpriority", F.lit(" "), "o_orderstatus", F.lit(". "),
+                 F.year("o_orderdate").cast("string"), F.lit(", "), F.col("o_orderkey").cast("string")).alias("raw"))
+    return part.unionByName(orders).select("src", F.col("id").cast("bigint").alias("id"),
+                                           X.sanitize_text("raw").alias("clean"))
+
+
+@register("conference_acronym", oracle="""
+WITH src AS (
+  SELECT 'part' AS src, p_partkey AS id, p_name AS venue FROM part
+  UNION ALL
+  SELECT 'orders', o_orderkey, CASE WHEN o_orderstatus = 'O' THEN '   ' ELSE o_orderpriority END FROM orders
+)
+SELECT src, CAST(id AS BIGINT) AS id,
+       coalesce(nullif(regexp_extract(venue, '\\S+', 0), ''), 'Unknown') AS acronym
+FROM src
+""")
+def q_conference_acronym(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select(F.lit("part").alias("src"), F.col("p_partkey").alias("id"),
+                                                 F.col("p_name").alias("venue"))
+    orders = table(spark, sf_dir, "orders").select(
+        F.lit("orders").alias("src"), F.col("o_orderkey").alias("id"),
+        F.when(F.col("o_orderstatus") == "O", F.lit("   ")).otherwise(F.col("o_orderpriority")).alias("venue"))
+    return part.unionByName(orders).select("src", F.col("id").cast("bigint").alias("id"),
+                                           X.conference_acronym("venue").alias("acronym"))
+
+
+# ------------------------------------------------------------ F12-F14, S11
+@register("person_names", oracle="""
+WITH t AS (
+  SELECT p_partkey, p_name, p_type || ' ' || split_part(p_name, ' ', 1) AS maker FROM part
+), found AS (
+  SELECT p_partkey, p_name AS name, 0 AS obj FROM t
+  WHERE p_name SIMILAR TO '[A-Za-z\\s]+' AND len(string_split(p_name, ' ')) = 2
+  UNION ALL
+  SELECT p_partkey, maker, 1 FROM t
+  WHERE maker SIMILAR TO '[A-Za-z\\s]+' AND len(string_split(maker, ' ')) = 2
+)
+SELECT CAST(p_partkey AS BIGINT) AS p_partkey,
+       CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY obj DESC) - 1 AS INTEGER) AS pos,
+       name
+FROM found
+""")
+def q_person_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Root names (S11) from script text holding JSON-like objects: the
+    objects are found (F13), parsed (F14), filtered (F12) and reversed."""
+    part = table(spark, sf_dir, "part")
+    script = F.concat(F.lit('<script>var roots=[{"name":"'), F.col("p_name"), F.lit('","size":'),
+                      F.col("p_size").cast("string"), F.lit('},{"maker":"'), F.col("p_type"), F.lit(" "),
+                      F.split("p_name", " ").getItem(0), F.lit('"},{"nested":{"x":"Not Me"}}];</script>'))
+    names = part.select("p_partkey", X.root_names(script).alias("names"))
+    return names.select(F.col("p_partkey").cast("bigint").alias("p_partkey"),
+                        F.posexplode("names").alias("pos", "name")).select(
+        "p_partkey", F.col("pos").cast("int").alias("pos"), "name")
+
+
+# -------------------------------------------------------- F5-F7, R1-R7
+@register("url_ids", oracle="""
+SELECT 'page' AS src, CAST(page_id AS BIGINT) AS id,
+       nullif(regexp_extract(url, 'page=(\\d+)', 1), '') AS a,
+       CASE WHEN contains(url, '=') THEN regexp_extract(url, '=([^=]*)$', 1) END AS b,
+       NULL::VARCHAR AS c, NULL::VARCHAR AS d
+FROM pages
+UNION ALL
+SELECT 'customer', CAST(c_custkey AS BIGINT),
+       'https://scholar.google.com/scholar?hl=it&as_sdt=0%252C5&q=' || replace(c_name || ' ' || c_mktsegment, ' ', '+'),
+       'https://dblp.org/search?q=' || replace(replace(replace(c_name || ' ' || lower(c_mktsegment) || '/~*', '#', '%23'), ' ', '%20'), '*', '%2A'),
+       'U' || CAST(c_custkey AS VARCHAR) || '-x',
+       'https://scholar.google.com/citations?hl=it&user=U' || CAST(c_custkey AS VARCHAR) || '-x&cstart=100&pagesize=100'
+FROM customer
+""")
+def q_url_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select(
+        F.lit("page").alias("src"), F.col("page_id").cast("bigint").alias("id"),
+        X.extract_id_from("url", "page").alias("a"), X.after_last_eq("url").alias("b"),
+        F.lit(None).cast("string").alias("c"), F.lit(None).cast("string").alias("d"))
+    cust = table(spark, sf_dir, "customer")
+    user = F.concat(F.lit("U"), F.col("c_custkey").cast("string"), F.lit("-x"))
+    profile = R.scholar_profile_url(user)
+    built = cust.select(
+        F.lit("customer").alias("src"), F.col("c_custkey").cast("bigint").alias("id"),
+        R.scholar_search_url(F.concat_ws(" ", "c_name", "c_mktsegment")).alias("a"),
+        R.dblp_search_url(F.concat(F.col("c_name"), F.lit(" "), F.lower("c_mktsegment"), F.lit("/~*"))).alias("b"),
+        X.user_id(R.absolute(F.concat(F.lit("/citations?user="), user, F.lit("&hl=it")))).alias("c"),
+        F.get(R.paged_urls(profile, 2, "publications"), 1).alias("d"))
+    return pages.unionByName(built)
+
+
+# ------------------------------------------------------------------ F4, F8
+@register("affiliation_split", oracle="""
+WITH t AS (
+  SELECT c_custkey,
+         CASE c_custkey % 3 WHEN 0 THEN c_mktsegment || ' @ ' || c_name
+                            WHEN 1 THEN ' ' || c_mktsegment || ' , ' || c_name
+                            ELSE c_mktsegment || ' ' || c_name END AS aff,
+         ' <' || c_name || '>?/' || c_mktsegment || ' ' AS raw_name
+  FROM customer
+)
+SELECT CAST(c_custkey AS BIGINT) AS c_custkey,
+       CASE WHEN len(string_split(aff, '@')) = 2 THEN trim(string_split(aff, '@')[1])
+            WHEN len(string_split(aff, ',')) = 2 THEN trim(string_split(aff, ',')[1])
+            ELSE '?' END AS role,
+       CASE WHEN len(string_split(aff, '@')) = 2 THEN trim(string_split(aff, '@')[2])
+            WHEN len(string_split(aff, ',')) = 2 THEN trim(string_split(aff, ',')[2])
+            ELSE aff END AS org,
+       regexp_replace(trim(raw_name), '[<>:"/\\\\|?*]', '', 'g') AS clean_name
+FROM t
+""")
+def q_affiliation_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey") % 3
+    aff = (F.when(k == 0, F.concat("c_mktsegment", F.lit(" @ "), "c_name"))
+           .when(k == 1, F.concat(F.lit(" "), "c_mktsegment", F.lit(" , "), "c_name"))
+           .otherwise(F.concat("c_mktsegment", F.lit(" "), "c_name")))
+    raw_name = F.concat(F.lit(" <"), "c_name", F.lit(">?/"), "c_mktsegment", F.lit(" "))
+    s = X.affiliation_split(aff)
+    return c.select(F.col("c_custkey").cast("bigint").alias("c_custkey"), s["role"].alias("role"),
+                    s["org"].alias("org"), X.sanitize_string(raw_name).alias("clean_name"))
+
+
+# ------------------------------------------------------------------ F9, F10
+@register("year_rules", oracle=f"""
+WITH t AS (
+  SELECT o_orderkey,
+         strftime(o_orderdate, '%Y/%-m/%-d') AS date_text,
+         'Vol ' || CAST(o_custkey AS VARCHAR) || ' (' || CAST(year(o_orderdate) AS VARCHAR) || ')' AS header
+  FROM orders
+)
+SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey,
+       CAST(CASE WHEN regexp_matches(date_text, '^\\d{{4}}') AND length(date_text) < 50
+                  AND CAST(substr(date_text, 1, 4) AS INTEGER) BETWEEN 1950 AND {AS_OF_YEAR}
+                 THEN CAST(substr(date_text, 1, 4) AS INTEGER) ELSE 0 END AS INTEGER) AS publication_date,
+       CAST(nullif(regexp_extract(header, '\\b(\\d{{4}})\\b', 1), '') AS INTEGER) AS header_year
+FROM t
+""")
+def q_year_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    date_text = F.date_format("o_orderdate", "yyyy/M/d")
+    header = F.concat(F.lit("Vol "), F.col("o_custkey").cast("string"), F.lit(" ("),
+                      F.year("o_orderdate").cast("string"), F.lit(")"))
+    return o.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"),
+                    F.coalesce(X.publication_year(date_text, AS_OF_YEAR), F.lit(0)).cast("int").alias("publication_date"),
+                    X.first_year_word(header).alias("header_year"))
