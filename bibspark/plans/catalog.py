@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import frontier
+from ..operators import frontier, metrics, paging, resolve, store
 from ..session import table
 from ..functions import text as X
 from ..functions import urls as R
@@ -32,7 +32,7 @@ def register(name: str, oracle: str | None = None):
 
 
 # Fixed query parameters (not tuned per run).
-AS_OF = "2024-01-20 00:00:00"
+AS_OF = "2024-02-15 00:00:00"
 AS_OF_YEAR = 1998
 SEED_AUTHORS = "Supplier#000000000,Supplier#000000001"
 
@@ -232,3 +232,407 @@ def q_year_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"),
                     F.coalesce(X.publication_year(date_text, AS_OF_YEAR), F.lit(0)).cast("int").alias("publication_date"),
                     X.first_year_word(header).alias("header_year"))
+
+
+# ---------------------------------------------------------------- P1 J5 S3
+def _event_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored documents stand-in: one per event."""
+    e = table(spark, sf_dir, "events")
+    return e.select(
+        F.col("event_id").alias("_id"),
+        F.when(F.col("event_type") == "signup", F.lit(None)).otherwise(F.col("ts")).alias("update_date"),
+        F.when(F.col("event_type") == "error", F.lit(False))
+        .when(F.col("event_type") == "view", F.lit(None).cast("boolean"))
+        .otherwise(F.lit(True)).alias("serialized"),
+        F.col("event_type").alias("stored_type"))
+
+
+@register("freshness_work", oracle=f"""
+WITH docs AS (
+  SELECT event_id AS _id,
+         CASE WHEN event_type = 'signup' THEN NULL ELSE ts END AS update_date,
+         CASE WHEN event_type = 'error' THEN false WHEN event_type = 'view' THEN NULL ELSE true END AS serialized,
+         event_type AS stored_type
+  FROM events
+)
+SELECT CAST(o.o_orderkey AS BIGINT) AS o_orderkey,
+       (d._id IS NULL OR d.update_date IS NULL OR NOT coalesce(d.serialized, false)
+        OR abs(epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(d.update_date)) > CAST(2592000000000 AS BIGINT)) AS stale,
+       d.stored_type AS stored_type
+FROM orders o LEFT JOIN docs d ON d._id = o.o_orderkey
+""")
+def q_freshness_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work = table(spark, sf_dir, "orders").select("o_orderkey")
+    j = store.stale(work, _event_docs(spark, sf_dir), "o_orderkey", "_id", AS_OF)
+    return j.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), "stale", "stored_type")
+
+
+# ----------------------------------------------------------------------- J1
+@register("seen_antijoin", oracle="""
+WITH cand AS (
+  SELECT DISTINCT CASE WHEN l_linenumber % 2 = 0 THEN 'dblp' ELSE 'google_scholar' END AS iface,
+         CAST(l_suppkey AS VARCHAR) AS expected_id
+  FROM lineitem
+), seen AS (
+  SELECT CASE WHEN s_nationkey % 2 = 0 THEN 'dblp' ELSE 'google_scholar' END AS iface,
+         CAST(s_suppkey AS VARCHAR) AS expected_id
+  FROM supplier WHERE s_acctbal < 5000
+)
+SELECT 'interface' AS scope, c.iface, c.expected_id FROM cand c
+WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.iface = c.iface AND s.expected_id = c.expected_id)
+UNION ALL
+SELECT DISTINCT 'global', NULL, c.expected_id FROM cand c
+WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.expected_id = c.expected_id)
+""")
+def q_seen_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    cand = li.select(F.when(F.col("l_linenumber") % 2 == 0, "dblp").otherwise("google_scholar").alias("iface"),
+                     F.col("l_suppkey").cast("string").alias("expected_id")).distinct()
+    sup = table(spark, sf_dir, "supplier").where(F.col("s_acctbal") < 5000)
+    seen = sup.select(F.when(F.col("s_nationkey") % 2 == 0, "dblp").otherwise("google_scholar").alias("iface"),
+                      F.col("s_suppkey").cast("string").alias("expected_id"))
+    per_iface = frontier.drop_seen(cand, seen, scope="interface").select(
+        F.lit("interface").alias("scope"), "iface", "expected_id")
+    glob = frontier.drop_seen(cand.select("expected_id").distinct(), seen, scope="global").select(
+        F.lit("global").alias("scope"), F.lit(None).cast("string").alias("iface"), "expected_id")
+    return per_iface.unionByName(glob)
+
+
+# ------------------------------------------------------------ W1 J2 X15
+RESOLUTION_MODES = [
+    # mode, favoured terms, fallback
+    ("scholar", "pisa,cnr", "last"),
+    ("dblp", "pisa,cnr", "first"),
+    ("scholar_auto", "auto", "last"),
+]
+
+
+def _resolution_oracle() -> str:
+    parts = []
+    for mode, terms, fb in RESOLUTION_MODES:
+        fav = " OR ".join(f"contains(lower(c_mktsegment), '{t.lower()}')" for t in terms.split(","))
+        parts.append(f"""
+  SELECT '{mode}' AS mode, q, pos, c_custkey,
+         CASE WHEN {fav} THEN 1 WHEN lower(c_name) = lower(qname) THEN 2 ELSE 3 END AS tier,
+         '{fb}' AS fb
+  FROM cands""")
+    return f"""
+WITH cands AS (
+  SELECT c_nationkey AS q, c_custkey AS pos, c_custkey, c_name, c_mktsegment,
+         'CUSTOMER#' || lpad(CAST(c_nationkey * 10 AS VARCHAR), 9, '0') AS qname
+  FROM customer
+), tiered AS ({' UNION ALL '.join(parts)}
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY mode, q ORDER BY tier,
+          CASE WHEN tier = 1 OR (tier = 3 AND fb = 'last') THEN -pos ELSE pos END) AS rn
+  FROM tiered
+)
+SELECT mode, CAST(q AS INTEGER) AS c_nationkey, CAST(c_custkey AS BIGINT) AS c_custkey, CAST(tier AS INTEGER) AS tier
+FROM ranked WHERE rn = 1
+"""
+
+
+@register("candidate_resolution", oracle=_resolution_oracle())
+def q_candidate_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select(
+        "c_nationkey", F.col("c_custkey").alias("pos"), "c_custkey", "c_name", "c_mktsegment",
+        F.concat(F.lit("CUSTOMER#"), F.lpad((F.col("c_nationkey") * 10).cast("string"), 9, "0")).alias("qname"))
+    outs = []
+    for mode, terms, fb in RESOLUTION_MODES:
+        r = resolve.pick_candidate(c, ["c_nationkey"], "pos", "c_mktsegment", "c_name", "qname",
+                                   "c_custkey", resolve.favored_terms(terms), fallback=fb)
+        outs.append(r.select(F.lit(mode).alias("mode"), F.col("c_nationkey").cast("int").alias("c_nationkey"),
+                             F.col("c_custkey").cast("bigint").alias("c_custkey"), "tier"))
+    out = outs[0]
+    for o in outs[1:]:
+        out = out.unionByName(o)
+    return out
+
+
+# ------------------------------------------------------------------ W2 A6 A7
+@register("paged_takewhile", oracle="""
+WITH firsts AS (
+  SELECT l_orderkey, min(CASE WHEN l_returnflag = 'R' THEN l_linenumber END) AS first_stop
+  FROM lineitem GROUP BY l_orderkey
+), kept AS (
+  SELECT 'include' AS mode, l.l_orderkey, l.l_linenumber FROM lineitem l JOIN firsts f USING (l_orderkey)
+  WHERE f.first_stop IS NULL OR l.l_linenumber <= f.first_stop
+  UNION ALL
+  SELECT 'exclude', l.l_orderkey, l.l_linenumber FROM lineitem l JOIN firsts f USING (l_orderkey)
+  WHERE f.first_stop IS NULL OR l.l_linenumber < f.first_stop
+)
+SELECT mode, CAST(l_orderkey AS BIGINT) AS l_orderkey, count(*) AS n_items,
+       count(DISTINCT l_linenumber) AS n_pages, CAST(max(l_linenumber) AS INTEGER) AS last_page
+FROM kept GROUP BY mode, l_orderkey
+""")
+def q_paged_takewhile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order is a paged list, each line a page; a returned line (``R``)
+    is the stop signal: included (citations style) or excluded."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    outs = []
+    for mode, inc in (("include", True), ("exclude", False)):
+        kept = paging.take_while(li, ["l_orderkey"], "l_linenumber", F.col("l_returnflag") == "R", inc)
+        outs.append(kept.groupBy("l_orderkey").agg(
+            F.count(F.lit(1)).alias("n_items"), F.countDistinct("l_linenumber").alias("n_pages"),
+            F.max("l_linenumber").cast("int").alias("last_page")).select(
+            F.lit(mode).alias("mode"), F.col("l_orderkey").cast("bigint").alias("l_orderkey"),
+            "n_items", "n_pages", "last_page"))
+    return outs[0].unionByName(outs[1])
+
+
+# ------------------------------------------------------------- W3 A1-A4
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", F.col("event_type").alias("message_type"), F.col("props").alias("content"),
+                    F.col("ts").alias("timestamp"),
+                    F.when(F.col("user_id") % 2 == 0, "send").otherwise("receive").alias("action"))
+
+
+@register("message_ids", oracle="""
+SELECT CAST(event_id AS BIGINT) AS event_id,
+       event_type || '_' || CAST(row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS VARCHAR) AS message_id
+FROM events
+""")
+def q_message_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _messages(spark, sf_dir).select("event_id", "message_type", "timestamp")
+    n = metrics.sequence_number(m, ["message_type"], ["timestamp", "event_id"])
+    return n.select(F.col("event_id").cast("bigint").alias("event_id"),
+                    metrics.message_ids(n, "message_type", []).alias("message_id"))
+
+
+@register("type_counts", oracle="""
+SELECT event_type AS message_type, count(*) AS n FROM events GROUP BY event_type
+""")
+def q_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.type_counts(_messages(spark, sf_dir))
+
+
+@register("content_counts", oracle="""
+SELECT props AS content, count(*) AS n, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts
+FROM events GROUP BY props
+""")
+def q_content_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = metrics.content_counts(_messages(spark, sf_dir))
+    return c.select("content", "n", F.date_format("last_ts", "yyyy-MM-dd HH:mm:ss").alias("last_ts"))
+
+
+@register("backlog", oracle="""
+SELECT event_type AS message_type,
+       count(*) FILTER (WHERE user_id % 2 = 0) AS sent,
+       count(*) FILTER (WHERE user_id % 2 <> 0) AS received,
+       CAST(sum(CASE WHEN user_id % 2 = 0 THEN 1 ELSE -1 END) AS BIGINT) AS backlog
+FROM events GROUP BY event_type
+""")
+def q_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.backlog(_messages(spark, sf_dir))
+
+
+@register("processed_total", oracle="""
+SELECT count(*) FILTER (WHERE user_id % 2 <> 0) AS processed FROM events
+""")
+def q_processed_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.processed_total(_messages(spark, sf_dir))
+
+
+# ------------------------------------------------------------- A5 G4 F18
+@register("next_pages", oracle="""
+WITH p AS (
+  SELECT strftime(o_orderdate, '%Y-%m') AS year_key,
+         CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS page,
+         (o_orderstatus = 'F' AND o_totalprice > 400000) AS is_end
+  FROM orders
+), g AS (
+  SELECT year_key, max(page) AS mx, max(CAST(is_end AS INTEGER)) AS ended FROM p GROUP BY year_key
+)
+SELECT year_key, CAST(mx + 1 AS VARCHAR) AS next_page, year_key || '_' || CAST(mx + 1 AS VARCHAR) AS next_id
+FROM g WHERE ended = 0
+""")
+def q_next_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(
+        F.date_format("o_orderdate", "yyyy-MM").alias("year_key"),
+        F.substring("o_orderpriority", 1, 1).cast("int").alias("page"),
+        ((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 400000)).alias("is_end"))
+    return paging.next_pages(o, "year_key", "page", "is_end")
+
+
+# ----------------------------------------------------------------------- O1
+FRONTIER_N = 50
+
+
+@register("frontier_topk", oracle=f"""
+SELECT CAST(event_id AS BIGINT) AS event_id, event_type = 'signup' AS system_message,
+       CAST(user_id % 4 + 1 AS INTEGER) AS depth, CAST(100 + event_id % 3 AS INTEGER) AS priority
+FROM events
+ORDER BY system_message DESC, depth, priority, ts DESC, event_id
+LIMIT {FRONTIER_N}
+""")
+def q_frontier_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    items = e.select(F.col("event_id").cast("bigint").alias("event_id"),
+                     (F.col("event_type") == "signup").alias("system_message"),
+                     (F.col("user_id") % 4 + 1).cast("int").alias("depth"),
+                     (F.lit(100) + F.col("event_id") % 3).cast("int").alias("priority"), "ts")
+    top = items.orderBy(F.col("system_message").desc(), "depth", "priority", F.col("ts").desc(),
+                        "event_id").limit(FRONTIER_N)
+    return top.drop("ts")
+
+
+# ------------------------------------------------------------------ S5 W4
+@register("upsert_merge", oracle=f"""
+WITH old AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS _id, '1-' || CAST(o_custkey AS VARCHAR) AS _rev,
+         CASE WHEN o_orderstatus = 'F' THEN 2 END AS update_count, 'orders' AS origin
+  FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01'
+), writes AS (
+  SELECT CAST(l_orderkey AS VARCHAR) AS _id, l_linenumber, l_shipdate,
+         CASE WHEN l_returnflag = 'R' THEN l_linenumber END AS update_count,
+         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC) AS rn
+  FROM lineitem WHERE l_shipdate >= TIMESTAMP '1999-01-01'
+), new AS (SELECT * FROM writes WHERE rn = 1)
+SELECT coalesce(n._id, o._id) AS _id,
+       CASE WHEN n._id IS NOT NULL AND o._id IS NOT NULL THEN o._rev WHEN n._id IS NOT NULL THEN NULL ELSE o._rev END AS _rev,
+       CAST(CASE WHEN n._id IS NOT NULL AND o._id IS NOT NULL THEN coalesce(n.update_count + 1, 1)
+                 WHEN n._id IS NOT NULL THEN n.update_count ELSE o.update_count END AS INTEGER) AS update_count,
+       CASE WHEN n._id IS NOT NULL THEN 'lineitem' ELSE o.origin END AS origin,
+       CAST(n.l_linenumber AS INTEGER) AS last_line
+FROM old o FULL OUTER JOIN new n ON o._id = n._id
+""")
+def q_upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders dated before 1999 are the stored snapshot; lineitems shipped
+    from 1999 are incoming writes, last write per order wins (W4)."""
+    o = table(spark, sf_dir, "orders").where(F.col("o_orderdate") < F.lit("1999-01-01").cast("timestamp_ntz"))
+    old = o.select(F.col("o_orderkey").cast("string").alias("_id"),
+                   F.concat(F.lit("1-"), F.col("o_custkey").cast("string")).alias("_rev"),
+                   F.when(F.col("o_orderstatus") == "F", 2).cast("int").alias("update_count"),
+                   F.lit("orders").alias("origin"), F.lit(None).cast("int").alias("last_line"),
+                   F.lit(None).cast("timestamp").alias("update_date"))
+    li = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") >= F.lit("1999-01-01").cast("timestamp_ntz"))
+    writes = li.select(F.col("l_orderkey").cast("string").alias("_id"), "l_shipdate", "l_linenumber",
+                       "l_partkey", "l_suppkey",
+                       F.when(F.col("l_returnflag") == "R", F.col("l_linenumber")).cast("int").alias("update_count"))
+    new = store.last_write(writes, ["_id"], ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey"]).select(
+        "_id", "update_count", F.lit("lineitem").alias("origin"), F.col("l_linenumber").cast("int").alias("last_line"))
+    snap = store.upsert(old, new, as_of=AS_OF)
+    return snap.select("_id", "_rev", "update_count", "origin", "last_line")
+
+
+# ------------------------------------------------------------ J3 P2-P4 S6
+_LIFECYCLE_PHASE = {"1-URGENT": 1000, "2-HIGH": 1010, "3-MEDIUM": 1020, "4-NOT SPECIFIED": 1040}
+
+
+def _order_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    phase = F.lit(None).cast("int")
+    for k, v in _LIFECYCLE_PHASE.items():
+        phase = F.when(F.col("o_orderpriority") == k, F.lit(v)).otherwise(phase)
+    ifaces = F.array(*[F.lit(i) for i in ("google_scholar", "dblp", "scimago", "core_edu")])
+    return o.select(
+        F.col("o_orderkey").cast("string").alias("_id"),
+        phase.alias("phase_ref"),
+        F.get(ifaces, (F.col("o_custkey") % 4).cast("int")).alias("iface"),
+        (F.col("o_orderstatus") != "O").alias("serialized"),
+        F.when(F.col("o_orderstatus") == "F", True).when(F.col("o_orderstatus") == "P", False)
+        .cast("boolean").alias("sent"))
+
+
+def _lifecycle_oracle_docs() -> str:
+    cases = " ".join(f"WHEN '{k}' THEN {v}" for k, v in _LIFECYCLE_PHASE.items())
+    return f"""
+docs AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS _id,
+         CASE o_orderpriority {cases} END AS phase_ref,
+         ['google_scholar', 'dblp', 'scimago', 'core_edu'][o_custkey % 4 + 1] AS iface,
+         o_orderstatus <> 'O' AS serialized,
+         CASE o_orderstatus WHEN 'F' THEN true WHEN 'P' THEN false END AS sent
+  FROM orders
+), dims AS (
+  SELECT * FROM (VALUES ('google_scholar', 50), ('dblp', 100), ('scimago', 200), ('core_edu', 150)) v(iface, variant_id)
+), tagged AS (
+  SELECT d._id, CAST(d.phase_ref AS INTEGER) AS class_id, CAST(v.variant_id AS INTEGER) AS variant_id,
+         true AS serialized, false AS sent
+  FROM docs d LEFT JOIN dims v USING (iface)
+  WHERE NOT coalesce(d.serialized, false)
+)"""
+
+
+@register("lifecycle", oracle=f"""
+WITH {_lifecycle_oracle_docs()}
+SELECT _id, class_id, variant_id,
+       CASE WHEN class_id IS NULL OR variant_id IS NULL THEN 'rejected' ELSE 'packaged' END AS outcome,
+       CASE WHEN class_id IS NULL OR variant_id IS NULL THEN NULL
+            ELSE to_json(struct_pack(_id := _id, class_id := class_id, variant_id := variant_id,
+                                     serialized := serialized, sent := sent)) END AS ndjson
+FROM tagged WHERE NOT (sent IS NOT DISTINCT FROM true)
+""")
+def q_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unserialized documents are tagged (J3), checked for a mapping (P8),
+    filtered for not-yet-sent (P3) and written as NDJSON lines (S6)."""
+    docs = _order_docs(spark, sf_dir)
+    tagged = store.tag(store.not_serialized(docs))
+    valid, rejected = store.split_valid(tagged)
+    pkg, _quarantine = store.to_package(valid)
+    cols = ["_id", "class_id", "variant_id", "serialized", "sent"]
+    good = pkg.select("_id", "class_id", "variant_id", F.lit("packaged").alias("outcome"),
+                      store.ndjson(pkg, cols).alias("ndjson"))
+    bad = rejected.select("_id", "class_id", "variant_id", F.lit("rejected").alias("outcome"),
+                          F.lit(None).cast("string").alias("ndjson"))
+    return good.unionByName(bad)
+
+
+@register("recover_unsent", oracle="""
+SELECT CAST(o_orderkey AS VARCHAR) AS _id,
+       to_json(struct_pack(_id := CAST(o_orderkey AS VARCHAR), type := o_orderpriority, sent := true)) AS ndjson
+FROM orders WHERE o_orderstatus = 'P'
+""")
+def q_recover_unsent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with ``sent = false`` exactly are emitted again and
+    re-stamped as sent; the original ``type`` is kept."""
+    docs = _order_docs(spark, sf_dir).join(
+        table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("_id"),
+                                              F.col("o_orderpriority").alias("type")), "_id")
+    again = store.unsent(docs).withColumn("sent", F.lit(True))
+    return again.select("_id", store.ndjson(again, ["_id", "type", "sent"]).alias("ndjson"))
+
+
+# ----------------------------------------------------------------- U2 U3
+MULTI_PAGE = 100
+
+
+@register("multi_explode", oracle="""
+SELECT CAST(o.o_orderkey AS BIGINT) AS o_orderkey,
+       CAST(coalesce(l.l_linenumber // 100, 0) AS INTEGER) AS chunk,
+       CAST(CASE WHEN l.l_orderkey IS NULL THEN NULL
+            ELSE row_number() OVER (PARTITION BY o.o_orderkey, l.l_linenumber // 100 ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey) - 1 END AS INTEGER) AS pos,
+       CAST(l.l_partkey AS BIGINT) AS l_partkey, CAST(l.l_suppkey AS BIGINT) AS l_suppkey
+FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey
+""")
+def q_multi_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multi-result documents (one per order and page of at most 100 items)
+    are built, then exploded back to one row per entity (U2). Orders with
+    no items keep one row with a null position."""
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+        F.floor(F.col("l_linenumber") / MULTI_PAGE).cast("int").alias("chunk"))
+    lists = paging.assemble(li, ["l_orderkey", "chunk"], "l_linenumber", ["l_partkey", "l_suppkey"], "items")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey"))
+    docs = o.join(lists, o["o_orderkey"] == lists["l_orderkey"], "left").select(
+        "o_orderkey", F.coalesce("chunk", F.lit(0)).alias("chunk"), "items")
+    ex = store.explode_multi(docs, ["o_orderkey", "chunk"], "items")
+    return ex.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), F.col("chunk").cast("int").alias("chunk"),
+                     F.col("pos").cast("int").alias("pos"), F.col("entity.l_partkey").cast("bigint").alias("l_partkey"),
+                     F.col("entity.l_suppkey").cast("bigint").alias("l_suppkey"))
+
+
+@register("citation_graph", oracle="""
+SELECT CAST(l_orderkey AS VARCHAR) AS publication_id, CAST(year(l_shipdate) AS INTEGER) AS year,
+       CAST(count(*) AS INTEGER) AS citations
+FROM lineitem GROUP BY l_orderkey, year(l_shipdate)
+""")
+def q_citation_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Publication documents carry a per-year citation graph (one entry per
+    year, so the list is bounded by the year range); U3 explodes it."""
+    li = table(spark, sf_dir, "lineitem")
+    per_year = li.groupBy("l_orderkey", F.year("l_shipdate").alias("year")).agg(F.count(F.lit(1)).alias("citations"))
+    pubs = per_year.groupBy(F.col("l_orderkey").cast("string").alias("publication_id")).agg(
+        F.collect_list(F.struct("year", "citations")).alias("citation_graph"))
+    return store.explode_citation_graph(pubs)
