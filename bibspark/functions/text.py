@@ -24,6 +24,9 @@ YEAR_WORD_PATTERN = r"\b(\d{4})\b"
 MIN_PUBLICATION_YEAR = 1950
 MAX_YEAR_TEXT_LENGTH = 50
 ROLE_UNKNOWN = "?"
+# Characters Python's str.strip()/split() treat as whitespace.
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
+                 "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 # Sentinels used when an element is missing (op F17), per record kind.
 SENTINELS = {
     "scholar_author": {
@@ -63,7 +66,7 @@ def _c(c: ColumnOrName) -> Column:
 
 def utrim(c: ColumnOrName) -> Column:
     """Python ``str.strip()``: remove Unicode whitespace at both ends."""
-    return F.regexp_replace(_c(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(_c(c), F.lit(PY_WHITESPACE))
 
 
 def sanitize_text(c: ColumnOrName) -> Column:

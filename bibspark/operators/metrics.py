@@ -2,10 +2,8 @@
 
 All counters are plain ``groupBy`` aggregates (partial + final). Sequential
 numbering within a type (W3) is computed without giving a whole type to one
-task: the rows are range-partitioned on ``(type, order...)`` so a hot type
-is spread over many partitions, each partition numbers its rows locally, and
-a tiny (type, partition) table of counts turns local numbers into global
-ones.
+task: the rows of a type are cut into key-range blocks, each block numbers its rows locally, and a
+tiny (type, block) table of counts turns local numbers into global ones.
 """
 
 from __future__ import annotations
@@ -48,28 +46,61 @@ def new_items(candidates: DataFrame, registered: DataFrame, key: Sequence[str])
             .select(*key, F.col("__seen").isNull().alias("is_new")))
 
 
+def block_bounds(df: DataFrame, keys: Sequence[str], blocks: int, sample_per_block: int = 64) -> list[tuple]:
+    """``blocks - 1`` ascending boundary keys from a deterministic sample.
+
+    The sample is the ``blocks * sample_per_block`` rows with the smallest
+    hash of the key (a per-task top-k and one small merge), so it is
+    bounded, needs no count, and is the same on every run and recompute.
+    """
+    m = blocks * sample_per_block
+    sample = (df.select(*keys).orderBy(F.xxhash64(*keys), *keys).limit(m)
+              .orderBy(*keys).collect())
+    if len(sample) < 2:
+        return []
+    step = len(sample) / blocks
+    picks = sorted({int(step * i) for i in range(1, blocks)} - {0})
+    return [tuple(sample[i]) for i in picks if i < len(sample)]
+
+
+def block_of(df: DataFrame, keys: Sequence[str], bounds: list[tuple]) -> Column:
+    """Block number of a row: how many boundaries are <= its key."""
+    if not bounds:
+        return F.lit(0)
+    k = F.struct(*[F.col(c) for c in keys])
+    total = F.lit(0)
+    for b in bounds:
+        lit = F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(keys, b)])
+        total = total + F.when(F.coalesce(k >= lit, F.lit(False)), 1).otherwise(0)
+    return total
+
+
 def sequence_number(df: DataFrame, group: Sequence[str], order: Sequence[str],
-                    num_partitions: int | None = None, col: str = "seq") -> DataFrame:
+                    blocks: int | None = None, col: str = "seq") -> DataFrame:
     """0-based position of each row inside its group, in ``order``.
 
     ``order`` must make rows unique inside a group. Same result as
-    ``row_number() - 1`` over ``partitionBy(group).orderBy(order)``, without
-    a single task holding a whole group.
+    ``row_number() - 1`` over ``partitionBy(group).orderBy(order)``, but a
+    group is never numbered by one task: rows are cut into key-range blocks
+    (boundaries from a bounded deterministic sample), each block is numbered
+    on its own, and a small (group, block) table of counts gives each block
+    its offset. A group holding a third of all rows spreads over about a
+    third of the blocks.
     """
     group, order = list(group), list(order)
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *[F.col(c) for c in group + order])
-              .sortWithinPartitions(*group, *order)
-              .withColumn("__pid", F.spark_partition_id())
-              # position of the row inside its partition (ids are pid<<33 + index)
-              .withColumn("__local", F.monotonically_increasing_id() - F.shiftleft(F.col("__pid").cast("long"), 33)))
-    blocks = ranged.groupBy(*group, "__pid").agg(F.min("__local").alias("__first"), F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(*group).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per (group, partition): small, bounded by partitions per group
-    offsets = blocks.withColumn("__offset", F.coalesce(F.sum("__n").over(w), F.lit(0))).drop("__n")
-    out = ranged.join(offsets, group + ["__pid"])
-    return out.withColumn(col, (F.col("__offset") + F.col("__local") - F.col("__first")).cast("long")) \
-        .drop("__pid", "__local", "__first", "__offset")
+    n = blocks or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = group + order
+    bounds = block_bounds(df, keys, n)
+    b = df.withColumn("__block", block_of(df, keys, bounds))
+    counts = b.groupBy(*group, "__block").agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy(*group).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per (group, block): at most `blocks` rows per group
+    offsets = counts.select(*group, "__block", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__offset"))
+    local = F.row_number().over(Window.partitionBy(*group, "__block").orderBy(*order)) - 1
+    numbered = b.withColumn("__local", local)
+    out = numbered.join(offsets, group + ["__block"])
+    return out.withColumn(col, (F.col("__offset") + F.col("__local")).cast("long")).drop(
+        "__block", "__local", "__offset")
 
 
 def message_ids(msgs: DataFrame, type_col: str, order: Sequence[str]) -> Column:

@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import frontier, metrics, paging, resolve, store
+from ..operators.extract import core, dblp, quality, scimago
+from . import fixtures
+from ..sources.pages import read_pages
 from ..session import table
 from ..functions import text as X
 from ..functions import urls as R
@@ -636,3 +639,100 @@ def q_citation_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     pubs = per_year.groupBy(F.col("l_orderkey").cast("string").alias("publication_id")).agg(
         F.collect_list(F.struct("year", "citations")).alias("citation_graph"))
     return store.explode_citation_graph(pubs)
+
+
+# ------------------------------------------------------ X10 X11 J4 F1 F2
+@register("dblp_pubs", oracle="""
+WITH auth AS (
+  SELECT l_orderkey, string_agg(s_name, '|' ORDER BY l_linenumber, l_partkey, l_suppkey) AS authors,
+         CAST(count(*) AS INTEGER) AS n_authors
+  FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY l_orderkey
+), o AS (
+  SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, substr(o_orderpriority, 1, 1) AS prio,
+         o_custkey % 40 AS jid,
+         chr(CAST(65 + (o_custkey % 40) // 26 AS INTEGER)) || chr(CAST(65 + (o_custkey % 40) % 26 AS INTEGER)) AS letters
+  FROM orders
+), ent AS (
+  SELECT o.*, a.authors, a.n_authors FROM o JOIN auth a ON a.l_orderkey = o.o_orderkey
+  WHERE o.o_totalprice >= 50000
+), resolvable AS (
+  SELECT DISTINCT jid FROM ent WHERE prio IN ('1', '2') AND o_orderkey % 5 <> 0 AND jid % 2 = 0
+)
+SELECT CAST(o_custkey AS BIGINT) AS author_key, 'Study of order ' || CAST(o_orderkey AS VARCHAR) || '.' AS title,
+       'Journal' AS type, 'Transactions on Systems ' || letters AS journal_name,
+       NULL::VARCHAR AS conference_acronym, authors, n_authors
+FROM ent WHERE prio IN ('1', '2') AND jid IN (SELECT jid FROM resolvable)
+UNION ALL
+SELECT CAST(o_custkey AS BIGINT), 'Study of order ' || CAST(o_orderkey AS VARCHAR) || '.', 'Conference', NULL,
+       letters, authors, n_authors
+FROM ent WHERE prio IN ('3', '4') AND o_orderstatus <> 'O'
+""")
+def q_dblp_pubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Author pages rendered from orders (entries) and lineitem/supplier
+    (authors), journal pages for the journals; extracted by X10/X11/J4."""
+    pages = fixtures.dblp_author_pages(spark, sf_dir)
+    jpages = fixtures.dblp_journal_pages(spark, sf_dir)
+    pubs = dblp.publications(pages, ["o_custkey", "page_no"], jpages)
+    return pubs.select(F.col("o_custkey").cast("bigint").alias("author_key"), "title", "type", "journal_name",
+                       "conference_acronym", F.array_join("authors", "|").alias("authors"),
+                       F.size("authors").cast("int").alias("n_authors"))
+
+
+# ---------------------------------------------------------- X12 X13 H14
+@register("scimago_rows", oracle="""
+WITH o AS (
+  SELECT o_orderkey, o_custkey, o_orderstatus, substr(o_orderpriority, 1, 1) AS prio, year(o_orderdate) AS y,
+         row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY o_orderkey) - 1 AS seq
+  FROM orders
+), t AS (SELECT y, count(*) AS total FROM o GROUP BY y)
+SELECT CAST(y AS INTEGER) AS year, CAST(seq // 50 + 1 AS INTEGER) AS page_no,
+       'Journal ' || CAST(o_orderkey AS VARCHAR) AS title,
+       CASE WHEN o_orderstatus <> 'O' THEN 'journalsearch.php?q=' || CAST(o_orderkey AS VARCHAR) || '&tip=sid' ELSE 'N/A' END AS link,
+       substr(CAST(o_custkey AS VARCHAR) || ',' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0')
+              || CASE WHEN prio IN ('1', '2', '3', '4') THEN 'Q' || prio ELSE '' END, 1, 5) AS sjr_raw,
+       CASE WHEN prio IN ('1', '2', '3', '4') THEN 'Q' || prio ELSE 'N/A' END AS q_rank,
+       CAST(o_custkey % 300 AS VARCHAR) AS h_index,
+       least((seq // 50 + 1) * 50, total) = total AS is_end
+FROM o JOIN t USING (y)
+WHERE NOT (o_orderstatus = 'P' AND prio = '5')
+""")
+def q_scimago_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scimago.journals(fixtures.scimago_pages(spark, sf_dir), ["page_no"])
+    return rows.select(F.col("year").cast("int").alias("year"), F.col("page_no").cast("int").alias("page_no"),
+                       "title", "link", "sjr_raw", "q_rank", "h_index", "is_end")
+
+
+# ----------------------------------------------------------------- X14
+@register("core_rows", oracle="""
+WITH c AS (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS seq FROM customer)
+SELECT CAST(seq // 50 + 1 AS INTEGER) AS page_no, c_name AS title, c_mktsegment AS acronym,
+       CASE WHEN c_nationkey % 3 = 0 THEN 'National' ELSE 'CORE' || CAST(c_nationkey + 1990 AS VARCHAR) END AS source,
+       ['A*', 'A', 'B', 'C'][c_nationkey % 4 + 1] AS rank,
+       CASE WHEN c_custkey % 4 <> 0 THEN 'https://dblp.org/db/conf/' || lower(c_mktsegment) || CAST(c_custkey AS VARCHAR)
+            ELSE 'N/A' END AS dblp_link,
+       CAST(CASE WHEN c_nationkey % 3 = 0 THEN 0 ELSE c_nationkey + 1990 END AS INTEGER) AS year
+FROM c WHERE NOT (c_mktsegment = 'HOUSEHOLD' AND c_custkey % 7 = 0)
+""")
+def q_core_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _info = core.conferences(fixtures.core_pages(spark, sf_dir), ["page_no"])
+    return rows.select(F.col("page_no").cast("int").alias("page_no"), "title", "acronym", "source", "rank",
+                       "dblp_link", F.col("year").cast("int").alias("year"))
+
+
+# ------------------------------------------------------------ X17 X18 H5
+VISIBLE_PHRASE = "example.net"
+
+
+@register("blocked_pages", oracle=f"""
+SELECT CAST(page_id AS BIGINT) AS page_id,
+       contains(lower(regexp_replace(html, '(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->|<[^>]+>', ' ', 'g')),
+                '{VISIBLE_PHRASE}') AS blocked,
+       false AS challenge
+FROM pages
+""")
+def q_blocked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block phrases of every source plus one phrase that does occur in the
+    visible text of the test pages; script and comment text must not count."""
+    pages = read_pages(spark, f"{sf_dir}/pages.parquet")
+    c = quality.classify(pages, ["page_id"], phrases=quality.BLOCK_PHRASES + [VISIBLE_PHRASE])
+    return c.select(F.col("page_id").cast("bigint").alias("page_id"), "blocked", "challenge")
