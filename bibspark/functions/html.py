@@ -34,6 +34,7 @@ NODE = T.StructType([
     T.StructField("tag", T.StringType()),
     T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
     T.StructField("text", T.StringType()),
+    T.StructField("cls", T.ArrayType(T.StringType())),
 ])
 NODES = T.ArrayType(NODE)
 
@@ -54,6 +55,7 @@ class _TreeBuilder(HTMLParser):
         self.keys: list[list[str]] = []
         self.vals: list[list[str]] = []
         self.text: list[str | None] = []
+        self.cls: list[list[str]] = []
         self.stack: list[int] = []
 
     def _add(self, tag, attrs, text):
@@ -67,9 +69,12 @@ class _TreeBuilder(HTMLParser):
                 d[k] = "" if v is None else v
             self.keys.append(list(d.keys()))
             self.vals.append(list(d.values()))
+            c = d.get("class")
+            self.cls.append(c.split() if c else [])
         else:
             self.keys.append([])
             self.vals.append([])
+            self.cls.append([])
         self.text.append(text)
         return i
 
@@ -124,12 +129,14 @@ def parse_nodes(html: str | None) -> list[dict] | None:
         return None
     b = _build(html)
     return [{"id": i, "last": b.last[i], "parent": b.parent[i], "tag": b.tag[i],
-             "attrs": dict(zip(b.keys[i], b.vals[i])), "text": b.text[i]} for i in range(len(b.tag))]
+             "attrs": dict(zip(b.keys[i], b.vals[i])), "text": b.text[i], "cls": b.cls[i]}
+            for i in range(len(b.tag))]
 
 
 def _nodes_arrow(pages: pa.Array) -> pa.Array:
     ids, last, parent, tag, text = [], [], [], [], []
     mkeys, mvals, moff = [], [], [0]
+    cvals, coff = [], [0]
     offsets, valid = [0], []
     for h in pages.to_pylist():
         if h is None:
@@ -143,19 +150,23 @@ def _nodes_arrow(pages: pa.Array) -> pa.Array:
         parent.extend(b.parent)
         tag.extend(b.tag)
         text.extend(b.text)
-        for k, v in zip(b.keys, b.vals):
+        for k, v, c in zip(b.keys, b.vals, b.cls):
             mkeys.extend(k)
             mvals.extend(v)
             moff.append(moff[-1] + len(k))
+            cvals.extend(c)
+            coff.append(coff[-1] + len(c))
         offsets.append(offsets[-1] + n)
         valid.append(True)
     attrs = pa.MapArray.from_arrays(pa.array(moff, pa.int32()), pa.array(mkeys, pa.string()),
                                     pa.array(mvals, pa.string()))
+    cls = pa.ListArray.from_arrays(pa.array(coff, pa.int32()), pa.array(cvals, pa.string()))
     struct = pa.StructArray.from_arrays(
         [pa.array(ids, pa.int32()), pa.array(last, pa.int32()), pa.array(parent, pa.int32()),
-         pa.array(tag, pa.string()), attrs, pa.array(text, pa.string())],
+         pa.array(tag, pa.string()), attrs, pa.array(text, pa.string()), cls],
         fields=[pa.field("id", pa.int32()), pa.field("last", pa.int32()), pa.field("parent", pa.int32()),
-                pa.field("tag", pa.string()), pa.field("attrs", attrs.type), pa.field("text", pa.string())])
+                pa.field("tag", pa.string()), pa.field("attrs", attrs.type), pa.field("text", pa.string()),
+                pa.field("cls", cls.type)])
     mask = pa.array([not v for v in valid], pa.bool_())
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), struct, mask=mask)
 
@@ -190,8 +201,7 @@ def has_class(n: Column, cls: str) -> Column:
     value with spaces must equal the whole attribute (bs4 rule)."""
     if " " in cls:
         return n["attrs"]["class"] == cls
-    # classes are separated by spaces in practice; a plain split is cheap
-    return F.array_contains(F.split(n["attrs"]["class"], " ", -1), F.lit(cls))
+    return F.array_contains(n["cls"], F.lit(cls))
 
 
 def match(n: Column, tag: str | None = None, id: str | None = None, cls: str | None = None,
@@ -249,17 +259,15 @@ def children(nodes: Column, el: Column) -> Column:
 def select(nodes: Column, steps: list[dict], el: Column | None = None) -> Column:
     """H4: CSS descendant chain ``s1 s2 ... sk``: elements matching the last
     step that have ancestors matching the earlier steps, in order."""
-    *prefix, leaf = steps
-    cand = find_all(nodes, el, **leaf)
-
-    def has_chain(n, i):
-        if i < 0:
-            return F.lit(True)
-        # an ancestor a of n matches step i and itself has the chain before it
-        return F.exists(nodes if el is None else subtree(nodes, el),
-                        lambda a: (a["id"] < n["id"]) & (n["id"] <= a["last"]) & match(a, **prefix[i])
-                        & has_chain(a, i - 1))
-    return F.filter(cand, lambda n: has_chain(n, len(prefix) - 1))
+    # level by level: step i keeps matches that lie inside a match of step
+    # i-1, so each test runs against the (few) previous matches, not all nodes
+    def level(i: int) -> Column:
+        here = find_all(nodes, el, **steps[i])
+        if i == 0:
+            return here
+        return let(level(i - 1), lambda prev: F.filter(here, lambda n: F.exists(
+            prev, lambda a: (a["id"] < n["id"]) & (n["id"] <= a["last"]))))
+    return level(len(steps) - 1)
 
 
 def select_one(nodes: Column, steps: list[dict], el: Column | None = None) -> Column:

@@ -52,7 +52,7 @@ SENTINELS = {
         "title": "No Title",
         "link": "No Link",
         "summary": "No Summary",
-        "document_link": "No Document Link",
+        "document_link": "No Document link",
     },
     "scimago_journal": {"link": "N/A", "q_rank": "N/A"},
     "core_conference": {"dblp_link": "N/A"},

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import frontier, metrics, paging, resolve, store
-from ..operators.extract import core, dblp, quality, scimago
+from ..operators.extract import core, dblp, quality, scholar, scimago
 from . import fixtures
 from ..sources.pages import read_pages
 from ..session import table
@@ -736,3 +736,134 @@ def q_blocked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_pages(spark, f"{sf_dir}/pages.parquet")
     c = quality.classify(pages, ["page_id"], phrases=quality.BLOCK_PHRASES + [VISIBLE_PHRASE])
     return c.select(F.col("page_id").cast("bigint").alias("page_id"), "blocked", "challenge")
+
+
+# ------------------------------------------------------------------- X1
+@register("scholar_profile", oracle="""
+WITH c AS (
+  SELECT *, CASE WHEN c_custkey % 13 = 0 THEN 'empty'
+                 WHEN c_custkey % 11 = 0 OR c_custkey % 17 = 0 THEN 'null' ELSE 'ok' END AS status
+  FROM customer
+)
+SELECT 'U' || CAST(c_custkey AS VARCHAR) AS author_id, status,
+       CASE WHEN status = 'ok' THEN c_name END AS name,
+       CASE WHEN status = 'ok' THEN CASE c_custkey % 3 WHEN 0 THEN 'Professor' WHEN 1 THEN 'Researcher' ELSE '?' END END AS role,
+       CASE WHEN status = 'ok' THEN CASE c_custkey % 3 WHEN 2 THEN c_mktsegment || ' lab' ELSE c_mktsegment END END AS org,
+       CASE WHEN status = 'ok' AND c_custkey % 3 = 0 THEN CAST(c_nationkey + 1000 AS VARCHAR) END AS org_value,
+       CASE WHEN status = 'ok' THEN 'Email verificata su ' || lower(c_mktsegment) || '.edu'
+                                   || CASE WHEN c_custkey % 2 = 0 THEN ' - Home page' ELSE '' END END AS verified,
+       CASE WHEN status = 'ok' THEN CASE WHEN c_custkey % 7 = 0 THEN 'Image not available'
+                                         ELSE 'https://img.example/' || CAST(c_custkey AS VARCHAR) || '.jpg' END END AS image_url,
+       CASE WHEN status = 'ok' THEN CASE WHEN c_custkey % 2 = 0 THEN 'https://home.example/' || CAST(c_custkey AS VARCHAR)
+                                         ELSE 'Homepage not available' END END AS homepage_url,
+       CASE WHEN status = 'ok' AND c_custkey % 5 <> 1 THEN lower(c_mktsegment) || '|nation ' || CAST(c_nationkey AS VARCHAR) END AS interests,
+       CAST(CASE WHEN status <> 'ok' THEN NULL WHEN c_custkey % 5 = 0 THEN -1 ELSE c_nationkey + 3 END AS INTEGER) AS h_index,
+       CAST(CASE WHEN status <> 'ok' THEN NULL WHEN c_custkey % 5 = 0 THEN -1 ELSE c_custkey % 30 END AS INTEGER) AS i10_index
+FROM c
+""")
+def q_scholar_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prof = scholar.profile(fixtures.scholar_profile_pages(spark, sf_dir), ["c_custkey"], "user")
+    ok = F.col("status") == "ok"
+    cols = ["name", "role", "org", "org_value", "verified", "image_url", "homepage_url"]
+    return prof.select("author_id", "status", *[F.when(ok, F.col(c)).alias(c) for c in cols],
+                       F.when(ok, F.array_join("interests", "|")).alias("interests"),
+                       F.when(ok, F.col("h_index")).cast("int").alias("h_index"),
+                       F.when(ok, F.col("i10_index")).cast("int").alias("i10_index"))
+
+
+# ---------------------------------------------------------------- X2 W2
+@register("scholar_pubs", oracle="""
+WITH o AS (
+  SELECT o_orderkey, o_custkey, (o_orderstatus = 'O' AND substr(o_orderpriority, 1, 1) = '5') AS bad,
+         row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS seq
+  FROM orders
+), p AS (SELECT *, seq // 100 + 1 AS page_no FROM o),
+pc AS (SELECT o_custkey, page_no, count(*) AS n FROM p GROUP BY o_custkey, page_no),
+st AS (SELECT o_custkey, min(CASE WHEN bad THEN seq END) AS first_bad FROM p GROUP BY o_custkey),
+sp AS (SELECT o_custkey, min(CASE WHEN n <= 1 THEN page_no END) AS small FROM pc GROUP BY o_custkey)
+SELECT CAST(p.o_custkey AS BIGINT) AS author_key, 'Paper ' || CAST(o_orderkey AS VARCHAR) AS title,
+       'https://scholar.google.com/citations?view_op=view_citation&hl=it&user=U' || CAST(p.o_custkey AS VARCHAR)
+         || '&citation_for_view=U' || CAST(p.o_custkey AS VARCHAR) || ':' || CAST(o_orderkey AS VARCHAR) AS url,
+       'U' || CAST(p.o_custkey AS VARCHAR) || ':' || CAST(o_orderkey AS VARCHAR) AS publication_id
+FROM p JOIN st USING (o_custkey) JOIN sp USING (o_custkey)
+WHERE (first_bad IS NULL OR seq < first_bad) AND (small IS NULL OR page_no < small)
+""")
+def q_scholar_pubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scholar.publication_list(fixtures.scholar_list_pages(spark, sf_dir), ["o_custkey"], "page_no")
+    return rows.select(F.col("o_custkey").cast("bigint").alias("author_key"), "title", "url", "publication_id")
+
+
+# ------------------------------------------------------------ X3-X6 U3
+@register("scholar_pub_detail", oracle=f"""
+WITH auth AS (
+  SELECT l_orderkey, string_agg(s_name, '|' ORDER BY l_linenumber, l_partkey, l_suppkey) AS authors, count(*) AS n
+  FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY l_orderkey
+), yc AS (
+  SELECT l_orderkey, year(l_shipdate) AS y, count(*) AS c FROM lineitem GROUP BY l_orderkey, year(l_shipdate)
+), g AS (SELECT l_orderkey, count(*) AS n_graph, sum(c) AS graph_citations FROM yc GROUP BY l_orderkey)
+SELECT 'U' || CAST(o_custkey AS VARCHAR) || ':' || CAST(o_orderkey AS VARCHAR) AS publication_id,
+       'Paper ' || CAST(o_orderkey AS VARCHAR) AS title,
+       CASE WHEN o_orderstatus <> 'O' THEN 'https://paper.example/' || CAST(o_orderkey AS VARCHAR)
+            ELSE 'Title link not available' END AS title_link,
+       CASE WHEN substr(o_orderpriority, 1, 1) = '1' THEN 'https://pdf.example/' || CAST(o_orderkey AS VARCHAR) || '.pdf'
+            ELSE 'PDF link not available' END AS pdf_link,
+       a.authors AS authors,
+       CAST(CASE WHEN o_orderkey % 4 = 0 AND 1990 + o_orderkey % 10 <= {AS_OF_YEAR} THEN 1990 + o_orderkey % 10
+                 WHEN year(o_orderdate) BETWEEN 1950 AND {AS_OF_YEAR} THEN year(o_orderdate) ELSE 0 END AS INTEGER) AS publication_date,
+       CAST(o_orderkey % 300 AS VARCHAR) || '-' || CAST(o_orderkey % 300 + 9 AS VARCHAR) AS pages,
+       'Publisher ' || CAST(o_custkey % 20 AS VARCHAR) AS publisher,
+       'Abstract of paper ' || CAST(o_orderkey AS VARCHAR) AS description,
+       CASE WHEN a.n IS NOT NULL THEN CAST(o_orderkey * 7 AS VARCHAR) END AS cites_id,
+       CAST(coalesce(a.n, 0) AS INTEGER) AS total_citations,
+       CAST(coalesce(g.n_graph, 0) AS INTEGER) AS n_graph,
+       CAST(coalesce(g.graph_citations, 0) AS INTEGER) AS graph_citations,
+       CASE WHEN o_orderstatus IN ('F', 'P') THEN '/scholar?q=related:' || CAST(o_orderkey AS VARCHAR)
+            ELSE 'No related articles link' END AS related_articles_url,
+       CASE WHEN o_orderstatus = 'F' THEN '/scholar?cluster=' || CAST(o_orderkey * 11 AS VARCHAR)
+            ELSE 'No all versions link' END AS all_versions_url
+FROM orders LEFT JOIN auth a ON a.l_orderkey = o_orderkey LEFT JOIN g ON g.l_orderkey = o_orderkey
+""")
+def q_scholar_pub_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pubs = scholar.publication(fixtures.scholar_detail_pages(spark, sf_dir), ["o_orderkey"], "url", AS_OF_YEAR)
+    return pubs.select(
+        "publication_id", "title", "title_link", "pdf_link", F.array_join("authors", "|").alias("authors"),
+        F.col("publication_date").cast("int").alias("publication_date"), "pages", "publisher", "description",
+        "cites_id", F.col("total_citations").cast("int").alias("total_citations"),
+        F.size("citation_graph").cast("int").alias("n_graph"),
+        F.aggregate("citation_graph", F.lit(0), lambda acc, g: acc + g["citations"]).cast("int").alias("graph_citations"),
+        "related_articles_url", "all_versions_url")
+
+
+# ---------------------------------------------------------------- X8 W2
+@register("scholar_citations", oracle="""
+SELECT CAST(l_partkey AS VARCHAR) AS cites_id,
+       'Order ' || CAST(l_orderkey AS VARCHAR) || ' line ' || CAST(l_linenumber AS VARCHAR) AS title,
+       'https://doc.example/' || CAST(l_orderkey AS VARCHAR) AS link,
+       CASE WHEN s_suppkey % 3 <> 0 THEN 'S' || CAST(s_suppkey AS VARCHAR) ELSE '' END AS author_ids,
+       CASE WHEN s_suppkey % 3 = 0 THEN s_name ELSE '' END AS author_names,
+       CASE WHEN s_suppkey % 3 <> 0 THEN 'https://scholar.google.com/citations?user=S' || CAST(s_suppkey AS VARCHAR) || '&hl=it'
+            ELSE '' END AS profile_urls,
+       'Summary ' || CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS summary,
+       CASE WHEN l_returnflag <> 'N' THEN 'https://pdf.example/' || CAST(l_orderkey AS VARCHAR) ELSE 'No Document link' END AS document_link
+FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
+""")
+def q_scholar_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = scholar.citations(fixtures.scholar_citation_pages(spark, sf_dir), ["l_partkey"], "page_no", "cites_id")
+    return c.select("cites_id", "title", "link", F.array_join("author_ids", "|").alias("author_ids"),
+                    F.array_join("author_names", "|").alias("author_names"),
+                    F.array_join("profile_urls", "|").alias("profile_urls"), "summary", "document_link")
+
+
+# ---------------------------------------------------------------- X9 W2
+@register("scholar_versions", oracle="""
+SELECT CAST(l_orderkey AS VARCHAR) AS cluster_id,
+       CAST(l_orderkey AS VARCHAR) || '.' || CAST(l_linenumber AS VARCHAR) AS id,
+       CASE WHEN l_linestatus <> 'O' THEN 'https://v.example/' || CAST(l_orderkey AS VARCHAR) || '/' || CAST(l_linenumber AS VARCHAR)
+            ELSE '' END AS link,
+       CASE WHEN l_returnflag <> 'N' THEN 'source ' || CAST(l_suppkey AS VARCHAR) ELSE '' END AS source,
+       'Version of part ' || CAST(l_partkey AS VARCHAR) AS description
+FROM lineitem WHERE l_linenumber <> 3
+""")
+def q_scholar_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = scholar.versions(fixtures.scholar_version_pages(spark, sf_dir), ["l_orderkey"], "page_no", "url")
+    return v.select("cluster_id", "id", "link", "source", "description")

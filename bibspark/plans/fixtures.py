@@ -190,3 +190,205 @@ def core_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = pages.agg((F.max("page_no") + 1).alias("page_no")).select(
         "page_no", F.lit("<html><body><h1>Server Error (500)</h1></body></html>").alias("html"))
     return pages.unionByName(last)
+
+
+# ---------------------------------------------------------------- Scholar
+SCHOLAR_LIST_PAGE = 100
+CITATIONS_PAGE = 10
+
+
+def scholar_profile_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One profile page per customer; some pages miss the section, the
+    affiliation, the e-mail block, the image, interests or metric cells."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    k = F.col("c_custkey")
+    mkt = F.col("c_mktsegment")
+    aff_inner = (F.when(k % 3 == 0, F.concat(F.lit('Professor @ <a href="/citations?view_op=view_org&amp;org='),
+                                            s(F.col("c_nationkey") + 1000), F.lit('">'), mkt, F.lit("</a>")))
+                 .when(k % 3 == 1, F.concat(F.lit("Researcher, "), mkt))
+                 .otherwise(F.concat(mkt, F.lit(" lab"))))
+    aff = F.when(k % 11 != 0, F.concat(F.lit('<div class="gsc_prf_il">'), aff_inner, F.lit("</div>"))).otherwise(F.lit(""))
+    home = F.when(k % 2 == 0, F.concat(F.lit(' - <a href="https://home.example/'), s(k),
+                                       F.lit('" rel="nofollow">Home page</a>'))).otherwise(F.lit(""))
+    email = F.when(k % 17 != 0, F.concat(F.lit('<div id="gsc_prf_ivh">Email verificata su '), F.lower(mkt),
+                                         F.lit(".edu"), home, F.lit("</div>"))).otherwise(F.lit(""))
+    img = F.when(k % 7 != 0, F.concat(F.lit('<img id="gsc_prf_pup-img" src="https://img.example/'), s(k),
+                                      F.lit('.jpg">'))).otherwise(F.lit(""))
+    interests = F.when(k % 5 != 1, F.concat(F.lit('<div id="gsc_prf_int"><a href="#">'), F.lower(mkt),
+                                            F.lit('</a><a href="#">nation '), s("c_nationkey"), F.lit("</a></div>"))
+                       ).otherwise(F.lit(""))
+    section = F.when(k % 13 != 0, F.concat(
+        F.lit('<div id="gsc_prf_w"><div id="gsc_prf_in">'), esc(F.col("c_name")), F.lit("</div>"),
+        aff, email, img, interests, F.lit("</div>"))).otherwise(F.lit('<div id="gs_bdy">Profilo non trovato</div>'))
+
+    def cell(v):
+        return F.concat(F.lit('<td class="gsc_rsb_std">'), s(v), F.lit("</td>"))
+    cells6 = F.concat(cell(k % 50), cell(k % 40), cell(F.col("c_nationkey") + 3), cell(F.col("c_nationkey")),
+                      cell(k % 30), cell(k % 20))
+    cells4 = F.concat(cell(k % 50), cell(k % 40), cell(F.col("c_nationkey") + 3), cell(F.col("c_nationkey")))
+    table_html = F.concat(F.lit('<table id="gsc_rsb_st"><tr>'), F.when(k % 5 == 0, cells4).otherwise(cells6),
+                          F.lit("</tr></table>"))
+    html = F.concat(F.lit("<html><body>"), section, table_html, F.lit("</body></html>"))
+    return c.select(k.alias("c_custkey"), F.concat(F.lit("U"), s(k)).alias("user"), html.alias("html")) \
+        .repartition(spark.sparkContext.defaultParallelism, "c_custkey")
+
+
+def _bad_list_row() -> Column:
+    return (F.col("o_orderstatus") == "O") & (F.substring("o_orderpriority", 1, 1) == "5")
+
+
+def scholar_list_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Publication list pages per customer, 100 orders a page."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    o = paged(o, ["o_custkey"], ["o_orderkey"], SCHOLAR_LIST_PAGE)
+    key, cust = s("o_orderkey"), s("o_custkey")
+    link = F.concat(F.lit('<a href="/citations?view_op=view_citation&amp;hl=it&amp;user=U'), cust,
+                    F.lit("&amp;citation_for_view=U"), cust, F.lit(":"), key, F.lit('" class="gsc_a_at">Paper '), key,
+                    F.lit("</a>"))
+    cell = F.when(_bad_list_row(), F.concat(F.lit("Paper "), key)).otherwise(link)
+    row = F.concat(F.lit('<tr class="gsc_a_tr"><td class="gsc_a_t">'), cell,
+                   F.lit('<div class="gs_gray">Authors</div></td><td class="gsc_a_c">0</td></tr>'))
+    rows = o.select("o_custkey", "page_no", "seq", row.alias("item"))
+    return pages_of(rows, ["o_custkey", "page_no"], "item",
+                    '<html><body><table id="gsc_a_t"><tbody id="gsc_a_b">', "</tbody></table></body></html>")
+
+
+def order_year_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per order: (year, lines shipped that year), one entry per year."""
+    li = table(spark, sf_dir, "lineitem")
+    per = li.groupBy("l_orderkey", F.year("l_shipdate").alias("y")).agg(F.count(F.lit(1)).alias("c"))
+    return per.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("y", "c"))).alias("graph"))
+
+
+def scholar_detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One publication detail page per order."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority",
+                                               "o_orderdate")
+    a = order_authors(spark, sf_dir)
+    g = order_year_counts(spark, sf_dir).withColumnRenamed("l_orderkey", "g_orderkey")
+    o = o.join(a, o["o_orderkey"] == a["l_orderkey"], "left").join(g, F.col("o_orderkey") == F.col("g_orderkey"), "left")
+    k = F.col("o_orderkey")
+    key, cust = s(k), s("o_custkey")
+    url = F.concat(F.lit("https://scholar.google.com/citations?view_op=view_citation&hl=it&user=U"), cust,
+                   F.lit("&citation_for_view=U"), cust, F.lit(":"), key)
+    title = F.when(F.col("o_orderstatus") != "O", F.concat(
+        F.lit('<div id="gsc_oci_title"><a class="gsc_oci_title_link" href="https://paper.example/'), key,
+        F.lit('"> Paper '), key, F.lit(" </a></div>"))).otherwise(F.concat(
+            F.lit('<div id="gsc_oci_title"> Paper '), key, F.lit(" </div>")))
+    pdf = F.when(F.substring("o_orderpriority", 1, 1) == "1", F.concat(
+        F.lit('<div class="gsc_oci_title_ggi"><a href="https://pdf.example/'), key,
+        F.lit('.pdf"><span class="gsc_vcd_title_ggt">[PDF]</span></a></div>'))).otherwise(F.lit(""))
+
+    def fld(name, value):
+        return F.concat(F.lit('<div class="gs_scl"><div class="gsc_oci_field">' + name + '</div><div class="gsc_oci_value">'),
+                        value, F.lit("</div></div>"))
+    names = F.transform(F.coalesce("authors", F.array()), lambda x: x["s_name"])
+    authors = F.when(F.size(names) > 0, fld("Autori", F.array_join(names, ", "))).otherwise(F.lit(""))
+    date = fld("Data di pubblicazione", F.date_format("o_orderdate", "yyyy/M/d"))
+    volume = F.when(k % 4 == 0, fld("Volume", s(F.lit(1990) + k % 10))).otherwise(F.lit(""))
+    pages = fld("Pagine", F.concat(s(k % 300), F.lit("-"), s(k % 300 + 9)))
+    publisher = fld("Editore", F.concat(F.lit("Publisher "), s(F.col("o_custkey") % 20)))
+    descr = F.concat(F.lit('<div class="gs_scl"><div class="gsc_oci_field">Descrizione</div>'
+                           '<div class="gsc_oci_value" id="gsc_oci_descr"><div class="gsh_small">'
+                           '<svg viewBox="0 0 1 1"><path d="M0"></path><text>icon</text></svg>Abstract of <b>paper</b> '),
+                     key, F.lit("</div></div></div>"))
+    bars = F.array_join(F.transform(F.coalesce("graph", F.array()), lambda b: F.concat(
+        F.lit('<a href="/scholar?as_sdt=0,5&amp;hl=it&amp;as_ylo='), s(b["y"]), F.lit("&amp;as_yhi="), s(b["y"]),
+        F.lit("&amp;cites="), s(k * 7), F.lit('" class="gsc_oci_g_a"><span class="gsc_oci_g_al">'), s(b["c"]),
+        F.lit("</span></a>"))), "")
+    bad_bar = F.when(k % 3 == 0, F.lit('<a href="/scholar?x=1" class="gsc_oci_g_a"><span class="gsc_oci_g_al">9'
+                                       '</span></a>')).otherwise(F.lit(""))
+    cited = F.when(F.size(names) > 0, F.concat(
+        F.lit('<div><a href="/scholar?oi=bibs&amp;hl=it&amp;cites='), s(k * 7), F.lit('">Citato da '),
+        s(F.size(names)), F.lit("</a></div>"))).otherwise(F.lit(""))
+    cit_field = F.concat(F.lit('<div class="gs_scl"><div class="gsc_oci_field">Citazioni totali</div>'
+                               '<div class="gsc_oci_value">'), cited, F.lit('<div id="gsc_oci_graph_bars">'),
+                         bars, bad_bar, F.lit("</div></div></div>"))
+    oms1 = F.concat(F.lit('<a class="gsc_oms_link" href="/scholar?q=related:'), key, F.lit('">Articoli correlati</a>'))
+    oms2 = F.concat(F.lit('<a class="gsc_oms_link" href="/scholar?cluster='), s(k * 11), F.lit('">Tutte le versioni</a>'))
+    oms = F.when(F.col("o_orderstatus") == "F", F.concat(oms1, oms2)).when(F.col("o_orderstatus") == "P", oms1) \
+        .otherwise(F.lit(""))
+    html = F.concat(F.lit("<html><body>"), title, pdf, F.lit('<div id="gsc_oci_table">'), authors, date, volume,
+                    pages, publisher, descr, cit_field, F.lit("</div>"), oms, F.lit("</body></html>"))
+    return o.select(k.alias("o_orderkey"), url.alias("url"), html.alias("html")) \
+        .repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
+
+
+def _citation_item(k_col: str = "l_orderkey") -> Column:
+    sup = F.col("s_suppkey")
+    author = F.when(sup % 3 != 0, F.concat(F.lit('<a href="/citations?user=S'), s(sup), F.lit('&amp;hl=it">'),
+                                           esc(F.col("s_name")), F.lit("</a>"))) \
+        .otherwise(F.concat(F.lit('<a href="/scholar?q=s'), s(sup), F.lit('">'), esc(F.col("s_name")), F.lit("</a>")))
+    doc = F.when(F.col("l_returnflag") != "N", F.concat(
+        F.lit('<div class="gs_or_ggsm"><a href="https://pdf.example/'), s(k_col), F.lit('">[PDF]</a></div>'))
+    ).otherwise(F.lit(""))
+    return F.concat(
+        F.lit('<div class="gs_r gs_or gs_scl"><div class="gs_ri"><h3 class="gs_rt"><a href="https://doc.example/'),
+        s(k_col), F.lit('">Order '), s(k_col), F.lit(" line "), s("l_linenumber"), F.lit('</a></h3><div class="gs_a">'),
+        author, F.lit(' - Journal</div><div class="gs_rs">Summary '), s(F.col("l_quantity").cast("int")),
+        F.lit("</div></div>"), doc, F.lit("</div>"))
+
+
+GHOST_CITATION = ('<div class="gs_r gs_or gs_scl"><h3 class="gs_rt"><a href="https://ghost.example/">Ghost</a></h3>'
+                  '<div class="gs_rs">never kept</div></div>')
+
+
+def scholar_citation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citing-work pages per part (the cited work), 10 items a page. The
+    last real page lacks the next-page icon, except for parts ``% 5 == 0``
+    whose last page is followed by an empty page; both kinds are followed
+    by a ghost page that the paging rule must not read."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+                                                  "l_quantity", "l_extendedprice", "l_returnflag")
+    sup = table(spark, sf_dir, "supplier").select(F.col("s_suppkey"), "s_name")
+    li = li.join(sup, li["l_suppkey"] == sup["s_suppkey"])
+    li = paged(li, ["l_partkey"], ["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"], CITATIONS_PAGE)
+    rows = li.select("l_partkey", "page_no", "seq", _citation_item().alias("item"))
+    pages = pages_of(rows, ["l_partkey", "page_no"], "item", "", "")
+    last = pages.groupBy("l_partkey").agg(F.max("page_no").alias("last_page"))
+    pages = pages.join(last, "l_partkey")
+    icon = '<span class="gs_ico gs_ico_nav_first"></span>'
+    has_icon = (F.col("page_no") < F.col("last_page")) | (F.col("l_partkey") % 5 == 0)
+    head = '<html><body><div class="gs_r">Risultati</div><div class="gs_r">Ordina</div>'
+    body = F.concat(F.lit(head), F.col("html"), F.lit('<div class="gs_r">Fine</div>'),
+                    F.when(has_icon, F.lit(icon)).otherwise(F.lit("")), F.lit("</body></html>"))
+    real = pages.select("l_partkey", "page_no", body.alias("html"))
+    extra = last.select("l_partkey", "last_page")
+    empty = extra.where(F.col("l_partkey") % 5 == 0).select(
+        "l_partkey", (F.col("last_page") + 1).alias("page_no"),
+        F.lit(head + '<div class="gs_r">Fine</div>' + icon + "</body></html>").alias("html"))
+    ghost = extra.select("l_partkey", (F.col("last_page") + 2).alias("page_no"),
+                         F.lit(head + GHOST_CITATION + '<div class="gs_r">Fine</div>' + icon + "</body></html>")
+                         .alias("html"))
+    out = real.unionByName(empty).unionByName(ghost)
+    return out.select("l_partkey", "page_no", F.col("l_partkey").cast("string").alias("cites_id"), "html")
+
+
+def scholar_version_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Version pages per order (cluster): its lines, then an empty page and,
+    for orders ``% 10 == 0``, a ghost page after it. Line 3 uses the classes
+    in another order, so it is not a version."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+                                                  "l_linestatus", "l_returnflag", "l_extendedprice")
+    li = paged(li, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], CITATIONS_PAGE)
+    cls = F.when(F.col("l_linenumber") == 3, F.lit("gs_r gs_scl gs_or")).otherwise(F.lit("gs_r gs_or gs_scl"))
+    link = F.when(F.col("l_linestatus") != "O", F.concat(F.lit('<a href="https://v.example/'), s("l_orderkey"),
+                                                         F.lit("/"), s("l_linenumber"), F.lit('">[PDF]</a>'))
+                  ).otherwise(F.lit(""))
+    source = F.when(F.col("l_returnflag") != "N", F.concat(F.lit('<span class="gs_ct2"> source '), s("l_suppkey"),
+                                                           F.lit(" </span>"))).otherwise(F.lit(""))
+    item = F.concat(F.lit('<div class="'), cls, F.lit('" data-cid="'), s("l_orderkey"), F.lit("."), s("l_linenumber"),
+                    F.lit('">'), link, source, F.lit('<div class="gs_rs"> Version of part '), s("l_partkey"),
+                    F.lit(" </div></div>"))
+    rows = li.select("l_orderkey", "page_no", "seq", item.alias("item"))
+    pages = pages_of(rows, ["l_orderkey", "page_no"], "item", "<html><body>", "</body></html>")
+    last = pages.groupBy("l_orderkey").agg(F.max("page_no").alias("last_page"))
+    empty = last.select("l_orderkey", (F.col("last_page") + 1).alias("page_no"),
+                        F.lit("<html><body><p>Nessun risultato</p></body></html>").alias("html"))
+    ghost = last.where(F.col("l_orderkey") % 10 == 0).select(
+        "l_orderkey", (F.col("last_page") + 2).alias("page_no"),
+        F.lit('<html><body><div class="gs_r gs_or gs_scl" data-cid="ghost">x</div></body></html>').alias("html"))
+    out = pages.unionByName(empty).unionByName(ghost)
+    url = F.concat(F.lit("https://scholar.google.com/scholar?cluster="), s("l_orderkey"), F.lit("&hl=it&start="),
+                   s((F.col("page_no") - 1) * CITATIONS_PAGE))
+    return out.select("l_orderkey", "page_no", url.alias("url"), "html")
