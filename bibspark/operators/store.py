@@ -2,10 +2,10 @@
 tagging, multi-result explode and the NDJSON sink (S3-S6, W4, P1-P4, P8,
 J3, J5, U2, U3).
 
-The store is a Parquet table partitioned by ``entity_db``. Plain Parquet has
-no MERGE, so an upsert computes the new snapshot of the touched partitions
-with one full outer join and writes it to a fresh path (stage), after which
-the caller points readers at it (swap).
+The store is Parquet, one folder per ``entity_db``. Plain Parquet has no
+MERGE, so an upsert computes the new snapshot of the touched stores with one
+full outer join and writes it as a new version folder (stage); readers take
+the newest complete version of each store (swap).
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas as S
 
@@ -187,3 +188,55 @@ def explode_citation_graph(pubs: DataFrame, id_col: str = "publication_id",
     g = pubs.select(F.col(id_col).alias("publication_id"), F.explode(graph_col).alias("g"))
     return g.select("publication_id", F.col("g.year").cast("int").alias("year"),
                     F.col("g.citations").cast("int").alias("citations"))
+
+
+# ------------------------------------------------------- versioned store
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def latest_versions(spark: SparkSession, store_path: str) -> dict[str, str]:
+    """Newest staged version folder of every ``entity_db`` partition:
+    ``{store}/entity_db=<db>/v=<n>``. Listing touches one folder per store
+    and version, never the data files."""
+    fs, root = _fs(spark, store_path)
+    if not fs.exists(root):
+        return {}
+    out = {}
+    for st in fs.listStatus(root):
+        name = st.getPath().getName()
+        if not (st.isDirectory() and name.startswith("entity_db=")):
+            continue
+        vers = [v.getPath().getName() for v in fs.listStatus(st.getPath())
+                if v.isDirectory() and v.getPath().getName().startswith("v=")
+                and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(v.getPath(), "_SUCCESS"))]
+        if vers:
+            newest = max(vers, key=lambda x: int(x[2:]))
+            out[name.split("=", 1)[1]] = f"{store_path}/{name}/{newest}"
+    return out
+
+
+def read_versions(spark: SparkSession, store_path: str, dbs: Sequence[str] | None = None) -> DataFrame:
+    """The current documents (newest version per store), optionally only
+    some stores; empty and typed when nothing was written yet (S4)."""
+    latest = latest_versions(spark, store_path)
+    paths = [p for db, p in latest.items() if dbs is None or db in dbs]
+    if not paths:
+        return S.empty(spark, S.DOCUMENT_SCHEMA)
+    body = T.StructType([f for f in S.DOCUMENT_SCHEMA if f.name != "entity_db"])
+    frames = [spark.read.schema(body).parquet(p).withColumn("entity_db", F.lit(db))
+              for db, p in latest.items() if p in paths]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out.select(*[c.name for c in S.DOCUMENT_SCHEMA])
+
+
+def write_versions(docs: DataFrame, store_path: str, version: int) -> None:
+    """Stage version ``version`` of every store present in ``docs``; it
+    becomes current once its ``_SUCCESS`` marker exists (swap)."""
+    for db in [r[0] for r in docs.select("entity_db").distinct().collect()]:
+        (docs.where(F.col("entity_db") == db).drop("entity_db").write.mode("overwrite")
+         .parquet(f"{store_path}/entity_db={db}/v={version}"))

@@ -867,3 +867,60 @@ FROM lineitem WHERE l_linenumber <> 3
 def q_scholar_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = scholar.versions(fixtures.scholar_version_pages(spark, sf_dir), ["l_orderkey"], "page_no", "url")
     return v.select("cluster_id", "id", "link", "source", "description")
+
+
+# ------------------------------------------------------------------ T1 T2 T4
+def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming import streams
+    return streams.read_stream(spark, sf_dir, streams.EVENTS_SCHEMA, name_glob="events.parquet")
+
+
+@register("hourly_blocked", oracle="""
+SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start,
+       bool_or(event_type = 'error') AS blocked,
+       count(*) FILTER (WHERE event_type = 'error') AS n_blocked,
+       count(*) AS n_pages
+FROM events GROUP BY date_trunc('hour', ts)
+""")
+def q_hourly_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page fetches = events; a fetch is blocked when its type is ``error``.
+    Streamed (availableNow) into an update-mode keyed sink."""
+    from ..streaming import streams
+    s = _events_stream(spark, sf_dir)
+    agg = streams.hourly_blocked(s, "ts", F.col("event_type") == "error")
+    agg = agg.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+                     "blocked", "n_blocked", "n_pages")
+    return streams.run_available(spark, agg, "hourly_blocked", mode="update", key=["window_start"])
+
+
+@register("stream_dedupe", oracle="""
+SELECT DISTINCT event_type AS message_type, CAST(user_id AS VARCHAR) AS expected_id, false AS system_message
+FROM events WHERE event_type <> 'signup'
+UNION ALL
+SELECT event_type, CAST(user_id AS VARCHAR), true FROM events WHERE event_type = 'signup'
+""")
+def q_stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages = events keyed by (type, user); ``signup`` is a system
+    message and is never dropped."""
+    from ..streaming import streams
+    s = _events_stream(spark, sf_dir).select(
+        F.col("event_type").alias("message_type"), F.col("user_id").cast("string").alias("expected_id"),
+        (F.col("event_type") == "signup").alias("system_message"))
+    d = streams.dedupe(s, ["message_type", "expected_id"], system_col="system_message")
+    return streams.run_available(spark, d, "stream_dedupe", mode="append")
+
+
+@register("stream_counters", oracle="""
+SELECT event_type AS message_type, count(*) AS n,
+       CAST(sum(CASE WHEN user_id % 2 = 0 THEN 1 ELSE -1 END) AS BIGINT) AS backlog
+FROM events GROUP BY event_type
+""")
+def q_stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4: running A1/A2 counters in update mode."""
+    from ..streaming import streams
+    s = _events_stream(spark, sf_dir).select(
+        F.col("event_type").alias("message_type"),
+        F.when(F.col("user_id") % 2 == 0, "send").otherwise("receive").alias("action"))
+    c = streams.running_counts(s, "message_type", "action").select(
+        "message_type", "n", F.col("backlog").cast("bigint").alias("backlog"))
+    return streams.run_available(spark, c, "stream_counters", mode="update", key=["message_type"])
