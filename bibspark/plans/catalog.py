@@ -924,3 +924,30 @@ def q_stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = streams.running_counts(s, "message_type", "action").select(
         "message_type", "n", F.col("backlog").cast("bigint").alias("backlog"))
     return streams.run_available(spark, c, "stream_counters", mode="update", key=["message_type"])
+
+
+# --------------------------------------------------------- S8-S14 U1 E4
+SEED_INTERFACES = "dblp,google_scholar,scimago,core_edu,arxiv"
+SEED_AS_OF_YEAR = 2024
+
+
+@register("seed_work", oracle=f"""
+SELECT 'dblp' AS iface, 'DblpAuthor' AS message_type, s_name AS expected_id, s_name AS params,
+       CAST(101 AS INTEGER) AS priority, CAST(1 AS INTEGER) AS depth FROM supplier
+UNION ALL
+SELECT 'google_scholar', 'ScholarAuthor', s_name, s_name, CAST(102 AS INTEGER), CAST(1 AS INTEGER) FROM supplier
+UNION ALL
+SELECT 'scimago', 'ScimagoJournal', CAST(range AS VARCHAR) || '_1', CAST(range AS VARCHAR) || '|1',
+       CAST(102 AS INTEGER), CAST(1 AS INTEGER) FROM range(1999, {SEED_AS_OF_YEAR})
+UNION ALL
+SELECT 'core_edu', 'CoreConference', CAST(range AS VARCHAR), CAST(range AS VARCHAR),
+       CAST(102 AS INTEGER), CAST(1 AS INTEGER) FROM range(1, 46)
+""")
+def q_seed_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seed work items for every enabled interface (an unknown one is
+    skipped): authors are the supplier names."""
+    from ..sources import seeds
+    authors = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("value"))
+    w = seeds.seed_work(spark, SEED_INTERFACES, authors, SEED_AS_OF_YEAR)
+    return w.select("iface", "message_type", "expected_id", F.array_join("params", "|").alias("params"),
+                    F.col("priority").cast("int").alias("priority"), F.col("depth").cast("int").alias("depth"))
