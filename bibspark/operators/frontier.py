@@ -163,8 +163,8 @@ def expand_sql(spark, seeds_view: str, edges_view: str, max_depth: int = S.DEPTH
     return spark.sql(f"""
         WITH RECURSIVE walk(author, depth) AS (
           SELECT author, 1 FROM {seeds_view}
-          UNION
-          SELECT e2.author, w.depth + 1
+          UNION ALL
+          SELECT DISTINCT e2.author, w.depth + 1
           FROM walk w JOIN {edges_view} e1 ON e1.author = w.author
                       JOIN {edges_view} e2 ON e2.pub = e1.pub
           WHERE w.depth < {int(max_depth)}
