@@ -16,8 +16,9 @@ are ``#text`` nodes, script/style bodies ``#raw``, comments ``#comment``.
 
 from __future__ import annotations
 
+import re
 import sys
-from html.parser import HTMLParser
+from html import unescape as _unescape
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -44,11 +45,27 @@ RAW_TEXT = frozenset(("script", "style"))
 TEXT, RAW, COMMENT = "#text", "#raw", "#comment"
 
 
-class _TreeBuilder(HTMLParser):
+# Tokens of the standard library's HTML parser (Python 3.13.0 rules), as one
+# regex: comments, declarations/bogus comments, processing instructions,
+# end tags, start tags (quoted attribute values may hold '>'), text.
+_TOKEN = re.compile(r"""
+    <!--(?P<comment>.*?)(?:-->|\Z)
+  | <!(?P<bang>[^>]*)>
+  | <\?[^>]*>
+  | </(?P<end>[a-zA-Z][^\t\n\r\f />]*)[^>]*>
+  | </(?P<bogus>[^>]*)>
+  | <(?P<start>[a-zA-Z][^\t\n\r\f />\x00]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>
+  | (?P<text>[^<]+|<)
+""", re.S | re.X)
+_ATTR = re.compile(r"""((?<=['"\s/])[^\s/>][^\s/=>]*)(\s*=+\s*('[^']*'|"[^"]*"|(?!['"])[^>\s]*))?(?:\s|/(?!>))*""")
+_RAW_END = {t: re.compile(r"</\s*%s\s*>" % t, re.I) for t in ("script", "style")}
+_KEEP_SPACE = frozenset(("pre", "textarea"))
+
+
+class _TreeBuilder:
     """Builds one page's nodes into flat, column-wise lists."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.parent: list[int] = []
         self.last: list[int] = []
         self.tag: list[str] = []
@@ -57,6 +74,7 @@ class _TreeBuilder(HTMLParser):
         self.text: list[str | None] = []
         self.cls: list[list[str]] = []
         self.stack: list[int] = []
+        self.pending: list[str] = []
 
     def _add(self, tag, attrs, text):
         i = len(self.tag)
@@ -64,12 +82,9 @@ class _TreeBuilder(HTMLParser):
         self.last.append(i)
         self.tag.append(tag)
         if attrs:
-            d = {}
-            for k, v in attrs:  # last duplicate wins, first position kept
-                d[k] = "" if v is None else v
-            self.keys.append(list(d.keys()))
-            self.vals.append(list(d.values()))
-            c = d.get("class")
+            self.keys.append(list(attrs.keys()))
+            self.vals.append(list(attrs.values()))
+            c = attrs.get("class")
             self.cls.append(c.split() if c else [])
         else:
             self.keys.append([])
@@ -78,31 +93,75 @@ class _TreeBuilder(HTMLParser):
         self.text.append(text)
         return i
 
-    def handle_starttag(self, tag, attrs):
+    def flush(self):
+        """Adjacent text pieces form one string; a whitespace-only string
+        becomes one newline or space (outside pre/textarea)."""
+        if not self.pending:
+            return
+        data = "".join(self.pending)
+        self.pending = []
+        if data.isspace() and not data.strip(" \n\t\x0c\r") and not any(self.tag[i] in _KEEP_SPACE for i in self.stack):
+            data = "\n" if "\n" in data else " "
+        self._add(TEXT, None, data)
+
+    def start(self, tag, attrs, closed):
+        self.flush()
         i = self._add(tag, attrs, None)
-        if tag not in VOID:
+        if tag not in VOID and not closed:
             self.stack.append(i)
 
-    def handle_startendtag(self, tag, attrs):
-        self._add(tag, attrs, None)
-
-    def handle_endtag(self, tag):
+    def end(self, tag):
+        self.flush()
         for depth in range(len(self.stack) - 1, -1, -1):
             if self.tag[self.stack[depth]] == tag:
                 del self.stack[depth:]
                 return
 
-    def handle_data(self, data):
-        if not data:
-            return
-        parent = self.tag[self.stack[-1]] if self.stack else None
-        self._add(RAW if parent in RAW_TEXT else TEXT, None, data)
-
-    def handle_comment(self, data):
-        self._add(COMMENT, None, data)
+    def special(self, tag, text):
+        self.flush()
+        self._add(tag, None, text)
+
+    def feed(self, html: str):
+        pos, n = 0, len(html)
+        match = _TOKEN.match
+        while pos < n:
+            m = match(html, pos)
+            kind = m.lastgroup
+            pos = m.end()
+            if kind == "text":
+                t = m.group("text")
+                self.pending.append(_unescape(t) if "&" in t else t)
+            elif kind == "attrs":  # a start tag (its last group is the attributes)
+                tag = m.group("start").lower()
+                raw = m.group("attrs")
+                closed = raw.endswith("/")
+                attrs = _attrs(raw) if raw.strip(" \t\n\r\f/") else None
+                self.start(tag, attrs, closed)
+                if tag in _RAW_END and not closed:
+                    e = _RAW_END[tag].search(html, pos)
+                    stop = e.start() if e else n
+                    if stop > pos:
+                        self.special(RAW, html[pos:stop])
+                    if e:
+                        self.end(tag)
+                        pos = e.end()
+                    else:
+                        pos = n
+            elif kind == "end":
+                self.end(m.group("end").lower())
+            elif kind == "comment":
+                self.special(COMMENT, m.group("comment"))
+            elif kind == "bang":
+                b = m.group("bang")
+                if not b[:7].upper().startswith("DOCTYPE") and not b.startswith("["):
+                    self.special(COMMENT, b)
+            elif kind == "bogus":
+                if m.group("bogus"):
+                    self.special(COMMENT, m.group("bogus"))
+        self.flush()
+        return self
 
     def finish(self):
-        self.close()
         last, parent = self.last, self.parent
         # close the intervals: last = highest id in the subtree
         for i in range(len(last) - 1, -1, -1):
@@ -112,15 +171,30 @@ class _TreeBuilder(HTMLParser):
         return self
 
 
+def _attrs(raw: str) -> dict:
+    """Attribute list of a start tag: names lower-cased, values unquoted and
+    unescaped, a bare name gets ``""``; the last duplicate wins."""
+    d = {}
+    for m in _ATTR.finditer(" " + raw):
+        name = m.group(1)
+        if not name:
+            continue
+        v = m.group(3)
+        if v is None:
+            v = ""
+        elif v[:1] in ("'", '"') and v[-1:] == v[:1] and len(v) >= 2:
+            v = v[1:-1]
+        d[name.lower()] = _unescape(v) if "&" in v else v
+    return d
+
+
 # The tree builder travels with the UDF (pickled by value), so executors
 # need no copy of this package on their path.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _build(html: str) -> _TreeBuilder:
-    b = _TreeBuilder()
-    b.feed(html)
-    return b.finish()
+    return _TreeBuilder().feed(html).finish()
 
 
 def parse_nodes(html: str | None) -> list[dict] | None:
