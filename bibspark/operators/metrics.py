@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def type_counts(msgs: DataFrame, type_col: str = "message_type") -> DataFrame:
@@ -63,16 +64,32 @@ def block_bounds(df: DataFrame, keys: Sequence[str], blocks: int, sample_per_blo
     return [tuple(sample[i]) for i in picks if i < len(sample)]
 
 
+def _sql_literal(v, dtype: T.DataType) -> str:
+    """SQL text of a boundary value, typed like its column."""
+    if v is None:
+        return f"CAST(NULL AS {dtype.simpleString()})"
+    if isinstance(dtype, T.StringType):
+        return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(dtype, T.BooleanType):
+        return "true" if v else "false"
+    return f"CAST('{v}' AS {dtype.simpleString()})"
+
+
 def block_of(df: DataFrame, keys: Sequence[str], bounds: list[tuple]) -> Column:
-    """Block number of a row: how many boundaries are <= its key."""
+    """Block number of a row: how many boundaries are <= its key, found by
+    a binary search written as one nested CASE (log2(blocks) comparisons)."""
     if not bounds:
         return F.lit(0)
-    k = F.struct(*[F.col(c) for c in keys])
-    total = F.lit(0)
-    for b in bounds:
-        lit = F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(keys, b)])
-        total = total + F.when(F.coalesce(k >= lit, F.lit(False)), 1).otherwise(0)
-    return total
+    key = "named_struct(" + ", ".join(f"'{c}', `{c}`" for c in keys) + ")"
+    lits = ["named_struct(" + ", ".join(f"'{c}', {_sql_literal(v, df.schema[c].dataType)}"
+                                        for c, v in zip(keys, b)) + ")" for b in bounds]
+
+    def search(lo: int, hi: int) -> str:  # answer lies in [lo, hi]
+        if lo == hi:
+            return str(lo)
+        mid = (lo + hi + 1) // 2
+        return f"CASE WHEN {key} >= {lits[mid - 1]} THEN {search(mid, hi)} ELSE {search(lo, mid - 1)} END"
+    return F.expr(search(0, len(bounds)))
 
 
 def sequence_number(df: DataFrame, group: Sequence[str], order: Sequence[str],
@@ -88,7 +105,7 @@ def sequence_number(df: DataFrame, group: Sequence[str], order: Sequence[str],
     third of the blocks.
     """
     group, order = list(group), list(order)
-    n = blocks or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = group + order
     bounds = block_bounds(df, keys, n)
     b = df.withColumn("__block", block_of(df, keys, bounds))
