@@ -951,3 +951,61 @@ def q_seed_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = seeds.seed_work(spark, SEED_INTERFACES, authors, SEED_AS_OF_YEAR)
     return w.select("iface", "message_type", "expected_id", F.array_join("params", "|").alias("params"),
                     F.col("priority").cast("int").alias("priority"), F.col("depth").cast("int").alias("depth"))
+
+
+# --------------------------------------------------------- X15 X16 J2 W1
+SEARCH_FAVORED = "pisa,cnr"
+
+
+@register("scholar_search", oracle=f"""
+WITH c AS (
+  SELECT c_custkey, c_name, c_nationkey, c_mktsegment,
+         row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS seq
+  FROM customer
+), p AS (
+  SELECT *, seq // 10 + 1 AS page_no, seq % 10 AS pos FROM c WHERE NOT (c_nationkey % 7 = 3 AND c_nationkey % 5 <> 0)
+), q AS (
+  SELECT c_nationkey, page_no, max(CASE WHEN pos = 2 AND page_no % 2 = 0 THEN c_name END) AS qname
+  FROM p GROUP BY c_nationkey, page_no
+), tiered AS (
+  SELECT p.*, CASE WHEN contains(lower(c_mktsegment), 'pisa') OR contains(lower(c_mktsegment), 'cnr') THEN 1
+                   WHEN lower(c_name) = lower(q.qname) THEN 2 ELSE 3 END AS tier
+  FROM p JOIN q USING (c_nationkey, page_no)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY c_nationkey, page_no ORDER BY tier,
+            CASE WHEN tier = 2 THEN pos ELSE -pos END) AS rn
+  FROM tiered
+)
+SELECT CAST(c_nationkey AS INTEGER) AS c_nationkey, CAST(page_no AS INTEGER) AS page_no,
+       'U' || CAST(c_custkey AS VARCHAR) AS user_id, c_name AS name, CAST(tier AS INTEGER) AS tier
+FROM ranked WHERE rn = 1
+""")
+def q_scholar_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search pages (10 candidates each) → candidates paired with their
+    organisations (X15, J2), the fallback page where the main one has no
+    names → profile id from the next link (X16) → Scholar resolution (W1,
+    last candidate as fallback). Even pages search for their 3rd name."""
+    main, fb = fixtures.scholar_search_pages(spark, sf_dir)
+    keys = ["c_nationkey", "page_no"]
+    cands = scholar.candidates(main, fb, keys)
+    third = cands.where(F.col("pos") == 2).select(*keys, F.when(F.col("page_no") % 2 == 0, F.col("name")).alias("qname"))
+    cands = cands.join(third, keys, "left")
+    best = resolve.pick_candidate(cands, keys, "pos", "org", "name", "qname", ["user", "name"],
+                                  resolve.favored_terms(SEARCH_FAVORED), fallback="last")
+    return best.select(F.col("c_nationkey").cast("int").alias("c_nationkey"), F.col("page_no").cast("int").alias("page_no"),
+                       F.col("user").alias("user_id"), "name", "tier")
+
+
+# ------------------------------------------------------------------- X7
+@register("scholar_coauthors", oracle="""
+SELECT CAST(l_partkey AS BIGINT) AS l_partkey,
+       CAST((row_number() OVER w - 1) // 20 + 1 AS INTEGER) AS page_no,
+       CAST((row_number() OVER w - 1) % 20 AS INTEGER) AS pos, s_name AS name
+FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
+WINDOW w AS (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice)
+""")
+def q_scholar_coauthors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = scholar.coauthors(fixtures.scholar_colleague_pages(spark, sf_dir), ["l_partkey", "page_no"])
+    return c.select(F.col("l_partkey").cast("bigint").alias("l_partkey"), F.col("page_no").cast("int").alias("page_no"),
+                    F.posexplode("coauthors").alias("pos", "name")).select(
+        "l_partkey", "page_no", F.col("pos").cast("int").alias("pos"), "name")

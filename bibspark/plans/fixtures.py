@@ -392,3 +392,46 @@ def scholar_version_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.concat(F.lit("https://scholar.google.com/scholar?cluster="), s("l_orderkey"), F.lit("&hl=it&start="),
                    s((F.col("page_no") - 1) * CITATIONS_PAGE))
     return out.select("l_orderkey", "page_no", url.alias("url"), "html")
+
+
+SEARCH_PAGE = 10
+
+
+def scholar_search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Author-search result pages: the customers of a nation, 10 per page.
+    Nations ``% 5 == 0`` have no main results (the fallback page is used);
+    nations ``% 7 == 3`` show names but no organisation spans at all."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    c = paged(c, ["c_nationkey"], ["c_custkey"], SEARCH_PAGE)
+    nat = F.col("c_nationkey")
+    href = F.concat(F.lit("/citations?user=U"), s("c_custkey"), F.lit("&amp;hl=it"))
+    main_item = F.concat(F.lit('<div class="gs_r"><h4 class="gs_rt2"><a href="'), href, F.lit('">'), esc(F.col("c_name")),
+                         F.lit("</a></h4>"),
+                         F.when(nat % 7 != 3, F.concat(F.lit('<span class="gs_nph">'), F.col("c_mktsegment"),
+                                                       F.lit("</span>"))).otherwise(F.lit("")),
+                         F.lit("</div>"))
+    fb_item = F.concat(F.lit('<div class="gsc_1usr"><a href="'), href, F.lit('">'), esc(F.col("c_name")),
+                       F.lit('</a><div class="gs_ai_eml">'), F.col("c_mktsegment"), F.lit("</div></div>"))
+    rows = c.select("c_nationkey", "page_no", "seq", F.when(nat % 5 != 0, main_item).alias("main"),
+                    fb_item.alias("fb"))
+    main = pages_of(rows.where(F.col("main").isNotNull()), ["c_nationkey", "page_no"], "main",
+                    '<html><body><span class="gs_nph">Profili utente</span>', "</body></html>")
+    empty_main = rows.where(F.col("main").isNull()).select("c_nationkey", "page_no").distinct().select(
+        "c_nationkey", "page_no", F.lit('<html><body><span class="gs_nph">Profili utente</span>'
+                                        '<p>Nessun risultato</p></body></html>').alias("html"))
+    fallback = pages_of(rows.where(F.col("main").isNull()), ["c_nationkey", "page_no"], "fb",
+                        "<html><body>", "</body></html>")
+    return main.unionByName(empty_main), fallback
+
+
+def scholar_colleague_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colleague pages per part: the suppliers of its lines, 20 a page."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+                                                  "l_extendedprice")
+    sup = table(spark, sf_dir, "supplier").select(F.col("s_suppkey"), "s_name")
+    li = paged(li.join(sup, li["l_suppkey"] == sup["s_suppkey"]), ["l_partkey"],
+               ["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"], 20)
+    item = F.concat(F.lit('<div class="gsc_ucoar"><h3 class="gs_ai_name"><a href="/citations?user=S'), s("l_suppkey"),
+                    F.lit('">'), esc(F.col("s_name")), F.lit('</a></h3><div class="gs_ai_aff">x</div></div>'))
+    rows = li.select("l_partkey", "page_no", "seq", item.alias("item"))
+    return pages_of(rows, ["l_partkey", "page_no"], "item", "<html><body>", "</body></html>")
