@@ -259,10 +259,24 @@ html_nodes = F.arrow_udf(_html_nodes, NODES).asNondeterministic()
 
 
 # ------------------------------------------------------------------ helpers
+_REFS = ("UnresolvedAttribute", "UnresolvedNamedLambdaVariable", "NamedLambdaVariable", "AttributeReference")
+
+
+def _is_ref(c: Column) -> bool:
+    """A plain column or lambda-variable reference (cheap to repeat)."""
+    try:
+        return c._jc.node().getClass().getSimpleName() in _REFS
+    except Exception:  # noqa: BLE001 - unknown column kind: bind it
+        return False
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it in ``body`` (a one-element
     ``transform``): higher-order expressions are not de-duplicated by the
-    optimizer, so without this a nested selector repeats its inner finds."""
+    optimizer, so without this a nested selector repeats its inner finds.
+    A plain reference is used directly."""
+    if _is_ref(value):
+        return body(value)
     return F.get(F.transform(F.array(value), body), 0)
 
 
