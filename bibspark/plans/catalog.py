@@ -602,21 +602,23 @@ MULTI_PAGE = 100
 
 
 @register("multi_explode", oracle="""
+WITH l AS (
+  SELECT l_orderkey, l_partkey, l_suppkey,
+         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS rn
+  FROM lineitem
+)
 SELECT CAST(o.o_orderkey AS BIGINT) AS o_orderkey,
-       CAST(coalesce(l.l_linenumber // 100, 0) AS INTEGER) AS chunk,
-       CAST(CASE WHEN l.l_orderkey IS NULL THEN NULL
-            ELSE row_number() OVER (PARTITION BY o.o_orderkey, l.l_linenumber // 100 ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey) - 1 END AS INTEGER) AS pos,
+       CAST(coalesce(l.rn // 100, 0) AS INTEGER) AS chunk,
+       CAST(l.rn % 100 AS INTEGER) AS pos,
        CAST(l.l_partkey AS BIGINT) AS l_partkey, CAST(l.l_suppkey AS BIGINT) AS l_suppkey
-FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey
+FROM orders o LEFT JOIN l ON l.l_orderkey = o.o_orderkey
 """)
 def q_multi_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multi-result documents (one per order and page of at most 100 items)
     are built, then exploded back to one row per entity (U2). Orders with
     no items keep one row with a null position."""
-    li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-        F.floor(F.col("l_linenumber") / MULTI_PAGE).cast("int").alias("chunk"))
-    lists = paging.assemble(li, ["l_orderkey", "chunk"], "l_linenumber", ["l_partkey", "l_suppkey"], "items")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", *fixtures.LINE_ORDER)
+    lists = paging.bounded_lists(li, ["l_orderkey"], fixtures.LINE_ORDER, ["l_partkey", "l_suppkey"], MULTI_PAGE)
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey"))
     docs = o.join(lists, o["o_orderkey"] == lists["l_orderkey"], "left").select(
         "o_orderkey", F.coalesce("chunk", F.lit(0)).alias("chunk"), "items")
@@ -643,10 +645,14 @@ def q_citation_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------ X10 X11 J4 F1 F2
 @register("dblp_pubs", oracle="""
-WITH auth AS (
-  SELECT l_orderkey, string_agg(s_name, '|' ORDER BY l_linenumber, l_partkey, l_suppkey) AS authors,
+WITH lines AS (
+  SELECT l_orderkey, s_name,
+         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS rn
+  FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
+), auth AS (
+  SELECT l_orderkey, rn // 100 AS chunk, string_agg(s_name, '|' ORDER BY rn) AS authors,
          CAST(count(*) AS INTEGER) AS n_authors
-  FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY l_orderkey
+  FROM lines GROUP BY l_orderkey, rn // 100
 ), o AS (
   SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, substr(o_orderpriority, 1, 1) AS prio,
          o_custkey % 40 AS jid,
@@ -795,9 +801,13 @@ def q_scholar_pubs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------ X3-X6 U3
 @register("scholar_pub_detail", oracle=f"""
-WITH auth AS (
-  SELECT l_orderkey, string_agg(s_name, '|' ORDER BY l_linenumber, l_partkey, l_suppkey) AS authors, count(*) AS n
-  FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY l_orderkey
+WITH lines AS (
+  SELECT l_orderkey, s_name,
+         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS rn
+  FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
+), auth AS (
+  SELECT l_orderkey, rn // 100 AS chunk, string_agg(s_name, '|' ORDER BY rn) AS authors, count(*) AS n
+  FROM lines GROUP BY l_orderkey, rn // 100
 ), yc AS (
   SELECT l_orderkey, year(l_shipdate) AS y, count(*) AS c FROM lineitem GROUP BY l_orderkey, year(l_shipdate)
 ), g AS (SELECT l_orderkey, count(*) AS n_graph, sum(c) AS graph_citations FROM yc GROUP BY l_orderkey)

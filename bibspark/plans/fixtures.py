@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import metrics
+from ..operators import metrics, paging
 from ..session import table
 
 
@@ -57,13 +57,18 @@ def _letters(jid: Column) -> Column:
     return F.concat(F.char(F.lit(65) + F.floor(jid / 26)), F.char(F.lit(65) + jid % 26))
 
 
+AUTHORS_PER_ENTRY = 100
+LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+
+
 def order_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per order: its suppliers (authors) in line order."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    """Per order and chunk of at most 100 lines: its suppliers (authors) in
+    line order. An order with more lines becomes several entries, so no
+    list is unbounded."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_ORDER)
     sup = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
-    j = li.join(sup, "l_suppkey")
-    return j.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(
-        F.struct("l_linenumber", "l_partkey", "l_suppkey", "s_name"))).alias("authors"))
+    return paging.bounded_lists(li.join(sup, "l_suppkey"), ["l_orderkey"], LINE_ORDER, ["l_suppkey", "s_name"],
+                                AUTHORS_PER_ENTRY, "authors")
 
 
 def dblp_author_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
