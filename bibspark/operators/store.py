@@ -38,10 +38,11 @@ def lookup(keys: DataFrame, docs: DataFrame, on: Sequence[str] = ("entity_db", "
 
 
 def is_stale(update_date: Column, serialized: Column, present: Column, as_of: str,
-             ttl_s: int = S.MIN_SECONDS_BETWEEN_UPDATES) -> Column:
+             ttl_s: int = S.MIN_SECONDS_BETWEEN_UPDATES, ts_type: str = "timestamp") -> Column:
     """P1 predicate: missing, no date, not serialized, or older (or newer)
-    than ``ttl_s`` seconds relative to ``as_of``."""
-    age_us = F.abs(F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(_ts(update_date)))
+    than ``ttl_s`` seconds relative to ``as_of``. The age is measured in the
+    column's own type (``timestamp_ntz`` involves no time zone at all)."""
+    age_us = F.abs(F.timestamp_diff("MICROSECOND", update_date, F.lit(as_of).cast(ts_type)))
     return (~present) | update_date.isNull() | ~F.coalesce(serialized, F.lit(False)) | (age_us > F.lit(ttl_s * 1_000_000))
 
 
@@ -51,8 +52,9 @@ def stale(work: DataFrame, docs: DataFrame, work_key: str, doc_key: str, as_of:
     a ``stale`` flag. Fresh items reuse the stored document downstream."""
     d = docs.withColumn("__present", F.lit(True))
     j = work.join(d, work[work_key] == d[doc_key], "left")
+    ts_type = "timestamp_ntz" if isinstance(docs.schema["update_date"].dataType, T.TimestampNTZType) else "timestamp"
     flag = is_stale(F.col("update_date"), F.col("serialized"), F.coalesce(F.col("__present"), F.lit(False)),
-                    as_of, ttl_s)
+                    as_of, ttl_s, ts_type)
     return j.withColumn("stale", flag).drop("__present")
 
 

@@ -898,7 +898,7 @@ def q_hourly_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming import streams
     s = _events_stream(spark, sf_dir)
     agg = streams.hourly_blocked(s, "ts", F.col("event_type") == "error")
-    agg = agg.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+    agg = agg.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
                      "blocked", "n_blocked", "n_pages")
     return streams.run_available(spark, agg, "hourly_blocked", mode="update", key=["window_start"])
 

@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas as S
 from ..operators import store
@@ -42,8 +43,8 @@ def dedupe(stream: DataFrame, keys: Sequence[str], system_col: str | None = None
     set for the life of the process). With ``ttl`` (e.g. ``"30 days"``, the
     freshness span) keys are forgotten after the watermark passes them."""
     keys = list(keys)
-    if ttl is not None:
-        stream = stream.withColumn(ts_col, F.col(ts_col).cast("timestamp"))
+    if ttl is not None and isinstance(stream.schema[ts_col].dataType, T.TimestampNTZType):
+        stream = stream.withColumn(ts_col, ntz_as_utc(F.col(ts_col)))
     normal = stream if system_col is None else stream.where(~F.coalesce(F.col(system_col), F.lit(False)))
     if ttl is not None:
         deduped = normal.withWatermark(ts_col, ttl).dropDuplicatesWithinWatermark(keys)
@@ -55,15 +56,33 @@ def dedupe(stream: DataFrame, keys: Sequence[str], system_col: str | None = None
 
 
 # ----------------------------------------------------------------------- T2
+_EPOCH_NTZ = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
+def ntz_as_utc(c: Column) -> Column:
+    """A ``TIMESTAMP_NTZ`` wall time read as UTC, as an instant: independent
+    of the session time zone (watermarks need ``TIMESTAMP``)."""
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", _EPOCH_NTZ, c))
+
+
+def utc_as_ntz(c: Column) -> Column:
+    """Inverse of :func:`ntz_as_utc`."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(c), _EPOCH_NTZ)
+
+
 def hourly_blocked(stream: DataFrame, ts_col: str, blocked: Column, delay: str = "1 hour") -> DataFrame:
-    """Per hour, was any fetched page blocked (and how many). Event
-    time must be a session-zone ``TIMESTAMP`` for watermarks, so a
-    ``TIMESTAMP_NTZ`` column is cast first."""
-    stream = stream.withColumn(ts_col, F.col(ts_col).cast("timestamp"))
-    return (stream.withWatermark(ts_col, delay)
-            .groupBy(F.window(ts_col, "1 hour").alias("w"))
-            .agg(F.bool_or(blocked).alias("blocked"), F.count_if(blocked).alias("n_blocked"),
-                 F.count(F.lit(1)).alias("n_pages")))
+    """Per UTC hour, was any fetched page blocked (and how many).
+    ``window_start`` is the hour as ``TIMESTAMP_NTZ`` when the event time is
+    one (no session-zone shift either way)."""
+    ntz = isinstance(stream.schema[ts_col].dataType, T.TimestampNTZType)
+    if ntz:
+        stream = stream.withColumn(ts_col, ntz_as_utc(F.col(ts_col)))
+    agg = (stream.withWatermark(ts_col, delay)
+           .groupBy(F.window(ts_col, "1 hour").alias("w"))
+           .agg(F.bool_or(blocked).alias("blocked"), F.count_if(blocked).alias("n_blocked"),
+                F.count(F.lit(1)).alias("n_pages")))
+    start = utc_as_ntz(F.col("w.start")) if ntz else F.col("w.start")
+    return agg.select(start.alias("window_start"), "blocked", "n_blocked", "n_pages")
 
 
 # ----------------------------------------------------------------------- T4
