@@ -56,18 +56,19 @@ def dedupe(stream: DataFrame, keys: Sequence[str], system_col: str | None = None
 
 
 # ----------------------------------------------------------------------- T2
-_EPOCH_NTZ = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+def _epoch_ntz() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
 
 def ntz_as_utc(c: Column) -> Column:
     """A ``TIMESTAMP_NTZ`` wall time read as UTC, as an instant: independent
     of the session time zone (watermarks need ``TIMESTAMP``)."""
-    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", _EPOCH_NTZ, c))
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", _epoch_ntz(), c))
 
 
 def utc_as_ntz(c: Column) -> Column:
     """Inverse of :func:`ntz_as_utc`."""
-    return F.timestamp_add("MICROSECOND", F.unix_micros(c), _EPOCH_NTZ)
+    return F.timestamp_add("MICROSECOND", F.unix_micros(c), _epoch_ntz())
 
 
 def hourly_blocked(stream: DataFrame, ts_col: str, blocked: Column, delay: str = "1 hour") -> DataFrame:
