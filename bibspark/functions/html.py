@@ -296,11 +296,12 @@ def match(n: Column, tag: str | None = None, id: str | None = None, cls: str | N
           attrs: dict | None = None) -> Column:
     """Element predicate: tag, id, class and attribute tests. An attribute
     value of ``True`` means "present"."""
-    p = is_tag(n, tag) & ~n["tag"].startswith("#")
+    # a given tag already excludes text/raw/comment nodes
+    p = (n["tag"] == tag) if tag is not None else ~n["tag"].startswith("#")
     if id is not None:
         p = p & (n["attrs"]["id"] == id)
     if cls is not None:
-        p = p & F.coalesce(has_class(n, cls), F.lit(False))
+        p = p & has_class(n, cls)
     for k, v in (attrs or {}).items():
         p = p & (n["attrs"][k].isNotNull() if v is True else (n["attrs"][k] == v))
     return p
