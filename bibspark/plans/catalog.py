@@ -440,9 +440,9 @@ def q_processed_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------- A5 G4 F18
 @register("next_pages", oracle="""
 WITH p AS (
-  SELECT strftime(o_orderdate, '%Y-%m') AS year_key,
+  SELECT strftime(o_orderdate, '%Y-%m-%d') AS year_key,
          CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS page,
-         (o_orderstatus = 'F' AND o_totalprice > 400000) AS is_end
+         (o_orderstatus = 'F' AND o_totalprice > 490000) AS is_end
   FROM orders
 ), g AS (
   SELECT year_key, max(page) AS mx, max(CAST(is_end AS INTEGER)) AS ended FROM p GROUP BY year_key
@@ -452,9 +452,9 @@ FROM g WHERE ended = 0
 """)
 def q_next_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(
-        F.date_format("o_orderdate", "yyyy-MM").alias("year_key"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("year_key"),
         F.substring("o_orderpriority", 1, 1).cast("int").alias("page"),
-        ((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 400000)).alias("is_end"))
+        ((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 490000)).alias("is_end"))
     return paging.next_pages(o, "year_key", "page", "is_end")
 
 
