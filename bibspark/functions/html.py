@@ -38,6 +38,9 @@ NODE = T.StructType([
     T.StructField("cls", T.ArrayType(T.StringType())),
 ])
 NODES = T.ArrayType(NODE)
+# lookup keys: "tag", "#id", ".class" → ids of the matching elements, in order
+INDEX = T.MapType(T.StringType(), T.ArrayType(T.IntegerType()))
+PARSED = T.StructType([T.StructField("nodes", NODES), T.StructField("index", INDEX)])
 
 VOID = frozenset("area base br col embed hr img input keygen link meta param source track wbr "
                  "basefont bgsound command frame image isindex menuitem nextid spacer".split())
@@ -75,6 +78,7 @@ class _TreeBuilder:
         self.cls: list[list[str]] = []
         self.stack: list[int] = []
         self.pending: list[str] = []
+        self.index: dict[str, list[int]] = {}
 
     def _add(self, tag, attrs, text):
         i = len(self.tag)
@@ -107,6 +111,13 @@ class _TreeBuilder:
     def start(self, tag, attrs, closed):
         self.flush()
         i = self._add(tag, attrs, None)
+        ix = self.index
+        ix.setdefault(tag, []).append(i)
+        if attrs:
+            if "id" in attrs:
+                ix.setdefault("#" + attrs["id"], []).append(i)
+            for c in self.cls[i]:
+                ix.setdefault("." + c, []).append(i)
         if tag not in VOID and not closed:
             self.stack.append(i)
 
@@ -212,12 +223,19 @@ def _nodes_arrow(pages: pa.Array) -> pa.Array:
     mkeys, mvals, moff = [], [], [0]
     cvals, coff = [], [0]
     offsets, valid = [0], []
+    ikeys, ioff, ivals, ivoff = [], [0], [], [0]
     for h in pages.to_pylist():
         if h is None:
             offsets.append(offsets[-1])
+            ioff.append(ioff[-1])
             valid.append(False)
             continue
         b = _build(h)
+        for k, v in b.index.items():
+            ikeys.append(k)
+            ivals.extend(v)
+            ivoff.append(ivoff[-1] + len(v))
+        ioff.append(ioff[-1] + len(b.index))
         n = len(b.tag)
         ids.extend(range(n))
         last.extend(b.last)
@@ -242,12 +260,16 @@ def _nodes_arrow(pages: pa.Array) -> pa.Array:
                 pa.field("tag", pa.string()), pa.field("attrs", attrs.type), pa.field("text", pa.string()),
                 pa.field("cls", cls.type)])
     mask = pa.array([not v for v in valid], pa.bool_())
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), struct, mask=mask)
+    nodes = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), struct, mask=mask)
+    ids_lists = pa.ListArray.from_arrays(pa.array(ivoff, pa.int32()), pa.array(ivals, pa.int32()))
+    index = pa.MapArray.from_arrays(pa.array(ioff, pa.int32()), pa.array(ikeys, pa.string()), ids_lists, mask=mask)
+    return pa.StructArray.from_arrays([nodes, index], fields=[pa.field("nodes", nodes.type),
+                                                            pa.field("index", index.type)], mask=mask)
 
 
 def _html_nodes(html: pa.Array) -> pa.Array:
-    """H1: page text → node array, one call per Arrow batch of pages; the
-    result is built column-wise straight into Arrow buffers."""
+    """H1: page text → ``struct(nodes, index)``, one call per Arrow batch of
+    pages; the result is built column-wise straight into Arrow buffers."""
     return _nodes_arrow(html)
 
 
@@ -255,7 +277,12 @@ def _html_nodes(html: pa.Array) -> pa.Array:
 # result are then not pushed below the projection that parses (and so not
 # below a repartition that spreads pages over cores), and the parse is never
 # duplicated by project collapsing. The function itself is pure.
-html_nodes = F.arrow_udf(_html_nodes, NODES).asNondeterministic()
+html_parse = F.arrow_udf(_html_nodes, PARSED).asNondeterministic()
+
+
+def html_nodes(html: Column | str) -> Column:
+    """H1 as a single column: the node array only."""
+    return html_parse(html)["nodes"]
 
 
 # ------------------------------------------------------------------ helpers
@@ -329,15 +356,34 @@ def root(en: Column) -> Column:
     return F.get(en, 0)
 
 
-def find_all(nodes: Column, el: Column | None = None, **kw) -> Column:
-    """H2: matching elements in document order (inside ``el`` if given)."""
-    scope = nodes if el is None else subtree(nodes, el)
-    return F.filter(scope, lambda n: match(n, **kw))
-
-
-def find(nodes: Column, el: Column | None = None, **kw) -> Column:
+def _index_key(tag=None, id=None, cls=None, attrs=None) -> str | None:
+    if id is not None:
+        return "#" + id
+    if cls is not None and " " not in cls:
+        return "." + cls
+    return tag
+
+
+def find_all(nodes: Column, el: Column | None = None, index: Column | None = None, **kw) -> Column:
+    """H2: matching elements in document order (inside ``el`` if given).
+
+    With the page's ``index`` (from :func:`with_nodes`) only the elements
+    listed under the tag, id or class are tested, instead of every node; it
+    applies to the whole page's node array only."""
+    key = _index_key(**kw) if index is not None else None
+    if key is None:
+        scope = nodes if el is None else subtree(nodes, el)
+        return F.filter(scope, lambda n: match(n, **kw))
+    cand = F.transform(F.coalesce(F.element_at(index, F.lit(key)), F.array().cast("array<int>")),
+                       lambda i: F.get(nodes, i))
+    if el is None:
+        return F.filter(cand, lambda n: match(n, **kw))
+    return let(el, lambda e: F.filter(cand, lambda n: (n["id"] > e["id"]) & (n["id"] <= e["last"]) & match(n, **kw)))
+
+
+def find(nodes: Column, el: Column | None = None, index: Column | None = None, **kw) -> Column:
     """H2: first match or null."""
-    return F.get(find_all(nodes, el, **kw), 0)
+    return F.get(find_all(nodes, el, index, **kw), 0)
 
 
 def children(nodes: Column, el: Column) -> Column:
@@ -345,13 +391,13 @@ def children(nodes: Column, el: Column) -> Column:
     return F.filter(subtree(nodes, el), lambda n: n["parent"] == el["id"])
 
 
-def select(nodes: Column, steps: list[dict], el: Column | None = None) -> Column:
+def select(nodes: Column, steps: list[dict], el: Column | None = None, index: Column | None = None) -> Column:
     """H4: CSS descendant chain ``s1 s2 ... sk``: elements matching the last
     step that have ancestors matching the earlier steps, in order."""
     # level by level: step i keeps matches that lie inside a match of step
     # i-1, so each test runs against the (few) previous matches, not all nodes
     def level(i: int) -> Column:
-        here = find_all(nodes, el, **steps[i])
+        here = find_all(nodes, el, index, **steps[i])
         if i == 0:
             return here
         return let(level(i - 1), lambda prev: F.filter(here, lambda n: F.exists(
@@ -359,8 +405,8 @@ def select(nodes: Column, steps: list[dict], el: Column | None = None) -> Column
     return level(len(steps) - 1)
 
 
-def select_one(nodes: Column, steps: list[dict], el: Column | None = None) -> Column:
-    return F.get(select(nodes, steps, el), 0)
+def select_one(nodes: Column, steps: list[dict], el: Column | None = None, index: Column | None = None) -> Column:
+    return F.get(select(nodes, steps, el, index), 0)
 
 
 def text(nodes: Column, el: Column, sep: str = "", strip: bool = False,

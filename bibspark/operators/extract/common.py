@@ -14,7 +14,8 @@ def with_nodes(pages: DataFrame, html_col: str = "html", out: str = "nodes",
     """H1 once per page; the raw HTML column is dropped right after, so no
     later stage carries it. ``pre`` optionally narrows the HTML first (H13)."""
     src = pre if pre is not None else F.col(html_col)
-    return pages.withColumn(out, H.html_nodes(src)).drop(html_col)
+    parsed = pages.withColumn("__parsed", H.html_parse(src)).drop(html_col)
+    return parsed.withColumn(out, F.col("__parsed.nodes")).withColumn("nidx", F.col("__parsed.index")).drop("__parsed")
 
 
 def explode_elements(df: DataFrame, elements: Column, keep: list[str], nodes: str = "nodes",

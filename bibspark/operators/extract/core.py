@@ -27,9 +27,10 @@ def conferences(pages: DataFrame, keys: list[str], page_col: str = "page_no") ->
     p = with_nodes(pages.select(*keys, "html"))
     n = F.col("nodes")
     p = p.where(~H.has_phrase(n, SERVER_ERROR))
-    container = H.find(n, tag="div", id="container")
-    table = H.find(n, container, tag="table")
-    rows = F.slice(H.find_all(n, table, tag="tr"), 2, 1 << 30)
+    ix = F.col("nidx")
+    container = H.find(n, index=ix, tag="div", id="container")
+    table = H.find(n, container, ix, tag="table")
+    rows = F.slice(H.find_all(n, table, ix, tag="tr"), 2, 1 << 30)
     info = p.select(*keys, X.next_page(F.col(page_col)).alias("next_page"))
     r = explode_elements(p.where(table.isNotNull()), rows, keys)
     en = F.col("en")

@@ -33,16 +33,16 @@ def journals(pages: DataFrame, keys: list[str]) -> DataFrame:
     ``span.q1..q4`` (first present), and the text of cells 4-12.
     """
     p = with_nodes(pages.select(*keys, "html"))
-    n = F.col("nodes")
-    pag = H.find(n, tag="div", cls="pagination")
-    wrap = H.find(n, tag="div", cls="table_wrap")
-    table = H.find(n, wrap, tag="table")
-    thead = H.find(n, table, tag="thead")
-    tbody = H.find(n, table, tag="tbody")
-    titles = F.transform(H.find_all(n, thead, tag="th", attrs={"title": True}), lambda th: th["attrs"]["title"])
+    n, ix = F.col("nodes"), F.col("nidx")
+    pag = H.find(n, index=ix, tag="div", cls="pagination")
+    wrap = H.find(n, index=ix, tag="div", cls="table_wrap")
+    table = H.find(n, wrap, ix, tag="table")
+    thead = H.find(n, table, ix, tag="thead")
+    tbody = H.find(n, table, ix, tag="tbody")
+    titles = F.transform(H.find_all(n, thead, ix, tag="th", attrs={"title": True}), lambda th: th["attrs"]["title"])
     year = X.first_year_word(F.array_join(titles, " "))
     pages_y = p.select(*keys, "nodes", H.text(n, pag, strip=True).alias("pagination"),
-                       year.alias("year"), F.when(tbody.isNotNull(), H.find_all(n, tbody, tag="tr")).alias("rows"))
+                       year.alias("year"), F.when(tbody.isNotNull(), H.find_all(n, tbody, ix, tag="tr")).alias("rows"))
     pages_y = pages_y.withColumn("is_end", end_flag(F.col("pagination")))
     ok = pages_y.where(F.col("year").isNotNull() & F.col("rows").isNotNull())
     r = explode_elements(ok, F.col("rows"), keys + ["year", "is_end"])
