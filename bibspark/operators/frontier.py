@@ -14,7 +14,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import schemas as S
 from ..session import cut_lineage
@@ -170,7 +169,3 @@ def expand_sql(spark, seeds_view: str, edges_view: str, max_depth: int = S.DEPTH
           WHERE w.depth < {int(max_depth)}
         )
         SELECT author, CAST(min(depth) AS INT) AS depth FROM walk GROUP BY author""")
-
-
-def work_item_type() -> T.StructType:
-    return S.WORK_ITEM_SCHEMA

@@ -23,15 +23,6 @@ def _ts(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("timestamp")
 
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """Every document of every store; a missing store is an empty,
-    typed frame (get-or-create)."""
-    try:
-        return spark.read.schema(S.DOCUMENT_SCHEMA).parquet(path)
-    except Exception:  # noqa: BLE001 - path absent: the store does not exist yet
-        return S.empty(spark, S.DOCUMENT_SCHEMA)
-
-
 def lookup(keys: DataFrame, docs: DataFrame, on: Sequence[str] = ("entity_db", "_id")) -> DataFrame:
     """S3: batched get-by-key; absent keys keep null document columns."""
     return keys.join(docs, list(on), "left")
@@ -107,19 +98,6 @@ def upsert(old: DataFrame, new: DataFrame, as_of: str, doc_type: Column | str |
     return j.select(*key, *out)
 
 
-def write_snapshot(df: DataFrame, path: str, partition_by: Sequence[str] = ("entity_db",)) -> str:
-    """Stage a new snapshot: only the partitions present in ``df`` are
-    replaced (dynamic partition overwrite), so untouched stores stay."""
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
-    return path
-
-
 def tag(docs: DataFrame, phase_col: str = "phase_ref", iface_col: str = "iface") -> DataFrame:
     """Phase → ``class_id``, interface → ``variant_id``; marks the
     document serialized and not yet sent. Both dimensions have a fixed

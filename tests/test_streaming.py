@@ -31,3 +31,17 @@ def test_dedupe_and_lifecycle(spark):
     assert cur["x"]["class_id"] == 1010 and cur["x"]["variant_id"] == 100
     lines = [r["value"] for r in spark.read.text(f"{base}/out").collect()]
     assert len(lines) == 2 and all('"sent":false' in ln for ln in lines)
+
+
+def test_page_ingest_stream(spark):
+    from bibspark.operators.extract import quality
+    from bibspark.sources.pages import PAGE_SCHEMA
+    base = tempfile.mkdtemp(prefix="bibspark-ingest-")
+    spark.createDataFrame([(1, "u1", "<p>Too Many Requests</p>"), (2, "u2", "<p>fine</p>")], PAGE_SCHEMA) \
+        .write.parquet(f"{base}/pages/a")
+    stream = spark.readStream.schema(PAGE_SCHEMA).parquet(f"{base}/pages/a")
+    q = streams.ingest_pages(stream, lambda p: quality.classify(p, ["page_id"]),
+                             streams.versioned_sink(f"{base}/out"), f"{base}/ck")
+    q.awaitTermination()
+    got = {r["page_id"]: r["blocked"] for r in streams.read_versioned(spark, f"{base}/out", ["page_id"]).collect()}
+    assert got == {1: True, 2: False}
