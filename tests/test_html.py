@@ -123,3 +123,11 @@ def test_scholar_publication(spark):
     assert r["description"] == "Text here" and r["total_citations"] == 12 and r["cites_id"] == "77"
     assert [(g["year"], g["citations"]) for g in r["citation_graph"]] == [(2020, 3)]
     assert r["related_articles_url"] == "rel" and r["all_versions_url"] == "No all versions link"
+
+
+def test_dblp_entry_years(spark):
+    html = ('<div id="publ-section"><ul><li class="year">2021</li><li class="entry article">a</li>'
+            '<li class="entry article">b</li><li class="year">20x1</li><li class="entry">c</li></ul>'
+            '<ul><li class="entry">d</li></ul></div>')
+    got = [r["year"] for r in dblp.entry_years(pages(spark, html), ["page_no"]).orderBy("pos").collect()]
+    assert got == ["2021", "2021", "Unknown", "Unknown"]
