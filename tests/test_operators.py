@@ -95,3 +95,32 @@ def test_work_items(spark):
     assert order == [(True, 3, 100, "2024-01-01"), (False, 1, 100, "2024-01-01"), (False, 1, 101, "2024-01-03")]
     items = spark.createDataFrame([(5,), (4,)], "depth INT")
     assert [r["depth"] for r in frontier.depth_limit(items).collect()] == [4]
+
+
+def test_ndjson_roundtrip_and_json_rules(spark, tmp_path):
+    from bibspark.functions import text as X
+    from bibspark.functions import urls as R
+    from bibspark.sources import seeds
+    docs = spark.createDataFrame([("a", 1, True), ("b", None, False)], "_id STRING, n INT, sent BOOLEAN")
+    store.write_ndjson(docs, str(tmp_path / "out"))
+    lines = sorted(r["value"] for r in spark.read.text(str(tmp_path / "out")).collect())
+    assert lines == ['{"_id":"a","n":1,"sent":true}', '{"_id":"b","sent":false}']
+    back = store.read_ndjson(spark, str(tmp_path / "out"), "_id STRING, n INT, sent BOOLEAN")
+    assert sorted(tuple(r) for r in back.collect()) == [("a", 1, True), ("b", None, False)]
+    m = spark.createDataFrame([("t", "t_0", "c", "2024-01-01")], "a STRING, b STRING, c STRING, d STRING")
+    j = m.select(X.message_to_json("a", "b", "c", "d").alias("j")).first()["j"]
+    assert j == '{"message_type":"t","message_id":"t_0","content":"c","timestamp":"2024-01-01"}'
+    back = spark.createDataFrame([(j,)], "j STRING").select(X.message_from_json("j").alias("m")).first()["m"]
+    assert back["message_id"] == "t_0"
+    bad = spark.createDataFrame([("{not json",)], "j STRING").select(X.parse_json_doc("j", "a INT").alias("x"))
+    try:
+        bad.collect()
+        raise AssertionError("FAILFAST should fail")
+    except AssertionError:
+        raise
+    except Exception:
+        pass
+    assert spark.range(1).select(R.core_url(F.lit(3)).alias("u")).first()["u"] == R.CORE_RANKS + "3"
+    a = [r["id"] for r in seeds.shuffled(spark.range(50), 7).collect()]
+    b = [r["id"] for r in seeds.shuffled(spark.range(50), 7).collect()]
+    assert a == b and sorted(a) == list(range(50))
