@@ -141,7 +141,8 @@ def expand(seeds: DataFrame, edges: DataFrame, max_depth: int = S.DEPTH_MAX) ->
     folder each level so the lineage and the plan stay one level deep.
     """
     e = edges.select("pub", "author")
-    visited = cut_lineage(seeds.select("author").distinct().withColumn("depth", F.lit(1)))
+    # the seed set is small and its lineage short: no checkpoint needed yet
+    visited = seeds.select("author").distinct().withColumn("depth", F.lit(1))
     size = visited.count()
     for d in range(1, max_depth):
         frontier = visited.where(F.col("depth") == d).select("author")
@@ -149,6 +150,8 @@ def expand(seeds: DataFrame, edges: DataFrame, max_depth: int = S.DEPTH_MAX) ->
         reached = pubs.join(e, "pub").select("author").distinct()
         new = reached.join(visited.select("author"), "author", "left_anti").withColumn("depth", F.lit(d + 1))
         visited = cut_lineage(visited.unionByName(new))
+        if d == max_depth - 1:
+            break  # last level allowed: no need to test for growth
         grown = visited.count()
         if grown == size:
             break
