@@ -415,14 +415,17 @@ def text(nodes: Column, el: Column, sep: str = "", strip: bool = False,
     ones (``get_text(strip=True)``); script/style bodies and comments are
     left out. ``exclude`` is an array of elements whose subtrees are
     removed first (H11, ``decompose``)."""
-    def body(e):
-        pieces = F.filter(subtree(nodes, e), lambda n: n["tag"] == TEXT)
+    # one pass: non-text (and, with strip, empty) pieces become null, which
+    # array_join skips
+    def piece(n):
+        keep = n["tag"] == TEXT
         if exclude is not None:
-            pieces = F.filter(pieces, lambda n: ~F.exists(exclude, lambda x: (x["id"] < n["id"]) & (n["id"] <= x["last"])))
-        vals = F.transform(pieces, lambda n: X.utrim(n["text"]) if strip else n["text"])
-        if strip:
-            vals = F.filter(vals, lambda v: v != "")
-        return F.when(e.isNotNull(), F.array_join(vals, sep))
+            keep = keep & ~F.exists(exclude, lambda x: (x["id"] < n["id"]) & (n["id"] <= x["last"]))
+        value = F.nullif(X.utrim(n["text"]), F.lit("")) if strip else n["text"]
+        return F.when(keep, value)
+
+    def body(e):
+        return F.when(e.isNotNull(), F.array_join(F.transform(subtree(nodes, e), piece), sep))
     return let(el, body)
 
 
@@ -477,9 +480,8 @@ def visible_text(nodes: Column, sep: str = " ") -> Column:
     """Whole-page ``get_text(separator=sep, strip=True)``: every text piece,
     stripped, empty ones dropped; script/style bodies and comments are not
     text (they are ``#raw`` / ``#comment`` nodes)."""
-    vals = F.filter(F.transform(F.filter(nodes, lambda n: n["tag"] == TEXT), lambda n: X.utrim(n["text"])),
-                    lambda v: v != "")
-    return F.array_join(vals, sep)
+    return F.array_join(F.transform(nodes, lambda n: F.when(n["tag"] == TEXT, F.nullif(X.utrim(n["text"]), F.lit("")))),
+                        sep)
 
 
 def has_phrase(nodes: Column, phrase: Column | str) -> Column:
