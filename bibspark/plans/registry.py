@@ -85,3 +85,13 @@ register_source(SourceSpec(
 register_source(SourceSpec(
     S.IFACE_CORE, S.VARIANT_CORE,
     {S.CLASS_CONFERENCE: lambda p: core.conferences(p, ["request_id", "page_no"])[0]}))
+
+
+def sql_view(spark, iface: str, phase: int, pages_view: str, out_view: str) -> DataFrame:
+    """E5 for SQL users: the records a source extracts from the pages in
+    ``pages_view`` become the temporary view ``out_view`` (one page → many
+    records), so ``SELECT ... FROM out_view`` works from SQL. Extraction
+    stays a DataFrame job; no per-row Python table function is involved."""
+    records = extract(iface, phase, spark.table(pages_view))
+    records.createOrReplaceTempView(out_view)
+    return records

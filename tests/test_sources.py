@@ -58,3 +58,14 @@ def test_registry(spark):
     registry.register_source(spec)
     out = registry.extract("toy", 1, spark.createDataFrame([(1,)], "x INT")).collect()
     assert out[0]["x"] == 2 and out[0]["tag"] == "t"
+
+
+def test_sql_view(spark):
+    row = "<tr>" + "".join(f"<td>{i}</td>" for i in range(13)) + "</tr>"
+    html = ('<div class="pagination">1 - 1 of 1</div><div class="table_wrap"><table><thead><tr>'
+            f'<th title="SJR 2020">x</th></tr></thead><tbody>{row}</tbody></table></div>')
+    spark.createDataFrame([("r1", 1, html)], "request_id STRING, page_no INT, html STRING") \
+        .createOrReplaceTempView("scimago_pages_t")
+    registry.sql_view(spark, S.IFACE_SCIMAGO, S.CLASS_JOURNAL, "scimago_pages_t", "scimago_journals_t")
+    r = spark.sql("SELECT request_id, year, is_end, title FROM scimago_journals_t").collect()
+    assert [(x["request_id"], x["year"], x["is_end"], x["title"]) for x in r] == [("r1", 2020, True, "1")]
