@@ -45,3 +45,16 @@ def test_page_ingest_stream(spark):
     q.awaitTermination()
     got = {r["page_id"]: r["blocked"] for r in streams.read_versioned(spark, f"{base}/out", ["page_id"]).collect()}
     assert got == {1: True, 2: False}
+
+
+def test_dedupe_with_ttl(spark):
+    base = tempfile.mkdtemp(prefix="bibspark-ttl-")
+    msgs = spark.createDataFrame([("t", "A", False, "2024-01-01 00:00:00"), ("t", "A", False, "2024-01-01 00:10:00"),
+                                  ("t", "B", False, "2024-01-01 00:20:00"), ("s", "A", True, "2024-01-01 00:30:00")],
+                                 "message_type STRING, expected_id STRING, system_message BOOLEAN, ts STRING") \
+        .withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    msgs.write.parquet(f"{base}/in")
+    s = spark.readStream.schema(msgs.schema).parquet(f"{base}/in")
+    d = streams.dedupe(s, ["message_type", "expected_id"], "system_message", ts_col="ts", ttl="30 days")
+    out = streams.run_available(spark, d, "t1ttl")
+    assert sorted((r["message_type"], r["expected_id"]) for r in out.collect()) == [("s", "A"), ("t", "A"), ("t", "B")]
