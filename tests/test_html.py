@@ -131,3 +131,13 @@ def test_dblp_entry_years(spark):
             '<ul><li class="entry">d</li></ul></div>')
     got = [r["year"] for r in dblp.entry_years(pages(spark, html), ["page_no"]).orderBy("pos").collect()]
     assert got == ["2021", "2021", "Unknown", "Unknown"]
+
+
+def test_dblp_candidates(spark):
+    html = ('<div id="completesearch-authors"><ul class="result-list">'
+            '<li><a href="https://dblp.org/pid/1"><span itemprop="name">Ada Love</span></a> <small>Univ Pisa</small></li>'
+            '<li><a href="https://dblp.org/pid/2"><span itemprop="name">Ada Lovelace</span></a> <small>MIT</small></li>'
+            '</ul></div><a href="https://elsewhere/">x</a>')
+    out = dblp.candidates(pages(spark, html), ["page_no"]).orderBy("pos").collect()
+    assert [(r["pos"], r["name"], r["href"], r["org"]) for r in out] == [
+        (0, "Ada Love", "https://dblp.org/pid/1", "Univ Pisa"), (1, "Ada Lovelace", "https://dblp.org/pid/2", "MIT")]
