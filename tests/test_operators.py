@@ -124,3 +124,21 @@ def test_ndjson_roundtrip_and_json_rules(spark, tmp_path):
     a = [r["id"] for r in seeds.shuffled(spark.range(50), 7).collect()]
     b = [r["id"] for r in seeds.shuffled(spark.range(50), 7).collect()]
     assert a == b and sorted(a) == list(range(50))
+
+
+def test_pairing_counts_lists_lookup(spark):
+    names = spark.createDataFrame([("q", 0, "a"), ("q", 1, "b")], "q STRING, pos INT, name STRING")
+    orgs = spark.createDataFrame([("q", 0, "x")], "q STRING, pos INT, org STRING")
+    z = sorted((r["pos"], r["name"], r["org"]) for r in resolve.zip_positional(names, orgs, ["q"]).collect())
+    assert z == [(0, "a", "x"), (1, "b", None)]
+    pages = spark.createDataFrame([("l", 1), ("l", 1), ("l", 2), ("m", 1)], "l STRING, p INT")
+    assert sorted((r["l"], r["n_items"], r["n_pages"]) for r in paging.page_counts(pages, ["l"], "p").collect()) == \
+        [("l", 3, 2), ("m", 1, 1)]
+    items = spark.createDataFrame([("k", i, f"v{i}") for i in range(7)] + [("j", 0, "w")], "k STRING, o INT, v STRING")
+    lists = {(r["k"], r["chunk"]): [x["v"] for x in r["items"]]
+             for r in paging.bounded_lists(items, ["k"], ["o"], ["v"], 3).collect()}
+    assert lists == {("k", 0): ["v0", "v1", "v2"], ("k", 1): ["v3", "v4", "v5"], ("k", 2): ["v6"], ("j", 0): ["w"]}
+    keys = spark.createDataFrame([("db", "a"), ("db", "zz")], "entity_db STRING, _id STRING")
+    docs = spark.createDataFrame([("db", "a", "r1")], "entity_db STRING, _id STRING, _rev STRING")
+    got = sorted(((r["_id"], r["_rev"]) for r in store.lookup(keys, docs).collect()), key=str)
+    assert got == [("a", "r1"), ("zz", None)]
