@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup
+from . import bpe, exact_dedup, kd_shards, toxicity
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op7_kd_shards": kd_shards.op7_kd_shards,
     "op9_byte_bpe": bpe.op9_byte_bpe,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
