@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, kd_shards, toxicity
+from . import bpe, exact_dedup, kd_shards, secrets, toxicity
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op6_secrets": secrets.op6_secrets,
     "op7_kd_shards": kd_shards.op7_kd_shards,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_toxicity": toxicity.op10_toxicity,
