@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, kd_shards, secrets, toxicity
+from . import bpe, exact_dedup, html_extract, kd_shards, secrets, toxicity
 
 QUERIES = {
+    "op1_html_extract": html_extract.op1_html_extract,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op6_secrets": secrets.op6_secrets,
     "op7_kd_shards": kd_shards.op7_kd_shards,
@@ -12,5 +13,6 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {
+    "op1_html_extract": html_extract.OP1_SQL,
     "op3_exact_dedup": exact_dedup.OP3_SQL,
 }
