@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, html_extract, kd_shards, secrets, toxicity
+from . import bpe, decontaminate, exact_dedup, html_extract, kd_shards, secrets, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_html_extract": html_extract.op1_html_extract,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_secrets": secrets.op6_secrets,
     "op7_kd_shards": kd_shards.op7_kd_shards,
