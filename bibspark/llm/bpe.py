@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import table
 from .common import id_text, strings
@@ -196,24 +197,38 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
     return coded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, raw binary")
 
 
-def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encode and decode in one
-    pass, so the id lists never leave the task."""
+_HASHES = ["n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def _hashes(own: Codec, texts: list[str]) -> list[pa.Array]:
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    coded = own.code_chunks(texts)
+    return [pa.array([sum(len(c[0]) for c in chunks) for chunks in coded], pa.int64()),
+            pa.array([sha(",".join(map(itemgetter(1), chunks)).encode()) for chunks in coded], pa.string()),
+            pa.array([sha(b"".join(map(itemgetter(2), chunks))) for chunks in coded], pa.string())]
+
+
+def round_trip(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
+    """The columns of docs with n_tokens, ids_sha256, decoded_sha256: encode
+    and decode in one pass, so the id lists never leave the task."""
     path = path or vocabulary_path()
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
-            for ids, texts in _groups(b):
-                coded = own.code_chunks(texts)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(ids, pa.int64()), pa.array([sum(len(c[0]) for c in chunks) for chunks in coded], pa.int64()),
-                    pa.array([sha(",".join(map(itemgetter(1), chunks)).encode()) for chunks in coded]),
-                    pa.array([sha(b"".join(map(itemgetter(2), chunks))) for chunks in coded])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            texts, a = strings(b.column(at)), 0
+            while a < len(texts):
+                z, size = a, 0
+                while z < len(texts) and size < GROUP_BYTES:
+                    size += len(texts[z])
+                    z += 1
+                yield pa.RecordBatch.from_arrays([*b.slice(a, z - a).columns, *_hashes(own, texts[a:z])], [*b.schema.names, *_HASHES])
+                a = z
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = T.StructType([*docs.schema.fields, T.StructField(_HASHES[0], T.LongType()), *[T.StructField(h, T.StringType()) for h in _HASHES[1:]]])
+    return docs.mapInArrow(run, schema)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip(table(spark, sf_dir, "documents"))
+    return round_trip(id_text(table(spark, sf_dir, "documents"))).drop("text")

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 #: The white space that separates words and that exact dedup removes.
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -40,3 +42,21 @@ def fold_of(id_column: Column) -> Column:
 def fold_of_id(doc_id: int | None) -> int:
     """The same fold in plain Python."""
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 5
+
+
+def text_key(text_col: str = "text") -> Column:
+    """Tells rows of one doc_id apart by their text."""
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
+def keep_chosen(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of docs by decisions (doc_id, text_key, kept), one per decided
+    row: rows without a decision stay, dropped rows go. Where identical rows
+    have both decisions, one of them stays."""
+    fates = cut_lineage(decided.groupBy("doc_id", "text_key").agg(F.max("kept").alias("some"), F.min("kept").alias("every")).where(~F.col("every")))
+    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__key": text_key(text_col)})
+    same = keyed["__id"].eqNullSafe(fates["doc_id"]) & (keyed["__key"] == fates["text_key"])
+    stay = keyed.join(fates, same, "left_anti")
+    mixed = fates.where("some").select(F.col("doc_id").alias("m_id"), F.col("text_key").alias("m_key"))
+    one = keyed.join(mixed, keyed["__id"].eqNullSafe(mixed["m_id"]) & (keyed["__key"] == mixed["m_key"]), "left_semi").dropDuplicates(["__id", "__key"])
+    return stay.unionByName(one).select(docs.columns)

@@ -22,6 +22,7 @@ are matched each on its own; very long texts are processed whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -178,49 +179,72 @@ class Index:
         return out
 
 
+def _batch_matches(own: Index, raw: list[bytes]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(text, item, edits, first byte, end byte) of a batch's matches."""
+    texts = [t.replace(b"\x00", b" ") for t in raw]
+    a = 0
+    while a < len(texts):
+        z, size = a, 0
+        while z < len(texts) and size < GROUP_BYTES:
+            size += len(texts[z])
+            z += 1
+        ends = np.cumsum([len(t) + 1 for t in texts[a:z]])
+        joined, at = normalise(b"\x00".join([*texts[a:z], b""]))
+        for item, edits, start, end in own.matches(joined):
+            first, last = int(at[start]), int(at[end - 1]) + 1
+            k = int(np.searchsorted(ends, first, side="right"))
+            base = int(ends[k]) - len(texts[a + k]) - 1
+            yield a + k, item, edits, first - base, min(last - base, len(texts[a + k]))
+        a = z
+
+
 def _matches(docs: DataFrame, items: list[tuple[int, bytes]], rate: float) -> DataFrame:
     index = docs.sparkSession.sparkContext.broadcast(Index(items, rate))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = index.value
+        chars = lambda x: len(x.decode("utf-8", "replace"))
         for b in batches:
-            ids, texts = b.column("doc_id").to_pylist(), [t.replace(b"\x00", b" ") for t in utf8(b.column("text"))]
-            rows: list[tuple] = []
-            a = 0
-            while a < len(texts):
-                z, size = a, 0
-                while z < len(texts) and size < GROUP_BYTES:
-                    size += len(texts[z])
-                    z += 1
-                ends = np.cumsum([len(t) + 1 for t in texts[a:z]])
-                joined, at = normalise(b"\x00".join([*texts[a:z], b""]))
-                for item, edits, start, end in own.matches(joined):
-                    first, last = int(at[start]), int(at[end - 1]) + 1
-                    k = int(np.searchsorted(ends, first, side="right"))
-                    base = int(ends[k]) - len(texts[a + k]) - 1
-                    raw = texts[a + k]
-                    last = min(last - base, len(raw))
-                    head = len(raw[:first - base].decode("utf-8", "replace"))
-                    rows.append((ids[a + k], own.ids[item], head, head + len(raw[first - base:last].decode("utf-8", "replace")), edits, len(own.texts[item])))
-                a = z
+            ids, texts = b.column("doc_id").to_pylist(), utf8(b.column("text"))
+            rows = []
+            for k, item, edits, first, end in _batch_matches(own, texts):
+                head = chars(texts[k][:first])
+                rows.append((ids[k], own.ids[item], head, head + chars(texts[k][first:end]), edits, len(own.texts[item])))
             cols = list(zip(*rows)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "start", "end", "edits", "item_bytes"])
 
     return docs.mapInArrow(run, "doc_id long, item_id long, start long, end long, edits long, item_bytes long")
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """doc_id, item_id, start, end (code points of the text), edits,
-    item_bytes: every region of a document within the edit budget of an item."""
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, bytes]]]:
+    """The query set in blocks of about BLOCK_BYTES."""
     items = id_text(benchmark, item_col, text_col).where(F.col("text").isNotNull())
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // BLOCK_BYTES) or 1
-    out = None
     for k in range(blocks):
-        block = [(r.doc_id, r.text.encode()) for r in items.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)) == k).collect()]
-        found = _matches(id_text(docs, id_col, text_col), block, rate)
-        out = found if out is None else out.unionByName(found)
-    return out
+        yield [(r.doc_id, r.text.encode()) for r in items.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)) == k).collect()]
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """doc_id, item_id, start, end (code points of the text), edits,
+    item_bytes: every region of a document within the edit budget of an item."""
+    rows = id_text(docs, id_col, text_col)
+    return reduce(DataFrame.unionByName, [_matches(rows, block, rate) for block in _blocks(benchmark, item_col, text_col)])
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """The rows of docs without a match, all columns."""
+    at = docs.columns.index(text_col)
+    for block in _blocks(benchmark, item_col, "text"):
+        index = docs.sparkSession.sparkContext.broadcast(Index(block, rate))
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                leaking = {m[0] for m in _batch_matches(index.value, utf8(b.column(at)))}
+                yield b.filter(pa.array([k not in leaking for k in range(b.num_rows)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, table
-from .common import SPACE, id_text, utf8
+from .common import SPACE, id_text, keep_chosen, text_key, utf8
 
 #: Misra-Gries counters; also the bound on the broadcast winners.
 COUNTERS = 1024
 
-_DIGEST_SCHEMA = "doc_id long, digest binary, n_code long, row long"
+_DIGEST_SCHEMA = "doc_id long, text_key long, digest binary, n_code long, row long"
 
 
 def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,12 +44,12 @@ def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         lengths = pc.fill_null(pc.utf8_length(b.column("text")), 0).cast(pa.int64())
         rows = pa.array(range(row, row + b.num_rows), pa.int64())
         row += b.num_rows
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(digests, pa.binary()), lengths, rows], ["doc_id", "digest", "n_code", "row"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(digests, pa.binary()), lengths, rows], ["doc_id", "text_key", "digest", "n_code", "row"])
 
 
 def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, digest, n_code (code points), row (unique per row of this run)."""
-    return id_text(docs, id_col, text_col).mapInArrow(_digest_batches, _DIGEST_SCHEMA)
+    """doc_id, text_key, digest, n_code (code points), row (unique per row of this run)."""
+    return id_text(docs, id_col, text_col).withColumn("text_key", text_key("text")).mapInArrow(_digest_batches, _DIGEST_SCHEMA)
 
 
 def misra_gries(keys: DataFrame, column: str, counters: int = COUNTERS) -> DataFrame:
@@ -79,7 +79,8 @@ def _winner() -> list:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256,
+    text_key."""
     rows = cut_lineage(digest_rows(docs, id_col, text_col))
     frequent = misra_gries(rows, "digest", counters).where("n > 1").select(F.col("key").alias("digest"))
     heavy = rows.join(F.broadcast(frequent), "digest").groupBy("digest").agg(*_winner())
@@ -90,11 +91,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rest.join(winners, "digest").select(*rows.columns, "best", "group_size"))
     return both.select(
         "doc_id", F.col("best.c").alias("keep_id"), "group_size",
-        (F.col("best.d") == F.col("row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+        (F.col("best.d") == F.col("row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "text_key")
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay."""
+    found = cut_lineage(exact_dedup(docs, id_col, text_col).where("group_size > 1").select("doc_id", "text_key", "kept"))
+    return keep_chosen(docs, found, id_col, text_col)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 OP3_SQL = r"""

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, html_extract, kd_shards, secrets, suffix_dedup, toxicity
+from . import bpe, decontaminate, exact_dedup, html_extract, jaccard_join, kd_shards, secrets, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_html_extract": html_extract.op1_html_extract,
+    "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_decontaminate": decontaminate.op5_decontaminate,

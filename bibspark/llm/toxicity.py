@@ -137,35 +137,51 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out_f
     return keep, FactorizationMachine.fit(x[order], np.array([r.y for r in rows], np.float32)[order])
 
 
-def score(docs: DataFrame, model: tuple[dict[int, int], FactorizationMachine] | None, id_col: str = "doc_id", text_col: str = "text", extra: list[str] | None = None) -> DataFrame:
-    """The id (and ``extra`` columns) of every row with its score."""
-    extra = extra or []
+def _scores(model: tuple[dict[int, int], FactorizationMachine] | None):
+    """A function from texts to scores with a bounded memory of words."""
+    known: dict[str, tuple[int, ...]] = {}
+
+    def run(texts: list[str]) -> list[float]:
+        if model is None:
+            return [0.0] * len(texts)
+        keep, machine = model
+        out = []
+        for text in texts:
+            words = words_of(text)
+            for w in words.difference(known):
+                known[w] = tuple(keep[p] for p in places_of(w) if p in keep)
+            out.append(machine.score(sorted({i for w in words for i in known[w]})))
+            if len(known) > CACHE_WORDS:
+                known.clear()
+        return out
+
+    return run
+
+
+def score(docs: DataFrame, model: tuple[dict[int, int], FactorizationMachine] | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and score of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int, ...]] = {}
+        scores = _scores(model)
         for b in batches:
-            scores = []
-            for text in strings(b.column("__text")):
-                if model is None:
-                    scores.append(0.0)
-                    continue
-                keep, machine = model
-                words = words_of(text)
-                for w in words.difference(known):
-                    known[w] = tuple(keep[p] for p in places_of(w) if p in keep)
-                scores.append(machine.score(sorted({i for w in words for i in known[w]})))
-                if len(known) > CACHE_WORDS:
-                    known = {}
-            i = b.schema.get_field_index("__text")
-            yield pa.RecordBatch.from_arrays([c for k, c in enumerate(b.columns) if k != i] + [pa.array(scores, pa.float64())], [n for n in b.schema.names if n != "__text"] + ["__score"])
-
-    named = docs.select(*[F.col(c) for c in [id_col, *extra]], F.col(text_col).cast("string").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema if f.name != "__text")
-    return named.mapInArrow(run, f"{schema}, __score double")
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores(strings(b.column("text"))), pa.float64())], ["doc_id", "score"])
+
+    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+
+
+def without_toxic(docs: DataFrame, model: tuple[dict[int, int], FactorizationMachine] | None, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs that score below the threshold, all columns."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = _scores(model)
+        for b in batches:
+            yield b.filter(pa.array([s < threshold for s in scores(strings(b.column(at)))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return scored.select(F.col("doc_id").cast("long").alias("doc_id"), (fold_of(F.col("doc_id")) == 0).alias("held_out"),
-                         F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -1,9 +1,58 @@
-"""Placeholder of the corpus pipeline; stages follow with their operators."""
-from bibspark.llm import exact_dedup, bpe  # noqa: F401
+"""The corpus pipeline: toxicity, exact dedup, near dedup, decontamination,
+tokenisation. Every stage works on all rows its predecessor kept, its result
+is written as Parquet and read again as the next one's documents.
+
+``ORACLE_SQL`` is None: no stage but exact dedup can be said in SQL. The
+stages are tested against brute force instead (tests/llm).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from bibspark.llm import bpe, decontaminate, exact_dedup, jaccard_join, toxicity
+from bibspark.session import scratch_path, table
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go; the machine is fitted on the
+    labelled rows of these documents."""
+    return toxicity.without_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents equal but for white space, the longest stays."""
+    return exact_dedup.without_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents connected by similar 5-gram sets, the smallest id stays."""
+    return jaccard_join.one_per_group(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark go."""
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their token counts and the hashes of their ids and
+    of the decoded bytes."""
+    return bpe.round_trip(docs)
+
+
+STAGES = [("toxicity", reject_toxic), ("exact_dedup", drop_copies), ("jaccard_join", drop_near_copies),
+          ("decontamination", drop_leaks), ("byte_bpe", tokenise)]
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            path = scratch_path(spark, f"pipeline-{name}")
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+    return docs
