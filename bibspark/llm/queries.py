@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, html_extract, jaccard_join, kd_shards, secrets, suffix_dedup, toxicity
+from . import bpe, context_mixing, decontaminate, exact_dedup, html_extract, jaccard_join, kd_shards, secrets, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_html_extract": html_extract.op1_html_extract,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_secrets": secrets.op6_secrets,
     "op7_kd_shards": kd_shards.op7_kd_shards,
+    "op8_context_mixing": context_mixing.op8_context_mixing,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_toxicity": toxicity.op10_toxicity,
 }
