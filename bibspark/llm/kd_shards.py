@@ -31,6 +31,8 @@ from ..session import cut_lineage, table
 SLACK = 0.005
 #: Rows numbered together when slots are given out.
 SLOT_BLOCK = 20_000
+#: Narrow rows a task takes in the passes over the coordinates.
+TASK_ROWS = 250_000
 _BITS, _ROUNDS = 16, 4
 
 
@@ -70,7 +72,7 @@ def _cuts(rows: DataFrame, n_dims: int) -> DataFrame:
                                 F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("below"), F.lit(0).cast("long").alias("at")))
     for k in range(_ROUNDS):
         shift = _BITS * (_ROUNDS - 1 - k)
-        found = rows.join(state, "node").withColumn("key", _key(n_dims))
+        found = rows.join(F.broadcast(state), "node").withColumn("key", _key(n_dims))
         if k:  # rows that share the bits found so far
             found = found.where(F.shiftright("key", shift + _BITS) == F.col("prefix"))
         sums = found.groupBy("node", F.shiftright("key", shift).alias("bucket")).agg(
@@ -98,6 +100,8 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
     n_dims = len(cats) + 2
     rows = cut_lineage(points(docs, id_col, text_col, cats))
     total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    # partitions that fit the narrow rows, however many the texts needed
+    rows = rows.coalesce(max(1, -(-count // TASK_ROWS)))
     leaves = shards if shards else max(1, -(-total // max(1, target_bytes or total or 1)))
     leaf = max(1.0, total / leaves)
     # leaves below a node are numbered from `first`
@@ -106,7 +110,7 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
     while parts > 1:
         splits = rows.where("leaves > 1")
         cuts = _cuts(splits, n_dims).select("node", "dim", "cut", "below", "at", "goal")
-        joined = rows.join(cuts, "node", "left").withColumn("key", F.when(F.col("dim").isNotNull(), _key(n_dims)))
+        joined = rows.join(F.broadcast(cuts), "node", "left").withColumn("key", F.when(F.col("dim").isNotNull(), _key(n_dims)))
         share = (F.col("goal") - F.col("below")) / F.col("at")
         on_cut = F.when(F.col("at") > slack * leaf, F.col("chance") < share * float(1 << 31)).otherwise(share >= 0.5)
         left = F.when(F.col("key") == F.col("cut"), on_cut).otherwise(F.col("key") < F.col("cut"))
