@@ -2,8 +2,7 @@
 
 All counters are plain ``groupBy`` aggregates (partial + final). Sequential
 numbering within a type (W3) is computed without giving a whole type to one
-task: the rows of a type are cut into key-range blocks, each block numbers its rows locally, and a
-tiny (type, block) table of counts turns local numbers into global ones.
+task: see :func:`sequence_number`.
 """
 
 from __future__ import annotations
@@ -12,7 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..session import cut_lineage
 
 
 def type_counts(msgs: DataFrame, type_col: str = "message_type") -> DataFrame:
@@ -47,77 +47,36 @@ def new_items(candidates: DataFrame, registered: DataFrame, key: Sequence[str])
             .select(*key, F.col("__seen").isNull().alias("is_new")))
 
 
-def block_bounds(df: DataFrame, keys: Sequence[str], blocks: int, sample_per_block: int = 64) -> list[tuple]:
-    """``blocks - 1`` ascending boundary keys from a deterministic sample.
-
-    The sample is the ``blocks * sample_per_block`` rows with the smallest
-    hash of the key (a per-task top-k and one small merge), so it is
-    bounded, needs no count, and is the same on every run and recompute.
-    """
-    m = blocks * sample_per_block
-    sample = (df.select(*keys).orderBy(F.xxhash64(*keys), *keys).limit(m)
-              .orderBy(*keys).collect())
-    if len(sample) < 2:
-        return []
-    step = len(sample) / blocks
-    picks = sorted({int(step * i) for i in range(1, blocks)} - {0})
-    return [tuple(sample[i]) for i in picks if i < len(sample)]
-
-
-def _sql_literal(v, dtype: T.DataType) -> str:
-    """SQL text of a boundary value, typed like its column."""
-    if v is None:
-        return f"CAST(NULL AS {dtype.simpleString()})"
-    if isinstance(dtype, T.StringType):
-        return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
-    if isinstance(dtype, T.BooleanType):
-        return "true" if v else "false"
-    return f"CAST('{v}' AS {dtype.simpleString()})"
-
-
-def block_of(df: DataFrame, keys: Sequence[str], bounds: list[tuple]) -> Column:
-    """Block number of a row: how many boundaries are <= its key, found by
-    a binary search written as one nested CASE (log2(blocks) comparisons)."""
-    if not bounds:
-        return F.lit(0)
-    key = "named_struct(" + ", ".join(f"'{c}', `{c}`" for c in keys) + ")"
-    lits = ["named_struct(" + ", ".join(f"'{c}', {_sql_literal(v, df.schema[c].dataType)}"
-                                        for c, v in zip(keys, b)) + ")" for b in bounds]
-
-    def search(lo: int, hi: int) -> str:  # answer lies in [lo, hi]
-        if lo == hi:
-            return str(lo)
-        mid = (lo + hi + 1) // 2
-        return f"CASE WHEN {key} >= {lits[mid - 1]} THEN {search(mid, hi)} ELSE {search(lo, mid - 1)} END"
-    return F.expr(search(0, len(bounds)))
-
-
 def sequence_number(df: DataFrame, group: Sequence[str], order: Sequence[str],
-                    blocks: int | None = None, col: str = "seq") -> DataFrame:
+                    col: str = "seq") -> DataFrame:
     """0-based position of each row inside its group, in ``order``.
 
     ``order`` must make rows unique inside a group. Same result as
     ``row_number() - 1`` over ``partitionBy(group).orderBy(order)``, but a
-    group is never numbered by one task: rows are cut into key-range blocks
-    (boundaries from a bounded deterministic sample), each block is numbered
-    on its own, and a small (group, block) table of counts gives each block
-    its offset. A group holding a third of all rows spreads over about a
-    third of the blocks.
+    group is never numbered by one task: rows are range-partitioned by
+    (group, order) and sorted, stored once in the shared folder with their
+    place in the partition, and a small (group, partition) table of counts
+    moves each part of a group behind the parts before it. Storing first
+    fixes the partition bounds, so every later read sees the same ones. A
+    group holding a third of all rows spreads over about a third of the
+    partitions; nothing is collected.
     """
     group, order = list(group), list(order)
-    n = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = group + order
-    bounds = block_bounds(df, keys, n)
-    b = df.withColumn("__block", block_of(df, keys, bounds))
-    counts = b.groupBy(*group, "__block").agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(*group).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per (group, block): at most `blocks` rows per group
-    offsets = counts.select(*group, "__block", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__offset"))
-    local = F.row_number().over(Window.partitionBy(*group, "__block").orderBy(*order)) - 1
-    numbered = b.withColumn("__local", local)
-    out = numbered.join(offsets, group + ["__block"])
-    return out.withColumn(col, (F.col("__offset") + F.col("__local")).cast("long")).drop(
-        "__block", "__local", "__offset")
+    # partition number in the upper bits, place in the partition in the lower 33
+    stored = cut_lineage(df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+                         .withColumn("__id", F.monotonically_increasing_id()))
+    part = F.shiftright("__id", 33)
+    counts = stored.groupBy(*group, part.alias("__part")).agg(
+        F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))
+    before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per (group, partition)
+    offsets = counts.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], F.col("__part"),
+                            (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__move"))
+    numbered = stored.withColumn("__p", part)
+    same = [numbered["__p"] == offsets["__part"]] + [numbered[g].eqNullSafe(offsets[f"__g{i}"])
+                                                     for i, g in enumerate(group)]
+    return numbered.join(offsets, same).withColumn(col, F.col("__id") + F.col("__move")).select(*df.columns, col)
 
 
 def message_ids(msgs: DataFrame, type_col: str, order: Sequence[str]) -> Column:

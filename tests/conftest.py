@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -10,7 +11,8 @@ from bibspark.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = local_session("*", app="bibspark-tests", **{"spark.sql.shuffle.partitions": "8"})
+    s = local_session("*", app="bibspark-tests", **{"spark.sql.shuffle.partitions": "8",
+                                                    "spark.checkpoint.dir": tempfile.mkdtemp(prefix="bibspark-tests-")})
     yield s
 
 
