@@ -24,6 +24,13 @@ def end_flag(pagination_text) -> F.Column:
     return F.when(ok, end.try_cast(T.LongType()) == total.try_cast(T.LongType())).otherwise(F.lit(False))
 
 
+def page_flags(pages: DataFrame, keys: list[str]) -> DataFrame:
+    """X13 per page, also for pages without rows: ``keys`` and ``is_end``."""
+    p = with_nodes(pages.select(*keys, "html"))
+    pag = H.find(F.col("nodes"), index=F.col("nidx"), tag="div", cls="pagination")
+    return p.select(*keys, F.coalesce(end_flag(H.text(F.col("nodes"), pag, strip=True)), F.lit(False)).alias("is_end"))
+
+
 def journals(pages: DataFrame, keys: list[str]) -> DataFrame:
     """One row per ranking row with at least 13 cells.
 
@@ -68,9 +75,11 @@ def journals(pages: DataFrame, keys: list[str]) -> DataFrame:
 
 def typed(journals_df: DataFrame) -> DataFrame:
     """Typed view: SJR and ratios as doubles (``,`` as decimal mark), counts
-    as ints; unparseable text becomes null (raw text stays in ``*_raw``)."""
+    as ints (``,`` and ``.`` group digits); unparseable text becomes null (raw text stays in ``*_raw``)."""
     def num(c, t):
-        return F.regexp_replace(F.col(c), ",", ".").try_cast(t)
+        # ratios: a comma is the decimal mark; counts: commas and dots group digits
+        text = F.regexp_replace(F.col(c), "[.,]", "") if t == T.IntegerType() else F.regexp_replace(F.col(c), ",", ".")
+        return text.try_cast(t)
     ints = ["h_index", "total_docs", "total_docs_3years", "total_refs", "total_cites_3years", "citable_docs_3years"]
     dbl = ["cites_per_doc_2years", "refs_per_doc", "female_percent"]
     out = journals_df.withColumn("sjr", num("sjr_raw", T.DoubleType()))

@@ -24,7 +24,7 @@ def make_items(df: DataFrame, iface: str, phase_ref: int, priority: int, params:
                expected_id: Column, message_type: str, depth: Column | int = 1,
                ts: Column | None = None) -> DataFrame:
     """Typed work items; rows whose params are all null are dropped."""
-    roll = dict((p, r) for p, _, r in S.PHASES).get(phase_ref, False)
+    roll = S.ROLL_OVER.get((iface, phase_ref), False)
     params_arr = F.array(*[p.cast("string") for p in params])
     out = df.select(
         F.lit(iface).alias("iface"),
@@ -72,6 +72,19 @@ def drop_seen(candidates: DataFrame, seen: DataFrame, scope: str = "interface",
     return candidates.join(seen.select(*keys).distinct(), on=keys, how="left_anti")
 
 
+def distinct_items(items: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """J1 over derived items: one item per expected id, the one of least
+    depth, then priority (the reference keeps whichever thread came first);
+    ids in ``seen(expected_id)`` go. Items without an id are all kept."""
+    rank = F.struct("depth", "priority", "phase_ref", "params")
+    best = items.where(F.col("expected_id").isNotNull()).groupBy("expected_id").agg(
+        F.min_by(F.struct(*[c for c in items.columns if c != "expected_id"]), rank).alias("i"))
+    out = best.select("expected_id", "i.*").select(items.columns)
+    if seen is not None:
+        out = drop_seen(out, seen, scope="global")
+    return out.unionByName(items.where(F.col("expected_id").isNull()))
+
+
 def top(items: DataFrame, n: int) -> DataFrame:
     """O1: system first, then lower depth, lower priority, newer first.
 
@@ -83,36 +96,55 @@ def top(items: DataFrame, n: int) -> DataFrame:
 
 
 # ------------------------------------------------------ next-item derivation
+def _without_known(names: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Names that are not in the set of known authors (``author`` column)."""
+    if known is None:
+        return names
+    return names.join(known.select(F.col("author").alias("name")).distinct(), "name", "left_anti")
+
+
 def next_items_scholar_author(authors: DataFrame, known_pub_authors: DataFrame | None = None) -> DataFrame:
     """G1: one PUB item per listed publication, one AUTHOR item per coauthor
     that is not in the publication-author set. Input columns: ``author_id,
     depth, publications ARRAY<STRUCT<title,url,publication_id>>, coauthors``."""
     pubs = authors.select("depth", F.explode("publications").alias("p"))
     pub_items = make_items(pubs, S.IFACE_SCHOLAR, S.CLASS_PUB, S.PRIO_PUB, [F.col("p.url")],
-                           F.col("p.publication_id"), "FetchScholarlyData",
+                           F.col("p.publication_id"), S.MSG_FETCH_SCHOLAR,
                            child_depth(F.col("depth"), F.lit(True)))
-    co = authors.select("depth", F.explode("coauthors").alias("name"))
-    if known_pub_authors is not None:
-        co = co.join(known_pub_authors.select(F.col("author").alias("name")).distinct(), "name", "left_anti")
+    co = _without_known(authors.select("depth", F.explode("coauthors").alias("name")), known_pub_authors)
     co_items = make_items(co, S.IFACE_SCHOLAR, S.CLASS_AUTHOR, S.PRIO_AUTHOR, [F.col("name")],
-                          F.col("name"), "FetchScholarlyData", child_depth(F.col("depth"), F.lit(False)))
-    return pub_items.unionByName(co_items)
+                          F.col("name"), S.MSG_FETCH_SCHOLAR, child_depth(F.col("depth"), F.lit(False)))
+    return distinct_items(pub_items.unionByName(co_items))
 
 
-def next_items_scholar_pub(pubs: DataFrame) -> DataFrame:
-    """One AUTHOR item per author name of a publication."""
-    a = pubs.select("depth", F.explode("authors").alias("name"))
-    return make_items(a, S.IFACE_SCHOLAR, S.CLASS_AUTHOR, S.PRIO_AUTHOR, [F.col("name")], F.col("name"),
-                      "FetchScholarlyData", child_depth(F.col("depth"), F.lit(False)))
+def next_items_scholar_pub(pubs: DataFrame, known_pub_authors: DataFrame | None = None) -> DataFrame:
+    """One AUTHOR item per author name of a publication, once per name
+    (least depth), without the names already in the publication-author set."""
+    a = _without_known(pubs.select("depth", F.explode("authors").alias("name")), known_pub_authors)
+    return distinct_items(make_items(a, S.IFACE_SCHOLAR, S.CLASS_AUTHOR, S.PRIO_AUTHOR, [F.col("name")], F.col("name"),
+                                     S.MSG_FETCH_SCHOLAR, child_depth(F.col("depth"), F.lit(False))))
 
 
 def next_items_dblp(docs: DataFrame) -> DataFrame:
-    """One PUB item per distinct co-author of each listed publication."""
-    a = (docs.select("depth", F.explode("publications").alias("p"))
-         .select("depth", F.explode("p.authors").alias("name"))
-         .groupBy("name").agg(F.min("depth").alias("depth")))
-    return make_items(a, S.IFACE_DBLP, S.CLASS_PUB, S.PRIO_PUB, [F.col("name")], F.col("name"),
-                      "FetchDblpData", child_depth(F.col("depth"), F.lit(False)))
+    """One PUB item per distinct co-author of each listed publication.
+    ``docs`` holds author records (``publications`` arrays) or extracted
+    publication rows (``authors``)."""
+    rows = docs
+    if "publications" in docs.columns:
+        rows = docs.select("depth", F.explode("publications").alias("p")).select("depth", F.col("p.authors").alias("authors"))
+    a = rows.select("depth", F.explode("authors").alias("name"))
+    return distinct_items(make_items(a, S.IFACE_DBLP, S.CLASS_PUB, S.PRIO_PUB, [F.col("name")], F.col("name"),
+                                     S.MSG_FETCH_DBLP, child_depth(F.col("depth"), F.lit(False))))
+
+
+def next_items_scimago(pages: DataFrame) -> DataFrame:
+    """The page after every fetched ranking page that is not the last.
+    Columns ``year, page_no, is_end, depth``; a page without rows counts too."""
+    nxt = pages.where(~F.coalesce(F.col("is_end"), F.lit(False))).select(
+        "depth", F.col("year").cast("string").alias("year"), (F.col("page_no") + 1).cast("string").alias("page"))
+    return distinct_items(make_items(nxt, S.IFACE_SCIMAGO, S.CLASS_JOURNAL, S.PRIO_JOURNAL, [F.col("year"), F.col("page")],
+                                     F.concat_ws("_", "year", "page"), S.MSG_FETCH_SCIMAGO,
+                                     child_depth(F.col("depth"), F.lit(True))))
 
 
 def next_items_core(docs: DataFrame) -> DataFrame:
@@ -157,18 +189,3 @@ def expand(seeds: DataFrame, edges: DataFrame, max_depth: int = S.DEPTH_MAX) ->
             break
         size = grown
     return visited.select(F.col("author"), F.col("depth").cast("int").alias("depth"))
-
-
-def expand_sql(spark, seeds_view: str, edges_view: str, max_depth: int = S.DEPTH_MAX) -> DataFrame:
-    """The same walk as a recursive CTE (Spark 4.1 ``WITH RECURSIVE``), as a
-    cross-check of :func:`expand` on small inputs."""
-    return spark.sql(f"""
-        WITH RECURSIVE walk(author, depth) AS (
-          SELECT author, 1 FROM {seeds_view}
-          UNION ALL
-          SELECT DISTINCT e2.author, w.depth + 1
-          FROM walk w JOIN {edges_view} e1 ON e1.author = w.author
-                      JOIN {edges_view} e2 ON e2.pub = e1.pub
-          WHERE w.depth < {int(max_depth)}
-        )
-        SELECT author, CAST(min(depth) AS INT) AS depth FROM walk GROUP BY author""")

@@ -61,40 +61,48 @@ def last_write(batch: DataFrame, key: Sequence[str], order: Sequence[str]) -> Da
     return batch.groupBy(*key).agg(best).select(*key, *[F.col(f"__best.{c}").alias(c) for c in payload])
 
 
+def restamped(count: Column) -> Column:
+    """S5's counter for a document that exists: one more, or 1."""
+    return F.coalesce(count + 1, F.lit(1))
+
+
 def upsert(old: DataFrame, new: DataFrame, as_of: str, doc_type: Column | str | None = None,
-           key: Sequence[str] = ("_id",), count_mode: str = "incoming") -> DataFrame:
+           key: Sequence[str] = ("_id",), count_mode: str = "incoming", again: str | None = None) -> DataFrame:
     """Keyed upsert; returns the full new snapshot.
 
-    Incoming documents are stamped (``type``, ``update_date = as_of``). When
-    the key exists, ``update_count`` becomes incoming count + 1 (or 1 when the
+    Incoming documents are stamped (``type``, ``update_date = as_of``) and
+    replace the stored ones whole: columns only they have stay, columns they
+    lack become null. When the key exists (or the flag column ``again`` holds:
+    the batch wrote it before), ``update_count`` becomes incoming count + 1 (or 1 when the
     incoming document has none) and ``_rev`` is taken from the stored one; a
     brand-new key keeps its incoming count. ``count_mode='stored'`` counts
     from the stored document instead. Keys only in ``old`` pass unchanged.
     """
     key = list(key)
-    cols = [c for c in old.columns if c not in key]
-    o = old.select(*key, *[F.col(c).alias(f"o__{c}") for c in cols], F.lit(True).alias("o__present"))
-    n = new.select(*key, *[F.col(c).alias(f"n__{c}") for c in new.columns if c not in key],
-                   F.lit(True).alias("n__present"))
+    flag = F.lit(False) if again is None else F.col(again)
+    new = new.select(*[c for c in new.columns if c != again], flag.alias("__again"))
+    kinds = {f.name: f.dataType for f in [*new.schema, *old.schema]}
+    cols = [*[c for c in old.columns if c not in key], *[c for c in new.columns if c not in [*key, "__again"] and c not in old.columns]]
+    o = old.select(*key, *[F.col(c).alias(f"o__{c}") for c in cols if c in old.columns], F.lit(True).alias("o__present"))
+    n = new.select(*key, *[F.col(c).alias(f"n__{c}") for c in new.columns if c not in [*key, "__again"]],
+                   F.lit(True).alias("n__present"), F.col("__again").alias("n__again"))
     j = o.join(n, key, "full_outer")
-    has_old = F.coalesce(F.col("o__present"), F.lit(False))
     has_new = F.coalesce(F.col("n__present"), F.lit(False))
-    base = "n__update_count" if count_mode == "incoming" else "o__update_count"
-    bumped = F.coalesce(F.col(base) + 1, F.lit(1))
+    known = F.coalesce(F.col("o__present"), F.lit(False)) | F.coalesce(F.col("n__again"), F.lit(False))
+    of = lambda side, c: F.col(f"{side}__{c}") if f"{side}__{c}" in j.columns else F.lit(None)
     out = []
     for c in cols:
-        nc = f"n__{c}"
         if c == "update_count":
-            v = F.when(has_new & has_old, bumped).when(has_new, F.col("n__update_count"))
+            v = F.when(known, restamped(of("n" if count_mode == "incoming" else "o", c))).otherwise(of("n", c))
         elif c == "_rev":
-            v = F.when(has_new & has_old, F.col("o___rev")).when(has_new, F.col(nc) if nc in j.columns else F.lit(None))
+            v = F.when(F.col("o__present"), of("o", c)).otherwise(of("n", c))
         elif c == "update_date":
-            v = F.when(has_new, F.lit(as_of).cast("timestamp"))
+            v = F.lit(as_of).cast("timestamp")
         elif c == "type" and doc_type is not None:
-            v = F.when(has_new, F.lit(doc_type) if isinstance(doc_type, str) else doc_type)
+            v = F.lit(doc_type) if isinstance(doc_type, str) else doc_type
         else:
-            v = F.when(has_new, F.col(nc) if nc in j.columns else F.lit(None))
-        out.append(F.when(has_new, v).otherwise(F.col(f"o__{c}")).cast(old.schema[c].dataType).alias(c))
+            v = of("n", c)
+        out.append(F.when(has_new, v).otherwise(of("o", c)).cast(kinds[c]).alias(c))
     return j.select(*key, *out)
 
 
@@ -138,8 +146,8 @@ def unsent(docs: DataFrame) -> DataFrame:
 
 
 def ndjson(docs: DataFrame, cols: Sequence[str] | None = None) -> Column:
-    """One JSON document per row."""
-    return F.to_json(F.struct(*(cols or docs.columns)))
+    """One JSON document per row; nulls are written as ``null``."""
+    return F.to_json(F.struct(*(cols or docs.columns)), {"ignoreNullFields": "false"})
 
 
 def write_ndjson(docs: DataFrame, path: str, compression: str | None = None) -> None:
@@ -150,10 +158,22 @@ def write_ndjson(docs: DataFrame, path: str, compression: str | None = None) ->
     w.text(path)
 
 
-def read_ndjson(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Newline-framed source; every line, stripped, parsed by schema."""
+def parsed_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """Every non-empty stripped line with its parsed ``doc`` (null when
+    the line is not a JSON object)."""
     lines = spark.read.text(path).select(F.trim("value").alias("value")).where(F.col("value") != "")
-    return lines.select(F.from_json("value", schema).alias("doc")).select("doc.*")
+    return lines.select("value", F.when(F.try_parse_json("value").isNotNull() & F.col("value").startswith("{"),
+                                        F.from_json("value", schema)).alias("doc"))
+
+
+def read_ndjson(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """Newline-framed source; malformed lines are left to :func:`bad_lines`."""
+    return parsed_lines(spark, path, schema).where(F.col("doc").isNotNull()).select("doc.*")
+
+
+def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The raw lines that are not JSON objects."""
+    return parsed_lines(spark, path, "x STRING").where(F.col("doc").isNull()).select("value")
 
 
 def explode_multi(docs: DataFrame, parent_key: Sequence[str], list_col: str) -> DataFrame:
@@ -171,52 +191,60 @@ def explode_citation_graph(pubs: DataFrame, id_col: str = "publication_id",
 
 
 # ------------------------------------------------------- versioned store
+# One folder per commit: {store}/v=<n>-<source>-<batch>/entity_db=<db>/...
+# A commit holds the whole new snapshot of every store it touches and becomes
+# visible, all stores at once, with its _SUCCESS marker. Numbers come from the
+# folder itself, so any number of streams and checkpoints can follow each
+# other; source and batch tell a replayed micro-batch.
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def latest_versions(spark: SparkSession, store_path: str) -> dict[str, str]:
-    """Newest staged version folder of every ``entity_db`` partition:
-    ``{store}/entity_db=<db>/v=<n>``. Listing touches one folder per store
-    and version, never the data files."""
+def commits(spark: SparkSession, store_path: str) -> list[tuple[int, str, str]]:
+    """(number, "<source>-<batch>", folder) of the complete commits, in order.
+    Only a missing store path means "none"."""
     fs, root = _fs(spark, store_path)
     if not fs.exists(root):
-        return {}
-    out = {}
+        return []
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    out = []
     for st in fs.listStatus(root):
         name = st.getPath().getName()
-        if not (st.isDirectory() and name.startswith("entity_db=")):
-            continue
-        vers = [v.getPath().getName() for v in fs.listStatus(st.getPath())
-                if v.isDirectory() and v.getPath().getName().startswith("v=")
-                and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(v.getPath(), "_SUCCESS"))]
-        if vers:
-            newest = max(vers, key=lambda x: int(x[2:]))
-            out[name.split("=", 1)[1]] = f"{store_path}/{name}/{newest}"
-    return out
-
-
-def read_versions(spark: SparkSession, store_path: str, dbs: Sequence[str] | None = None) -> DataFrame:
-    """The current documents (newest version per store), optionally only
-    some stores; empty and typed when nothing was written yet (S4)."""
-    latest = latest_versions(spark, store_path)
-    paths = [p for db, p in latest.items() if dbs is None or db in dbs]
-    if not paths:
-        return S.empty(spark, S.DOCUMENT_SCHEMA)
-    body = T.StructType([f for f in S.DOCUMENT_SCHEMA if f.name != "entity_db"])
-    frames = [spark.read.schema(body).parquet(p).withColumn("entity_db", F.lit(db))
-              for db, p in latest.items() if p in paths]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out.select(*[c.name for c in S.DOCUMENT_SCHEMA])
-
-
-def write_versions(docs: DataFrame, store_path: str, version: int) -> None:
-    """Stage version ``version`` of every store present in ``docs``; it
-    becomes current once its ``_SUCCESS`` marker exists (swap)."""
-    for db in [r[0] for r in docs.select("entity_db").distinct().collect()]:
-        (docs.where(F.col("entity_db") == db).drop("entity_db").write.mode("overwrite")
-         .parquet(f"{store_path}/entity_db={db}/v={version}"))
+        if name.startswith("v=") and fs.exists(path(st.getPath(), "_SUCCESS")):
+            number, _, tag = name[2:].partition("-")
+            out.append((int(number), tag, f"{store_path}/{name}"))
+    return sorted(out)
+
+
+def read_versions(spark: SparkSession, store_path: str, dbs: Sequence[str] | None = None,
+                  schema: T.StructType = S.DOCUMENT_SCHEMA) -> DataFrame:
+    """The current documents (newest commit of every store), optionally only
+    some stores; empty and typed when nothing was written yet (S2, S4)."""
+    fs, _ = _fs(spark, store_path)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    newest: dict[str, str] = {}
+    for _, _, folder in commits(spark, store_path):
+        for st in fs.listStatus(path(folder)):
+            name = st.getPath().getName()
+            if name.startswith("entity_db="):
+                newest[name] = f"{folder}/{name}"
+    paths = [(n.partition("=")[2], p) for n, p in newest.items() if dbs is None or n.partition("=")[2] in dbs]
+    body = T.StructType([f for f in schema if f.name != "entity_db"])
+    out = S.empty(spark, schema)
+    for db, p in paths:  # a handful of stores
+        out = out.unionByName(spark.read.schema(body).parquet(p).withColumn("entity_db", F.lit(db)))
+    return out.select(*[c.name for c in schema])
+
+
+def write_commit(docs: DataFrame, store_path: str, source: str, batch_id: int) -> str:
+    """Write the snapshot of all touched stores as the next commit."""
+    done = commits(docs.sparkSession, store_path)
+    folder = f"{store_path}/v={(done[-1][0] if done else 0) + 1:08d}-{source}-{batch_id}"
+    docs.write.mode("overwrite").partitionBy("entity_db").parquet(folder)
+    return folder
+
+
+def committed(spark: SparkSession, store_path: str, source: str, batch_id: int) -> bool:
+    return any(tag == f"{source}-{batch_id}" for _, tag, _ in commits(spark, store_path))

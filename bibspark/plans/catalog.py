@@ -69,6 +69,35 @@ def coauthor_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("author").cast("bigint").alias("author_id"), "depth")
 
 
+WALK_LIMITS = (2, 4)
+
+
+@register("part_walk", oracle=f"""
+WITH RECURSIVE edges AS (SELECT DISTINCT l_orderkey AS pub, l_partkey AS author FROM lineitem),
+walk(author, depth) AS (
+  SELECT p_partkey, 1 FROM part WHERE p_partkey = (SELECT min(p_partkey) FROM part)
+  UNION
+  SELECT DISTINCT e2.author, w.depth + 1
+  FROM walk w JOIN edges e1 ON e1.author = w.author JOIN edges e2 ON e2.pub = e1.pub
+  WHERE w.depth < {max(WALK_LIMITS)}
+), least AS (SELECT author, min(depth) AS depth FROM walk GROUP BY author)
+SELECT CAST(l.n AS INTEGER) AS max_depth, CAST(depth AS INTEGER) AS depth, CAST(author AS BIGINT) AS author_id
+FROM least JOIN (VALUES {", ".join(f"({n})" for n in WALK_LIMITS)}) l(n) ON depth <= l.n
+""")
+def part_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The walk with parts as authors and orders as publications, from the
+    first part, with a limit that leaves reachable authors out and one that
+    takes several levels more (G7, G8, P5)."""
+    lines = table(spark, sf_dir, "lineitem")
+    pubs = lines.groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("authors"))  # the parts of one order
+    edges = frontier.authorship_edges(pubs, "l_orderkey", "authors")
+    seeds = table(spark, sf_dir, "part").agg(F.min("p_partkey").alias("author"))
+    out = [frontier.expand(seeds, edges, max_depth=n).select(
+        F.lit(n).cast("int").alias("max_depth"), F.col("depth").cast("int").alias("depth"), F.col("author").cast("bigint").alias("author_id"))
+        for n in WALK_LIMITS]
+    return out[0].unionByName(out[1])
+
+
 # ------------------------------------------------------------------ F1, F2
 @register("sanitize_text", oracle="""
 WITH src AS (
@@ -278,8 +307,8 @@ WITH cand AS (
   FROM lineitem
 ), seen AS (
   SELECT CASE WHEN s_nationkey % 2 = 0 THEN 'dblp' ELSE 'google_scholar' END AS iface,
-         CAST(s_suppkey AS VARCHAR) AS expected_id
-  FROM supplier WHERE s_acctbal < 5000
+         CAST(s_suppkey * 2 AS VARCHAR) AS expected_id
+  FROM supplier
 )
 SELECT 'interface' AS scope, c.iface, c.expected_id FROM cand c
 WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.iface = c.iface AND s.expected_id = c.expected_id)
@@ -291,9 +320,9 @@ def q_seen_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     cand = li.select(F.when(F.col("l_linenumber") % 2 == 0, "dblp").otherwise("google_scholar").alias("iface"),
                      F.col("l_suppkey").cast("string").alias("expected_id")).distinct()
-    sup = table(spark, sf_dir, "supplier").where(F.col("s_acctbal") < 5000)
+    sup = table(spark, sf_dir, "supplier")
     seen = sup.select(F.when(F.col("s_nationkey") % 2 == 0, "dblp").otherwise("google_scholar").alias("iface"),
-                      F.col("s_suppkey").cast("string").alias("expected_id"))
+                      (F.col("s_suppkey") * 2).cast("string").alias("expected_id"))
     per_iface = frontier.drop_seen(cand, seen, scope="interface").select(
         F.lit("interface").alias("scope"), "iface", "expected_id")
     glob = frontier.drop_seen(cand.select("expected_id").distinct(), seen, scope="global").select(
@@ -485,12 +514,12 @@ def q_frontier_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH old AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS _id, '1-' || CAST(o_custkey AS VARCHAR) AS _rev,
          CASE WHEN o_orderstatus = 'F' THEN 2 END AS update_count, 'orders' AS origin
-  FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01'
+  FROM orders
 ), writes AS (
-  SELECT CAST(l_orderkey AS VARCHAR) AS _id, l_linenumber, l_shipdate,
+  SELECT CAST(l_orderkey * 2 AS VARCHAR) AS _id, l_linenumber, l_shipdate,
          CASE WHEN l_returnflag = 'R' THEN l_linenumber END AS update_count,
          row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC) AS rn
-  FROM lineitem WHERE l_shipdate >= TIMESTAMP '1999-01-01'
+  FROM lineitem
 ), new AS (SELECT * FROM writes WHERE rn = 1)
 SELECT coalesce(n._id, o._id) AS _id,
        CASE WHEN n._id IS NOT NULL AND o._id IS NOT NULL THEN o._rev WHEN n._id IS NOT NULL THEN NULL ELSE o._rev END AS _rev,
@@ -501,16 +530,16 @@ SELECT coalesce(n._id, o._id) AS _id,
 FROM old o FULL OUTER JOIN new n ON o._id = n._id
 """)
 def q_upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders dated before 1999 are the stored snapshot; lineitems shipped
-    from 1999 are incoming writes, last write per order wins (W4)."""
-    o = table(spark, sf_dir, "orders").where(F.col("o_orderdate") < F.lit("1999-01-01").cast("timestamp_ntz"))
+    """All orders are the stored snapshot; all lineitems are incoming writes,
+    last write per order wins (W4). Half of the writes go to new keys."""
+    o = table(spark, sf_dir, "orders")
     old = o.select(F.col("o_orderkey").cast("string").alias("_id"),
                    F.concat(F.lit("1-"), F.col("o_custkey").cast("string")).alias("_rev"),
                    F.when(F.col("o_orderstatus") == "F", 2).cast("int").alias("update_count"),
                    F.lit("orders").alias("origin"), F.lit(None).cast("int").alias("last_line"),
                    F.lit(None).cast("timestamp").alias("update_date"))
-    li = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") >= F.lit("1999-01-01").cast("timestamp_ntz"))
-    writes = li.select(F.col("l_orderkey").cast("string").alias("_id"), "l_shipdate", "l_linenumber",
+    li = table(spark, sf_dir, "lineitem")
+    writes = li.select((F.col("l_orderkey") * 2).cast("string").alias("_id"), "l_shipdate", "l_linenumber",
                        "l_partkey", "l_suppkey",
                        F.when(F.col("l_returnflag") == "R", F.col("l_linenumber")).cast("int").alias("update_count"))
     new = store.last_write(writes, ["_id"], ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey"]).select(
@@ -584,17 +613,100 @@ def q_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("recover_unsent", oracle="""
 SELECT CAST(o_orderkey AS VARCHAR) AS _id,
-       to_json(struct_pack(_id := CAST(o_orderkey AS VARCHAR), type := o_orderpriority, sent := true)) AS ndjson
-FROM orders WHERE o_orderstatus = 'P'
+       to_json(struct_pack(_id := CAST(o_orderkey AS VARCHAR), type := o_orderpriority,
+                           update_count := CASE WHEN o_custkey % 3 = 0 THEN o_custkey % 7 END, sent := false)) AS ndjson,
+       CASE WHEN o_orderstatus = 'P' THEN true WHEN o_orderstatus = 'F' THEN true END AS stored_sent,
+       CAST(CASE WHEN o_orderstatus <> 'P' THEN CASE WHEN o_custkey % 3 = 0 THEN o_custkey % 7 END
+                 WHEN o_custkey % 3 = 0 THEN o_custkey % 7 + 1 ELSE 1 END AS INTEGER) AS stored_count,
+       o_orderstatus = 'P' AS again
+FROM orders
 """)
 def q_recover_unsent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with ``sent = false`` exactly are emitted again and
-    re-stamped as sent; the original ``type`` is kept."""
-    docs = _order_docs(spark, sf_dir).join(
-        table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("_id"),
-                                              F.col("o_orderpriority").alias("type")), "_id")
-    again = store.unsent(docs).withColumn("sent", F.lit(True))
-    return again.select("_id", store.ndjson(again, ["_id", "type", "sent"]).alias("ndjson"))
+    """Documents with ``sent = false`` exactly are emitted again, as they
+    are stored (``sent`` still false); then their rows are stamped (S5) with
+    ``sent = true``, the original ``type`` kept. All other rows stay."""
+    o = table(spark, sf_dir, "orders")
+    docs = o.select(F.col("o_orderkey").cast("string").alias("_id"), F.col("o_orderpriority").alias("type"),
+                    F.when(F.col("o_custkey") % 3 == 0, F.col("o_custkey") % 7).cast("bigint").alias("update_count"),
+                    F.when(F.col("o_orderstatus") == "F", True).when(F.col("o_orderstatus") == "P", False).alias("sent"),
+                    F.lit(None).cast("timestamp").alias("update_date"))
+    again = store.unsent(docs)
+    after = store.upsert(docs, again.withColumn("sent", F.lit(True)).drop("update_date"), as_of=AS_OF)
+    line = docs.select("_id", store.ndjson(docs.withColumn("sent", F.lit(False)), ["_id", "type", "update_count", F.lit(False).alias("sent")]).alias("ndjson"))
+    return after.join(line, "_id").select("_id", "ndjson", F.col("sent").alias("stored_sent"),
+                                          F.col("update_count").cast("int").alias("stored_count"),
+                                          F.col("update_date").isNotNull().alias("again"))
+
+
+# ------------------------------------------------------------ T3 S2 S4-S6 W4
+_STREAM_FILES = ("o_orderkey % 3 <> 2", "o_orderkey % 3 <> 0", "o_orderkey % 7 = 0")
+
+
+def _stream_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of all orders; every fifth order is written twice."""
+    o = table(spark, sf_dir, "orders")
+    base = _order_docs(spark, sf_dir).select("_id", "phase_ref", "iface", F.col("serialized"))
+    docs = o.select(F.col("o_orderkey"), F.col("o_orderkey").cast("string").alias("_id"), F.col("o_orderpriority").alias("type"),
+                    F.explode(F.when(F.col("o_orderkey") % 5 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("seq"))
+    j = docs.join(base, "_id")
+    return j.select(F.col("iface").alias("entity_db"), "_id", "type", "phase_ref", "iface",
+                    (F.col("serialized") & (F.col("o_orderkey") % 4 == 0)).alias("serialized"), "seq",
+                    F.concat_ws("-", F.lit("p"), F.col("seq").cast("string")).alias("payload"), "o_orderkey")
+
+
+@register("lifecycle_stream", oracle=f"""
+WITH {_lifecycle_oracle_docs()},
+base AS (
+  SELECT d._id, d.iface, CAST(d.phase_ref AS INTEGER) AS class_id, CAST(v.variant_id AS INTEGER) AS variant_id,
+         CAST(d._id AS BIGINT) AS k, o_orderpriority AS type, d.serialized AND CAST(d._id AS BIGINT) % 4 = 0 AS done
+  FROM docs d JOIN dims v USING (iface) JOIN orders ON o_orderkey = CAST(d._id AS BIGINT)
+), delivered AS (
+  SELECT *, 0 AS batch FROM base WHERE k % 3 <> 2 UNION ALL
+  SELECT *, 1 FROM base WHERE k % 3 <> 0 UNION ALL
+  SELECT *, 2 FROM base WHERE k % 7 = 0
+), todo AS (SELECT *, lag(batch) OVER (PARTITION BY _id ORDER BY batch) AS before FROM delivered WHERE NOT done),
+steps AS (
+  SELECT *, CASE WHEN before IS NOT NULL OR k % 5 = 0 THEN 1 ELSE 0 END AS fetched,
+         CASE WHEN k % 5 = 0 THEN 'p-2' ELSE 'p-1' END AS payload
+  FROM todo
+), good AS (SELECT * FROM steps WHERE class_id IS NOT NULL)
+SELECT 'store' AS part, iface AS entity_db, _id, type, class_id, variant_id, true AS serialized, true AS sent,
+       CAST(fetched + 2 AS INTEGER) AS update_count, payload, 1 AS n
+FROM good QUALIFY batch = max(batch) OVER (PARTITION BY _id)
+UNION ALL
+SELECT 'line', iface, _id, type, class_id, variant_id, true, false, CAST(fetched + 1 AS INTEGER), payload, CAST(count(*) AS INTEGER)
+FROM good GROUP BY ALL
+UNION ALL
+SELECT 'rejected', iface, _id, type, NULL, variant_id, true, false, NULL, payload, CAST(count(*) AS INTEGER)
+FROM steps WHERE class_id IS NULL GROUP BY ALL
+""")
+def q_lifecycle_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T3 over three files of order documents, one file per micro-batch: two
+    of them through one checkpoint, whose first batch is then replayed, the
+    third through a second checkpoint on the same store. Keys repeat within
+    and across batches; the store, the exported lines and the rejects are
+    the result."""
+    from ..session import scratch_path
+    from ..streaming import streams
+    base = scratch_path(spark, "lifecycle")
+    docs = _stream_docs(spark, sf_dir)
+    for k, part in enumerate(_STREAM_FILES):
+        docs.where(part).drop("o_orderkey").coalesce(1).write.parquet(f"{base}/in{k // 2}/f{k % 2}")
+    schema = docs.drop("o_orderkey").schema
+    sinks = [streams.lifecycle_sink(f"{base}/store", f"{base}/out", AS_OF, source=f"s{k}", order=["seq"]) for k in (0, 1)]
+    for k, sink in enumerate(sinks):
+        stream = streams.read_stream(spark, f"{base}/in{k}/*", schema, max_files_per_trigger=1)
+        stream.writeStream.option("checkpointLocation", f"{base}/ck{k}").trigger(availableNow=True) \
+            .foreachBatch(sink).start().awaitTermination()
+    sinks[0](spark.read.parquet(f"{base}/in0/f0"), 0)  # a replay
+    cols = ["entity_db", "_id", "type", "class_id", "variant_id", "serialized", "sent", "update_count", "payload"]
+    kinds = ", ".join(f"{c} {store.S.DOCUMENT_SCHEMA[c].dataType.simpleString()}" for c in cols)
+    kept = store.read_versions(spark, f"{base}/store").select(F.lit("store").alias("part"), *cols, F.lit(1).alias("n"))
+    lines = store.read_ndjson(spark, f"{base}/out/lines", kinds)
+    lines = lines.groupBy(*cols).agg(F.count(F.lit(1)).cast("int").alias("n")).select(F.lit("line").alias("part"), *cols, "n")
+    bad = spark.read.parquet(f"{base}/out/rejected").withColumn("update_count", F.lit(None).cast("int"))
+    bad = bad.groupBy(*cols).agg(F.count(F.lit(1)).cast("int").alias("n")).select(F.lit("rejected").alias("part"), *cols, "n")
+    return kept.unionByName(lines).unionByName(bad)
 
 
 # ----------------------------------------------------------------- U2 U3
@@ -726,22 +838,53 @@ def q_core_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------ X17 X18 H5
-VISIBLE_PHRASE = "example.net"
+_KINDS = list(dict.fromkeys((i, k) for i, k, _ in quality.PHRASES)) + [("scimago", "ranking")]
+_PHRASE_SQL = ", ".join("('{}', '{}', '{}')".format(i, k, ph.replace("'", "''")) for i, k, ph in quality.PHRASES)
+_KIND_SQL = ", ".join(f"({n}, '{i}', '{k}')" for n, (i, k) in enumerate(_KINDS))
 
 
 @register("blocked_pages", oracle=f"""
-SELECT CAST(page_id AS BIGINT) AS page_id,
-       contains(lower(regexp_replace(html, '(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->|<[^>]+>', ' ', 'g')),
-                '{VISIBLE_PHRASE}') AS blocked,
-       false AS challenge
-FROM pages
+WITH phrases AS (SELECT * FROM (VALUES {_PHRASE_SQL}) p(iface, page_kind, phrase)),
+kinds AS (SELECT * FROM (VALUES {_KIND_SQL}) k(n, iface, page_kind)),
+p AS (SELECT page_id, url, page_id // {len(_KINDS)} % 8 AS variant, iface, page_kind FROM pages JOIN kinds ON n = page_id % {len(_KINDS)}),
+own AS (SELECT iface, page_kind, list_sort(list(phrase)) AS all_phrases FROM phrases GROUP BY ALL),
+f AS (
+  SELECT p.*, CASE WHEN variant IN (1, 3) THEN coalesce(all_phrases, [])
+                   WHEN variant = 6 AND p.page_kind = 'search' AND p.iface = 'google_scholar' THEN [url]
+                   ELSE [] END AS found
+  FROM p LEFT JOIN own USING (iface, page_kind)
+)
+SELECT CAST(page_id AS BIGINT) AS page_id, array_to_string(found, '|') AS blocked_by, len(found) > 0 AS blocked,
+       variant = 4 AS challenge, CASE WHEN variant = 4 THEN 'key' || CAST(page_id AS VARCHAR) END AS site_key
+FROM f
 """)
 def q_blocked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Block phrases of every source plus one phrase that does occur in the
-    visible text of the test pages; script and comment text must not count."""
+    """All pages, dealt to the sources' page kinds. Variants: untouched; all
+    phrases of the kind in upper case; only in a script; split by tags; a
+    challenge; a challenge script without its frame; the request URL in the
+    text; the phrases of another kind."""
     pages = read_pages(spark, f"{sf_dir}/pages.parquet")
-    c = quality.classify(pages, ["page_id"], phrases=quality.BLOCK_PHRASES + [VISIBLE_PHRASE])
-    return c.select(F.col("page_id").cast("bigint").alias("page_id"), "blocked", "challenge")
+    kind = (F.col("page_id") % len(_KINDS)).cast("int")
+    variant = F.floor(F.col("page_id") / len(_KINDS)) % 8
+    texts = [[ph for i, k, ph in quality.PHRASES if (i, k) == own] for own in _KINDS]
+    joined = F.array(*[F.lit(" | ".join(t)) for t in texts])
+    mine = F.get(joined, kind)
+    other = F.when(kind == len(_KINDS) - 1, F.lit("Too Many Requests")).otherwise(F.lit("Nothing of ours"))
+    split = F.regexp_replace(mine, " ", "<i> </i><b></b>")
+    script = lambda call: F.concat(F.lit(f'<script>{call}("x", {{"sitekey":"key'), F.col("page_id").cast("string"), F.lit('"})</script>'))
+    extra = (F.when(variant == 1, F.concat(F.lit("<p>"), F.upper(mine), F.lit("</p>")))
+             .when(variant == 2, F.concat(F.lit("<script>var m = '"), F.regexp_replace(mine, "'", ""), F.lit("';</script><!-- "), mine, F.lit(" -->")))
+             .when(variant == 3, F.concat(F.lit("<p>"), split, F.lit("</p>")))
+             .when(variant == 4, F.concat(script("grecaptcha.render"), F.lit('<iframe title="reCAPTCHA" src="/c"></iframe>')))
+             .when(variant == 5, script("grecaptcha.render"))
+             .when(variant == 6, F.concat(F.lit("<p>"), F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("</p>")))
+             .when(variant == 7, F.concat(F.lit("<p>"), other, F.lit("</p>"))).otherwise(F.lit("")))
+    names = lambda at: F.get(F.array(*[F.lit(k[at]) for k in _KINDS]), kind)
+    own = pages.select("page_id", "url", names(0).alias("iface"), names(1).alias("page_kind"),
+                       F.replace(F.col("html"), F.lit("</article>"), F.concat(extra, F.lit("</article>"))).alias("html"))
+    c = quality.classify(own, ["page_id"])
+    return c.select(F.col("page_id").cast("bigint").alias("page_id"), F.array_join(F.array_sort("blocked_by"), "|").alias("blocked_by"),
+                    "blocked", "challenge", "site_key")
 
 
 # ------------------------------------------------------------------- X1
@@ -880,9 +1023,18 @@ def q_scholar_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ T1 T2 T4
+STREAM_FILES = 5
+
+
 def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as several files, each over the whole time span, read one
+    file per micro-batch: state is carried over and pages arrive late."""
+    from ..session import scratch_path
     from ..streaming import streams
-    return streams.read_stream(spark, sf_dir, streams.EVENTS_SCHEMA, name_glob="events.parquet")
+    folder = scratch_path(spark, "events")
+    events = table(spark, sf_dir, "events")
+    events.repartition(STREAM_FILES, F.col("event_id") % STREAM_FILES).write.parquet(folder)
+    return streams.read_stream(spark, folder, streams.EVENTS_SCHEMA, max_files_per_trigger=1)
 
 
 @register("hourly_blocked", oracle="""
@@ -943,15 +1095,15 @@ SEED_AS_OF_YEAR = 2024
 
 @register("seed_work", oracle=f"""
 SELECT 'dblp' AS iface, 'DblpAuthor' AS message_type, s_name AS expected_id, s_name AS params,
-       CAST(101 AS INTEGER) AS priority, CAST(1 AS INTEGER) AS depth FROM supplier
+       CAST(101 AS INTEGER) AS priority, CAST(1 AS INTEGER) AS depth, false AS roll_over FROM supplier
 UNION ALL
-SELECT 'google_scholar', 'ScholarAuthor', s_name, s_name, CAST(102 AS INTEGER), CAST(1 AS INTEGER) FROM supplier
+SELECT 'google_scholar', 'ScholarAuthor', s_name, s_name, CAST(102 AS INTEGER), CAST(1 AS INTEGER), false FROM supplier
 UNION ALL
 SELECT 'scimago', 'ScimagoJournal', CAST(range AS VARCHAR) || '_1', CAST(range AS VARCHAR) || '|1',
-       CAST(102 AS INTEGER), CAST(1 AS INTEGER) FROM range(1999, {SEED_AS_OF_YEAR})
+       CAST(102 AS INTEGER), CAST(1 AS INTEGER), true FROM range(1999, {SEED_AS_OF_YEAR})
 UNION ALL
 SELECT 'core_edu', 'CoreConference', CAST(range AS VARCHAR), CAST(range AS VARCHAR),
-       CAST(102 AS INTEGER), CAST(1 AS INTEGER) FROM range(1, 46)
+       CAST(102 AS INTEGER), CAST(1 AS INTEGER), false FROM range(1, 46)
 """)
 def q_seed_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seed work items for every enabled interface (an unknown one is
@@ -960,7 +1112,7 @@ def q_seed_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     authors = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("value"))
     w = seeds.seed_work(spark, SEED_INTERFACES, authors, SEED_AS_OF_YEAR)
     return w.select("iface", "message_type", "expected_id", F.array_join("params", "|").alias("params"),
-                    F.col("priority").cast("int").alias("priority"), F.col("depth").cast("int").alias("depth"))
+                    F.col("priority").cast("int").alias("priority"), F.col("depth").cast("int").alias("depth"), "roll_over")
 
 
 # --------------------------------------------------------- X15 X16 J2 W1
@@ -1019,3 +1171,86 @@ def q_scholar_coauthors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("l_partkey").cast("bigint").alias("l_partkey"), F.col("page_no").cast("int").alias("page_no"),
                     F.posexplode("coauthors").alias("pos", "name")).select(
         "l_partkey", "page_no", F.col("pos").cast("int").alias("pos"), "name")
+
+
+# --------------------------------------------------------- G1-G6 J1 E1 E4
+def _items(df: DataFrame) -> DataFrame:
+    return df.select("expected_id", F.array_join("params", "|").alias("params"), F.col("priority").cast("int").alias("priority"),
+                     F.col("depth").cast("int").alias("depth"), "roll_over", "message_type")
+
+
+@register("next_items_dblp", oracle="""
+WITH o AS (
+  SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, substr(o_orderpriority, 1, 1) AS prio, o_custkey % 40 AS jid FROM orders
+), ent AS (
+  SELECT * FROM o WHERE o_totalprice >= 50000 AND o_orderkey IN (SELECT l_orderkey FROM lineitem)
+), resolvable AS (
+  SELECT DISTINCT jid FROM ent WHERE prio IN ('1', '2') AND o_orderkey % 5 <> 0 AND jid % 2 = 0
+), kept AS (
+  SELECT o_orderkey FROM ent WHERE (prio IN ('1', '2') AND jid IN (SELECT jid FROM resolvable)) OR (prio IN ('3', '4') AND o_orderstatus <> 'O')
+)
+SELECT DISTINCT s_name AS expected_id, s_name AS params, CAST(101 AS INTEGER) AS priority, CAST(3 AS INTEGER) AS depth,
+       false AS roll_over, 'FetchDblpData' AS message_type
+FROM lineitem JOIN kept ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey
+WHERE s_suppkey % 5 <> 0
+""")
+def q_next_items_dblp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Author pages → publications (journals resolved) → one item per
+    co-author, without the authors already asked for."""
+    from . import registry
+    pages = fixtures.dblp_author_pages(spark, sf_dir).withColumnRenamed("o_custkey", "request_id")
+    records = registry.extract("dblp", 1010, pages, journal_pages=fixtures.dblp_journal_pages(spark, sf_dir))
+    seen = table(spark, sf_dir, "supplier").where(F.col("s_suppkey") % 5 == 0).select(F.col("s_name").alias("expected_id"))
+    return _items(registry.next_items("dblp", 1010, records, depth=2, seen=seen))
+
+
+@register("next_items_scimago", oracle="""
+WITH o AS (SELECT year(o_orderdate) AS y, row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY o_orderkey) - 1 AS seq FROM orders),
+t AS (SELECT y, count(*) AS total FROM o GROUP BY y),
+p AS (SELECT DISTINCT y, seq // 50 + 1 AS page_no FROM o)
+SELECT CAST(y AS VARCHAR) || '_' || CAST(page_no + 1 AS VARCHAR) AS expected_id,
+       CAST(y AS VARCHAR) || '|' || CAST(page_no + 1 AS VARCHAR) AS params,
+       CAST(102 AS INTEGER) AS priority, CAST(1 AS INTEGER) AS depth, true AS roll_over, 'FetchScimagoData' AS message_type
+FROM p JOIN t USING (y) WHERE least(page_no * 50, total) <> total
+""")
+def q_next_items_scimago(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranking pages → end flags → the page after each page that is not the
+    last; paging keeps the depth."""
+    from . import registry
+    pages = fixtures.scimago_pages(spark, sf_dir).withColumnRenamed("year_param", "year")
+    return _items(registry.next_items("scimago", 1030, scimago.page_flags(pages, ["year", "page_no"])))
+
+
+@register("next_items_scholar", oracle="""
+WITH who AS (SELECT c_custkey FROM customer WHERE c_custkey % 13 <> 0 AND c_custkey % 11 <> 0 AND c_custkey % 17 <> 0),
+o AS (
+  SELECT o_orderkey, o_custkey, (o_orderstatus = 'O' AND substr(o_orderpriority, 1, 1) = '5') AS bad,
+         row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS seq
+  FROM orders
+), p AS (SELECT *, seq // 100 + 1 AS page_no FROM o),
+pc AS (SELECT o_custkey, page_no, count(*) AS n FROM p GROUP BY o_custkey, page_no),
+st AS (SELECT o_custkey, min(CASE WHEN bad THEN seq END) AS first_bad FROM p GROUP BY o_custkey),
+sp AS (SELECT o_custkey, min(CASE WHEN n <= 1 THEN page_no END) AS small FROM pc GROUP BY o_custkey)
+SELECT 'U' || CAST(p.o_custkey AS VARCHAR) || ':' || CAST(o_orderkey AS VARCHAR) AS expected_id,
+       'https://scholar.google.com/citations?view_op=view_citation&hl=it&user=U' || CAST(p.o_custkey AS VARCHAR)
+         || '&citation_for_view=U' || CAST(p.o_custkey AS VARCHAR) || ':' || CAST(o_orderkey AS VARCHAR) AS params,
+       CAST(101 AS INTEGER) AS priority, CAST(2 AS INTEGER) AS depth, true AS roll_over, 'FetchScholarlyData' AS message_type
+FROM p JOIN st USING (o_custkey) JOIN sp USING (o_custkey) JOIN who ON c_custkey = p.o_custkey
+WHERE (first_bad IS NULL OR seq < first_bad) AND (small IS NULL OR page_no < small)
+UNION ALL
+SELECT DISTINCT s_name, s_name, CAST(102 AS INTEGER), CAST(3 AS INTEGER), false, 'FetchScholarlyData'
+FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN who ON c_custkey = l_partkey
+WHERE s_suppkey % 4 <> 0
+""")
+def q_next_items_scholar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profile, list and colleague pages → full author records → publication
+    items (depth kept) and co-author items (one deeper), without the authors
+    already known from publications."""
+    from . import registry
+    rid = lambda c: F.concat(F.lit("U"), F.col(c).cast("string")).alias("request_id")
+    profiles = fixtures.scholar_profile_pages(spark, sf_dir).select(rid("c_custkey"), "html")
+    lists = fixtures.scholar_list_pages(spark, sf_dir).select(rid("o_custkey"), "page_no", "html")
+    colleagues = fixtures.scholar_colleague_pages(spark, sf_dir).select(rid("l_partkey"), "page_no", "html")
+    authors = registry.extract("google_scholar", 1000, profiles, list_pages=lists, colleague_pages=colleagues).where("status = 'ok'")
+    known = table(spark, sf_dir, "supplier").where(F.col("s_suppkey") % 4 == 0).select(F.col("s_name").alias("author"))
+    return _items(registry.next_items("google_scholar", 1000, authors, depth=2, known_authors=known))

@@ -42,6 +42,9 @@ MSG_SCHOLAR_AUTHOR = "ScholarAuthor"
 MSG_DBLP_AUTHOR = "DblpAuthor"
 MSG_SCIMAGO_JOURNAL = "ScimagoJournal"
 MSG_CORE_CONFERENCE = "CoreConference"
+MSG_FETCH_SCHOLAR = "FetchScholarlyData"
+MSG_FETCH_DBLP = "FetchDblpData"
+MSG_FETCH_SCIMAGO = "FetchScimagoData"
 
 IFACE_SCHOLAR = "google_scholar"
 IFACE_DBLP = "dblp"
@@ -63,17 +66,28 @@ INTERFACES = [
     (IFACE_CORE, VARIANT_CORE, MSG_CORE_CONFERENCE, CLASS_CONFERENCE, PRIO_CONFERENCE, "pages"),
 ]
 
-# Phase -> (name, roll_over_depth). Roll-over items keep their parent's depth.
+# Phase -> name.
 PHASES = [
-    (CLASS_AUTHOR, "AUTHOR", False),
-    (CLASS_PUB, "PUB", True),
-    (CLASS_VERSION, "VERSION", True),
-    (CLASS_CIT, "CIT", True),
-    (CLASS_JOURNAL, "JOURNAL", True),
-    (CLASS_JOURNAL_SINGLE, "JOURNAL_SINGLE", True),
-    (CLASS_CONFERENCE, "CONFERENCE", False),
+    (CLASS_AUTHOR, "AUTHOR"),
+    (CLASS_PUB, "PUB"),
+    (CLASS_VERSION, "VERSION"),
+    (CLASS_CIT, "CIT"),
+    (CLASS_JOURNAL, "JOURNAL"),
+    (CLASS_JOURNAL_SINGLE, "JOURNAL_SINGLE"),
+    (CLASS_CONFERENCE, "CONFERENCE"),
 ]
 
+# (iface, phase) whose work items keep their parent's depth (fixed values).
+ROLL_OVER = {
+    (IFACE_SCHOLAR, CLASS_AUTHOR): False,
+    (IFACE_SCHOLAR, CLASS_PUB): True,
+    (IFACE_SCHOLAR, CLASS_CIT): True,
+    (IFACE_SCHOLAR, CLASS_VERSION): True,
+    (IFACE_DBLP, CLASS_PUB): False,
+    (IFACE_SCIMAGO, CLASS_JOURNAL): True,
+    (IFACE_CORE, CLASS_CONFERENCE): False,
+}
+
 INTERFACE_SCHEMA = T.StructType([
     T.StructField("iface", T.StringType(), False),
     T.StructField("variant_id", T.IntegerType(), False),
@@ -86,7 +100,6 @@ INTERFACE_SCHEMA = T.StructType([
 PHASE_SCHEMA = T.StructType([
     T.StructField("phase_ref", T.IntegerType(), False),
     T.StructField("phase_name", T.StringType(), False),
-    T.StructField("phase_roll_over", T.BooleanType(), False),
 ])
 
 WORK_ITEM_SCHEMA = T.StructType([

@@ -68,7 +68,7 @@ def seed_work(spark: SparkSession, enabled: str, authors: DataFrame, as_of_year:
     ts = F.lit(as_of).cast("timestamp") if as_of else F.current_timestamp()
 
     def items(df: DataFrame, iface: str, phase: int, prio: int, msg: str, params: list[Column], eid: Column):
-        roll = dict((p, r) for p, _, r in S.PHASES)[phase]
+        roll = S.ROLL_OVER[(iface, phase)]
         return df.select(F.lit(iface).alias("iface"), F.lit(phase).alias("phase_ref"), eid.alias("expected_id"),
                          F.array(*params).alias("params"), F.lit(msg).alias("message_type"),
                          F.lit(prio).alias("priority"), F.lit(1).alias("depth"), F.lit(False).alias("system_message"),

@@ -2,8 +2,8 @@
 
 Every stream checkpoints under the shared folder named by
 ``spark.checkpoint.dir`` (see :mod:`bibspark.session`), so a restarted query
-resumes where it stopped. Sinks are idempotent by key: a micro-batch that is
-replayed after a failure writes the same keyed rows again.
+resumes where it stopped. A micro-batch that is replayed after a failure
+overwrites what it wrote (keyed sinks) or finds its commit (document store).
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from .. import schemas as S
 from ..operators import store
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 
 EVENTS_SCHEMA = ("event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, "
                  "value DOUBLE, props STRING")
@@ -71,15 +71,18 @@ def utc_as_ntz(c: Column) -> Column:
     return F.timestamp_add("MICROSECOND", F.unix_micros(c), _epoch_ntz())
 
 
-def hourly_blocked(stream: DataFrame, ts_col: str, blocked: Column, delay: str = "1 hour") -> DataFrame:
+def hourly_blocked(stream: DataFrame, ts_col: str, blocked: Column, delay: str | None = None) -> DataFrame:
     """Per UTC hour, was any fetched page blocked (and how many).
+    No page is too late (state: one row per hour) unless a ``delay`` is
+    given, after which hours are closed and later pages are dropped.
     ``window_start`` is the hour as ``TIMESTAMP_NTZ`` when the event time is
     one (no session-zone shift either way)."""
     ntz = isinstance(stream.schema[ts_col].dataType, T.TimestampNTZType)
     if ntz:
         stream = stream.withColumn(ts_col, ntz_as_utc(F.col(ts_col)))
-    agg = (stream.withWatermark(ts_col, delay)
-           .groupBy(F.window(ts_col, "1 hour").alias("w"))
+    if delay is not None:
+        stream = stream.withWatermark(ts_col, delay)
+    agg = (stream.groupBy(F.window(ts_col, "1 hour").alias("w"))
            .agg(F.bool_or(blocked).alias("blocked"), F.count_if(blocked).alias("n_blocked"),
                 F.count(F.lit(1)).alias("n_pages")))
     start = utc_as_ntz(F.col("w.start")) if ntz else F.col("w.start")
@@ -133,33 +136,50 @@ def run_available(spark: SparkSession, stream: DataFrame, name: str, mode: str =
 
 
 # ----------------------------------------------------------------------- T3
-def lifecycle_sink(store_path: str, export_path: str, as_of: str) -> Callable[[DataFrame, int], None]:
+def lifecycle_sink(store_path: str, export_path: str, as_of: str, source: str = "stream",
+                   order: Sequence[str] = ()) -> Callable[[DataFrame, int], None]:
     """T3 as a foreachBatch sink over a versioned store (see
     :func:`store.read_versions`).
 
-    Each micro-batch: fetched documents are tagged (J3), mapping-less ones
-    dropped (P8), upserted into the newest version of their ``entity_db``
-    partitions (S5); the not-yet-sent ones are exported as NDJSON (S6) from
-    the package-time snapshot (so the lines carry ``sent=false``), then
-    marked sent. The result is staged as version ``batch_id`` of each
-    touched partition, then becomes visible as the newest one (swap). A
-    replayed batch rewrites the same version: at-least-once, safe by key.
+    Each micro-batch: documents already serialized pass by (P2); of several
+    writes of a key the last by ``order`` wins (W4); the rest is tagged (J3),
+    documents without a mapping go to ``{export}/rejected`` (P8), documents
+    without a ``sent`` flag to ``{export}/quarantine`` (P3). The others are
+    upserted into the newest snapshot of their stores (S5) as fetched, stamped
+    again when serialized, exported as NDJSON (S6, so lines carry
+    ``sent=false``), and stamped again as sent. All touched stores change in
+    one commit. ``source`` names the stream (one per checkpoint): a replayed
+    batch finds its own commit and changes nothing; exports and rejects are
+    overwritten under the batch's name.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        valid, _rejected = store.split_valid(store.tag(batch))
+        if store.committed(spark, store_path, source, batch_id):
+            return
+        key = ["entity_db", "_id"]
+        name = f"{source}-{batch_id}"
+        todo = store.not_serialized(batch if "serialized" in batch.columns else batch.withColumn("serialized", F.lit(False)))
+        times = todo.groupBy(*key).agg((F.count(F.lit(1)) > 1).alias("__again"))
+        docs = store.tag(store.last_write(todo, key, list(order)).join(times, key))
+        valid, rejected = store.split_valid(docs)
+        ready, quarantine = store.to_package(valid)
         cols = [c.name for c in S.DOCUMENT_SCHEMA]
-        docs = valid.select(*[F.col(c) if c in valid.columns
-                              else F.lit(None).cast(S.DOCUMENT_SCHEMA[c].dataType).alias(c) for c in cols])
-        dbs = [r[0] for r in docs.select("entity_db").distinct().collect()]  # a handful of stores
+        typed = ready.select(*[F.col(c) if c in ready.columns else F.lit(None).cast(S.DOCUMENT_SCHEMA[c].dataType).alias(c)
+                               for c in cols], "__again")
+        dbs = [r[0] for r in typed.select("entity_db").distinct().collect()]  # a handful of stores
         old = store.read_versions(spark, store_path, dbs)
-        snap = store.upsert(old, docs, as_of=as_of, key=["entity_db", "_id"])
-        pkg, _quarantine = store.to_package(docs)
-        store.write_ndjson(pkg, f"{export_path}/batch_id={batch_id}")
-        flagged = snap.join(pkg.select("entity_db", "_id", F.lit(True).alias("__sent")), ["entity_db", "_id"], "left")
-        flagged = flagged.withColumn("sent", F.when(F.col("__sent"), F.lit(True)).otherwise(F.col("sent"))) \
-            .drop("__sent")
-        store.write_versions(flagged, store_path, batch_id)
+        fresh = typed.select(*key).withColumn("__new", F.lit(True))
+        snap = cut_lineage(store.upsert(old, typed, as_of=as_of, key=key, again="__again")
+                           .join(fresh, key, "left"))
+        new = F.coalesce(F.col("__new"), F.lit(False))
+        serialized = F.when(new, store.restamped(F.col("update_count"))).otherwise(F.col("update_count"))
+        packed = snap.withColumn("update_count", serialized)
+        store.write_ndjson(packed.where(new).select(*cols), f"{export_path}/lines/batch={name}")
+        for kind, rows in (("rejected", rejected), ("quarantine", quarantine)):
+            rows.drop("__again").write.mode("overwrite").parquet(f"{export_path}/{kind}/batch={name}")
+        sent = packed.withColumns({"sent": F.when(new, F.lit(True)).otherwise(F.col("sent")),
+                                   "update_count": F.when(new, store.restamped(F.col("update_count"))).otherwise(F.col("update_count"))})
+        store.write_commit(sent.select(*cols), store_path, source, batch_id)
     return run
 
 

@@ -96,9 +96,11 @@ def test_quality_and_roots(spark):
         (1, "u1", "<script>Too Many Requests</script><p>fine</p>"),
         (2, "u2", '<script>grecaptcha.render("x", {"sitekey":"k1"})</script><iframe title="reCAPTCHA"></iframe>'),
         (3, "u3", '<script>grecaptcha.render()</script>'),
+        (4, "u4", "<p>Error analysis of sorting</p>"),
     ], "page_id INT, url STRING, html STRING")
+    df = df.withColumns({"iface": F.lit("dblp"), "page_kind": F.lit("search")})
     out = {r["page_id"]: r for r in quality.classify(df, ["page_id"]).collect()}
-    assert out[0]["blocked"] and not out[1]["blocked"]
+    assert out[0]["blocked"] and not out[1]["blocked"] and not out[4]["blocked"]
     assert out[2]["challenge"] and out[2]["site_key"] == "k1" and not out[3]["challenge"]
     roots = spark.createDataFrame([(0, '<script>var x=[{"n":"Ada Love","k":3},{"n":"Bob Low"}]</script>'
                                        '<!-- {"c":"Cy Dee"} -->')], "page_id INT, html STRING")

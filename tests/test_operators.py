@@ -58,7 +58,7 @@ def test_take_while(spark):
 
 def test_sequence_number_and_ids(spark):
     df = spark.createDataFrame([("x", i) for i in range(50)] + [("y", i) for i in range(3)], "t STRING, o INT")
-    n = metrics.sequence_number(df, ["t"], ["o"], blocks=7)
+    n = metrics.sequence_number(df, ["t"], ["o"])
     got = sorted((r["t"], r["o"], r["seq"]) for r in n.collect())
     assert got == sorted([("x", i, i) for i in range(50)] + [("y", i, i) for i in range(3)])
     ids = n.select(metrics.message_ids(n, "t", []).alias("m")).collect()
@@ -73,8 +73,16 @@ def test_expand_matches_recursive_sql(spark):
     assert got == {"a": 1, "b": 2, "c": 3, "d": 4}
     edges.createOrReplaceTempView("e_t")
     seeds.createOrReplaceTempView("s_t")
-    sql = {r["author"]: r["depth"] for r in frontier.expand_sql(spark, "s_t", "e_t", 4).collect()}
-    assert sql == got
+    sql = spark.sql("""
+        WITH RECURSIVE walk(author, depth) AS (
+          SELECT author, 1 FROM s_t
+          UNION ALL
+          SELECT DISTINCT e2.author, w.depth + 1
+          FROM walk w JOIN e_t e1 ON e1.author = w.author JOIN e_t e2 ON e2.pub = e1.pub
+          WHERE w.depth < 4
+        )
+        SELECT author, CAST(min(depth) AS INT) AS depth FROM walk GROUP BY author""")
+    assert {r["author"]: r["depth"] for r in sql.collect()} == got
 
 
 def test_lifecycle_filters(spark):
@@ -104,9 +112,12 @@ def test_ndjson_roundtrip_and_json_rules(spark, tmp_path):
     docs = spark.createDataFrame([("a", 1, True), ("b", None, False)], "_id STRING, n INT, sent BOOLEAN")
     store.write_ndjson(docs, str(tmp_path / "out"))
     lines = sorted(r["value"] for r in spark.read.text(str(tmp_path / "out")).collect())
-    assert lines == ['{"_id":"a","n":1,"sent":true}', '{"_id":"b","sent":false}']
+    assert lines == ['{"_id":"a","n":1,"sent":true}', '{"_id":"b","n":null,"sent":false}']
     back = store.read_ndjson(spark, str(tmp_path / "out"), "_id STRING, n INT, sent BOOLEAN")
     assert sorted(tuple(r) for r in back.collect()) == [("a", 1, True), ("b", None, False)]
+    (tmp_path / "bad").write_text('{"_id":"c"}\n\nnot json\n  {"_id":"d","n":2}  \n[1]\n')
+    assert sorted(r["_id"] for r in store.read_ndjson(spark, str(tmp_path / "bad"), "_id STRING, n INT").collect()) == ["c", "d"]
+    assert sorted(r["value"] for r in store.bad_lines(spark, str(tmp_path / "bad")).collect()) == ["[1]", "not json"]
     m = spark.createDataFrame([("t", "t_0", "c", "2024-01-01")], "a STRING, b STRING, c STRING, d STRING")
     j = m.select(X.message_to_json("a", "b", "c", "d").alias("j")).first()["j"]
     assert j == '{"message_type":"t","message_id":"t_0","content":"c","timestamp":"2024-01-01"}'

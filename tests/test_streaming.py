@@ -29,7 +29,7 @@ def test_dedupe_and_lifecycle(spark):
     cur = {r["_id"]: r for r in store.read_versions(spark, f"{base}/store").collect()}
     assert sorted(cur) == ["x", "y"] and all(r["sent"] and r["serialized"] for r in cur.values())
     assert cur["x"]["class_id"] == 1010 and cur["x"]["variant_id"] == 100
-    lines = [r["value"] for r in spark.read.text(f"{base}/out").collect()]
+    lines = [r["value"] for r in spark.read.text(f"{base}/out/lines").collect()]
     assert len(lines) == 2 and all('"sent":false' in ln for ln in lines)
 
 
@@ -39,7 +39,8 @@ def test_page_ingest_stream(spark):
     base = tempfile.mkdtemp(prefix="bibspark-ingest-")
     spark.createDataFrame([(1, "u1", "<p>Too Many Requests</p>"), (2, "u2", "<p>fine</p>")], PAGE_SCHEMA) \
         .write.parquet(f"{base}/pages/a")
-    stream = spark.readStream.schema(PAGE_SCHEMA).parquet(f"{base}/pages/a")
+    stream = spark.readStream.schema(PAGE_SCHEMA).parquet(f"{base}/pages/a").withColumns(
+        {"iface": F.lit("dblp"), "page_kind": F.lit("search")})
     q = streams.ingest_pages(stream, lambda p: quality.classify(p, ["page_id"]),
                              streams.versioned_sink(f"{base}/out"), f"{base}/ck")
     q.awaitTermination()
