@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...functions import html as H
+from ...session import cut_lineage
 
 
 def with_nodes(pages: DataFrame, html_col: str = "html", out: str = "nodes",
@@ -31,7 +31,7 @@ def cell_text(en: Column, cells: Column, i: int) -> Column:
 
 
 def reuse(df: DataFrame) -> DataFrame:
-    """Keep extracted rows (small: the node arrays are gone) for the several
-    branches that read them, so pages are parsed once. Cached blocks are
-    recomputed from lineage if an executor is lost."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    """Store extracted rows (small: the node arrays are gone) in the shared
+    folder for the several branches that read them: pages are parsed once, a
+    lost executor costs nothing, and no cached block stays behind."""
+    return cut_lineage(df)

@@ -11,6 +11,7 @@ publications) costs linear work, never a quadratic blow-up.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -169,23 +170,18 @@ def expand(seeds: DataFrame, edges: DataFrame, max_depth: int = S.DEPTH_MAX) ->
     Each level: frontier ⋈ edges on author → distinct pubs → ⋈ edges on pub
     → distinct authors → anti-join visited. AQE turns the joins with a small
     frontier into broadcast joins after measuring them at runtime, so
-    nothing is broadcast on a guess. ``visited`` is checkpointed to the shared
-    folder each level so the lineage and the plan stay one level deep.
+    nothing is broadcast on a guess. The distinct edges are stored once in the
+    shared folder, and every level after that stores only its new authors, so
+    no level recomputes another; the walk ends when a level finds nobody.
     """
-    e = edges.select("pub", "author")
-    # the seed set is small and its lineage short: no checkpoint needed yet
-    visited = seeds.select("author").distinct().withColumn("depth", F.lit(1))
-    size = visited.count()
+    e = cut_lineage(edges.select("pub", "author").distinct())
+    levels = [cut_lineage(seeds.select("author").distinct().withColumn("depth", F.lit(1)))]
     for d in range(1, max_depth):
-        frontier = visited.where(F.col("depth") == d).select("author")
-        pubs = frontier.join(e, "author").select("pub").distinct()
+        visited = reduce(DataFrame.unionByName, levels).select("author")
+        pubs = levels[-1].select("author").join(e, "author").select("pub").distinct()
         reached = pubs.join(e, "pub").select("author").distinct()
-        new = reached.join(visited.select("author"), "author", "left_anti").withColumn("depth", F.lit(d + 1))
-        visited = cut_lineage(visited.unionByName(new))
-        if d == max_depth - 1:
-            break  # last level allowed: no need to test for growth
-        grown = visited.count()
-        if grown == size:
+        new = cut_lineage(reached.join(visited, "author", "left_anti").withColumn("depth", F.lit(d + 1)))
+        if new.isEmpty():
             break
-        size = grown
-    return visited.select(F.col("author"), F.col("depth").cast("int").alias("depth"))
+        levels.append(new)
+    return reduce(DataFrame.unionByName, levels).select(F.col("author"), F.col("depth").cast("int").alias("depth"))
