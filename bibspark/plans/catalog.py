@@ -501,12 +501,11 @@ LIMIT {FRONTIER_N}
 def q_frontier_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     items = e.select(F.col("event_id").cast("bigint").alias("event_id"),
+                     F.lpad(F.col("event_id").cast("string"), 20, "0").alias("expected_id"),
                      (F.col("event_type") == "signup").alias("system_message"),
                      (F.col("user_id") % 4 + 1).cast("int").alias("depth"),
                      (F.lit(100) + F.col("event_id") % 3).cast("int").alias("priority"), "ts")
-    top = items.orderBy(F.col("system_message").desc(), "depth", "priority", F.col("ts").desc(),
-                        "event_id").limit(FRONTIER_N)
-    return top.drop("ts")
+    return frontier.top(items, FRONTIER_N).drop("ts", "expected_id")
 
 
 # ------------------------------------------------------------------ S5 W4
@@ -1254,3 +1253,83 @@ def q_next_items_scholar(spark: SparkSession, sf_dir: str) -> DataFrame:
     authors = registry.extract("google_scholar", 1000, profiles, list_pages=lists, colleague_pages=colleagues).where("status = 'ok'")
     known = table(spark, sf_dir, "supplier").where(F.col("s_suppkey") % 4 == 0).select(F.col("s_name").alias("author"))
     return _items(registry.next_items("google_scholar", 1000, authors, depth=2, known_authors=known))
+
+
+# ------------------------------------------------------ X15 J2 F3 H9 (DBLP)
+@register("dblp_search", oracle="""
+WITH s AS (
+  SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS seq FROM supplier
+), p AS (SELECT *, seq // 20 + 1 AS page_no, seq % 20 AS pos FROM s),
+bad AS (SELECT DISTINCT s_nationkey, page_no FROM p WHERE s_suppkey % 10 = 3)
+SELECT 'hit' AS kind, CAST(s_nationkey AS INTEGER) AS nation, CAST(page_no AS INTEGER) AS page_no, CAST(pos AS INTEGER) AS pos, s_name AS name,
+       'https://dblp.org/pid/' || CAST(s_suppkey AS VARCHAR) AS href, 'Org ' || CAST(s_suppkey % 7 AS VARCHAR) AS org
+FROM p ANTI JOIN bad USING (s_nationkey, page_no)
+UNION ALL
+SELECT 'year', CAST(s_nationkey AS INTEGER), CAST(page_no AS INTEGER), CAST(pos AS INTEGER),
+       CASE WHEN s_nationkey % 3 = 0 THEN 'Unknown' ELSE CAST(s_nationkey + 1990 AS VARCHAR) END, NULL, NULL
+FROM p
+""")
+def q_dblp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search pages → hits (a page that lacks an organisation gives none);
+    publication lists → the year before each entry."""
+    hits, lists = fixtures.dblp_search_pages(spark, sf_dir)
+    keys = ["s_nationkey", "page_no"]
+    at = [F.col("s_nationkey").cast("int").alias("nation"), F.col("page_no").cast("int").alias("page_no"), F.col("pos").cast("int").alias("pos")]
+    c = dblp.candidates(hits, keys).select(F.lit("hit").alias("kind"), *at, "name", "href", "org")
+    none = F.lit(None).cast("string")
+    y = dblp.entry_years(lists, keys).select(F.lit("year").alias("kind"), *at, F.col("year").alias("name"), none.alias("href"), none.alias("org"))
+    return c.unionByName(y)
+
+
+# ------------------------------------------------------------ R1-R3 R5 R6
+@register("request_urls", oracle=f"""
+SELECT CAST(c_custkey AS BIGINT) AS id, '{R.SCHOLAR_AUTHOR_SEARCH}' || replace(c_name || ' ' || c_mktsegment, ' ', '+') AS author_search,
+       '{R.SCHOLAR_COLLEAGUES}' || 'U' || CAST(c_custkey AS VARCHAR) AS colleagues,
+       '{R.SCHOLAR_PROFILE}U' || CAST(c_custkey AS VARCHAR) || '&start=0|' || '{R.SCHOLAR_PROFILE}U' || CAST(c_custkey AS VARCHAR) || '&start=10|'
+         || '{R.SCHOLAR_PROFILE}U' || CAST(c_custkey AS VARCHAR) || '&start=20' AS list_pages,
+       '{R.SCIMAGO_RANK}?year=' || CAST(1999 + c_nationkey AS VARCHAR) || '&page=' || CAST(c_custkey % 9 + 1 AS VARCHAR) AS scimago,
+       '{R.CORE_RANKS}' || CAST(c_custkey % 45 + 1 AS VARCHAR) AS core
+FROM customer
+""")
+def q_request_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    user = F.concat(F.lit("U"), F.col("c_custkey").cast("string"))
+    return c.select(
+        F.col("c_custkey").cast("bigint").alias("id"), R.scholar_author_search_url(F.concat_ws(" ", "c_name", "c_mktsegment")).alias("author_search"),
+        R.scholar_colleagues_url(user).alias("colleagues"), F.array_join(R.paged_urls(R.scholar_profile_url(user), 3, "citations"), "|").alias("list_pages"),
+        R.scimago_url(F.col("c_nationkey") + 1999, F.col("c_custkey") % 9 + 1).alias("scimago"), R.core_url(F.col("c_custkey") % 45 + 1).alias("core"))
+
+
+# ------------------------------------------------------------ P5 P6 A8 F15 F16
+@register("work_filters", oracle="""
+WITH i AS (
+  SELECT event_id, CAST(user_id % 7 + 1 AS INTEGER) AS depth, CASE WHEN event_type = 'view' OR event_type = 'error' THEN 'scraper' ELSE 'out' END AS queue,
+         ts, min(ts) OVER () AS started_at, CAST(user_id AS VARCHAR) AS expected_id,
+         CAST(json_extract(props, '$.k') AS INTEGER) AS k, event_type
+  FROM events
+)
+SELECT CAST(event_id AS BIGINT) AS event_id, depth, queue, k,
+       '{"message_type":"' || event_type || '","message_id":"' || expected_id || '","content":"' || queue || '","timestamp":"' || CAST(k AS VARCHAR) || '"}' AS envelope,
+       NOT EXISTS (SELECT 1 FROM customer WHERE CAST(c_custkey * 2 AS VARCHAR) = expected_id) AS is_new
+FROM i WHERE depth <= 4 AND NOT (queue = 'scraper' AND epoch(ts) - epoch(started_at) > 864000)
+""")
+def q_work_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as work items: depth limit (P5), scraper items later than ten
+    days after the first event cut off (P6), new-item answers (A8), payloads
+    parsed from JSON (F15) and message envelopes written and read (F16)."""
+    e = table(spark, sf_dir, "events")
+    start = e.agg(F.min("ts").alias("started_at"))
+    items = e.crossJoin(F.broadcast(start)).select(
+        "event_id", "event_type", (F.col("user_id") % 7 + 1).cast("int").alias("depth"), "ts", "started_at",
+        F.when(F.col("event_type").isin("view", "error"), "scraper").otherwise("out").alias("destination_queue"),
+        F.col("user_id").cast("string").alias("expected_id"), X.parse_json_doc("props", "k INT")["k"].alias("k"))
+    seconds = F.timestamp_diff("SECOND", F.col("started_at"), F.col("ts"))
+    timed = items.withColumn("ts", F.timestamp_seconds(seconds))
+    kept = frontier.work_time_cutoff(frontier.depth_limit(timed), F.timestamp_seconds(F.lit(0)), 864000)
+    registered = table(spark, sf_dir, "customer").select((F.col("c_custkey") * 2).cast("string").alias("expected_id"))
+    new = metrics.new_items(items, registered, ["expected_id"])
+    text = X.message_to_json("event_type", "expected_id", "destination_queue", F.col("k").cast("string"))
+    back = X.message_from_json(text)
+    again = X.message_to_json(back["message_type"], back["message_id"], back["content"], back["timestamp"])
+    return kept.join(new, "expected_id").select(F.col("event_id").cast("bigint").alias("event_id"), "depth", F.col("destination_queue").alias("queue"),
+                                               "k", again.alias("envelope"), "is_new")

@@ -440,3 +440,25 @@ def scholar_colleague_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit('">'), esc(F.col("s_name")), F.lit('</a></h3><div class="gs_ai_aff">x</div></div>'))
     rows = li.select("l_partkey", "page_no", "seq", item.alias("item"))
     return pages_of(rows, ["l_partkey", "page_no"], "item", "<html><body>", "</body></html>")
+
+
+# ------------------------------------------------------------ DBLP search
+DBLP_HITS = 20
+
+
+def dblp_search_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Author search pages per nation (suppliers as hits, some without an
+    organisation) and publication lists with a year before their entries."""
+    sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    sup = paged(sup, ["s_nationkey"], ["s_suppkey"], DBLP_HITS)
+    org = F.when(F.col("s_suppkey") % 10 == 3, F.lit("")).otherwise(F.concat(F.lit("<small>Org "), s(F.col("s_suppkey") % 7), F.lit("</small>")))
+    hit = F.concat(F.lit('<li><a href="https://dblp.org/pid/'), s("s_suppkey"), F.lit('"><span itemprop="name">'), esc(F.col("s_name")),
+                   F.lit("</span></a> "), org, F.lit("</li>"))
+    keys = ["s_nationkey", "page_no"]
+    hits = pages_of(sup.select(*keys, "seq", hit.alias("item")), keys, "item",
+                    '<html><body><div id="completesearch-authors"><ul class="result-list">', "</ul></div></body></html>")
+    year = F.when(F.col("s_nationkey") % 3 == 0, F.lit("n/a")).otherwise(s(F.col("s_nationkey") + 1990))
+    entry = F.concat(F.lit('<li class="entry article">'), s("s_suppkey"), F.lit("</li>"))
+    lists = pages_of(sup.select(*keys, "seq", entry.alias("item")), keys, "item", "", "</ul></div></body></html>")
+    lists = lists.withColumn("html", F.concat(F.lit('<html><body><div id="publ-section"><ul><li class="year">'), year, F.lit("</li>"), F.col("html")))
+    return hits, lists

@@ -143,3 +143,5 @@ def test_dblp_candidates(spark):
     out = dblp.candidates(pages(spark, html), ["page_no"]).orderBy("pos").collect()
     assert [(r["pos"], r["name"], r["href"], r["org"]) for r in out] == [
         (0, "Ada Love", "https://dblp.org/pid/1", "Univ Pisa"), (1, "Ada Lovelace", "https://dblp.org/pid/2", "MIT")]
+    short = html.replace(" <small>MIT</small>", "")
+    assert dblp.candidates(pages(spark, short), ["page_no"]).count() == 0
