@@ -60,6 +60,7 @@ _TOKEN = re.compile(r"""
   | <(?P<start>[a-zA-Z][^\t\n\r\f />\x00]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>
   | (?P<text>[^<]+|<)
 """, re.S | re.X)
+# The attribute pattern of the standard library's html.parser, as it stands there.
 _ATTR = re.compile(r"""((?<=['"\s/])[^\s/>][^\s/=>]*)(\s*=+\s*('[^']*'|"[^"]*"|(?!['"])[^>\s]*))?(?:\s|/(?!>))*""")
 _RAW_END = {t: re.compile(r"</\s*%s\s*>" % t, re.I) for t in ("script", "style")}
 _KEEP_SPACE = frozenset(("pre", "textarea"))

@@ -38,6 +38,7 @@ SENTINELS = {
         "interests": "Interests not available",
     },
     "scholar_publication": {
+        "publication_id": "Publication ID not available",
         "title": "Title not available",
         "title_link": "Title link not available",
         "pdf_link": "PDF link not available",
@@ -207,13 +208,6 @@ def message_from_json(c: ColumnOrName) -> Column:
     return F.from_json(_c(c), schema)
 
 
-def with_sentinels(df, kind: str):
-    """replace NULLs by the reference's sentinel strings for a kind."""
-    fills = {k: v for k, v in SENTINELS.get(kind, {}).items() if k in df.columns
-             and isinstance(df.schema[k].dataType, T.StringType)}
-    return df.fillna(fills) if fills else df
-
-
 def page_id(year: ColumnOrName, page: ColumnOrName) -> Column:
     """``year_page`` identifier."""
     return F.concat_ws("_", _c(year).cast("string"), _c(page).cast("string"))

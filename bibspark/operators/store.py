@@ -49,6 +49,19 @@ def stale(work: DataFrame, docs: DataFrame, work_key: str, doc_key: str, as_of:
     return j.withColumn("stale", flag).drop("__present")
 
 
+def current(work: DataFrame, docs: DataFrame, fetched: DataFrame, work_key: str, doc_key: str, as_of: str,
+            cols: Sequence[str], ttl_s: int = S.MIN_SECONDS_BETWEEN_UPDATES) -> DataFrame:
+    """J5 in full: a work item whose stored document is fresh goes on with
+    the stored columns, any other with the fetched ones (null when nothing
+    was fetched). ``origin`` says which."""
+    j = stale(work, docs, work_key, doc_key, as_of, ttl_s)
+    f = fetched.select(F.col(doc_key).alias("__fk"), *[F.col(c).alias(f"__f_{c}") for c in cols], F.lit(True).alias("__fetched"))
+    j = j.join(f, j[work_key] == f["__fk"], "left")
+    origin = F.when(~F.col("stale"), "stored").when(F.col("__fetched"), "fetched").otherwise("none")
+    return j.select(*work.columns, origin.alias("origin"),
+                    *[F.when(F.col("stale"), F.col(f"__f_{c}")).otherwise(F.col(c)).alias(c) for c in cols])
+
+
 def last_write(batch: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key, the one with the greatest ``order`` tuple.
 

@@ -299,6 +299,31 @@ def q_freshness_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), "stale", "stored_type")
 
 
+@register("fetched_or_stored", oracle=f"""
+WITH docs AS (
+  SELECT event_id AS _id, CASE WHEN event_type = 'signup' THEN NULL ELSE ts END AS update_date,
+         CASE WHEN event_type = 'error' THEN false WHEN event_type = 'view' THEN NULL ELSE true END AS serialized, event_type AS stored_type
+  FROM events
+), fetched AS (SELECT l_orderkey AS _id, 'fetched ' || CAST(count(*) AS VARCHAR) AS stored_type FROM lineitem GROUP BY l_orderkey),
+j AS (
+  SELECT o.o_orderkey, d.stored_type AS s, f.stored_type AS f,
+         (d._id IS NULL OR d.update_date IS NULL OR NOT coalesce(d.serialized, false)
+          OR abs(epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(d.update_date)) > CAST(2592000000000 AS BIGINT)) AS stale
+  FROM orders o LEFT JOIN docs d ON d._id = o.o_orderkey LEFT JOIN fetched f ON f._id = o.o_orderkey
+)
+SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CASE WHEN NOT stale THEN 'stored' WHEN f IS NOT NULL THEN 'fetched' ELSE 'none' END AS origin,
+       CASE WHEN stale THEN f ELSE s END AS stored_type
+FROM j
+""")
+def q_fetched_or_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders are the work items, events the stored documents, line
+    counts what a fetch would bring."""
+    fetched = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("_id")).agg(
+        F.concat(F.lit("fetched "), F.count(F.lit(1)).cast("string")).alias("stored_type"))
+    work = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"))
+    return store.current(work, _event_docs(spark, sf_dir), fetched, "o_orderkey", "_id", AS_OF, ["stored_type"])
+
+
 # ----------------------------------------------------------------------- J1
 @register("seen_antijoin", oracle="""
 WITH cand AS (
