@@ -39,6 +39,8 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 DROPPED = frozenset("script style template noscript iframe svg math canvas object head textarea select option button audio video datalist".split())
 _RAW = frozenset("script style textarea title iframe noscript template".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
+#: Blocks that hold running text.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote figcaption dd".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Opening one of these ends an open paragraph.
 _ENDS_P = BLOCK - {"body", "caption", "head", "html", "legend", "tbody", "td", "tfoot", "th", "thead", "title", "tr"}
@@ -47,10 +49,10 @@ _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd
          "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Evidence of a tag or of a word in class, id, role or label (positive: content).
 TAG_EVIDENCE = {"article": 5.0, "main": 4.0, "nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "header": -4.0, "menu": -9.0, "dialog": -9.0, "search": -9.0}
-_AGAINST = frozenset("""ad ads adv advert advertisement adverts advertising alert announcement banner breadcrumb breadcrumbs byline captcha carousel
- comment comments commentlist complementary contentinfo consent cookie cookies copyright disclaimer disqus feedback footer footnav form gdpr legal login masthead menu
- modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup promo promoted promotion rail recommended related
- replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe subscription tags teaser toolbar topbar tracking trending widget widgets""".split())
+_AGAINST = frozenset("""ad ads adbox adslot adsbygoogle adunit adv advert advertisement adverts advertising alert announcement banner breadcrumb breadcrumbs captcha
+ comment comments commentlist complementary consent contentinfo cookie cookies copyright disclaimer discussion disqus feedback footer footnav form gdpr header legal login masthead
+ menu modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup promo promoted promotion rail reactions recommended related
+ replies reply respond responses search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar tracking trending widget widgets""".split())
 _FOR = frozenset("article articlebody body content entry main maincontent post story text".split())
 AGAINST, FOR = -9.0, 2.0
 #: Smoothness: consecutive blocks, blocks with one parent, blocks of one section.
@@ -74,18 +76,26 @@ def _evidence(tag: str, attributes: str) -> tuple[float, bool]:
             words.update(w.lower() for w in _WORDS.findall(value))
     if tag in ("html", "body"):  # page-wide words say nothing about a block
         return score, False
-    if words & _AGAINST:
+    against = words & _AGAINST
+    if against == {"header"} and words & _FOR:  # the heading of an article
+        against = set()
+    if against:
         score += AGAINST
     elif words & _FOR:
         score += FOR
     return score, False
 
 
+def _other_words_against(attributes: str) -> bool:
+    """Does a class or id hold another word against the element than header?"""
+    return any(w.lower() in _AGAINST and w.lower() != "header" for m in _ATTRIBUTE.finditer(attributes) for w in _WORDS.findall(m[2] or m[3] or m[4] or ""))
+
+
 class Block:
-    __slots__ = ("text", "parent", "section", "evidence", "linked", "heading")
+    __slots__ = ("text", "parent", "section", "evidence", "linked", "prose")
 
-    def __init__(self, text: str, parent: int, section: int, evidence: float, linked: int, heading: bool):
-        self.text, self.parent, self.section, self.evidence, self.linked, self.heading = text, parent, section, evidence, linked, heading
+    def __init__(self, text: str, parent: int, section: int, evidence: float, linked: int, prose: bool):
+        self.text, self.parent, self.section, self.evidence, self.linked, self.prose = text, parent, section, evidence, linked, prose
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -102,8 +112,8 @@ def blocks_of(page: str) -> list[Block]:
             text = "".join(pieces)
             text = " ".join((html.unescape(text) if "&" in text else text).split())
             if text:
-                _, parent, evidence, _, section = next(e for e in reversed(stack) if e[0] in BLOCK or not e[0])
-                out.append(Block(text, parent, section, evidence, min(linked, len(text)), any(e[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for e in stack[-3:])))
+                tag, parent, evidence, _, section = next(e for e in reversed(stack) if e[0] in BLOCK or not e[0])
+                out.append(Block(text, parent, section, evidence, min(linked, len(text)), tag in PROSE))
             pieces.clear()
         linked = 0
 
@@ -156,8 +166,8 @@ def blocks_of(page: str) -> list[Block]:
         ids += 1
         _, _, above, dropped, section = stack[-1]
         score, hidden = _evidence(tag, m[3])
-        if tag == "header" and above > 0:  # the heading of an article, not of the page
-            score = max(score, 0.0) if score == TAG_EVIDENCE["header"] else score
+        if above > 0 and (tag == "header" or "header" in m[3]) and score in (TAG_EVIDENCE["header"], AGAINST, TAG_EVIDENCE["header"] + AGAINST) and not _other_words_against(m[3]):
+            score = 0.0  # the heading of an article, not of the page
         links += tag == "a"
         stack.append((tag, ids, above + score, dropped or hidden or tag in DROPPED, ids if score or tag in ("section", "div", "article") else section))
         if tag in _RAW:
@@ -178,7 +188,7 @@ def costs(b: Block) -> float:
     score += 1.5 if n >= 120 else 0.7 if n >= 50 else -0.6
     if b.text[-1] in ".!?\"'”’»…:;":
         score += 0.5
-    if b.heading:
+    if b.prose:
         score += 0.6
     return score - 0.3
 
