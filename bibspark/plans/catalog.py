@@ -394,16 +394,13 @@ def q_candidate_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select(
         "c_nationkey", F.col("c_custkey").alias("pos"), "c_custkey", "c_name", "c_mktsegment",
         F.concat(F.lit("CUSTOMER#"), F.lpad((F.col("c_nationkey") * 10).cast("string"), 9, "0")).alias("qname"))
-    outs = []
-    for mode, terms, fb in RESOLUTION_MODES:
-        r = resolve.pick_candidate(c, ["c_nationkey"], "pos", "c_mktsegment", "c_name", "qname",
-                                   "c_custkey", resolve.favored_terms(terms), fallback=fb)
-        outs.append(r.select(F.lit(mode).alias("mode"), F.col("c_nationkey").cast("int").alias("c_nationkey"),
-                             F.col("c_custkey").cast("bigint").alias("c_custkey"), "tier"))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+    # one scan: the modes are copies of each candidate, told apart by the key
+    modes = F.explode(F.array(*[F.lit(m) for m, _, _ in RESOLUTION_MODES])).alias("mode")
+    c = c.select("*", modes)
+    picked = resolve.pick_candidates(c, ["mode", "c_nationkey"], "pos", "c_mktsegment", "c_name", "qname", "c_custkey",
+                                     {m: (resolve.favored_terms(t), fb) for m, t, fb in RESOLUTION_MODES}, "mode")
+    return picked.select("mode", F.col("c_nationkey").cast("int").alias("c_nationkey"),
+                         F.col("c_custkey").cast("bigint").alias("c_custkey"), "tier")
 
 
 # ------------------------------------------------------------------ W2 A6 A7
@@ -426,15 +423,9 @@ def q_paged_takewhile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order is a paged list, each line a page; a returned line (``R``)
     is the stop signal: included (citations style) or excluded."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
-    outs = []
-    for mode, inc in (("include", True), ("exclude", False)):
-        kept = paging.take_while(li, ["l_orderkey"], "l_linenumber", F.col("l_returnflag") == "R", inc)
-        outs.append(kept.groupBy("l_orderkey").agg(
-            F.count(F.lit(1)).alias("n_items"), F.countDistinct("l_linenumber").alias("n_pages"),
-            F.max("l_linenumber").cast("int").alias("last_page")).select(
-            F.lit(mode).alias("mode"), F.col("l_orderkey").cast("bigint").alias("l_orderkey"),
-            "n_items", "n_pages", "last_page"))
-    return outs[0].unionByName(outs[1])
+    r = paging.read_pages(li, ["l_orderkey"], "l_linenumber", F.col("l_returnflag") == "R")
+    return r.select("mode", F.col("l_orderkey").cast("bigint").alias("l_orderkey"), "n_items", "n_pages",
+                    F.col("last_page").cast("int").alias("last_page"))
 
 
 # ------------------------------------------------------------- W3 A1-A4
