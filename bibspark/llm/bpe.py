@@ -35,8 +35,9 @@ from ..session import table
 from .common import id_text, strings
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Remembered chunks per Python worker, and the longest chunk remembered.
-CACHE_CHUNKS = 600_000
+#: Chunks in each of the two remembered generations of a Python worker, and
+#: the longest chunk remembered.
+CACHE_CHUNKS = 200_000
 CACHE_LENGTH = 64
 #: Unicode white space, as the pattern's \s has it.
 _WS = r"\t-\r \x85\xa0  -     　"
@@ -102,10 +103,12 @@ class Codec:
         for token, i in self.tokenizer.get_vocab().items():
             self.bytes_of[i] = bytes(reverse[c] for c in token)
         self.digits = [str(i) for i in range(size)]
-        #: chunk -> (ids, their decimal digits joined by commas, the bytes they decode to)
-        self.seen: dict[str, tuple[tuple[int, ...], str, bytes]] = {}
+        #: chunk -> (number of ids, their decimal digits joined by commas, the
+        #: bytes they decode to); chunks used lately, and those of the turn before
+        self.young: dict[str, tuple[int, str, bytes]] = {}
+        self.old: dict[str, tuple[int, str, bytes]] = {}
 
-    def _learn(self, chunks: list[str]) -> dict[str, tuple[tuple[int, ...], str, bytes]]:
+    def _learn(self, chunks: list[str]) -> dict[str, tuple[int, str, bytes]]:
         out: dict[str, tuple[int, ...]] = {}
         plain = []
         for c in chunks:
@@ -118,25 +121,27 @@ class Codec:
             ids = coded.ids
             ends = np.bincount(np.array(coded.word_ids), minlength=len(plain)).cumsum().tolist()
             out |= {c: tuple(ids[a:b]) for c, a, b in zip(plain, [0, *ends], ends)}
-        return {c: (i, ",".join(map(self.digits.__getitem__, i)), b"".join(map(self.bytes_of.__getitem__, i))) for c, i in out.items()}
+        return {c: (len(i), ",".join(map(self.digits.__getitem__, i)), b"".join(map(self.bytes_of.__getitem__, i))) for c, i in out.items()}
 
-    def code_chunks(self, texts: list[str]) -> list[list[tuple[tuple[int, ...], str, bytes]]]:
+    def code_chunks(self, texts: list[str]) -> list[list[tuple[int, str, bytes]]]:
         """What is known of every chunk of every text, in order."""
         cut = [_CHUNK.findall(t) for t in texts]
-        here: set[str] = set().union(*cut)
-        fresh = here.difference(self.seen)
-        if len(self.seen) + len(fresh) > CACHE_CHUNKS:
-            self.seen = {}
-            fresh = here
-        known = self.seen
-        new = self._learn(list(fresh)) if fresh else {}
-        known.update((c, i) for c, i in new.items() if len(c) <= CACHE_LENGTH)
-        if any(len(c) > CACHE_LENGTH for c in new):
-            known = known | new
-        return [list(map(known.__getitem__, chunks)) for chunks in cut]
+        known = self.young
+        missing = set().union(*cut).difference(known)
+        known.update((c, self.old[c]) for c in missing.intersection(self.old))
+        missing.difference_update(known)
+        new = self._learn(list(missing)) if missing else {}
+        known.update(new)
+        coded = [list(map(known.__getitem__, chunks)) for chunks in cut]
+        for c in new:
+            if len(c) > CACHE_LENGTH:
+                del known[c]
+        if len(known) > CACHE_CHUNKS:
+            self.old, self.young = known, {}
+        return coded
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        return [[i for c in chunks for i in c[0]] for chunks in self.code_chunks(texts)]
+        return [[int(i) for c in chunks for i in c[1].split(",")] for chunks in self.code_chunks(texts)]
 
     def decode(self, ids: list[int] | tuple[int, ...]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -156,7 +161,7 @@ def codec(path: str, pattern: str | None = None) -> Codec:
 
 
 #: Texts encoded together: enough to share one library call, bounded in bytes.
-GROUP_BYTES = 4_000_000
+GROUP_BYTES = 2_000_000
 
 
 def _groups(b: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
@@ -203,7 +208,7 @@ _HASHES = ["n_tokens", "ids_sha256", "decoded_sha256"]
 def _hashes(own: Codec, texts: list[str]) -> list[pa.Array]:
     sha = lambda x: hashlib.sha256(x).hexdigest()
     coded = own.code_chunks(texts)
-    return [pa.array([sum(len(c[0]) for c in chunks) for chunks in coded], pa.int64()),
+    return [pa.array([sum(map(itemgetter(0), chunks)) for chunks in coded], pa.int64()),
             pa.array([sha(",".join(map(itemgetter(1), chunks)).encode()) for chunks in coded], pa.string()),
             pa.array([sha(b"".join(map(itemgetter(2), chunks))) for chunks in coded], pa.string())]
 

@@ -40,7 +40,7 @@ MAX_POSITIVE, MAX_NEGATIVE = 4_000, 8_000
 #: Hashed space, places kept by the fit, size of a term's vector.
 SPACE_BITS, PLACES, RANK = 22, 1_024, 8
 #: Words remembered per Python worker while scoring.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
