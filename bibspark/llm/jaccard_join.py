@@ -31,6 +31,7 @@ and copies are one class (linked with each other when not blank).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,8 @@ from .components import components
 
 #: Words of a shingle; links need PART/100 of the union.
 WORDS, PART = 5, 75
+#: Bytes of text hashed at once.
+HASH_BYTES = 1 << 20
 #: Bytes of text per block of step 2, shingles per bucket, sets per block of step 4.
 BLOCK_BYTES, BUCKET_SHINGLES, BLOCK = 2 << 20, 2_000_000, 512
 #: Bits of the broadcast filter that spares sets without partners the way (false positives do no harm).
@@ -55,7 +58,6 @@ _BLANK = np.zeros(256, bool)
 _BLANK[list(SPACE)] = True
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _STEP = 0xE7037ED1A0B428DB  # odd: has an inverse modulo 2^64
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -64,12 +66,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, n.bit_length())
-    if size not in _POWERS:
-        _POWERS.clear()
-        _POWERS[size] = tuple(np.append(np.uint64(1), np.cumprod(np.full(size, s, np.uint64))) for s in (_STEP, pow(_STEP, -1, 1 << 64)))
-    return _POWERS[size]
+    return tuple(np.append(np.uint64(1), np.cumprod(np.full(n, s, np.uint64))) for s in (_STEP, pow(_STEP, -1, 1 << 64)))
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -78,7 +77,7 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     a = 0
     while a < len(texts):
         z, size = a, 0
-        while z < len(texts) and size < BLOCK_BYTES:
+        while z < len(texts) and size < HASH_BYTES:
             size += len(texts[z]) + 1
             z += 1
         out += _sets(texts[a:z])
@@ -92,7 +91,7 @@ def _sets(texts: list[bytes]) -> list[np.ndarray]:
     there = ~_BLANK[raw]
     edge = np.diff(there.view(np.int8), prepend=np.int8(0))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = _powers(n)
+    up, down = _powers(max(2 * HASH_BYTES, n))  # kept for all but giant texts
     total = np.append(np.uint64(0), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:n]))
     word = _mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _ODD[4])
     parts = [_mix(word + _ODD[j]) * _ODD[j] for j in range(WORDS)]
@@ -145,8 +144,9 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, np.
 
 def _bucket_rows(buckets: int):
     """Text batches -> (bucket, block, packed): a block's shingles that fall
-    into the bucket, five bytes each, behind their number per set. Bucket -1
-    carries the block's set ids and sizes."""
+    into the bucket, four bytes each, behind their number per set (a false
+    meeting only lets a set pass this step). Bucket -1 carries the block's set
+    ids and sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -156,14 +156,14 @@ def _bucket_rows(buckets: int):
             owner = np.repeat(np.arange(len(sets)), sizes)
             bucket = ((every >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            low = (every[order] & np.uint64((1 << 40) - 1)).view(np.uint8).reshape(-1, 8)[:, :5]
+            low = every[order].astype(np.uint32)
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             rows = [(-1, np.array([i for i, _ in sets], np.int64).tobytes() + sizes.tobytes())]
             for k in range(buckets):
                 a, z = int(cuts[k]), int(cuts[k + 1])
                 if z > a:
                     per = np.bincount(owner[order[a:z]], minlength=len(sets)).astype(np.uint32)
-                    rows.append((k, per.tobytes() + np.ascontiguousarray(low[a:z]).tobytes()))
+                    rows.append((k, per.tobytes() + low[a:z].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()),
                                               pa.array([len(sets)] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "block", "sets", "packed"])
             block += 1
@@ -177,11 +177,7 @@ def _shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     def answer(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
         per = [np.frombuffer(p[:4 * m], np.uint32) for _, m, p in rows]
-        codes = []
-        for _, m, p in rows:
-            wide = np.zeros(((len(p) - 4 * m) // 5, 8), np.uint8)
-            wide[:, :5] = np.frombuffer(p[4 * m:], np.uint8).reshape(-1, 5)
-            codes.append(wide.view("<u8").reshape(-1))
+        codes = [np.frombuffer(p[4 * m:], np.uint32) for _, m, p in rows]
         every = np.concatenate(codes)
         order = np.argsort(every)
         ranked = every[order]
