@@ -47,6 +47,8 @@ _ENDS_P = BLOCK - {"body", "caption", "head", "html", "legend", "tbody", "td", "
 #: Opening the key ends the nearest open element of the values, up to the scope's edge.
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}),
          "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+#: What can stand in a head; anything else, and text, ends it (</head> may be left out).
+_IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 #: Evidence of a tag or of a word in class, id, role or label (positive: content).
 TAG_EVIDENCE = {"article": 5.0, "main": 4.0, "nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "header": -4.0, "menu": -9.0, "dialog": -9.0, "search": -9.0}
 _AGAINST = frozenset("""ad ads adbox adslot adsbygoogle adunit adv advert advertisement adverts advertising alert announcement banner breadcrumb breadcrumbs captcha
@@ -126,6 +128,8 @@ def blocks_of(page: str) -> list[Block]:
     for m in _TAG.finditer(page):
         if m.start() < at:  # inside raw text that was skipped
             continue
+        if stack[-1][0] == "head" and m.start() > at and not page[at:m.start()].isspace():
+            close(len(stack) - 1)
         if m.start() > at and not stack[-1][3]:
             piece = page[at:m.start()]
             pieces.append(piece)
@@ -146,6 +150,8 @@ def blocks_of(page: str) -> list[Block]:
                     close(depth)
                     break
             continue
+        if stack[-1][0] == "head" and tag not in _IN_HEAD:
+            close(len(stack) - 1)
         if tag in _VOID:
             continue
         if tag in _ENDS_P:
@@ -174,6 +180,8 @@ def blocks_of(page: str) -> list[Block]:
             end = re.compile(rf"</{re.escape(tag)}\b", re.I).search(page, at)
             if tag in DROPPED or dropped or hidden:
                 at = end.start() if end else len(page)
+    if stack[-1][0] == "head" and not page[at:].isspace():
+        close(len(stack) - 1)
     if at < len(page) and not stack[-1][3]:
         pieces.append(page[at:])
     flush()

@@ -40,6 +40,16 @@ def test_main_text():
         assert html_extract.main_text(empty)[0] == ""
 
 
+def test_head_without_end_tag():
+    body = "<p>The first paragraph is long enough to be the content of this page, surely it is.</p><p>So is the second one, which goes on in the very same manner as the first.</p>"
+    want = re.sub(r"</p><p>", "\n\n", body)[3:-4]
+    for page in (f"<html><head><title>T</title><body><article>{body}</article></body></html>", f"<head><meta charset=x><style>p{{}}</style><script>1</script>{body}", f"<html><head><title>T</title></head><body>{body}</body>"):
+        assert html_extract.main_text(page)[0] == want
+    text = want.split("\n")[0]
+    assert html_extract.main_text(f"<head><title>T</title>\n{text}")[0] == html_extract.main_text(f"<head><title>T</title>{text}<br>")[0] == text
+    assert html_extract.main_text("<head><title>T</title>\n<meta name=x> ")[0] == ""
+
+
 def test_minimum_cut_is_minimal():
     rng = random.Random(3)
     for _ in range(60):
