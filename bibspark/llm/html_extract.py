@@ -57,27 +57,46 @@ _AGAINST = frozenset("""ad ads adbox adslot adsbygoogle adunit adv advert advert
  replies reply respond responses search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar tracking trending widget widgets""".split())
 _FOR = frozenset("article articlebody body content entry main maincontent post story text".split())
 AGAINST, FOR = -9.0, 2.0
+#: Names that say what an element has, how it is laid out or filed, not what it is.
+_STATES = "open opened closed on off enabled disabled active inactive visible hidden collapsed expanded layout none"
+_MODIFIER = re.compile(rf"""(?:has|have|no|not|non|with|without|is|show|shows|hide|hides|enable|disable|layout|template|theme)(?:[-_]|(?=[A-Z]))
+ |(?:category|cat|tag|tagged|topic|type|format|status)[-_](?!nav|menu|sidebar|widget|header|footer|search|toolbar)
+ |.*(?:[-_](?:{_STATES.replace(" ", "|")})|(?<=[a-z])(?:{_STATES.title().replace(" ", "|")}))$""", re.X)
+#: Elements whose text is the page's own, and headings of its first level.
+_LANDMARK = frozenset("article main h1".split())
+#: Running text: characters of a block, share that may be linked; share of an
+#: element's running text up to which other text of the page is a rest.
+RUNNING, LINKED, REST = 50, 0.5, 0.1
 #: Smoothness: consecutive blocks, blocks with one parent, blocks of one section.
 ADJACENT, SIBLING, SECTION = 0.4, 0.8, 0.3
 
 
-def _evidence(tag: str, attributes: str) -> tuple[float, bool]:
-    """(evidence of this element, hidden)."""
+def _names(name: str, value: str) -> set[str]:
+    """The words of a class, id, role or label, without those of modifiers."""
+    words: set[str] = set()
+    for part in value.split() if name in ("class", "id") else (value,):
+        if name not in ("class", "id") or not _MODIFIER.match(part):
+            words.update(w.lower() for w in _WORDS.findall(part))
+    return words
+
+
+def _evidence(tag: str, attributes: str) -> tuple[float, bool, bool]:
+    """(evidence of this element, hidden, held against it by a name)."""
     score = TAG_EVIDENCE.get(tag, 0.0)
     if not attributes or attributes.isspace():
-        return score, False
+        return score, False, False
     words: set[str] = set()
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" and m[2] is None and m[3] is None and m[4] is None:
-            return score, True
+            return score, True, False
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return score, True
+                return score, True, False
         elif name != "hidden":
-            words.update(w.lower() for w in _WORDS.findall(value))
+            words |= _names(name, value)
     if tag in ("html", "body"):  # page-wide words say nothing about a block
-        return score, False
+        return score, False, False
     against = words & _AGAINST
     if against == {"header"} and words & _FOR:  # the heading of an article
         against = set()
@@ -85,26 +104,49 @@ def _evidence(tag: str, attributes: str) -> tuple[float, bool]:
         score += AGAINST
     elif words & _FOR:
         score += FOR
-    return score, False
+    return score, False, bool(against)
 
 
 def _other_words_against(attributes: str) -> bool:
     """Does a class or id hold another word against the element than header?"""
-    return any(w.lower() in _AGAINST and w.lower() != "header" for m in _ATTRIBUTE.finditer(attributes) for w in _WORDS.findall(m[2] or m[3] or m[4] or ""))
+    return any(w in _AGAINST and w != "header" for m in _ATTRIBUTE.finditer(attributes) for w in _names(m[1].lower(), m[2] or m[3] or m[4] or ""))
 
 
 class Block:
-    __slots__ = ("text", "parent", "section", "evidence", "linked", "prose")
-
-    def __init__(self, text: str, parent: int, section: int, evidence: float, linked: int, prose: bool):
-        self.text, self.parent, self.section, self.evidence, self.linked, self.prose = text, parent, section, evidence, linked, prose
+    __slots__ = ("text", "parent", "section", "evidence", "linked", "prose", "marks")
+
+    def __init__(self, text: str, parent: int, section: int, evidence: float, linked: int, prose: bool, marks: tuple[int, ...] = ()):
+        self.text, self.parent, self.section, self.evidence, self.linked, self.prose, self.marks = text, parent, section, evidence, linked, prose, marks
+
+    @property
+    def running(self) -> int:
+        """Characters of running text."""
+        n = len(self.text)
+        return n if n >= RUNNING and self.linked <= LINKED * n else 0
+
+
+def _clear_names(blocks: list[Block], landmarks: set[int]) -> None:
+    """A name says nothing against an element that holds the page's running
+    text (an article, main, first heading or three such blocks, and outside
+    of it no more than a rest that nothing is held against)."""
+    for mark in sorted({k for b in blocks for k in b.marks}):  # outer elements first
+        inside = [b for b in blocks if mark in b.marks and b.evidence - AGAINST * len(b.marks) >= 0]
+        held = sum(b.running for b in inside)
+        if not held or not (mark in landmarks or sum(1 for b in inside if b.running) >= 3):
+            continue
+        if sum(b.running for b in blocks if mark not in b.marks and b.evidence >= 0) <= REST * held:
+            for b in blocks:
+                if mark in b.marks:
+                    b.evidence -= AGAINST
+                    b.marks = tuple(k for k in b.marks if k != mark)
 
 
 def blocks_of(page: str) -> list[Block]:
     """The visible text blocks of a page with their DOM context."""
     out: list[Block] = []
-    # an open element: tag, id, evidence summed over ancestors, dropped, section id
-    stack: list[tuple[str, int, float, bool, int]] = [("", 0, 0.0, False, 0)]
+    # an open element: tag, id, evidence summed over ancestors, dropped, section id, ids of elements held against by name
+    stack: list[tuple[str, int, float, bool, int, tuple[int, ...]]] = [("", 0, 0.0, False, 0, ())]
+    landmarks: set[int] = set()  # of those ids: with a landmark inside
     pieces: list[str] = []
     linked = ids = links = at = 0
 
@@ -114,8 +156,8 @@ def blocks_of(page: str) -> list[Block]:
             text = "".join(pieces)
             text = " ".join((html.unescape(text) if "&" in text else text).split())
             if text:
-                tag, parent, evidence, _, section = next(e for e in reversed(stack) if e[0] in BLOCK or not e[0])
-                out.append(Block(text, parent, section, evidence, min(linked, len(text)), tag in PROSE))
+                tag, parent, evidence, _, section, marks = next(e for e in reversed(stack) if e[0] in BLOCK or not e[0])
+                out.append(Block(text, parent, section, evidence, min(linked, len(text)), tag in PROSE, marks))
             pieces.clear()
         linked = 0
 
@@ -170,12 +212,16 @@ def blocks_of(page: str) -> list[Block]:
                 if stack[depth][0] in edge:
                     break
         ids += 1
-        _, _, above, dropped, section = stack[-1]
-        score, hidden = _evidence(tag, m[3])
+        _, _, above, dropped, section, marks = stack[-1]
+        score, hidden, against = _evidence(tag, m[3])
         if above > 0 and (tag == "header" or "header" in m[3]) and score in (TAG_EVIDENCE["header"], AGAINST, TAG_EVIDENCE["header"] + AGAINST) and not _other_words_against(m[3]):
-            score = 0.0  # the heading of an article, not of the page
+            score, against = 0.0, False  # the heading of an article, not of the page
+        if against:
+            marks = (*marks, ids)
+        if tag in _LANDMARK and marks:
+            landmarks.update(marks)
         links += tag == "a"
-        stack.append((tag, ids, above + score, dropped or hidden or tag in DROPPED, ids if score or tag in ("section", "div", "article") else section))
+        stack.append((tag, ids, above + score, dropped or hidden or tag in DROPPED, ids if score or tag in ("section", "div", "article") else section, marks))
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}\b", re.I).search(page, at)
             if tag in DROPPED or dropped or hidden:
@@ -185,6 +231,8 @@ def blocks_of(page: str) -> list[Block]:
     if at < len(page) and not stack[-1][3]:
         pieces.append(page[at:])
     flush()
+    if any(b.marks for b in out):
+        _clear_names(out, landmarks)
     return out
 
 

@@ -50,6 +50,20 @@ def test_head_without_end_tag():
     assert html_extract.main_text("<head><title>T</title>\n<meta name=x> ")[0] == ""
 
 
+def test_wrappers_with_words_against():
+    paragraphs = ["The first paragraph is long enough to be the content of this page, surely it is, and it goes on for a while, as paragraphs do.", "So is the second one, which goes on in the very same manner as the first, with a few more words put in at its end."]
+    body = "".join(f"<p>{p}</p>" for p in paragraphs)
+    want = "\n\n".join(paragraphs)
+    rest = "<nav><a href=x>One</a></nav><div class='sidebar'><p>Other stories of the site that readers of this page may like to read next.</p></div><div class='comments'><p>A reader says that this is all wrong and goes on about it for a while.</p></div>"
+    for names in ("has-sidebar", "no-sidebar", "comments-open", "hasSidebar", "layout-sidebar-left", "category-recommended tag-alert", "sidebar-wrapper", "share widget", "banner"):
+        for page in (f"<body><div class='{names}'><article>{body}</article></div>{rest}</body>", f"<body><div id=x class='{names}'><div class=inner>{rest}<main>{body}</main></div></div></body>", f"<body>{rest}<article class='{names}'>{body}</article></body>"):
+            assert html_extract.main_text(page)[0] == want, page
+    long = "<p>A reader says that this is all wrong and goes on about it for a while, twice.</p>" * 4
+    for names in ("comments", "sidebar", "sidebar-left", "navigation", "notification", "page-footer", "related-posts", "cookie-notice"):  # a name still counts beside the page's own text
+        assert html_extract.main_text(f"<article>{body}</article><div class='{names}'><article>{long}</article></div>")[0] == want
+    assert html_extract.main_text("<div class='cookie-notice'><p>We use cookies to give you the best experience on this website, all the time.</p></div>")[0] == ""
+
+
 def test_minimum_cut_is_minimal():
     rng = random.Random(3)
     for _ in range(60):
