@@ -9,6 +9,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from bibspark.llm import bpe, context_mixing, decontaminate, html_extract, kd_shards, secrets, toxicity
@@ -264,6 +266,57 @@ def test_bits_are_a_distribution():
     assert math.isclose(np.exp(total).sum(), 1, rel_tol=1e-9) and final.shape == (256, context_mixing.COLUMNS)
 
 
+def test_nodes_have_their_own_counts(monkeypatch):
+    """Every node's counts are those of its context alone, whatever the number
+    of contexts, chunks, buckets and parts."""
+    monkeypatch.setattr(context_mixing, "CHUNK", 300)
+    rng = random.Random(18)
+    tokens = sorted({bytes([rng.choice([1, 2, 4])]) + bytes(rng.choice(b"aabcde\xc3\xa9") for _ in range(rng.randrange(1, 9))) for _ in range(400)} | {b"\x04\n"})
+    a, b = ([rng.randrange(3) for _ in tokens] for _ in range(2))
+
+    def nodes(token):
+        """(bit, the six contexts with the bits before) of every bit."""
+        word = token[1:] if token[1:] == b"\n" else token[1:] + b" "
+        for i, byte in enumerate(word):
+            last = b"    " + word[:i]
+            contexts = [(1, token[0], i == 0, last[-1:]), (2, last[-2:]), (3, last[-3:]), (4, last[-4:]), (5, word[:i]), (6, token[0], word[:i])]
+            for bit in range(8):
+                yield byte >> (7 - bit) & 1, [(c, bit, byte >> (8 - bit)) for c in contexts]
+
+    brute = [defaultdict(lambda: [0, 0]) for _ in range(2)]
+    for t, x, y in zip(tokens, a, b):
+        for bit, own in nodes(t):
+            for c in own:
+                brute[0][c][bit] += x
+                brute[1][c][bit] += x + y
+    asked = []
+    for bucket in range(3):
+        p = [(t, x, y) for k, (t, x, y) in enumerate(zip(tokens, a, b)) if k % 3 == bucket]
+        rows = pa.RecordBatch.from_pydict({"bucket": [bucket], "tokens": [context_mixing._pack(b" ".join(t for t, _, _ in p))], "a": [context_mixing._longs([x for _, x, _ in p])], "b": [context_mixing._longs([y for _, _, y in p])]})
+        asked += context_mixing._counting(5)([rows])
+    asked = pa.Table.from_batches(asked)
+    seen = pa.concat_tables([context_mixing._summing(asked.filter(pc.equal(asked.column("part"), part))) for part in range(5)])
+    checked = 0
+    for bucket in range(3):
+        own = [(t, y) for k, (t, y) in enumerate(zip(tokens, b)) if k % 3 == bucket]
+        for which, columns in enumerate((["a"], ["a", "b"])):
+            answers = context_mixing._answers(seen.filter(pc.equal(seen.column("bucket"), bucket)), columns)
+            for chunk, part in enumerate(context_mixing._chunks([t for t, _ in own])):
+                used = [t for t, _ in own[part]]
+                spelled = context_mixing.Spelled(used)
+                tables = context_mixing.Tables.rebuilt(spelled.keys, answers[chunk])
+                want = [list(nodes(t)) for t in used]
+                for bit, (y, places) in enumerate(spelled.bits()):
+                    each = [n for w in want for n in w[bit::8]]
+                    assert y.tolist() == [n[0] for n in each]
+                    for k, at in enumerate(places):
+                        pairs = [brute[which][n[1][k]] for n in each]
+                        assert np.allclose(tables.stretch[at], [math.log((one + 0.4) / (zero + 0.4)) for zero, one in pairs], atol=2e-3)
+                        assert tables.level[at].tolist() == np.digitize([sum(x) for x in pairs], [1, 4, 32]).tolist()
+                        checked += len(at)
+    assert checked > 50_000
+
+
 # ------------------------------------------------------------------ op9
 def test_bpe_equals_the_rule_and_round_trips(spark):
     tiktoken = pytest.importorskip("tiktoken")
