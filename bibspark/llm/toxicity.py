@@ -11,8 +11,11 @@ both alone, which additive weights cannot express.
 
 Fit: a bounded sample of labelled rows (``MAX_POSITIVE`` + ``MAX_NEGATIVE``,
 the smallest hashes of doc_id, training folds only) gives, by one
-aggregation, the ``PLACES`` terms that separate the classes best; only these
-reach the driver, where the machine is fitted by Adam with fixed seeds.
+aggregation, the ``PLACES`` terms that separate the classes best and the
+``COMMON`` terms of the most documents, whatever their classes; only these
+reach the driver. There all pairs of them are counted, and the terms of pairs
+that separate the classes better than both alone (``PAIRED`` at most) join
+the first ``PLACES``; on these the machine is fitted by Adam with fixed seeds.
 Scoring is one Arrow pass over all texts without any shuffle. Labels, lang,
 source and doc_id are never inputs of a score.
 
@@ -32,13 +35,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import cut_lineage, table
 from .common import fold_of, id_text, strings
 
 #: Bounds of the labelled sample that the machine is fitted on.
 MAX_POSITIVE, MAX_NEGATIVE = 4_000, 8_000
 #: Hashed space, places kept by the fit, size of a term's vector.
 SPACE_BITS, PLACES, RANK = 22, 1_024, 8
+#: Terms by document frequency whose pairs are counted, terms taken for their
+#: pairs, what a pair's z must have above its terms' (chance among 13 million
+#: pairs stays below).
+COMMON, PAIRED, EXCESS = 4_096, 512, 6.0
 #: Words remembered per Python worker while scoring.
 CACHE_WORDS = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -93,17 +100,44 @@ class FactorizationMachine:
 
 
 def _places(rows: DataFrame, keep: dict[int, int] | None = None) -> DataFrame:
-    """(y, places): the distinct hashed places of every text, or the indices
-    of those in ``keep``."""
+    """(y, places): the distinct hashed places of every text, or (packed) the
+    indices of those in ``keep``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [list({p for w in words_of(t) for p in places_of(w)}) for t in strings(b.column("text"))]
             if keep is not None:
-                out = [sorted(keep[p] for p in row if p in keep) for row in out]
-            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(out, pa.list_(pa.int32()))], ["y", "places"])
-
-    return rows.select("y", "text").mapInArrow(run, "y int, places array<int>")
+                out = [np.array(sorted(keep[p] for p in row if p in keep), np.int32).tobytes() for row in out]
+            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(out, pa.list_(pa.int32()) if keep is None else pa.binary())], ["y", "places"])
+
+    return rows.select("y", "text").mapInArrow(run, "y int, places " + ("array<int>" if keep is None else "binary"))
+
+
+def pair_terms(x: np.ndarray, y: np.ndarray, known: int) -> list[int]:
+    """The columns from ``known`` on that belong to the pairs of columns whose
+    joint presence separates the classes better than both alone."""
+    pos, neg = (x[y == k].astype(np.float32) for k in (1, 0))
+    n, scale = len(x), 1 / len(pos) + 1 / len(neg)
+
+    def z(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.abs(a / len(pos) - b / len(neg)) / np.sqrt((a + b + 1) / n * scale)
+
+    single = z(pos.sum(0), neg.sum(0))
+    pairs: list[tuple[float, int, int]] = []
+    for at in range(0, x.shape[1], 512):
+        own = slice(at, at + 512)
+        excess = z(pos[:, own].T @ pos, neg[:, own].T @ neg) - np.maximum(single[own][:, None], single)
+        found = np.argwhere(excess > EXCESS)
+        found = found[found[:, 0] + at < found[:, 1]]
+        value = excess[found[:, 0], found[:, 1]]
+        best = np.argsort(-value, kind="stable")[:20_000]
+        pairs += zip((-value[best]).tolist(), (found[best, 0] + at).tolist(), found[best, 1].tolist())
+    out: dict[int, None] = {}
+    for _, a, b in sorted(pairs):
+        new = {k for k in (a, b) if k >= known and k not in out}
+        if len(out) + len(new) <= PAIRED:
+            out.update(dict.fromkeys(sorted(new)))
+    return sorted(out)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out_fold: int = 0) -> DataFrame:
@@ -127,14 +161,21 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out_f
         F.count(F.lit(1)).alias("df"), share(1, pos).alias("a"), share(0, neg).alias("b"))
     # difference of the class shares against its spread under one common share
     spread = F.sqrt((F.col("df") + 1) / F.lit(float(n)) * F.lit(1.0 / pos + 1.0 / neg))
-    best = counts.where("df > 1").withColumn("z", F.abs(F.col("a") - F.col("b")) / spread).orderBy(F.desc("z"), "place").limit(PLACES)
-    keep = {r.place: i for i, r in enumerate(best.select("place").collect())}
+    counts = cut_lineage(counts.where("df > 1").select("place", "df", (F.abs(F.col("a") - F.col("b")) / spread).alias("z")))
+    best = [r.place for r in counts.orderBy(F.desc("z"), "place").limit(PLACES).collect()]
+    common = [r.place for r in counts.orderBy(F.desc("df"), "place").limit(COMMON).collect()]
+    keep = {p: i for i, p in enumerate(dict.fromkeys([*best, *common]))}
     rows = _places(sample, keep).collect()
-    x = np.zeros((len(rows), max(1, len(keep))), np.float32)
+    x = np.zeros((len(rows), max(1, len(keep))), np.uint8)
     for i, r in enumerate(rows):
-        x[i, r.places] = 1
-    order = np.lexsort((*x.T[:32], [r.y for r in rows]))  # the same machine whatever order the rows came in
-    return keep, FactorizationMachine.fit(x[order], np.array([r.y for r in rows], np.float32)[order])
+        x[i, np.frombuffer(r.places, np.int32)] = 1
+    y = np.array([r.y for r in rows])
+    chosen = [*range(max(1, len(best))), *pair_terms(x, y, len(best))]
+    place = list(keep)
+    keep = {place[k]: i for i, k in enumerate(chosen) if k < len(place)}
+    x = x[:, chosen].astype(np.float32)
+    order = np.lexsort((*x.T[:32], y))  # the same machine whatever order the rows came in
+    return keep, FactorizationMachine.fit(x[order], y[order].astype(np.float32))
 
 
 def _scores(model: tuple[dict[int, int], FactorizationMachine] | None):

@@ -353,6 +353,30 @@ def test_machine_learns_a_pair():
     assert got == [False, False, False, True]
 
 
+def test_pair_of_neutral_terms(spark):
+    """Two words, each as common in both classes, are toxic only together,
+    in a vocabulary with more separating words than the machine has places."""
+    rng = random.Random(19)
+    rows, labels = [], []
+    for k in range(2400):
+        bad = int(rng.random() < 0.4)
+        own = [f"{rng.choice('abcdefghijklmnop')}{''.join(rng.choice('qrstuvwxyz') for _ in range(3))}" for _ in range(60)]
+        own += rng.choice([["Lantern", "OTTER"], []]) if bad else rng.choice([["lantern"], ["otter"]])
+        if bad and own[-1] != "OTTER":
+            own.append("vilething")
+        rng.shuffle(own)
+        rows.append((k, " ".join(own)))
+        labels.append((k, bad))
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    docs = frame(spark, rows)
+    model = toxicity.fit(docs, table)
+    assert len(model[0]) > toxicity.PLACES
+    assert {toxicity.places_of("lantern")[0], toxicity.places_of("otter")[0]} <= set(model[0])
+    got = {r.doc_id: r.score >= 0.5 for r in toxicity.score(docs, model).collect()}
+    held = [(got[k], y) for k, y in labels if zlib.crc32(str(k).encode()) % 5 == 0]
+    assert sum(g == bool(y) for g, y in held) / len(held) > 0.9
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(17)
     rows, labels = [], []
