@@ -5,8 +5,9 @@ every byte is mapped to one printable character, every way to cut a token
 into two tokens becomes a merge, ordered by the token's rank. Texts pass as
 Arrow batches. A text is cut into chunks at white space, in a way that never
 cuts one of the pattern's matches; chunks seen for the first time go through
-the library (pattern split, byte mapping, merges, offsets) in one call per
-batch, and a bounded per-worker table remembers their ids.
+the library (pattern split, byte mapping, merges) in one call per batch, and
+a bounded per-worker table remembers their ids. ``encode`` returns the ids
+with their code-point offsets, from the bytes of the ids.
 
 Decoding looks every id up in the reversed byte table and joins the bytes
 first, so characters that are split over several tokens come back whole.
@@ -147,8 +148,18 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
     def offsets(self, text: str) -> list[tuple[int, int]]:
-        """Code-point span of every token of the text, from the library."""
-        return list(self.tokenizer.encode(text, add_special_tokens=False).offsets)
+        """Code-point span of every token of the text."""
+        starts, ends = self.spans(text, self.encode_batch([text])[0])
+        return list(zip(starts.tolist(), ends.tolist()))
+
+    def spans(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """First and last-plus-one code point that every id of the text's has
+        bytes of (as the library's offsets), from the reversed byte table."""
+        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        point = np.cumsum((raw & 0xC0) != 0x80) - 1
+        sizes = np.fromiter((len(self.bytes_of[i]) for i in ids), np.int64, len(ids))
+        ends = np.cumsum(sizes)
+        return point[ends - sizes].astype(np.int32), (point[ends - 1] + 1).astype(np.int32)
 
 
 @lru_cache(maxsize=2)
@@ -178,16 +189,19 @@ def _groups(b: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """doc_id, ids array<int>: the token ids of every whole text."""
+    """doc_id, ids, starts, ends (arrays of int): the token ids of every whole
+    text and the code-point span of each."""
     path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for b in batches:
             for ids, texts in _groups(b):
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own.encode_batch(texts), pa.list_(pa.int32()))], ["doc_id", "ids"])
+                coded = own.encode_batch(texts)
+                spans = [own.spans(t, i) for t, i in zip(texts, coded)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(x, pa.list_(pa.int32())) for x in (coded, [s for s, _ in spans], [e for _, e in spans]))], ["doc_id", "ids", "starts", "ends"])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, starts array<int>, ends array<int>")
 
 
 def decode(coded: DataFrame, path: str | None = None) -> DataFrame:

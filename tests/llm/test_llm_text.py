@@ -342,6 +342,29 @@ def test_bpe_equals_the_rule_and_round_trips(spark):
     assert bpe.round_trip(df.limit(0)).count() == 0
 
 
+def test_encode_gives_spans(spark):
+    own = bpe.codec(bpe.vocabulary_path())
+    rng = random.Random(20)
+    texts = ["".join(rng.choice("aaabe  -=_\n\t 's'll12éß日本🦆\x1c\x85\xa0.,!*") for _ in range(rng.randrange(60))) for _ in range(300)] + ["-" * n for n in range(90)] + ["", None, "🦆" * 40]
+    got = {r.doc_id: r for r in bpe.encode(frame(spark, list(enumerate(texts)))).collect()}
+    assert len(got) == len(texts)
+    library = 0
+    for k, t in enumerate(texts):
+        r, t = got[k], t or ""
+        assert len(r.ids) == len(r.starts) == len(r.ends)
+        at = 0
+        for i, a, b in zip(r.ids, r.starts, r.ends):  # the span is the least that has the token's bytes
+            n = len(own.bytes_of[i])
+            assert len(t[:a].encode()) <= at < len(t[:a + 1].encode()) and len(t[:b - 1].encode()) < at + n <= len(t[:b].encode())
+            at += n
+        assert at == len(t.encode())
+        coded = own.tokenizer.encode(t, add_special_tokens=False)
+        if coded.ids == r.ids:
+            library += 1
+            assert list(coded.offsets) == list(zip(r.starts, r.ends))
+    assert library > 300
+
+
 # ------------------------------------------------------------------ op10
 def test_machine_learns_a_pair():
     """Toxic only when both words are present: no sum of weights says that."""
