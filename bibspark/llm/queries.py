@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, context_mixing, decontaminate, exact_dedup, html_extract, jaccard_join, kd_shards, packing, secrets, suffix_dedup, toxicity
+from . import bpe, context_mixing, decontaminate, exact_dedup, html_extract, jaccard_join, kd_shards, packing, secrets, suffix_dedup, toxicity, whitening
 
 QUERIES = {
     "op1_html_extract": html_extract.op1_html_extract,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_toxicity": toxicity.op10_toxicity,
     "op12_packing": packing.op12_packing,
+    "op13_whitening": whitening.op13_whitening,
 }
 ORACLES = {
     "op1_html_extract": html_extract.OP1_SQL,
