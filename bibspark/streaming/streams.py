@@ -118,11 +118,12 @@ def read_versioned(spark: SparkSession, path: str, key: Sequence[str]) -> DataFr
 
 
 def run_available(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append",
-                  key: Sequence[str] | None = None) -> DataFrame:
+                  key: Sequence[str] | None = None, base: str | None = None) -> DataFrame:
     """Run a stream over everything available now, then stop, and return its
     result as a batch DataFrame (append: parquet sink; update: keyed
-    versioned sink). Checkpoint and output live in the shared folder."""
-    base = scratch_path(spark, name)
+    versioned sink). Checkpoint and output live in the shared folder, below
+    ``base`` if the stream goes on from an earlier run."""
+    base = base or scratch_path(spark, name)
     out, ckpt = f"{base}/out", f"{base}/checkpoint"
     w = stream.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
     if mode == "append":
