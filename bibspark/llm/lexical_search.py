@@ -13,7 +13,7 @@ hold it that often. They overestimate, never underestimate: so the weighted sum
 of the largest contributions they allow is an upper bound of a document's score.
 For every item
 
-1. the documents of the highest bounds are scored exactly, from their whole
+1. the documents of the 80 highest bounds are scored exactly, from their whole
    texts; the tenth best of these scores is a floor of the result;
 2. every document whose bound reaches the floor is scored exactly. All others
    are provably not among the best. Of documents of one text, all but the ten
@@ -24,7 +24,7 @@ beyond ASCII; A-Z are lower-cased. Scores are whole numbers (64 bit).
 
 At scale: a document's text is read three times (index, floor, result) and
 moves only for exact scoring; blocks are about a sixth of the text. Items pass
-as stated query sets in blocks of bounded size; every task keeps at most ten
+as stated query sets in blocks of bounded size; every task keeps at most 80
 rows an item for the floor. Candidates are broadcast to the scan of the texts
 while they are few (``BROADCAST_PAIRS``); beyond that both sides are shuffled.
 
@@ -55,6 +55,9 @@ from .common import id_text, text_key, utf8
 #: Constants of the score.
 SATURATION, LENGTH_SHARE, SCALE = 8, 75, 1_000_000_000
 BEST = 10
+#: Documents of the highest bounds that are scored for an item's floor, for each
+#: one asked for: rare terms raise some bounds by false positives.
+PROBED = 8
 #: Occurrences from which a term has another key; the last level is open.
 LEVELS = np.array([1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 512, 1024, 4096, 16384, 65536, 1 << 20], np.int64)
 #: Bits of a signature for each key at least, probes of a key.
@@ -390,7 +393,7 @@ def search(docs: DataFrame, items: DataFrame, best: int = BEST, id_col: str = "d
         query = _Query(rows, n_docs, n_terms)
         first = sc.broadcast(query)
         by_bound = Window.partitionBy("item").orderBy(F.col("bound").desc(), F.col("doc_id").asc_nulls_last())
-        probe = cut_lineage(_candidates(blocks, first, best).withColumn("k", F.row_number().over(by_bound)).where(F.col("k") <= best))
+        probe = cut_lineage(_candidates(blocks, first, PROBED * best).withColumn("k", F.row_number().over(by_bound)).where(F.col("k") <= PROBED * best))
         by_score = Window.partitionBy("item").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
         floors = (_rescore(own, probe, first).withColumn("k", F.row_number().over(by_score))
                   .where((F.col("k") == best) & (F.col("score") > 0)).select("item", "score").collect())  # a row an item of the block
