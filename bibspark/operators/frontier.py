@@ -185,3 +185,37 @@ def expand(seeds: DataFrame, edges: DataFrame, max_depth: int = S.DEPTH_MAX) ->
             break
         levels.append(new)
     return reduce(DataFrame.unionByName, levels).select(F.col("author"), F.col("depth").cast("int").alias("depth"))
+
+
+def extend_walk(depths: DataFrame, edges: DataFrame, new_edges: DataFrame, max_depth: int = S.DEPTH_MAX) -> DataFrame:
+    """G7 when publications arrive: the authors whose minimum depth the
+    ``new_edges(pub, author)`` change, with their new ``depth``.
+
+    ``depths(author, depth)`` is the walk over ``edges`` so far, seeds
+    included. Only publications of new edges, and then of authors that just
+    got a smaller depth, are looked at: their least author depth plus one goes
+    to all their authors, and whoever improves (or is new) is the next round's
+    frontier. Depths only fall, so at most ``max_depth`` rounds are needed.
+    Union with the unchanged depths (:func:`merge_walk`) equals a walk from
+    scratch over all edges."""
+    e = cut_lineage(edges.select("pub", "author").unionByName(new_edges.select("pub", "author")).distinct())
+    known = cut_lineage(depths.select("author", F.col("depth").cast("int").alias("depth")))
+    pubs = new_edges.select("pub").distinct()
+    changed = None
+    for _ in range(max_depth):
+        members = pubs.join(e, "pub")
+        least = members.join(known, "author").groupBy("pub").agg((F.min("depth") + 1).alias("reach")).where(F.col("reach") <= max_depth)
+        best = members.join(least, "pub").groupBy("author").agg(F.min("reach").cast("int").alias("depth"))
+        now = known.select("author", F.col("depth").alias("before"))
+        better = cut_lineage(best.join(now, "author", "left").where(F.col("before").isNull() | (F.col("depth") < F.col("before"))).select("author", "depth"))
+        if better.isEmpty():
+            break
+        changed = better if changed is None else cut_lineage(merge_walk(changed, better))
+        known = cut_lineage(merge_walk(known, better))
+        pubs = better.select("author").join(e, "author").select("pub").distinct()
+    return changed if changed is not None else known.limit(0)
+
+
+def merge_walk(depths: DataFrame, changed: DataFrame) -> DataFrame:
+    """The walk with changed authors put in: the least depth of each."""
+    return depths.unionByName(changed).groupBy("author").agg(F.min("depth").cast("int").alias("depth"))

@@ -858,6 +858,30 @@ _PHRASE_SQL = ", ".join("('{}', '{}', '{}')".format(i, k, ph.replace("'", "''"))
 _KIND_SQL = ", ".join(f"({n}, '{i}', '{k}')" for n, (i, k) in enumerate(_KINDS))
 
 
+def _dealt_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, url, iface, page_kind, html): the pages table with phrases,
+    scripts and challenges put in (variants: see ``q_blocked_pages``)."""
+    pages = read_pages(spark, f"{sf_dir}/pages.parquet")
+    kind = (F.col("page_id") % len(_KINDS)).cast("int")
+    variant = F.floor(F.col("page_id") / len(_KINDS)) % 8
+    texts = [[ph for i, k, ph in quality.PHRASES if (i, k) == own] for own in _KINDS]
+    joined = F.array(*[F.lit(" | ".join(t)) for t in texts])
+    mine = F.get(joined, kind)
+    other = F.when(kind == len(_KINDS) - 1, F.lit("Too Many Requests")).otherwise(F.lit("Nothing of ours"))
+    split = F.regexp_replace(mine, " ", "<i> </i><b></b>")
+    script = lambda call: F.concat(F.lit(f'<script>{call}("x", {{"sitekey":"key'), F.col("page_id").cast("string"), F.lit('"})</script>'))
+    extra = (F.when(variant == 1, F.concat(F.lit("<p>"), F.upper(mine), F.lit("</p>")))
+             .when(variant == 2, F.concat(F.lit("<script>var m = '"), F.regexp_replace(mine, "'", ""), F.lit("';</script><!-- "), mine, F.lit(" -->")))
+             .when(variant == 3, F.concat(F.lit("<p>"), split, F.lit("</p>")))
+             .when(variant == 4, F.concat(script("grecaptcha.render"), F.lit('<iframe title="reCAPTCHA" src="/c"></iframe>')))
+             .when(variant == 5, script("grecaptcha.render"))
+             .when(variant == 6, F.concat(F.lit("<p>"), F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("</p>")))
+             .when(variant == 7, F.concat(F.lit("<p>"), other, F.lit("</p>"))).otherwise(F.lit("")))
+    names = lambda at: F.get(F.array(*[F.lit(k[at]) for k in _KINDS]), kind)
+    return pages.select("page_id", "url", names(0).alias("iface"), names(1).alias("page_kind"),
+                       F.replace(F.col("html"), F.lit("</article>"), F.concat(extra, F.lit("</article>"))).alias("html"))
+
+
 @register("blocked_pages", oracle=f"""
 WITH phrases AS (SELECT * FROM (VALUES {_PHRASE_SQL}) p(iface, page_kind, phrase)),
 kinds AS (SELECT * FROM (VALUES {_KIND_SQL}) k(n, iface, page_kind)),
@@ -878,25 +902,7 @@ def q_blocked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     phrases of the kind in upper case; only in a script; split by tags; a
     challenge; a challenge script without its frame; the request URL in the
     text; the phrases of another kind."""
-    pages = read_pages(spark, f"{sf_dir}/pages.parquet")
-    kind = (F.col("page_id") % len(_KINDS)).cast("int")
-    variant = F.floor(F.col("page_id") / len(_KINDS)) % 8
-    texts = [[ph for i, k, ph in quality.PHRASES if (i, k) == own] for own in _KINDS]
-    joined = F.array(*[F.lit(" | ".join(t)) for t in texts])
-    mine = F.get(joined, kind)
-    other = F.when(kind == len(_KINDS) - 1, F.lit("Too Many Requests")).otherwise(F.lit("Nothing of ours"))
-    split = F.regexp_replace(mine, " ", "<i> </i><b></b>")
-    script = lambda call: F.concat(F.lit(f'<script>{call}("x", {{"sitekey":"key'), F.col("page_id").cast("string"), F.lit('"})</script>'))
-    extra = (F.when(variant == 1, F.concat(F.lit("<p>"), F.upper(mine), F.lit("</p>")))
-             .when(variant == 2, F.concat(F.lit("<script>var m = '"), F.regexp_replace(mine, "'", ""), F.lit("';</script><!-- "), mine, F.lit(" -->")))
-             .when(variant == 3, F.concat(F.lit("<p>"), split, F.lit("</p>")))
-             .when(variant == 4, F.concat(script("grecaptcha.render"), F.lit('<iframe title="reCAPTCHA" src="/c"></iframe>')))
-             .when(variant == 5, script("grecaptcha.render"))
-             .when(variant == 6, F.concat(F.lit("<p>"), F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("</p>")))
-             .when(variant == 7, F.concat(F.lit("<p>"), other, F.lit("</p>"))).otherwise(F.lit("")))
-    names = lambda at: F.get(F.array(*[F.lit(k[at]) for k in _KINDS]), kind)
-    own = pages.select("page_id", "url", names(0).alias("iface"), names(1).alias("page_kind"),
-                       F.replace(F.col("html"), F.lit("</article>"), F.concat(extra, F.lit("</article>"))).alias("html"))
+    own = _dealt_pages(spark, sf_dir)
     c = quality.classify(own, ["page_id"])
     return c.select(F.col("page_id").cast("bigint").alias("page_id"), F.array_join(F.array_sort("blocked_by"), "|").alias("blocked_by"),
                     "blocked", "challenge", "site_key")

@@ -50,6 +50,17 @@ def shuffled(df: DataFrame, seed: int) -> DataFrame:
     return df.orderBy(F.rand(seed))
 
 
+def shuffle_places(df: DataFrame, keys: Sequence[str], seed: int, col: str = "place") -> DataFrame:
+    """S12 as a keyed permutation: every row's place (0, 1, ...) in a shuffle
+    that depends on the seed and the row's ``keys`` alone, not on partitions.
+    Rows are dealt by ranges of a hash and numbered by
+    :func:`metrics.sequence_number`; equal keys take neighbouring places."""
+    from ..operators.metrics import sequence_number
+    text = F.to_json(F.struct(F.lit(seed).alias("seed"), *keys), {"ignoreNullFields": "false"})
+    hashed = df.withColumns({"__all": F.lit(0), "__hash": F.md5(text.cast("binary"))})
+    return sequence_number(hashed, ["__all"], ["__hash", *keys], col).drop("__all", "__hash")
+
+
 def enabled_interfaces(spark: SparkSession, enabled: str) -> DataFrame:
     """The enabled interfaces that exist; unknown names are skipped."""
     wanted = config_list(spark, enabled, "iface")
