@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import sys
+from bisect import bisect_right
 from html import unescape as _unescape
 
 import pyarrow as pa
@@ -50,20 +51,55 @@ TEXT, RAW, COMMENT = "#text", "#raw", "#comment"
 
 # Tokens of the standard library's HTML parser (Python 3.13.0 rules), as one
 # regex: comments, declarations/bogus comments, processing instructions,
-# end tags, start tags (quoted attribute values may hold '>'), text.
+# end tags, start tags (quoted attribute values may hold '>', unquoted ones
+# quotes), text. Nothing is tried twice within a start tag.
 _TOKEN = re.compile(r"""
     <!--(?P<comment>.*?)(?:-->|\Z)
   | <!(?P<bang>[^>]*)>
   | <\?[^>]*>
   | </(?P<end>[a-zA-Z][^\t\n\r\f />]*)[^>]*>
   | </(?P<bogus>[^>]*)>
-  | <(?P<start>[a-zA-Z][^\t\n\r\f />\x00]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>
+  | <(?P<start>[a-zA-Z][^\t\n\r\f />\x00]*)(?P<attrs>(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+|"[^"]*+"|'[^']*+')*+)>
   | (?P<text>[^<]+|<)
 """, re.S | re.X)
 # The attribute pattern of the standard library's html.parser, as it stands there.
 _ATTR = re.compile(r"""((?<=['"\s/])[^\s/>][^\s/=>]*)(\s*=+\s*('[^']*'|"[^"]*"|(?!['"])[^>\s]*))?(?:\s|/(?!>))*""")
 _RAW_END = {t: re.compile(r"</\s*%s\s*>" % t, re.I) for t in ("script", "style")}
 _KEEP_SPACE = frozenset(("pre", "textarea"))
+# A start tag and the pieces of its attributes, as in _TOKEN.
+OPEN_TAG = re.compile(r"<[a-zA-Z][^\t\n\r\f />\x00]*")
+_PIECE = re.compile(r"""[^>"'=]++|=\s*+(?:(?P<value>"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+))?+|(?P<quoted>"[^"]*+"|'[^']*+')""")
+
+
+class Unclosed:
+    """Start tags that never end: an open quote takes in the rest of the page.
+    A later tag that such a scan met between its attribute values would run
+    the same way, so it is text without being scanned again; only tags inside
+    values are. Scans that meet go on together, so a page is scanned a few
+    times at most, however many of its tags are open."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.scans: list[tuple[int, int, list[int], list[int]]] = []
+
+    def known(self, at: int) -> bool:
+        for begun, stop, starts, ends in self.scans:
+            if begun <= at < stop:
+                k = bisect_right(starts, at) - 1
+                if k < 0 or at >= ends[k]:
+                    return True
+        return False
+
+    def add(self, at: int) -> None:
+        starts, ends = [], []
+        pos = OPEN_TAG.match(self.html, at).end()
+        while m := _PIECE.match(self.html, pos):
+            name = m.lastgroup
+            if name:
+                starts.append(m.start(name))
+                ends.append(m.end(name))
+            pos = m.end()
+        self.scans.append((at, pos, starts, ends))
 
 
 class _TreeBuilder:
@@ -136,9 +172,16 @@ class _TreeBuilder:
     def feed(self, html: str):
         pos, n = 0, len(html)
         match = _TOKEN.match
+        unclosed = Unclosed(html)
         while pos < n:
+            if unclosed.scans and unclosed.known(pos) and OPEN_TAG.match(html, pos):
+                self.pending.append("<")
+                pos += 1
+                continue
             m = match(html, pos)
             kind = m.lastgroup
+            if kind == "text" and m.end() == pos + 1 and OPEN_TAG.match(html, pos):
+                unclosed.add(pos)
             pos = m.end()
             if kind == "text":
                 t = m.group("text")

@@ -145,3 +145,19 @@ def test_dblp_candidates(spark):
         (0, "Ada Love", "https://dblp.org/pid/1", "Univ Pisa"), (1, "Ada Lovelace", "https://dblp.org/pid/2", "MIT")]
     short = html.replace(" <small>MIT</small>", "")
     assert dblp.candidates(pages(spark, short), ["page_no"]).count() == 0
+
+
+def test_unquoted_values_may_hold_quotes():
+    for tag in ("<a href=x'y>", '<a href=x"y>', "<a b=c href=x'y'>", "<a href=it's title='q>'>"):
+        nodes = H.parse_nodes(f"<p>one {tag}two</a> three</p>")
+        assert [n["tag"] for n in nodes] == ["p", "#text", "a", "#text", "#text"]
+        assert nodes[2]["attrs"]["href"][:2] in ("x'", 'x"', "it") and nodes[3]["text"] == "two"
+
+
+def test_tags_that_never_end_are_text_in_linear_time():
+    import time
+    began = time.time()
+    for piece in ('<a "', "<a '", '<a b="c', '<a "\'', "<i x='<a \""):
+        nodes = H.parse_nodes("<p>" + piece * 100_000)
+        assert nodes[0]["tag"] == "p" and "".join(n["text"] or "" for n in nodes if n["tag"] == "#text").startswith(piece[:2])
+    assert time.time() - began < 30
