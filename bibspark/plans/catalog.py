@@ -696,8 +696,8 @@ SELECT 'rejected', iface, _id, type, NULL, variant_id, true, false, NULL, payloa
 FROM steps WHERE class_id IS NULL GROUP BY ALL
 """)
 def q_lifecycle_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T3 over three files of order documents, one file per micro-batch: two
-    of them through one checkpoint, whose first batch is then replayed, the
+    """T3 over three folders of order documents, one folder per micro-batch:
+    two of them through one checkpoint, whose first batch is then replayed, the
     third through a second checkpoint on the same store. Keys repeat within
     and across batches; the store, the exported lines and the rejects are
     the result."""
@@ -705,14 +705,13 @@ def q_lifecycle_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming import streams
     base = scratch_path(spark, "lifecycle")
     docs = _stream_docs(spark, sf_dir)
-    for k, part in enumerate(_STREAM_FILES):
-        docs.where(part).drop("o_orderkey").coalesce(1).write.parquet(f"{base}/in{k // 2}/f{k % 2}")
     schema = docs.drop("o_orderkey").schema
     sinks = [streams.lifecycle_sink(f"{base}/store", f"{base}/out", AS_OF, source=f"s{k}", order=["seq"]) for k in (0, 1)]
-    for k, sink in enumerate(sinks):
-        stream = streams.read_stream(spark, f"{base}/in{k}/*", schema, max_files_per_trigger=1)
-        stream.writeStream.option("checkpointLocation", f"{base}/ck{k}").trigger(availableNow=True) \
-            .foreachBatch(sink).start().awaitTermination()
+    for k, part in enumerate(_STREAM_FILES):
+        docs.where(part).drop("o_orderkey").write.parquet(f"{base}/in{k // 2}/f{k % 2}")
+        stream = streams.read_stream(spark, f"{base}/in{k // 2}/*", schema)
+        stream.writeStream.option("checkpointLocation", f"{base}/ck{k // 2}").trigger(availableNow=True) \
+            .foreachBatch(sinks[k // 2]).start().awaitTermination()
     sinks[0](spark.read.parquet(f"{base}/in0/f0"), 0)  # a replay
     cols = ["entity_db", "_id", "type", "class_id", "variant_id", "serialized", "sent", "update_count", "payload"]
     kinds = ", ".join(f"{c} {store.S.DOCUMENT_SCHEMA[c].dataType.simpleString()}" for c in cols)
@@ -1048,14 +1047,16 @@ STREAM_FILES = 5
 
 
 def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All events as several files, each over the whole time span, read one
-    file per micro-batch: state is carried over and pages arrive late."""
+    """All events in several micro-batches, each over the whole time span:
+    state is carried over and pages arrive late. A micro-batch has as many
+    files (and tasks) as the events table has partitions."""
     from ..session import scratch_path
     from ..streaming import streams
     folder = scratch_path(spark, "events")
     events = table(spark, sf_dir, "events")
-    events.repartition(STREAM_FILES, F.col("event_id") % STREAM_FILES).write.parquet(folder)
-    return streams.read_stream(spark, folder, streams.EVENTS_SCHEMA, max_files_per_trigger=1)
+    n = max(1, events.rdd.getNumPartitions())
+    events.repartition(STREAM_FILES * n, "event_id").write.parquet(folder)
+    return streams.read_stream(spark, folder, streams.EVENTS_SCHEMA, max_files_per_trigger=n)
 
 
 @register("hourly_blocked", oracle="""
