@@ -21,9 +21,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from operator import itemgetter
 
 import numpy as np
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import table
-from .common import id_text, strings
+from .common import id_text, release, resident, strings
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Chunks in each of the two remembered generations of a Python worker, and
@@ -61,16 +61,33 @@ def byte_characters() -> list[str]:
 
 def merge_by_rank(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one piece by the rule itself: join the leftmost adjacent pair of
-    lowest rank until no pair is a token."""
+    lowest rank until no pair is a token. Pairs wait in a heap by rank and
+    place, parts are linked to their neighbours: n log n for long runs."""
     if piece in ranks:
         return [ranks[piece]]
-    parts = [piece[i:i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
-        rank, at = min((ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-        if rank == 1 << 60:
-            break
-        parts[at:at + 2] = [parts[at] + parts[at + 1]]
-    return [ranks[p] for p in parts]
+    n = len(piece)
+    end = list(range(1, n + 1))  # of the part that begins here; 0: no part begins here
+    before = list(range(-1, n - 1))
+
+    def pair(i: int) -> tuple[int, int, int] | None:
+        j = end[i]
+        rank = ranks.get(piece[i:end[j]]) if j < n else None
+        return None if rank is None else (rank, i, end[j])
+
+    waiting = [p for p in map(pair, range(n - 1)) if p]
+    heapq.heapify(waiting)
+    while waiting:
+        _, i, stop = heapq.heappop(waiting)
+        j = end[i]
+        if j == 0 or j >= n or end[j] != stop:  # a part of the pair has changed
+            continue
+        end[i], end[j] = stop, 0
+        if stop < n:
+            before[stop] = i
+        for k in (before[i], i):
+            if k >= 0 and (p := pair(k)):
+                heapq.heappush(waiting, p)
+    return [ranks[piece[i:end[i]]] for i in range(n) if end[i]]
 
 
 class Codec:
@@ -114,7 +131,7 @@ class Codec:
         plain = []
         for c in chunks:
             if self.unordered.search(c.encode("utf-8", "surrogatepass")):
-                out[c] = tuple(i for m in self.pieces.findall(c) for i in merge_by_rank(m.encode(), self.ranks))
+                out[c] = tuple(i for m in self.pieces.findall(c) for i in merge_by_rank(m.encode("utf-8", "surrogatepass"), self.ranks))
             else:
                 plain.append(c)
         if plain:
@@ -162,13 +179,13 @@ class Codec:
         return point[ends - sizes].astype(np.int32), (point[ends - 1] + 1).astype(np.int32)
 
 
-@lru_cache(maxsize=2)
 def codec(path: str, pattern: str | None = None) -> Codec:
+    """The worker's codec of a vocabulary file."""
     if pattern is None:
         import public_tokenizers
 
         pattern = public_tokenizers.PATTERN
-    return Codec(path, pattern)
+    return resident(("codec", path, pattern), lambda: Codec(path, pattern))
 
 
 #: Texts encoded together: enough to share one library call, bounded in bytes.
@@ -228,9 +245,11 @@ def _hashes(own: Codec, texts: list[str]) -> list[pa.Array]:
 
 
 def round_trip(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
-    """The columns of docs with n_tokens, ids_sha256, decoded_sha256: encode
-    and decode in one pass, so the id lists never leave the task."""
+    """The columns of docs with n_tokens, ids_sha256, decoded_sha256 (columns
+    of these names are replaced): encode and decode in one pass, so the id
+    lists never leave the task."""
     path = path or vocabulary_path()
+    docs = docs.drop(*_HASHES)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,6 +263,7 @@ def round_trip(docs: DataFrame, text_col: str = "text", path: str | None = None)
                     z += 1
                 yield pa.RecordBatch.from_arrays([*b.slice(a, z - a).columns, *_hashes(own, texts[a:z])], [*b.schema.names, *_HASHES])
                 a = z
+        release()
 
     schema = T.StructType([*docs.schema.fields, T.StructField(_HASHES[0], T.LongType()), *[T.StructField(h, T.StringType()) for h in _HASHES[1:]]])
     return docs.mapInArrow(run, schema)

@@ -8,7 +8,10 @@ schema. Repeated rows (same id, same text) are kept as rows of their own.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import zlib
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,6 +37,56 @@ def strings(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that few rows are Python objects at a time."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
+#: What a Python worker keeps from task to task: one object, of the operator that ran last.
+_RESIDENT: dict[object, object] = {}
+
+
+def release() -> None:
+    """Give freed memory back: workers live on and serve other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def keep_only(key: object) -> None:
+    """Drop what another operator left in this worker."""
+    if _RESIDENT and key not in _RESIDENT:
+        _RESIDENT.clear()
+        release()
+
+
+def resident(key: object, make: Callable[[], object]):
+    """The worker's object under this key, made at first use."""
+    keep_only(key)
+    if key not in _RESIDENT:
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
+def released(run, keep: object = None):
+    """An Arrow pass that starts without other operators' objects and gives
+    its memory back when its task ends."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only(keep)
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return own
+
+
 def fold_of(id_column: Column) -> Column:
     """crc32(doc_id as text) mod 5; null ids count as the empty text."""
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % 5

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from .common import id_text, utf8
+from .common import id_text, released, small, utf8
 
 #: q-gram length (bytes) and edits allowed per byte of an item.
 Q, EDIT_RATE = 8, 0.1
@@ -204,7 +204,7 @@ def _matches(docs: DataFrame, items: list[tuple[int, bytes]], rate: float) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = index.value
         chars = lambda x: len(x.decode("utf-8", "replace"))
-        for b in batches:
+        for b in small(batches):
             ids, texts = b.column("doc_id").to_pylist(), utf8(b.column("text"))
             rows = []
             for k, item, edits, first, end in _batch_matches(own, texts):
@@ -213,7 +213,7 @@ def _matches(docs: DataFrame, items: list[tuple[int, bytes]], rate: float) -> Da
             cols = list(zip(*rows)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "start", "end", "edits", "item_bytes"])
 
-    return docs.mapInArrow(run, "doc_id long, item_id long, start long, end long, edits long, item_bytes long")
+    return docs.mapInArrow(released(run), "doc_id long, item_id long, start long, end long, edits long, item_bytes long")
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, bytes]]]:
@@ -239,11 +239,11 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE
         index = docs.sparkSession.sparkContext.broadcast(Index(block, rate))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in small(batches):
                 leaking = {m[0] for m in _batch_matches(index.value, utf8(b.column(at)))}
                 yield b.filter(pa.array([k not in leaking for k in range(b.num_rows)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(released(run), docs.schema)
     return docs
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, table
-from .common import SPACE, id_text, keep_chosen, text_key, utf8
+from .common import SPACE, id_text, keep_chosen, released, small, text_key, utf8
 
 #: Misra-Gries counters; also the bound on the broadcast winners.
 COUNTERS = 1024
@@ -39,7 +39,7 @@ _DIGEST_SCHEMA = "doc_id long, text_key long, digest binary, n_code long, row lo
 
 def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     row = TaskContext.get().partitionId() << 40
-    for b in batches:
+    for b in small(batches):
         digests = [hashlib.sha256(t.translate(None, SPACE)).digest() for t in utf8(b.column("text"))]
         lengths = pc.fill_null(pc.utf8_length(b.column("text")), 0).cast(pa.int64())
         rows = pa.array(range(row, row + b.num_rows), pa.int64())
@@ -49,7 +49,7 @@ def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_key, digest, n_code (code points), row (unique per row of this run)."""
-    return id_text(docs, id_col, text_col).withColumn("text_key", text_key("text")).mapInArrow(_digest_batches, _DIGEST_SCHEMA)
+    return id_text(docs, id_col, text_col).withColumn("text_key", text_key("text")).mapInArrow(released(_digest_batches), _DIGEST_SCHEMA)
 
 
 def misra_gries(keys: DataFrame, column: str, counters: int = COUNTERS) -> DataFrame:

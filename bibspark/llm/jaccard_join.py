@@ -15,8 +15,8 @@ Documents are sets of distinct word 5-grams (A-Z lower-cased); two link when
    frequency, by frequency class and one hash, by another class and hash).
    A pair must share a prefix shingle under each of them. The stars of the
    first order's prefixes give candidate groups; no link leaves its group.
-4. Groups are dealt out in blocks of at most ``BLOCK`` sets, every two blocks
-   of a group (and each with itself) meet in one task. There the prefix
+4. Groups are dealt out in blocks of about ``BLOCK`` sets and ``BLOCK_SHINGLES``
+   shingles at most, every two blocks of a group (and each with itself) meet in one task. There the prefix
    filters of all orders are intersected first, and the pairs that pass are
    verified by counting common shingles. A task returns one star per
    component and link counts per set, never the pairs.
@@ -42,15 +42,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, table
-from .common import SPACE, id_text, keep_chosen, text_key, utf8
+from .common import SPACE, id_text, keep_chosen, release, released, small, text_key, utf8
 from .components import components
 
 #: Words of a shingle; links need PART/100 of the union.
 WORDS, PART = 5, 75
 #: Bytes of text hashed at once.
 HASH_BYTES = 1 << 20
-#: Bytes of text per block of step 2, shingles per bucket, sets per block of step 4.
-BLOCK_BYTES, BUCKET_SHINGLES, BLOCK = 2 << 20, 2_000_000, 512
+#: Bytes of text per block of step 2, shingles per bucket, sets and shingles per block of step 4.
+BLOCK_BYTES, BUCKET_SHINGLES, BLOCK, BLOCK_SHINGLES = 2 << 20, 2_000_000, 512, 300_000
 #: Bits of the broadcast filter that spares sets without partners the way (false positives do no harm).
 FILTER_BITS = 1 << 24
 
@@ -118,7 +118,7 @@ def set_id(shingles: np.ndarray) -> int:
 
 
 def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches):
         sets = shingle_sets(utf8(b.column("text")))
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "text_key", "id", "n"])
 
@@ -127,7 +127,7 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, np.
     """Blocks of (set id, shingles), each set once per task."""
     seen: set[int] = set()
     block, size = [], 0
-    for b in batches:
+    for b in small(batches):
         texts = utf8(b.column("text"))
         for k, s in enumerate(shingle_sets(texts)):
             i = set_id(s)
@@ -144,9 +144,9 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, np.
 
 def _bucket_rows(buckets: int):
     """Text batches -> (bucket, block, packed): a block's shingles that fall
-    into the bucket, four bytes each, behind their number per set (a false
-    meeting only lets a set pass this step). Bucket -1 carries the block's set
-    ids and sizes."""
+    into the bucket, four bytes each, behind the sets that have some and their
+    number (a false meeting only lets a set pass this step). Bucket -1 carries
+    the block's set ids and sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -162,8 +162,8 @@ def _bucket_rows(buckets: int):
             for k in range(buckets):
                 a, z = int(cuts[k]), int(cuts[k + 1])
                 if z > a:
-                    per = np.bincount(owner[order[a:z]], minlength=len(sets)).astype(np.uint32)
-                    rows.append((k, per.tobytes() + low[a:z].tobytes()))
+                    present, per = np.unique(owner[order[a:z]], return_counts=True)
+                    rows.append((k, np.concatenate([[len(present)], present, per, low[a:z]]).astype(np.uint32).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()),
                                               pa.array([len(sets)] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "block", "sets", "packed"])
             block += 1
@@ -172,12 +172,12 @@ def _bucket_rows(buckets: int):
 
 
 def _shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All packed rows of a bucket (sorted by bucket) -> per block, how many of
-    each set's shingles occur in more than one set. Other rows pass."""
+    """All packed rows of a bucket (sorted by bucket) -> per block, the sets
+    with shingles that occur in more than one set, and how many."""
 
     def answer(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        per = [np.frombuffer(p[:4 * m], np.uint32) for _, m, p in rows]
-        codes = [np.frombuffer(p[4 * m:], np.uint32) for _, m, p in rows]
+        whole = [np.frombuffer(p, np.uint32) for *_, p in rows]
+        present, per, codes = ([w[1 + k * int(w[0]):(1 + (k + 1) * int(w[0])) if k < 2 else None] for w in whole] for k in range(3))
         every = np.concatenate(codes)
         order = np.argsort(every)
         ranked = every[order]
@@ -186,9 +186,9 @@ def _shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         shared[order[1:][same]] = True
         shared[order[:-1][same]] = True
         out, at = [], 0
-        for (block, m, _), c, p in zip(rows, codes, per):
-            mine = np.repeat(np.arange(m), p)
-            out.append(np.bincount(mine[shared[at:at + len(c)]], minlength=m).astype(np.uint32).tobytes())
+        for c, own, p in zip(codes, present, per):
+            hits = np.bincount(np.repeat(np.arange(len(own)), p)[shared[at:at + len(c)]], minlength=len(own)).astype(np.uint32)
+            out.append(np.concatenate([own[hits > 0], hits[hits > 0]]).tobytes())
             at += len(c)
         return pa.RecordBatch.from_arrays([pa.array([0] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int64()),
                                            pa.array([r[1] for r in rows], pa.int32()), pa.array(out, pa.binary())], ["bucket", "block", "sets", "packed"])
@@ -214,7 +214,9 @@ def _reaching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = rows[0][1]
         head = next(p for k, _, p in rows if k < 0)
         ids, n = np.frombuffer(head[:8 * m], np.int64), np.frombuffer(head[8 * m:], np.int64)
-        shared = sum((np.frombuffer(p, np.uint32).astype(np.int64) for k, _, p in rows if k >= 0), np.zeros(m, np.int64))
+        shared = np.zeros(m, np.int64)
+        for own in (np.frombuffer(p, np.uint32).reshape(2, -1) for k, _, p in rows if k >= 0):
+            shared[own[0]] += own[1]
         return pa.RecordBatch.from_arrays([pa.array(ids[shared >= -(-PART * n // 100)], pa.int64())], ["id"])
 
     held: list[tuple[int, int, bytes]] = []
@@ -275,7 +277,7 @@ def prefix_length(n: int) -> int:
 def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, n, shared: list of df and token) -> the prefixes under every order,
     without the unique shingles they begin with; sets below the bound go."""
-    for b in batches:
+    for b in small(batches):
         ids, ns, prefixes = [], [], ([], [], [])
         for i, n, shared in zip(*(b.column(c).to_pylist() for c in ("id", "n", "shared"))):
             k = prefix_length(n) - (n - len(shared))
@@ -355,6 +357,8 @@ def _group_links(group: pa.Table) -> pa.Table:
             if x != y:
                 parent[max(x, y)] = min(x, y)
     hit = np.flatnonzero(links)
+    if sum(map(len, sets)) >= BLOCK_SHINGLES:
+        release()
     return pa.table({"id": pa.array(ids[hit], pa.int64()), "root": pa.array([int(ids[root(k)]) for k in hit.tolist()], pa.int64()), "links": pa.array(links[hit], pa.int64())})
 
 
@@ -364,29 +368,30 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     per row."""
     spark = docs.sparkSession
     rows = id_text(docs, id_col, text_col)
-    members = cut_lineage(rows.withColumn("text_key", text_key("text")).mapInArrow(_ids, "doc_id long, text_key long, id long, n long"))
+    members = cut_lineage(rows.withColumn("text_key", text_key("text")).mapInArrow(released(_ids), "doc_id long, text_key long, id long, n long"))
     shingles = members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     copies = cut_lineage(members.where("n > 0").groupBy("id").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least")))
     buckets = max(1, -(-shingles // BUCKET_SHINGLES))
     schema = "bucket int, block long, sets int, packed binary"
     texts = rows.select("text")
-    packed = texts.mapInArrow(_bucket_rows(buckets), schema)
+    packed = texts.mapInArrow(released(_bucket_rows(buckets)), schema)
     dealt = packed.repartition(F.when(F.col("bucket") < 0, F.col("block")).otherwise(F.col("bucket")), F.col("bucket") < 0).sortWithinPartitions("bucket", "block")
-    counts = dealt.mapInArrow(_pass_headers, schema)
-    reaching = counts.repartition("block").sortWithinPartitions("block").mapInArrow(_reaching, "id long").distinct()
+    counts = dealt.mapInArrow(released(_pass_headers), schema)
+    reaching = counts.repartition("block").sortWithinPartitions("block").mapInArrow(released(_reaching), "id long").distinct()
     wanted = spark.sparkContext.broadcast(id_filter(reaching))
-    sets = cut_lineage(texts.mapInArrow(_set_rows(wanted), "id long, n long, shingles binary").groupBy("id").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")))
-    tokens = sets.select("id", "shingles").mapInArrow(_token_rows, "id long, token long")
+    sets = cut_lineage(texts.mapInArrow(released(_set_rows(wanted)), "id long, n long, shingles binary").groupBy("id").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")))
+    tokens = sets.select("id", "shingles").mapInArrow(released(_token_rows), "id long, token long")
     often = cut_lineage(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     shared = tokens.join(often, "token").groupBy("id").agg(F.collect_list(F.struct("df", "token")).alias("shared"))
     prefixes = cut_lineage(shared.join(sets.select("id", "n"), "id").select("id", "n", "shared").mapInArrow(
-        _prefix_rows, "id long, n long, p0 array<long>, p1 array<long>, p2 array<long>"))
+        released(_prefix_rows), "id long, n long, p0 array<long>, p1 array<long>, p2 array<long>"))
     # candidate groups: the stars of the first order's prefixes
     first = prefixes.select("id", F.explode("p0").alias("token"))
     centre = cut_lineage(first.groupBy("token").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"))
     edges = first.join(centre, "token").where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
     groups = cut_lineage(components(edges))
-    sizes = cut_lineage(groups.groupBy("label").agg((F.floor((F.count(F.lit(1)) - 1) / BLOCK) + 1).cast("int").alias("blocks")))
+    weights = groups.join(prefixes.select(F.col("id").alias("node"), "n"), "node").groupBy("label")
+    sizes = cut_lineage(weights.agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")))
     placed = groups.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # block i meets every block: pairs (i, j) and (j, i) with i <= j
     met = placed.select(F.col("node").alias("id"), "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))

@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 
 from ..operators.metrics import sequence_number
 from ..session import cut_lineage, table
-from .common import id_text, strings, text_key
+from .common import id_text, resident, strings, text_key
 
 VOCABULARY = "byte_bpe_50k.json"
 CAPACITY = 2048
@@ -135,9 +135,9 @@ class Encoder:
         return out + (self._code([_CHUNK.findall(g) for g in group]) if group else [])
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    """The worker's encoder of a vocabulary file."""
+    return resident(("encoder", path), lambda: Encoder(path))
 
 
 @lru_cache(maxsize=4)

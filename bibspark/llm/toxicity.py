@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, table
-from .common import fold_of, id_text, strings
+from .common import fold_of, id_text, released, small, strings
 
 #: Bounds of the labelled sample that the machine is fitted on.
 MAX_POSITIVE, MAX_NEGATIVE = 4_000, 8_000
@@ -104,29 +104,34 @@ def _places(rows: DataFrame, keep: dict[int, int] | None = None) -> DataFrame:
     indices of those in ``keep``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             out = [list({p for w in words_of(t) for p in places_of(w)}) for t in strings(b.column("text"))]
             if keep is not None:
                 out = [np.array(sorted(keep[p] for p in row if p in keep), np.int32).tobytes() for row in out]
             yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(out, pa.list_(pa.int32()) if keep is None else pa.binary())], ["y", "places"])
 
-    return rows.select("y", "text").mapInArrow(run, "y int, places " + ("array<int>" if keep is None else "binary"))
+    return rows.select("y", "text").mapInArrow(released(run), "y int, places " + ("array<int>" if keep is None else "binary"))
 
 
 def pair_terms(x: np.ndarray, y: np.ndarray, known: int) -> list[int]:
     """The columns from ``known`` on that belong to the pairs of columns whose
     joint presence separates the classes better than both alone."""
-    pos, neg = (x[y == k].astype(np.float32) for k in (1, 0))
+    pos, neg = (x[y == k] for k in (1, 0))
     n, scale = len(x), 1 / len(pos) + 1 / len(neg)
 
+    def joint(rows: np.ndarray, own: slice) -> np.ndarray:
+        """Rows that hold both columns, by blocks of rows (exact: below 2^24)."""
+        blocks = (rows[k:k + 1024].astype(np.float32) for k in range(0, len(rows), 1024))
+        return sum((b[:, own].T @ b for b in blocks), np.zeros((len(range(*own.indices(rows.shape[1]))), rows.shape[1]), np.float32))
+
     def z(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.abs(a / len(pos) - b / len(neg)) / np.sqrt((a + b + 1) / n * scale)
 
-    single = z(pos.sum(0), neg.sum(0))
+    single = z(pos.sum(0, dtype=np.float32), neg.sum(0, dtype=np.float32))
     pairs: list[tuple[float, int, int]] = []
     for at in range(0, x.shape[1], 512):
         own = slice(at, at + 512)
-        excess = z(pos[:, own].T @ pos, neg[:, own].T @ neg) - np.maximum(single[own][:, None], single)
+        excess = z(joint(pos, own), joint(neg, own)) - np.maximum(single[own][:, None], single)
         found = np.argwhere(excess > EXCESS)
         found = found[found[:, 0] + at < found[:, 1]]
         value = excess[found[:, 0], found[:, 1]]
@@ -204,10 +209,10 @@ def score(docs: DataFrame, model: tuple[dict[int, int], FactorizationMachine] |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = _scores(model)
-        for b in batches:
+        for b in small(batches):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores(strings(b.column("text"))), pa.float64())], ["doc_id", "score"])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+    return id_text(docs, id_col, text_col).mapInArrow(released(run), "doc_id long, score double")
 
 
 def without_toxic(docs: DataFrame, model: tuple[dict[int, int], FactorizationMachine] | None, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -216,10 +221,10 @@ def without_toxic(docs: DataFrame, model: tuple[dict[int, int], FactorizationMac
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = _scores(model)
-        for b in batches:
+        for b in small(batches):
             yield b.filter(pa.array([s < threshold for s in scores(strings(b.column(at)))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

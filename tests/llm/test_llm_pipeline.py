@@ -1,4 +1,5 @@
 """The pipeline against a brute-force run of its stages, and the queries."""
+import random
 import sys
 from pathlib import Path
 
@@ -48,7 +49,56 @@ def test_query_matches_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query_runs_over_the_whole_table(spark, name):
     df = queries.QUERIES[name](spark, SF)
-    if name != "op5_decontaminate":
-        assert df.count() == spark.read.parquet(f"{SF}/{'pages' if name.startswith('op1_') else 'documents'}.parquet").count()
-    else:
+    rows = lambda t: spark.read.parquet(f"{SF}/{t}.parquet").count()
+    n = int(name[2:].split("_")[0])
+    if n == 5:
         assert df.count() > 0
+    elif n == 11:  # ten documents an item
+        assert df.count() == 10 * rows("benchmark")
+    elif n == 12:
+        assert df.select("doc_id").distinct().count() == rows("documents")
+    elif n == 13:
+        assert df.where("component = 16").count() == rows("embeddings")
+    else:
+        assert df.count() == rows("pages" if n == 1 else "documents")
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_tokens string, score string, kept string, bucket string, id string, label string"
+ITEM = "the seventh harbour clock was mended by a patient keeper who counted every bell before the grey morning ferries left the quay"
+
+
+def fed(spark, folder, rows, items=((1, ITEM),)):
+    """A folder of tables with clashing columns."""
+    spark.createDataFrame([(*r, None, None, None, "a", "b", "c", "d", "e", "f") for r in rows], SCHEMA).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(i, 1 if t and "vile" in t else 0, "x") for i, t in rows if i is not None], "doc_id long, toxic int, text string").write.parquet(f"{folder}/labels.parquet")
+
+
+def test_nulls_copies_ties_and_clashing_columns(spark, tmp_path):
+    rng = random.Random(3)
+    prose = lambda n: " ".join(f"word{rng.randrange(2000)}" for _ in range(n))
+    rows = [(k, prose(rng.randrange(20, 90))) for k in range(120)]
+    rows += [(200 + k, prose(30) + " vile slur here") for k in range(40)]  # toxic
+    rows += [(300, rows[3][1]), (301, rows[3][1].replace(" ", "\n")), (302, rows[4][1] + "  "), (302, rows[4][1] + "  ")]  # copies, a repeated row
+    long = prose(400)
+    rows += [(400, long), (401, long + " one more"), (402, "added " + long)]  # near copies
+    rows += [(500, None), (501, ""), (502, " "), (None, prose(40)), (None, None)]
+    rows += [(600, prose(20) + " " + ITEM + " " + prose(20)), (601, ITEM.replace("patient", "pateint"))]  # leaks
+    fed(spark, str(tmp_path), rows)
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == [*[c.split(" ")[0] for c in SCHEMA.split(", ") if not c.startswith("n_tokens")], "n_tokens", "ids_sha256", "decoded_sha256"]
+    kept = [r.doc_id for r in out.collect()]
+    assert len(kept) == len(set(kept))
+    assert not set(range(200, 240)) & set(kept) and not {600, 601} & set(kept)
+    assert set(range(120)) - {4} <= set(kept)  # clean documents stay (302's copy of 4 is the longer one)
+    assert len({4, 302} & set(kept)) == 1 and not {300} & set(kept) or 3 in kept
+    assert len({400, 401, 402} & set(kept)) == 1
+    assert len({500, 501, 502} & set(kept)) + (None in kept) >= 1
+
+
+def test_empty_tables(spark, tmp_path):
+    fed(spark, str(tmp_path), [], [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    for name, query in queries.QUERIES.items():
+        if int(name[2:].split("_")[0]) in (11, 12):
+            assert query(spark, str(tmp_path)).count() == 0
