@@ -18,8 +18,12 @@ The windows that share one anchor occurrence form a *stretch* of text.
    its common-prefix intervals; an interval whose occurrences have different
    left neighbours is a maximal repeat, reported with all its occurrences.
 3. Grams with more than ``HOT`` distinct stretches (a passage in very many
-   contexts) would not fit one task: their windows are counted one by one by
-   128-bit hashes, with map-side combine. The result is the same.
+   contexts) would not fit one task: their stretches are cut in two and dealt
+   again by longer keys, the windows that reach far to the left of the gram by
+   the gram with the bytes left of it, the others by the gram with the bytes
+   right of it. Equal windows stay together. Keys that are still hot are halved
+   again, at most eight times (then a key is the window itself); every group
+   goes through step 2's suffix array.
 
 Nothing is capped: a copied passage of any number of documents is found in
 every one of them. Documents are shuffled once (the exchange is reused).
@@ -258,13 +262,51 @@ def _repeat_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve(held)
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct stretches of hot grams -> one row per window."""
+def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches whose key (text[lo:hi], in every window; lo -1: the anchor) is
+    hot -> their windows that hold more bytes left of the key, and the others,
+    with the longer keys these share."""
+    digest = xxhash.xxh3_64_intdigest
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int64()]
     for b in batches:
-        for gram, whole, text, starts, n in zip(*(b.column(c).to_pylist() for c in ("gram", "whole", "text", "starts", "n"))):
-            keys = [xxhash.xxh3_128_digest(text[s:s + LENGTH]) for s in range(starts)]
-            yield pa.RecordBatch.from_arrays([pa.array([gram] * starts, pa.int64()), pa.array([whole] * starts, pa.int64()), pa.array(range(starts), pa.int32()),
-                                              pa.array(keys, pa.binary()), pa.array([n] * starts, pa.int64())], ["gram", "whole", "start", "window", "n"])
+        rows = []
+        for gram, whole, off, starts, text, lo, hi, n in zip(*(b.column(c).to_pylist() for c in ("gram", "whole", "off", "starts", "text", "lo", "hi", "n"))):
+            if lo < 0:
+                lo = next(stretches([text]))[3]
+                hi = lo + GRAM
+            room = LENGTH - (hi - lo)
+            left = (room + 1) // 2
+            cut = min(max(lo - left + 1, 0), starts)  # windows before this one hold so many bytes left of the key
+            for first, last, p, q in ((0, cut, lo - left, hi), (cut, starts, lo, hi + room - left + 1)):
+                if first < last:
+                    part = text[first:last - 1 + LENGTH]
+                    rows.append((_signed(digest(text[p:q], seed=q - p)), _signed(digest(part)), gram, whole, off + first, last - first, part, p - first, q - first, n))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["key", "sub", "gram", "whole", "off", "starts", "text", "lo", "hi", "n"])
+
+
+_HALVES = "key long, sub long, gram long, whole long, off int, starts int, text binary, lo int, hi int, n long"
+
+
+def _hot_spans(stretches_of_hot_grams: DataFrame) -> DataFrame:
+    """(gram, whole, text, starts, n) of hot grams -> gram, whole, spans."""
+    level = stretches_of_hot_grams.select("gram", "whole", F.lit(0).alias("off"), "starts", "text", F.lit(-1).alias("lo"), F.lit(-1).alias("hi"), "n")
+    found = None
+    while True:
+        halves = cut_lineage(level.mapInArrow(_halves, _HALVES))
+        parts = cut_lineage(halves.groupBy("key", "sub").agg(F.sum("n").alias("n"), F.first("starts").alias("starts"), F.first("text").alias("text"),
+                                                              F.first(F.col("hi") - F.col("lo")).alias("held")))
+        # a key as long as a window is one distinct text
+        hot = cut_lineage(parts.where(F.col("held") < LENGTH).groupBy("key").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > HOT).select("key"))
+        cold = parts.join(hot, "key", "left_anti").select(F.col("key").alias("gram"), F.col("sub").alias("whole"), "text", "starts", "n")
+        solved = cold.repartition("gram").sortWithinPartitions("gram").mapInArrow(_repeat_rows, f"gram long, whole long, spans {_SPANS_SQL}")
+        solved = solved.where(F.size("spans") > 0).select(F.col("gram").alias("key"), F.col("whole").alias("sub"), "spans")
+        moved = F.transform("spans", lambda s: F.struct((s["a"] + F.col("off")).alias("a"), (s["b"] + F.col("off")).alias("b")))
+        own = halves.select("key", "sub", "gram", "whole", "off").join(solved, ["key", "sub"]).select("gram", "whole", moved.alias("spans"))
+        found = own if found is None else found.unionByName(own)
+        if hot.isEmpty():
+            return found.groupBy("gram", "whole").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        level = halves.join(hot, "key", "left_semi").select("gram", "whole", "off", "starts", "text", "lo", "hi", "n")
 
 
 def _mixed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,11 +368,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = cut_lineage(texts)
     cold = texts.join(hot, "gram", "left_anti")
     repeats = cold.repartition("gram").sortWithinPartitions("gram").select("gram", "whole", "text", "starts", "n").mapInArrow(_repeat_rows, f"gram long, whole long, spans {_SPANS_SQL}")
-    windows = texts.join(hot, "gram", "left_semi").select("gram", "whole", "text", "starts", "n").mapInArrow(_window_rows, "gram long, whole long, start int, window binary, n long")
-    often = windows.groupBy("window").agg(F.sum("n").alias("n")).where("n > 1").select("window")
-    counted = windows.join(often, "window").groupBy("gram", "whole").agg(
-        F.collect_list(F.struct(F.col("start").alias("a"), (F.col("start") + LENGTH).alias("b"))).alias("spans"))
-    solved = cut_lineage(repeats.unionByName(counted).where(F.size("spans") > 0))
+    if not hot.isEmpty():
+        repeats = repeats.unionByName(_hot_spans(texts.join(hot, "gram", "left_semi")))
+    solved = cut_lineage(repeats.where(F.size("spans") > 0))
     moved = F.transform("spans", lambda s: F.struct((s["a"] + F.col("start")).alias("a"), (s["b"] + F.col("start")).alias("b")))
     plain = found.where(~F.col("mixed")).select(*at, F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("starts") + (LENGTH - 1)).alias("b"))).alias("spans"))
     parts = plain.unionByName(mixed.join(solved, ["gram", "whole"]).select(*at, moved.alias("spans")))

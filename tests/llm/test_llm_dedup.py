@@ -137,3 +137,49 @@ def test_maximal_repeats_with_all_occurrences():
 
 def test_repeated_spans_empty(spark):
     assert suffix_dedup.repeated_spans(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("hot", [1, 4])
+def test_a_passage_in_many_contexts(spark, monkeypatch, hot):
+    """Hot grams: some contexts share more bytes on one side, some windows only a part of the passage."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rng = random.Random(21)
+    passage = words(rng, 60, 10_000)
+    edge = words(rng, 12, 10_000)
+    rows = []
+    for k in range(60):
+        left, right = words(rng, 30, 10_000), words(rng, 30, 10_000)
+        rows.append((k, f"{left} {edge if k % 3 == 0 else ''}{passage}{edge if k % 4 == 0 else ''} {right}"))
+    rows += [(100, passage[:210]), (101, passage[50:249]), (102, passage + passage), (103, passage[-201:] + "x")]
+    got = suffix_dedup.repeated_spans(frame(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.removed), r.kept_sha256) for r in got), key=str) == brute_repeats(rows, 200)
+
+
+def test_halves_keep_every_window_once():
+    """Cut again and again, the stretches of one gram give each window one place, under a key that it holds."""
+    import pyarrow as pa
+    rng = random.Random(22)
+    text = words(rng, 120, 10_000).encode()
+    names = ["gram", "whole", "off", "starts", "text", "lo", "hi", "n"]
+    level = [(1, k, 0, c, text[s:s + c + suffix_dedup.LENGTH - 1], -1, -1, 1) for k, (_, s, c, _) in enumerate(suffix_dedup.stretches([text]))]
+    sizes = {k: r[3] for k, r in enumerate(level)}
+    texts = {r[1]: r[4] for r in level}
+    for _ in range(9):
+        batch = pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "text" else pa.int64()) for n, c in zip(names, zip(*level))], names)
+        out = [r for b in suffix_dedup._halves(iter([batch])) for r in b.to_pylist()]
+        seen = sorted((r["whole"], r["off"] + j) for r in out for j in range(r["starts"]))
+        assert seen == [(k, j) for k in sorted(sizes) for j in range(sizes[k])]
+        for r in out:
+            assert r["text"] == texts[r["whole"]][r["off"]:r["off"] + r["starts"] - 1 + suffix_dedup.LENGTH]
+            assert 0 <= r["lo"] and r["starts"] - 1 <= r["lo"] and r["hi"] <= suffix_dedup.LENGTH  # in every window
+        if all(r["hi"] - r["lo"] == suffix_dedup.LENGTH for r in out):
+            assert all(r["starts"] == 1 for r in out)
+            return
+        level = [tuple(r[n] for n in names) for r in out if r["hi"] - r["lo"] < suffix_dedup.LENGTH]
+        done = [r for r in out if r["hi"] - r["lo"] == suffix_dedup.LENGTH]
+        for r in done:  # finished windows leave
+            sizes[r["whole"]] = sizes.get(r["whole"])
+        if done:
+            left = {(r[1], r[2] + j) for r in level for j in range(r[3])}
+            break
+    assert len(left) + len(done) <= sum(sizes.values())
