@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, table
-from .common import id_text, utf8
+from .common import id_text, released, small, utf8
 
 #: Bytes of a repeated string, bytes of the grams that own windows.
 LENGTH, GRAM = 200, 64
@@ -118,7 +118,7 @@ def _stretches(group: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int,
 
 
 def _stretch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches):
         texts, ids, keys = utf8(b.column("text")), b.column("doc_id").to_pylist(), b.column("text_key").to_pylist()
         rows = []
         digest = xxhash.xxh3_64_intdigest
@@ -293,13 +293,13 @@ def _hot_spans(stretches_of_hot_grams: DataFrame) -> DataFrame:
     level = stretches_of_hot_grams.select("gram", "whole", F.lit(0).alias("off"), "starts", "text", F.lit(-1).alias("lo"), F.lit(-1).alias("hi"), "n")
     found = None
     while True:
-        halves = cut_lineage(level.mapInArrow(_halves, _HALVES))
+        halves = cut_lineage(level.mapInArrow(released(_halves), _HALVES))
         parts = cut_lineage(halves.groupBy("key", "sub").agg(F.sum("n").alias("n"), F.first("starts").alias("starts"), F.first("text").alias("text"),
                                                               F.first(F.col("hi") - F.col("lo")).alias("held")))
         # a key as long as a window is one distinct text
         hot = cut_lineage(parts.where(F.col("held") < LENGTH).groupBy("key").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > HOT).select("key"))
         cold = parts.join(hot, "key", "left_anti").select(F.col("key").alias("gram"), F.col("sub").alias("whole"), "text", "starts", "n")
-        solved = cold.repartition("gram").sortWithinPartitions("gram").mapInArrow(_repeat_rows, f"gram long, whole long, spans {_SPANS_SQL}")
+        solved = cold.repartition("gram").sortWithinPartitions("gram").mapInArrow(released(_repeat_rows), f"gram long, whole long, spans {_SPANS_SQL}")
         solved = solved.where(F.size("spans") > 0).select(F.col("gram").alias("key"), F.col("whole").alias("sub"), "spans")
         moved = F.transform("spans", lambda s: F.struct((s["a"] + F.col("off")).alias("a"), (s["b"] + F.col("off")).alias("b")))
         own = halves.select("key", "sub", "gram", "whole", "off").join(solved, ["key", "sub"]).select("gram", "whole", moved.alias("spans"))
@@ -312,7 +312,7 @@ def _hot_spans(stretches_of_hot_grams: DataFrame) -> DataFrame:
 def _mixed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with the places of their mixed stretches -> the stretches' bytes."""
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-    for b in batches:
+    for b in small(batches):
         rows, size = [], 0
         for t, places in zip(utf8(b.column("text")), b.column("places").to_pylist()):
             for p in places:
@@ -327,7 +327,7 @@ def _mixed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches):
         n_bytes, n_removed, removed, hashes = [], [], [], []
         for t, spans in zip(utf8(b.column("text")), b.column("spans").to_pylist()):
             cut = merge([(s["a"], s["b"]) for s in spans or []])
@@ -348,7 +348,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, n_bytes, n_removed, removed (byte spans), kept_sha256 per row."""
     rows = id_text(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
     pieces = rows.where(F.octet_length("text") >= LENGTH).mapInArrow(
-        _stretch_rows, "doc_id long, text_key long, start int, starts int, gram long, whole long")
+        released(_stretch_rows), "doc_id long, text_key long, start int, starts int, gram long, whole long")
     again = cut_lineage(pieces.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("lo"), F.max("whole").alias("hi"))
                         .where("n > 1").select("gram", (F.col("lo") != F.col("hi")).alias("mixed")))
     found = cut_lineage(pieces.join(again, "gram"))
@@ -363,11 +363,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     places = places.groupBy(*at).agg(F.collect_list("place").alias("places"))
     same = [rows[c].eqNullSafe(places[c]) for c in at]
     # one row per key is enough to read a stretch from
-    texts = rows.join(places, same).select(rows["text"], places["places"]).mapInArrow(_mixed_texts, "gram long, whole long, starts int, text binary")
+    texts = rows.join(places, same).select(rows["text"], places["places"]).mapInArrow(released(_mixed_texts), "gram long, whole long, starts int, text binary")
     texts = texts.groupBy("gram", "whole").agg(F.first("starts").alias("starts"), F.first("text").alias("text")).join(kinds, ["gram", "whole"])
     texts = cut_lineage(texts)
     cold = texts.join(hot, "gram", "left_anti")
-    repeats = cold.repartition("gram").sortWithinPartitions("gram").select("gram", "whole", "text", "starts", "n").mapInArrow(_repeat_rows, f"gram long, whole long, spans {_SPANS_SQL}")
+    repeats = cold.repartition("gram").sortWithinPartitions("gram").select("gram", "whole", "text", "starts", "n").mapInArrow(released(_repeat_rows), f"gram long, whole long, spans {_SPANS_SQL}")
     if not hot.isEmpty():
         repeats = repeats.unionByName(_hot_spans(texts.join(hot, "gram", "left_semi")))
     solved = cut_lineage(repeats.where(F.size("spans") > 0))
@@ -377,7 +377,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = parts.groupBy(*at).agg(F.flatten(F.collect_set("spans")).alias("spans"))
     same = [rows[c].eqNullSafe(spans[c]) for c in at]
     return rows.join(spans, same, "left").select(rows["doc_id"], rows["text"], spans["spans"]).mapInArrow(
-        _removed, f"doc_id long, n_bytes long, n_removed long, removed {_SPANS_SQL}, kept_sha256 string")
+        released(_removed), f"doc_id long, n_bytes long, n_removed long, removed {_SPANS_SQL}, kept_sha256 string")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
