@@ -28,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.html import OPEN_TAG, Unclosed
 from ..session import table
 from .common import strings
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)""", re.S)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|aria-label|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -126,7 +127,7 @@ class Block:
 
 
 def _clear_names(blocks: list[Block], landmarks: set[int]) -> None:
-    """A name says nothing against an element that holds the page's running
+    """A name, or being a form, says nothing against an element that holds the page's running
     text (an article, main, first heading or three such blocks, and outside
     of it no more than a rest that nothing is held against)."""
     for mark in sorted({k for b in blocks for k in b.marks}):  # outer elements first
@@ -141,10 +142,24 @@ def _clear_names(blocks: list[Block], landmarks: set[int]) -> None:
                     b.marks = tuple(k for k in b.marks if k != mark)
 
 
+def _tags(page: str) -> Iterator[re.Match]:
+    """The tags, comments and declarations of a page, in order; a tag whose
+    quote never ends is text, and is not scanned again from each of its parts."""
+    open_tags = Unclosed(page)
+    at = page.find("<")
+    while at >= 0:
+        m = None if open_tags.scans and open_tags.known(at) and OPEN_TAG.match(page, at) else _TAG.match(page, at)
+        if m:
+            yield m
+        elif OPEN_TAG.match(page, at) and not open_tags.known(at):
+            open_tags.add(at)
+        at = page.find("<", m.end() if m else at + 1)
+
+
 def blocks_of(page: str) -> list[Block]:
     """The visible text blocks of a page with their DOM context."""
     out: list[Block] = []
-    # an open element: tag, id, evidence summed over ancestors, dropped, section id, ids of elements held against by name
+    # an open element: tag, id, evidence summed over ancestors, dropped, section id, marks of what is held against it (names, being a form)
     stack: list[tuple[str, int, float, bool, int, tuple[int, ...]]] = [("", 0, 0.0, False, 0, ())]
     landmarks: set[int] = set()  # of those ids: with a landmark inside
     pieces: list[str] = []
@@ -167,7 +182,7 @@ def blocks_of(page: str) -> list[Block]:
             links -= e[0] == "a"
         del stack[depth:]
 
-    for m in _TAG.finditer(page):
+    for m in _tags(page):
         if m.start() < at:  # inside raw text that was skipped
             continue
         if stack[-1][0] == "head" and m.start() > at and not page[at:m.start()].isspace():
@@ -217,7 +232,9 @@ def blocks_of(page: str) -> list[Block]:
         if above > 0 and (tag == "header" or "header" in m[3]) and score in (TAG_EVIDENCE["header"], AGAINST, TAG_EVIDENCE["header"] + AGAINST) and not _other_words_against(m[3]):
             score, against = 0.0, False  # the heading of an article, not of the page
         if against:
-            marks = (*marks, ids)
+            marks = (*marks, 2 * ids)
+        if tag == "form":  # some pages are one form
+            marks = (*marks, 2 * ids + 1)
         if tag in _LANDMARK and marks:
             landmarks.update(marks)
         links += tag == "a"
@@ -250,40 +267,58 @@ def costs(b: Block) -> float:
 
 
 def minimum_cut(net: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """True for the nodes on the source side. net > 0 is capacity from the
-    source, net < 0 capacity to the sink; edges count both ways."""
+    """True for the nodes on the source side of the least cut. net > 0 is
+    capacity from the source, net < 0 capacity to the sink; edges count both
+    ways. Flow is pushed along all shortest ways at once, layer by layer, so a
+    page costs a few passes over its blocks."""
     n = len(net)
-    room: list[dict[int, float]] = [{} for _ in range(n)]
+    to: list[int] = []
+    room: list[float] = []
+    arcs: list[list[int]] = [[] for _ in range(n)]
     for a, b, w in edges:
-        room[a][b] = room[a].get(b, 0.0) + w
-        room[b][a] = room[b].get(a, 0.0) + w
+        arcs[a].append(len(to))
+        arcs[b].append(len(to) + 1)
+        to += (b, a)
+        room += (w, w)
     left = net[:]
     eps = 1e-9
     while True:
-        came: dict[int, int] = {i: -1 for i in range(n) if left[i] > eps}
-        queue = deque(came)
-        found = -1
-        while queue and found < 0:
+        layer = [0 if x > eps else -1 for x in left]
+        queue = deque(i for i in range(n) if layer[i] == 0)
+        reached = False
+        while queue:
             i = queue.popleft()
-            for j, w in room[i].items():
-                if w > eps and j not in came:
-                    came[j] = i
-                    if left[j] < -eps:
-                        found = j
-                        break
-                    queue.append(j)
-        if found < 0:
-            return [i in came for i in range(n)]
-        path = [found]
-        while came[path[-1]] >= 0:
-            path.append(came[path[-1]])
-        path.reverse()
-        flow = min(left[path[0]], -left[found], *(room[a][b] for a, b in zip(path, path[1:])))
-        left[path[0]] -= flow
-        left[found] += flow
-        for a, b in zip(path, path[1:]):
-            room[a][b] -= flow
-            room[b][a] = room[b].get(a, 0.0) + flow
+            reached = reached or left[i] < -eps
+            for e in arcs[i]:
+                if room[e] > eps and layer[to[e]] < 0:
+                    layer[to[e]] = layer[i] + 1
+                    queue.append(to[e])
+        if not reached:
+            return [x >= 0 for x in layer]
+        at = [0] * n  # arcs before this one lead nowhere in this round
+        for source in (i for i in range(n) if left[i] > eps):
+            way: list[int] = []
+            i = source
+            while left[source] > eps:
+                if left[i] < -eps:
+                    flow = min(left[source], -left[i], *(room[e] for e in way))
+                    left[source] -= flow
+                    left[i] += flow
+                    for e in way:
+                        room[e] -= flow
+                        room[e ^ 1] += flow
+                    way, i = [], source
+                    continue
+                while at[i] < len(arcs[i]) and not (room[arcs[i][at[i]]] > eps and layer[to[arcs[i][at[i]]]] == layer[i] + 1):
+                    at[i] += 1
+                if at[i] < len(arcs[i]):
+                    way.append(arcs[i][at[i]])
+                    i = to[way[-1]]
+                elif way:
+                    i = to[way.pop() ^ 1]
+                    at[i] += 1
+                else:
+                    break
 
 
 def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:

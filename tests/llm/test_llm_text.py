@@ -423,3 +423,70 @@ def test_toxicity_held_out(spark):
     assert toxicity.without_toxic(docs, model).columns == docs.columns
     assert toxicity.score(docs.limit(0), model).count() == 0
     assert toxicity.fit(docs, table.limit(0)) is None and toxicity.score(docs, None).where("score <> 0").count() == 0
+
+
+def test_merging_long_runs_by_rank():
+    """The heap gives what joining the leftmost lowest pair again and again gives, and long runs take seconds."""
+    import time
+
+    def plain(piece, ranks):
+        parts = [piece[i:i + 1] for i in range(len(piece))]
+        while len(parts) > 1:
+            rank, at = min((ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+            if rank == 1 << 60:
+                break
+            parts[at:at + 2] = [parts[at] + parts[at + 1]]
+        return [ranks[p] for p in parts]
+
+    own = bpe.codec(bpe.vocabulary_path())
+    rng = random.Random(12)
+    for piece in [b"-" * n for n in range(1, 90)] + [b"a" * 77, b"w" * 50, b"0" * 61] + [bytes(rng.choice(b"-a0w.") for _ in range(rng.randrange(1, 60))) for _ in range(300)]:
+        assert bpe.merge_by_rank(piece, own.ranks) == ([own.ranks[piece]] if piece in own.ranks else plain(piece, own.ranks))
+    began = time.time()
+    ids = bpe.merge_by_rank(b"-" * 1_000_000, own.ranks)
+    assert time.time() - began < 60 and own.decode(ids) == b"-" * 1_000_000
+
+
+def test_round_trip_replaces_its_columns(spark):
+    df = spark.createDataFrame([(1, "a b", 7, "x")], "doc_id long, text string, n_tokens int, ids_sha256 string")
+    out = bpe.round_trip(df)
+    assert out.columns == ["doc_id", "text", "n_tokens", "ids_sha256", "decoded_sha256"] and out.first().n_tokens == 2
+
+
+PARAGRAPH = "<p>" + "A long running sentence of the article, with enough words to count as text. " * 3 + "</p>"
+
+
+def test_a_page_that_is_one_form_keeps_its_text():
+    plain, *_ = html_extract.main_text(f"<body>{PARAGRAPH * 5}</body>")
+    for inner in (PARAGRAPH * 5, f"<article>{PARAGRAPH * 5}</article>", f'<div class="newsletter widget">{PARAGRAPH * 5}</div>'):
+        assert html_extract.main_text(f'<body><form id="aspnetForm">{inner}</form></body>')[0] == plain
+    page = f'<body><article>{PARAGRAPH * 3}</article><form class="signup">{PARAGRAPH}<input></form></body>'
+    assert html_extract.main_text(page)[0] == html_extract.main_text(f"<article>{PARAGRAPH * 3}</article>")[0]
+
+
+def test_quotes_in_unquoted_values_are_markup():
+    for tag in ("<a href=x'y>", '<a href=x"y>', "<a title=it's href='a>b'>"):
+        assert html_extract.main_text(f"<article><p>See {tag}this link</a> and more of it.</p>{PARAGRAPH}</article>")[0].startswith("See this link and more of it.\n\n")
+
+
+def test_many_blocks_and_open_tags_take_seconds():
+    import time
+    began = time.time()
+    html_extract.main_text("<p>Some words that are here for a test, quite long enough to count as text.</p><nav>menu</nav>" * 50_000)
+    html_extract.main_text("<p>x</p>" + '<a "' * 100_000)
+    html_extract.main_text("<p>x</p>" + "<a '" * 100_001)
+    assert time.time() - began < 60
+
+
+def test_minimum_cut_against_every_labelling():
+    rng = random.Random(5)
+    for _ in range(200):
+        n = rng.randrange(1, 9)
+        net = [rng.choice([-3.0, -1.5, -0.5, 0.0, 0.7, 2.0, 4.0]) for _ in range(n)]
+        edges = [(a, b, rng.choice([0.3, 0.8, 1.1])) for a in range(n) for b in range(a) if rng.random() < 0.4]
+
+        def cost(label):
+            return sum(x for x, on in zip(net, label) if x > 0 and not on) - sum(x for x, on in zip(net, label) if x < 0 and on) + sum(w for a, b, w in edges if label[a] != label[b])
+
+        best = min(cost([k >> i & 1 == 1 for i in range(n)]) for k in range(1 << n))
+        assert abs(cost(html_extract.minimum_cut(net, edges)) - best) < 1e-6
