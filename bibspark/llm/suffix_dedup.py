@@ -262,6 +262,14 @@ def _repeat_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve(held)
 
 
+def _solved(stretches_of_grams: DataFrame) -> DataFrame:
+    """(gram, whole, text, starts, n) -> gram, whole, spans. Dealt by a hash of
+    the gram: after a join on the gram itself Spark would leave the exchange out
+    and, once the join is a broadcast, read the pieces where they lie."""
+    dealt = stretches_of_grams.select("gram", "whole", "text", "starts", "n").repartition(F.xxhash64("gram")).sortWithinPartitions("gram")
+    return dealt.mapInArrow(released(_repeat_rows), f"gram long, whole long, spans {_SPANS_SQL}")
+
+
 def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stretches whose key (text[lo:hi], in every window; lo -1: the anchor) is
     hot -> their windows that hold more bytes left of the key, and the others,
@@ -299,8 +307,7 @@ def _hot_spans(stretches_of_hot_grams: DataFrame) -> DataFrame:
         # a key as long as a window is one distinct text
         hot = cut_lineage(parts.where(F.col("held") < LENGTH).groupBy("key").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > HOT).select("key"))
         cold = parts.join(hot, "key", "left_anti").select(F.col("key").alias("gram"), F.col("sub").alias("whole"), "text", "starts", "n")
-        solved = cold.repartition("gram").sortWithinPartitions("gram").mapInArrow(released(_repeat_rows), f"gram long, whole long, spans {_SPANS_SQL}")
-        solved = solved.where(F.size("spans") > 0).select(F.col("gram").alias("key"), F.col("whole").alias("sub"), "spans")
+        solved = _solved(cold).where(F.size("spans") > 0).select(F.col("gram").alias("key"), F.col("whole").alias("sub"), "spans")
         moved = F.transform("spans", lambda s: F.struct((s["a"] + F.col("off")).alias("a"), (s["b"] + F.col("off")).alias("b")))
         own = halves.select("key", "sub", "gram", "whole", "off").join(solved, ["key", "sub"]).select("gram", "whole", moved.alias("spans"))
         found = own if found is None else found.unionByName(own)
@@ -367,7 +374,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = texts.groupBy("gram", "whole").agg(F.first("starts").alias("starts"), F.first("text").alias("text")).join(kinds, ["gram", "whole"])
     texts = cut_lineage(texts)
     cold = texts.join(hot, "gram", "left_anti")
-    repeats = cold.repartition("gram").sortWithinPartitions("gram").select("gram", "whole", "text", "starts", "n").mapInArrow(released(_repeat_rows), f"gram long, whole long, spans {_SPANS_SQL}")
+    repeats = _solved(cold)
     if not hot.isEmpty():
         repeats = repeats.unionByName(_hot_spans(texts.join(hot, "gram", "left_semi")))
     solved = cut_lineage(repeats.where(F.size("spans") > 0))

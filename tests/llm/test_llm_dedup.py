@@ -155,6 +155,26 @@ def test_a_passage_in_many_contexts(spark, monkeypatch, hot):
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.removed), r.kept_sha256) for r in got), key=str) == brute_repeats(rows, 200)
 
 
+def test_grams_stay_whole_beside_hot_ones(spark, monkeypatch):
+    """A hot gram makes the others pass a join with few rows, which Spark turns
+    into a broadcast: every gram still comes to one task."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 20)
+    rng = random.Random(23)
+    passage = words(rng, 60, 10_000)
+    rows = [(k, f"{words(rng, 30, 10_000)} {passage} {words(rng, 30, 10_000)}") for k in range(40)]
+    for k in range(100, 140):
+        own = words(rng, 50, 10_000)
+        rows += [(2 * k, f"{own} {words(rng, 40, 10_000)}"), (2 * k + 1, f"{words(rng, 40, 10_000)} {own}")]
+    conf = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "false")
+    try:
+        got = suffix_dedup.repeated_spans(frame(spark, rows)).collect()
+    finally:
+        spark.conf.set(conf, before)
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.removed), r.kept_sha256) for r in got), key=str) == brute_repeats(rows, 200)
+
+
 def test_halves_keep_every_window_once():
     """Cut again and again, the stretches of one gram give each window one place, under a key that it holds."""
     import pyarrow as pa
