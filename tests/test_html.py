@@ -161,3 +161,17 @@ def test_tags_that_never_end_are_text_in_linear_time():
         nodes = H.parse_nodes("<p>" + piece * 100_000)
         assert nodes[0]["tag"] == "p" and "".join(n["text"] or "" for n in nodes if n["tag"] == "#text").startswith(piece[:2])
     assert time.time() - began < 30
+
+
+def test_nodes_leave_a_task_a_few_pages_at_a_time(monkeypatch):
+    """One Arrow batch of pages becomes many small ones; order, nulls and single large pages included."""
+    import pyarrow as pa
+    monkeypatch.setattr(H, "PARSE_BYTES", 100)
+    pages_in = ["<p>%d</p>" % k for k in range(30)] + [None, "<b>" + "x" * 500 + "</b>", ""] + ["<i>z</i>"] * 5
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(pages_in))), pa.array(pages_in)], ["k", "html"])
+    out = list(H._parse_rows(iter([batch])))
+    assert [k for b in out for k in b.column("k").to_pylist()] == list(range(len(pages_in)))
+    assert all(sum(len(pages_in[k] or "") for k in b.column("k").to_pylist()) <= 100 or b.num_rows == 1 for b in out)
+    whole = H._nodes_arrow(pa.array(pages_in)).to_pylist()
+    assert [n for b in out for n in b.column("nodes").to_pylist()] == [w["nodes"] if w else None for w in whole]
+    assert [n for b in out for n in b.column("nidx").to_pylist()] == [w["index"] if w else None for w in whole]
