@@ -120,6 +120,7 @@ def q_registry_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     registry.register_source(registry.SourceSpec("core_ranked", S.VARIANT_CORE, registry.source(S.IFACE_CORE).extractors, enrich=enrich))
     fixtures.core_pages(spark, sf_dir).withColumn("request_id", F.col("page_no").cast("string")).createOrReplaceTempView("core_pages_in")
     registry.sql_view(spark, "core_ranked", S.CLASS_CONFERENCE, "core_pages_in", "core_ranked_out")
+    registry.unregister_source("core_ranked")  # the view stays; the registry is the session's
     ranked = spark.sql("SELECT 'ranked' AS kind, name, CAST(NULL AS INT) AS priority, CAST(NULL AS INT) AS depth FROM core_ranked_out")
     derived = registry.next_items(S.IFACE_CORE, S.CLASS_CONFERENCE, spark.table("core_ranked_out"))
     nothing = derived.select(F.lit("derived").alias("kind"), F.col("expected_id").alias("name"), "priority", "depth")

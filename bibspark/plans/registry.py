@@ -39,6 +39,11 @@ def register_source(spec: SourceSpec) -> None:
     _REGISTRY[spec.iface] = spec
 
 
+def unregister_source(iface: str) -> None:
+    """Take a source out again; frames already made from it stay valid."""
+    _REGISTRY.pop(iface, None)
+
+
 def source(iface: str) -> SourceSpec:
     return _REGISTRY[iface]
 
