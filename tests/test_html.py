@@ -1,5 +1,6 @@
 """Tree rules (H1), selectors (H2-H14) and extractors on small pages."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from bibspark.functions import html as H
@@ -175,3 +176,24 @@ def test_nodes_leave_a_task_a_few_pages_at_a_time(monkeypatch):
     whole = H._nodes_arrow(pa.array(pages_in)).to_pylist()
     assert [n for b in out for n in b.column("nodes").to_pylist()] == [w["nodes"] if w else None for w in whole]
     assert [n for b in out for n in b.column("nidx").to_pylist()] == [w["index"] if w else None for w in whole]
+
+
+def test_pages_parsed_together_equal_pages_parsed_alone():
+    """Plain pages are read many at a time, the others one by one: same nodes and index."""
+    plain = ['<!DOCTYPE html>\n<html><body class="a b a"><p id="x">1 &amp; 2</p> \n <br><img src=\'y\'/></BR>é</body></html>', "", None, "only text", "<div><p>never closed"]
+    other = ["<div><p></div>", "a > b", "<!-- <b> --><b>c</b>", "<script>if (a<b) {}</script>", '<a title="x><b">c</b>', "a<!DOCTYPE html>b", "<pre> </pre>"]
+    odd, _ = H._nested_pages(pa.array(plain + other), {})
+    assert odd.tolist()[:len(plain)] == [False] * len(plain) and odd.any()
+    assert not H._nested_pages(pa.array(plain), {})[0].any()
+
+    def view(a):
+        return [(r["nodes"], sorted(r["index"])) if r and r["nodes"] is not None else None for r in a.to_pylist()]
+    pages = pa.array([x for two in zip(plain * 2, other * 2) for x in two] + plain)
+    for part in (pages, pages.slice(3), pages.slice(2, 4), pages.slice(0, 0)):
+        assert view(H._nodes_arrow(part)) == view(H._nodes_by_page(part))
+
+
+def test_a_key_that_is_also_the_user_is_read_once(spark):
+    pages = spark.createDataFrame([("u1", '<div id="gsc_prf_w"><div id="gsc_prf_in">N</div></div>')], "request_id STRING, html STRING")
+    row = scholar.profile(pages, ["request_id"], "request_id").collect()[0]
+    assert (row["request_id"], row["name"]) == ("u1", "N")
