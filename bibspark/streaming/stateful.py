@@ -1,10 +1,10 @@
 """Streams whose answers need keyed state of their own.
 
-State lives in Spark's state store, one small row a key, and goes with the
-checkpoint: a restarted query goes on where it stopped. Rows are thinned out
-batch-wise before they are grouped by key, so that a key with a third of all
-rows sends few of them to its task (A8, T2); where every row of a key counts
-in order (T1) a task holds one key's rows of one micro-batch.
+State lives in Spark's state store, one small row a key (T2) or a bucket of
+keys (A8, T1), and goes with the checkpoint: a restarted query goes on where it
+stopped. Rows are thinned out batch-wise before they are grouped, so that a key
+with a third of all rows sends few of them to its task (A8, T2); where every row
+of a key counts in order (T1) a task holds one bucket's rows of one micro-batch.
 
 A stream is fed part by part with :func:`run_parts`.
 """
@@ -28,6 +28,8 @@ from . import streams
 HOUR_MS = 3_600_000
 #: Groups that the repeats of a key within an Arrow batch are dealt to.
 LANES = 64
+#: Groups that keys are dealt to by their hash: fixed, as state is found by them.
+SEEN_BUCKETS, TTL_BUCKETS = 1 << 13, 1 << 10
 
 
 def run_parts(spark: SparkSession, parts: Sequence[DataFrame], name: str, build: Callable[[DataFrame], DataFrame],
@@ -51,21 +53,35 @@ def _fields(df: DataFrame, names: Sequence[str]) -> list[T.StructField]:
 
 
 # ------------------------------------------------------------------------ A8
-def _lanes(keys: Sequence[str], order: Sequence[str]):
-    """Marks, in every Arrow batch, the first arrival of a key with lane 0 and
-    deals its other arrivals, which cannot be the first, to lanes 1..LANES."""
+def _long_as_text(df: DataFrame, names: Sequence[str], rest: Sequence[str] = ()) -> DataFrame:
+    """Whole numbers as text: pandas turns those of columns with nulls into floats."""
+    return df.select(*[F.col(n).cast("string").alias(n) if isinstance(df.schema[n].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)) else F.col(n) for n in names], *rest)
+
+
+def _key_text(keys: Sequence[str]) -> Column:
+    """The key columns as one text, different for different keys."""
+    at = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    return F.to_json(F.struct(*keys), {"timestampFormat": f"{at}XXX", "timestampNTZFormat": at})
+
+
+def _bucket(keys: Sequence[str], n: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
+
+
+def _lanes(order: Sequence[str]):
+    """Leaves, in every Arrow batch, the first arrival of a key in its bucket
+    and deals its other arrivals, which cannot be the first, to groups
+    -1..-LANES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             t = pa.Table.from_batches([b])
             by_order = pc.sort_indices(t, sort_keys=[(o, "ascending") for o in order]).to_numpy()
-            codes = np.zeros(b.num_rows, np.int64)
-            for k in keys:
-                own = pc.dictionary_encode(b.column(k), null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
-                codes = np.unique(codes * (own.max(initial=0) + 1) + own, return_inverse=True)[1]
-            lane = (np.arange(b.num_rows) % LANES + 1).astype(np.int32)
-            lane[by_order[np.unique(codes[by_order], return_index=True)[1]]] = 0
-            yield b.append_column("__lane", pa.array(lane))
+            codes = pc.dictionary_encode(b.column("__key")).indices.to_numpy(zero_copy_only=False)
+            group = (-1 - np.arange(b.num_rows) % LANES).astype(np.int32)
+            first = by_order[np.unique(codes[by_order], return_index=True)[1]]
+            group[first] = b.column("__bucket").to_numpy(zero_copy_only=False)[first]
+            yield b.set_column(b.schema.get_field_index("__bucket"), "__bucket", pa.array(group))
 
     return run
 
@@ -76,37 +92,33 @@ def new_item_answers(stream: DataFrame, keys: Sequence[str], order: Sequence[str
     The first arrival of a key ever answers ``true``, every later one
     ``false``; within a micro-batch the least ``order`` comes first (it has no
     nulls and is unique). A null key is a key. Only the first arrival of each
-    Arrow batch asks the key's state; repeats are answered in other groups.
-    State: one flag for every key ever seen, as the set it stands for."""
+    Arrow batch asks the state; repeats are answered in other groups.
+    State: every key ever seen, in SEEN_BUCKETS sets by the keys' hash, so that
+    a micro-batch calls Python once a set and not once a key."""
     keys, order = list(keys), list(order)
-    own = stream.select(*keys, *order)
+    fields = [*_fields(stream, keys), *_fields(stream, order)]
+    marked = stream.select(*keys, *order, _key_text(keys).alias("__key"), _bucket(keys, SEEN_BUCKETS).alias("__bucket"))
+    own = _long_as_text(marked, keys, [*order, "__key", "__bucket"])
     out = T.StructType([*_fields(own, keys), *_fields(own, order), T.StructField("is_new", T.BooleanType())])
-    laned = own.mapInArrow(_lanes(keys, order), T.StructType([*own.schema.fields, T.StructField("__lane", T.IntegerType())]))
+    laned = own.mapInArrow(_lanes(order), own.schema)
 
     def answer(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if key[-1] > 0 or state.exists:
+        if key[0] < 0:
             for f in frames:
                 yield f[keys + order].assign(is_new=False)
             return
-        first = None  # the earliest so far
-        for f in frames:
-            f = f[keys + order] if first is None else pd.concat([first, f[keys + order]], ignore_index=True)
-            f = f.sort_values(order, ignore_index=True)
-            first = f.iloc[:1]
-            if len(f) > 1:
-                yield f.iloc[1:].assign(is_new=False)
-        state.update((True,))
-        yield first.assign(is_new=True)
+        rows = pd.concat(list(frames), ignore_index=True).sort_values(order, ignore_index=True)
+        seen = state.get[0] if state.exists else []
+        is_new = ~(rows["__key"].duplicated() | rows["__key"].isin(set(seen)))
+        if is_new.any():
+            state.update((list(seen) + rows["__key"][is_new].tolist(),))
+        yield rows[keys + order].assign(is_new=is_new)
 
-    return laned.groupBy(*keys, "__lane").applyInPandasWithState(answer, out, "seen boolean", "append", GroupStateTimeout.NoTimeout)
+    got = laned.groupBy("__bucket").applyInPandasWithState(answer, out, "seen array<string>", "append", GroupStateTimeout.NoTimeout)
+    return got.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields], "is_new")
 
 
 # ------------------------------------------------------------------------ T1
-def _long_as_text(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Whole numbers as text: pandas turns those of columns with nulls into floats."""
-    return df.select(*[F.col(n).cast("string").alias(n) if isinstance(df.schema[n].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)) else F.col(n) for n in names])
-
-
 def dedupe_ttl(stream: DataFrame, keys: Sequence[str], ts_col: str, order: Sequence[str], ttl: str, delay: str = "0 seconds",
                system_col: str | None = None) -> DataFrame:
     """T1 with bounded state: a message is dropped if its key was let through
@@ -115,7 +127,9 @@ def dedupe_ttl(stream: DataFrame, keys: Sequence[str], ts_col: str, order: Seque
     Decided in order of (ts, order) within a micro-batch. A key's state (time
     of its last message let through) goes when the watermark, ``delay`` behind
     the newest message, passes that time plus ``ttl``: the state holds the keys
-    of one ``ttl`` + ``delay`` of messages, however long the stream runs.
+    of one ``ttl`` + ``delay`` of messages, however long the stream runs. Keys
+    are dealt to TTL_BUCKETS by their hash and those of a bucket are decided
+    together, so that a micro-batch calls Python once a bucket.
     Messages behind the watermark are dropped. System messages pass. Messages
     without a time are dropped."""
     keys, order = list(keys), list(order)
@@ -128,33 +142,48 @@ def dedupe_ttl(stream: DataFrame, keys: Sequence[str], ts_col: str, order: Seque
     normal = _long_as_text(stream.where(~system & F.col(ts_col).isNotNull()), names)
     schema = normal.schema
     numeric = {f.name for f in fields if f.dataType != schema[f.name].dataType and f.name != ts_col}
-    normal = normal.withColumn("__us", F.unix_micros(ts_col)).withWatermark(ts_col, delay)
+    normal = normal.withColumns({"__us": F.unix_micros(ts_col), "__key": _key_text(keys), "__bucket": _bucket(keys, TTL_BUCKETS)}).withWatermark(ts_col, delay)
 
     def keep(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames), ignore_index=True)
-        rank = [rows["__us"], *[pd.to_numeric(rows[o]) if o in numeric else rows[o] for o in order]]
-        rows = rows.iloc[np.lexsort(rank[::-1])]
-        at = rows["__us"].to_numpy(np.int64)
-        last = state.get[0] if state.exists else None
-        kept, i = [], 0 if last is None else int(np.searchsorted(at, last + span, "right"))
-        while i < len(at):
-            kept.append(i)
-            last = int(at[i])
-            i = int(np.searchsorted(at, last + span, "right"))
-        expires = (last + span) // 1000 + 1
-        if expires > state.getCurrentWatermarkMs():
-            state.update((last,))
-            state.setTimeoutTimestamp(expires)
+        mark = state.getCurrentWatermarkMs()
+        held = dict(zip(*state.get)) if state.exists else {}
+        if not state.hasTimedOut:
+            rows = pd.concat(list(frames), ignore_index=True)
+            codes, found = pd.factorize(rows["__key"])
+            rank = [codes, rows["__us"], *[pd.to_numeric(rows[o]) if o in numeric else rows[o] for o in order]]
+            by_key = np.lexsort(rank[::-1])
+            codes, at = codes[by_key], rows["__us"].to_numpy(np.int64)[by_key]
+            times = np.unique(at)
+            width = len(times) + 1
+            place = codes * width + np.searchsorted(times, at)
+
+            def after(of: np.ndarray, last: np.ndarray) -> np.ndarray:
+                """The first message of each key that its last one lets through."""
+                return np.searchsorted(place, of * width + np.searchsorted(times, last + span, "right") - 1, "right")
+            of = np.arange(len(found))
+            stop = np.searchsorted(codes, of, "right")
+            at_first = np.searchsorted(codes, of)
+            known = np.array([held.get(k) is not None for k in found], bool)
+            before = np.array([held.get(k, 0) for k in found], np.int64)
+            i = np.where(known, after(of, before), at_first)
+            kept = []
+            while (live := i < stop[of]).any():
+                of, i = of[live], i[live]
+                kept.append(i)
+                before[of] = at[i]
+                i = after(of, at[i])
+            held.update(zip(found.tolist(), before.tolist()))
+        held = {k: last for k, last in held.items() if (last + span) // 1000 + 1 > mark}
+        if held:
+            state.update((list(held), list(held.values())))
+            state.setTimeoutTimestamp((min(held.values()) + span) // 1000 + 1)
         elif state.exists:
             state.remove()
-        if kept:
-            yield rows.iloc[kept][names]
+        if not state.hasTimedOut and kept:
+            yield rows.iloc[by_key[np.concatenate(kept)]][names]
 
-    out = normal.groupBy(*keys).applyInPandasWithState(
-        keep, T.StructType([schema[n] for n in names]), "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    out = normal.groupBy("__bucket").applyInPandasWithState(
+        keep, T.StructType([schema[n] for n in names]), "keys array<string>, last array<long>", "append", GroupStateTimeout.EventTimeTimeout)
     back = lambda df: df.select(*[(streams.utc_as_ntz(F.col(f.name)) if ntz and f.name == ts_col else F.col(f.name).cast(f.dataType)).alias(f.name) for f in fields])
     out = back(out)
     return out if system_col is None else out.unionByName(back(stream.where(system)))
