@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from bibspark.operators import frontier, metrics, paging, resolve, store
+from bibspark.plans import catalog
 
 AS_OF = "2024-03-01 00:00:00"
 
@@ -153,3 +154,14 @@ def test_pairing_counts_lists_lookup(spark):
     docs = spark.createDataFrame([("db", "a", "r1")], "entity_db STRING, _id STRING, _rev STRING")
     got = sorted(((r["_id"], r["_rev"]) for r in store.lookup(keys, docs).collect()), key=str)
     assert got == [("a", "r1"), ("zz", None)]
+
+
+def test_names_of_parts_are_spread_before_they_are_read(spark, tmp_path):
+    """One small file is one task: the costly rules come after the spread."""
+    rows = [(n, "small bolt" if n % 2 else "x 1", "STEEL", n) for n in range(40)]
+    spark.createDataFrame(rows, "p_partkey LONG, p_name STRING, p_type STRING, p_size INT").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    out = catalog.QUERIES["person_names"](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan and "regexp_extract_all" not in plan[plan.index("Repartition"):]
+    got = sorted((r["p_partkey"], r["pos"], r["name"]) for r in out.collect())
+    assert got == sorted(x for n in range(40) for x in ([(n, 0, "STEEL small"), (n, 1, "small bolt")] if n % 2 else [(n, 0, "STEEL x")]))
