@@ -68,7 +68,8 @@ FROM orders JOIN (SELECT l_orderkey, year(l_shipdate) AS y, count(*) AS c FROM l
 def q_scholar_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Year, count and link of every bar of the citation graph."""
     pubs = scholar.publication(fixtures.scholar_detail_pages(spark, sf_dir), ["o_orderkey"], "url", AS_OF_YEAR)
-    bars = pubs.select("publication_id", F.explode("citation_graph").alias("g"))
+    # outer: else the graph is made again to look for empty ones
+    bars = pubs.select("publication_id", F.posexplode_outer("citation_graph").alias("pos", "g")).where(F.col("pos").isNotNull())
     return bars.select("publication_id", F.col("g.year").cast("string").alias("year"), F.col("g.citations").cast("int").alias("citations"), F.col("g.citation_link").alias("citation_link"))
 
 
