@@ -198,14 +198,14 @@ def extend_walk(depths: DataFrame, edges: DataFrame, new_edges: DataFrame, max_d
     frontier. Depths only fall, so at most ``max_depth`` rounds are needed.
     Union with the unchanged depths (:func:`merge_walk`) equals a walk from
     scratch over all edges."""
-    e = cut_lineage(edges.select("pub", "author").unionByName(new_edges.select("pub", "author")).distinct())
+    # repeated edges change no least depth: they are not sorted out first
+    e = cut_lineage(edges.select("pub", "author").unionByName(new_edges.select("pub", "author")))
     known = cut_lineage(depths.select("author", F.col("depth").cast("int").alias("depth")))
     pubs = new_edges.select("pub").distinct()
     changed = None
     for _ in range(max_depth):
-        members = pubs.join(e, "pub")
-        least = members.join(known, "author").groupBy("pub").agg((F.min("depth") + 1).alias("reach")).where(F.col("reach") <= max_depth)
-        best = members.join(least, "pub").groupBy("author").agg(F.min("reach").cast("int").alias("depth"))
+        least = pubs.join(e, "pub").join(known, "author").groupBy("pub").agg((F.min("depth") + 1).alias("reach")).where(F.col("reach") <= max_depth)
+        best = e.join(least, "pub").groupBy("author").agg(F.min("reach").cast("int").alias("depth"))
         now = known.select("author", F.col("depth").alias("before"))
         better = cut_lineage(best.join(now, "author", "left").where(F.col("before").isNull() | (F.col("depth") < F.col("before"))).select("author", "depth"))
         if better.isEmpty():
