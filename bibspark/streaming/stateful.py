@@ -29,7 +29,7 @@ HOUR_MS = 3_600_000
 #: Groups that the repeats of a key within an Arrow batch are dealt to.
 LANES = 64
 #: Groups that keys are dealt to by their hash: fixed, as state is found by them.
-SEEN_BUCKETS, TTL_BUCKETS = 1 << 13, 1 << 10
+SEEN_BUCKETS, TTL_BUCKETS = 1 << 11, 1 << 10
 
 
 def run_parts(spark: SparkSession, parts: Sequence[DataFrame], name: str, build: Callable[[DataFrame], DataFrame],
