@@ -317,6 +317,39 @@ def test_nodes_have_their_own_counts(monkeypatch):
     assert checked > 50_000
 
 
+def test_documents_are_split_into_words_once():
+    """What a block asks has its documents as numbers of what it asked, so
+    scores need no second pass over the texts."""
+    texts, ids = [b"Ab  ab. ab!\x0b\xc3\x9f x", b"", b"ab ab\x85 " * 40, b"x ab."], [7, None, 12, 12]
+    dealt = pa.table({"block": [3], "ids": [ids], "sizes": [[len(t) for t in texts]], "texts": [context_mixing._pack(b"".join(texts))]})
+    got = context_mixing._asking(5)(dealt).to_pylist()
+    asked, docs = [r for r in got if r["bucket"] is not None], [r for r in got if r["bucket"] is None]
+    assert len(docs) == 1 and docs[0]["ids"] == ids and docs[0]["sizes"] == [len(t) for t in texts]
+    tokens = [t for r in asked for t in context_mixing._words(r["tokens"])]
+    named = dict(zip(context_mixing._flat(docs[0]["b"], np.int32).tolist(), tokens))
+    number, sizes = context_mixing._flat(docs[0]["tokens"], np.int32), context_mixing._numbers(docs[0]["a"])
+    own = [[named[x] for x in part.tolist()] for part in np.split(number, np.cumsum(sizes)[:-1])]
+    kind = lambda w: 4 if w[-1] >= 128 or chr(w[-1]).isalnum() else 2 if w[-1:] in b".!?" else 3
+    want = []
+    for t in texts:
+        split = t.lower().split()
+        want.append([bytes([c]) + w for c, w in zip([1, *map(kind, split)], [*split, b"\n"])])
+    assert own == want and sorted(tokens) == sorted({t for x in want for t in x})
+    fold = [zlib.crc32(b"" if i is None else str(i).encode()) % 5 for i in ids]
+    for column, kept in (("a", lambda f: f not in (1, 4)), ("b", lambda f: f == 4)):
+        counts = Counter(t for x, f in zip(want, fold) for t in x if kept(f))
+        assert [n for r in asked for n in context_mixing._numbers(r[column]).tolist()] == [counts[t] for t in tokens]
+
+
+def test_keys_are_ordered_whatever_they_share():
+    rng = np.random.default_rng(21)
+    for keys in (rng.integers(0, 1 << 64, 70_000, np.uint64), rng.integers(0, 50, 70_000).astype(np.uint64), np.zeros(0, np.uint64),
+                 (rng.integers(0, 1 << 20, 70_000, np.uint64) << np.uint64(44)) + rng.integers(0, 600, 70_000, np.uint64),
+                 np.append(rng.integers(0, 1 << 64, 70_000, np.uint64), [1 << 60 | x for x in (512, 3, 259, 256)]).astype(np.uint64)):
+        order, own = context_mixing._ordered(keys)
+        assert (own == np.sort(keys)).all() and (keys[order] == own).all() and sorted(order.tolist()) == list(range(len(keys)))
+
+
 # ------------------------------------------------------------------ op9
 def test_bpe_equals_the_rule_and_round_trips(spark):
     tiktoken = pytest.importorskip("tiktoken")
