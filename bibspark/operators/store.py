@@ -62,8 +62,9 @@ def current(work: DataFrame, docs: DataFrame, fetched: DataFrame, work_key: str,
                     *[F.when(F.col("stale"), F.col(f"__f_{c}")).otherwise(F.col(c)).alias(c) for c in cols])
 
 
-def last_write(batch: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One row per key, the one with the greatest ``order`` tuple.
+def last_write(batch: DataFrame, key: Sequence[str], order: Sequence[str], again: str | None = None) -> DataFrame:
+    """One row per key, the one with the greatest ``order`` tuple. The
+    flag column ``again`` (if named) says that the key was written repeatedly.
 
     A ``max(struct(order..., row))`` aggregate: partial aggregation on the map
     side keeps one row per key per task, so a key with a third of all rows
@@ -71,7 +72,8 @@ def last_write(batch: DataFrame, key: Sequence[str], order: Sequence[str]) -> Da
     payload = [c for c in batch.columns if c not in key]
     best = F.max(F.struct(*[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)],
                           *[F.col(c) for c in payload])).alias("__best")
-    return batch.groupBy(*key).agg(best).select(*key, *[F.col(f"__best.{c}").alias(c) for c in payload])
+    flags = [] if again is None else [(F.count(F.lit(1)) > 1).alias(again)]
+    return batch.groupBy(*key).agg(best, *flags).select(*key, *[F.col(f"__best.{c}").alias(c) for c in payload], *([again] if again else []))
 
 
 def restamped(count: Column) -> Column:
@@ -80,7 +82,7 @@ def restamped(count: Column) -> Column:
 
 
 def upsert(old: DataFrame, new: DataFrame, as_of: str, doc_type: Column | str | None = None,
-           key: Sequence[str] = ("_id",), count_mode: str = "incoming", again: str | None = None) -> DataFrame:
+           key: Sequence[str] = ("_id",), count_mode: str = "incoming", again: str | None = None, written: str | None = None) -> DataFrame:
     """Keyed upsert; returns the full new snapshot.
 
     Incoming documents are stamped (``type``, ``update_date = as_of``) and
@@ -89,7 +91,8 @@ def upsert(old: DataFrame, new: DataFrame, as_of: str, doc_type: Column | str |
     the batch wrote it before), ``update_count`` becomes incoming count + 1 (or 1 when the
     incoming document has none) and ``_rev`` is taken from the stored one; a
     brand-new key keeps its incoming count. ``count_mode='stored'`` counts
-    from the stored document instead. Keys only in ``old`` pass unchanged.
+    from the stored document instead. Keys only in ``old`` pass unchanged; the
+    flag column ``written`` (if named) tells them from the others.
     """
     key = list(key)
     flag = F.lit(False) if again is None else F.col(again)
@@ -116,7 +119,7 @@ def upsert(old: DataFrame, new: DataFrame, as_of: str, doc_type: Column | str |
         else:
             v = of("n", c)
         out.append(F.when(has_new, v).otherwise(of("o", c)).cast(kinds[c]).alias(c))
-    return j.select(*key, *out)
+    return j.select(*key, *out, *([has_new.alias(written)] if written else []))
 
 
 def tag(docs: DataFrame, phase_col: str = "phase_ref", iface_col: str = "iface") -> DataFrame:
@@ -215,6 +218,18 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def land(spark: SparkSession, folder: str, target: str, schema: T.StructType) -> None:
+    """A written Parquet folder becomes ``target``, one without rows when nothing was written."""
+    fs, source = _fs(spark, folder)
+    to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    if not fs.exists(source):
+        S.empty(spark, schema).write.parquet(target)
+        return
+    fs.mkdirs(to.getParent())
+    if not fs.rename(source, to):
+        raise OSError(f"cannot move {folder} to {target}")
+
+
 def commits(spark: SparkSession, store_path: str) -> list[tuple[int, str, str]]:
     """(number, "<source>-<batch>", folder) of the complete commits, in order.
     Only a missing store path means "none"."""

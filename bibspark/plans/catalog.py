@@ -709,8 +709,11 @@ def q_lifecycle_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _stream_docs(spark, sf_dir)
     schema = docs.drop("o_orderkey").schema
     sinks = [streams.lifecycle_sink(f"{base}/store", f"{base}/out", AS_OF, source=f"s{k}", order=["seq"]) for k in (0, 1)]
-    for k, part in enumerate(_STREAM_FILES):
-        docs.where(part).drop("o_orderkey").write.parquet(f"{base}/in{k // 2}/f{k % 2}")
+    # all folders are written by one job; each then lands where its stream looks
+    folders = F.array(*[F.when(F.expr(part), F.lit(k)) for k, part in enumerate(_STREAM_FILES)])
+    docs.withColumn("folder", F.explode(F.array_compact(folders))).drop("o_orderkey").write.partitionBy("folder").parquet(f"{base}/all")
+    for k in range(len(_STREAM_FILES)):
+        store.land(spark, f"{base}/all/folder={k}", f"{base}/in{k // 2}/f{k % 2}", schema)
         stream = streams.read_stream(spark, f"{base}/in{k // 2}/*", schema)
         stream.writeStream.option("checkpointLocation", f"{base}/ck{k // 2}").trigger(availableNow=True) \
             .foreachBatch(sinks[k // 2]).start().awaitTermination()

@@ -160,8 +160,9 @@ def lifecycle_sink(store_path: str, export_path: str, as_of: str, source: str =
         key = ["entity_db", "_id"]
         name = f"{source}-{batch_id}"
         todo = store.not_serialized(batch if "serialized" in batch.columns else batch.withColumn("serialized", F.lit(False)))
-        times = todo.groupBy(*key).agg((F.count(F.lit(1)) > 1).alias("__again"))
-        docs = store.tag(store.last_write(todo, key, list(order)).join(times, key))
+        # the batch is aggregated once; all that follows reads its result
+        last = store.last_write(todo, key, list(order), again="__again").where(F.col("entity_db").isNotNull() & F.col("_id").isNotNull())
+        docs = cut_lineage(store.tag(last))
         valid, rejected = store.split_valid(docs)
         ready, quarantine = store.to_package(valid)
         cols = [c.name for c in S.DOCUMENT_SCHEMA]
@@ -169,10 +170,8 @@ def lifecycle_sink(store_path: str, export_path: str, as_of: str, source: str =
                                for c in cols], "__again")
         dbs = [r[0] for r in typed.select("entity_db").distinct().collect()]  # a handful of stores
         old = store.read_versions(spark, store_path, dbs)
-        fresh = typed.select(*key).withColumn("__new", F.lit(True))
-        snap = cut_lineage(store.upsert(old, typed, as_of=as_of, key=key, again="__again")
-                           .join(fresh, key, "left"))
-        new = F.coalesce(F.col("__new"), F.lit(False))
+        snap = cut_lineage(store.upsert(old, typed, as_of=as_of, key=key, again="__again", written="__new"))
+        new = F.col("__new")
         serialized = F.when(new, store.restamped(F.col("update_count"))).otherwise(F.col("update_count"))
         packed = snap.withColumn("update_count", serialized)
         store.write_ndjson(packed.where(new).select(*cols), f"{export_path}/lines/batch={name}")

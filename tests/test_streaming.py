@@ -33,6 +33,36 @@ def test_dedupe_and_lifecycle(spark):
     assert len(lines) == 2 and all('"sent":false' in ln for ln in lines)
 
 
+def test_lifecycle_sink_aggregates_a_batch_once(spark):
+    """Rows of a batch are read by one aggregation, whatever is done with them."""
+    base = tempfile.mkdtemp(prefix="bibspark-once-")
+    rows = [("dblp", "x", 1010, "dblp", 1), ("dblp", "x", 1010, "dblp", 2), ("dblp", "y", 1010, "dblp", 1),
+            ("dblp", "z", None, "dblp", 1), ("dblp", None, 1010, "dblp", 1), (None, "w", 1010, "dblp", 1)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def passing(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    kind = "entity_db STRING, _id STRING, phase_ref INT, iface STRING, seq INT"
+    sink = streams.lifecycle_sink(f"{base}/store", f"{base}/out", "2024-01-01 00:00:00", order=["seq"])
+    for batch, own in enumerate((rows, rows[2:3])):
+        sink(spark.createDataFrame(own, kind).mapInArrow(passing, kind), batch)
+    assert seen.value == len(rows) + 1
+    assert {r["_id"]: r["update_count"] for r in store.read_versions(spark, f"{base}/store").collect()} == {"x": 3, "y": 3}
+    assert [r["_id"] for r in spark.read.parquet(f"{base}/out/rejected").collect()] == ["z"]
+
+
+def test_folders_land(spark):
+    base = tempfile.mkdtemp(prefix="bibspark-land-")
+    df = spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "n INT, folder INT")
+    df.write.partitionBy("folder").parquet(f"{base}/all")
+    for k in range(3):
+        store.land(spark, f"{base}/all/folder={k}", f"{base}/in/f{k}", df.select("n").schema)
+    assert [sorted(r["n"] for r in spark.read.parquet(f"{base}/in/f{k}").collect()) for k in range(3)] == [[1, 2], [3], []]
+
+
 def test_page_ingest_stream(spark):
     from bibspark.operators.extract import quality
     from bibspark.sources.pages import PAGE_SCHEMA
